@@ -57,7 +57,7 @@ hx AS (SELECT doc_id, line_no, hex(encode(line)) AS h FROM lines WHERE length(li
 pos AS (SELECT doc_id, line_no, h, unnest(range(0, length(h) // 2 - 1)) AS i FROM hx),
 pairs AS (
   SELECT substr(h, 2 * i + 1, 2) AS a, substr(h, 2 * i + 3, 2) AS b, count(*) AS n,
-         min({'doc_id': doc_id, 'line_no': line_no, 'i': i}) AS first
+         min(struct_pack(doc_id := doc_id, line_no := line_no, i := i)) AS first
   FROM pos GROUP BY 1, 2)
 SELECT a, b, n, first.doc_id AS first_doc, first.line_no AS first_line,
        CAST(first.i AS INTEGER) AS first_pos
