@@ -1,5 +1,156 @@
-"""Registered queries (q_tokenizer)."""
+"""Tokenizer queries: BPE training, vocabulary, encode/decode, round trip."""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.text import DEFAULT_SPECIALS, WORD_PATTERN
+from ..operators import bpe as B
+from ..operators import codec as X
+from ..operators import quality as Q
+from ..sources.tables import read_table
+from .catalog import register
+from .q_corpus import DOC_LINES_SQL, doc_lines
+
+# Registered line-BPE size: 256 bytes + 4 specials + 16 merges.
+N_MERGES = 16
+LINE_VOCAB = 256 + len(DEFAULT_SPECIALS) + N_MERGES
+WORD_MERGES = 64
+
+_MODELS: dict = {}
+
+
+def line_model(spark, sf_dir, n_merges: int = N_MERGES):
+    """Train (once per session and input) the line tokenizer over documents.
+
+    The model is a small driver-side object (bounded by the vocabulary size);
+    keeping it avoids re-running the merge loop for every query that encodes.
+    """
+    key = ("line", sf_dir, n_merges)
+    if key not in _MODELS:
+        _MODELS[key] = B.train_line_bpe(doc_lines(spark, sf_dir), ["doc_id", "line_no"],
+                                        vocab_size=256 + len(DEFAULT_SPECIALS) + n_merges,
+                                        min_freq=2)
+    return _MODELS[key]
+
+
+def word_model(spark, sf_dir, n_merges: int = WORD_MERGES):
+    key = ("word", sf_dir, n_merges)
+    if key not in _MODELS:
+        _MODELS[key] = B.train_word_bpe(doc_lines(spark, sf_dir), ["doc_id", "line_no"],
+                                        vocab_size=256 + len(DEFAULT_SPECIALS) + n_merges,
+                                        min_freq=2)
+    return _MODELS[key]
+
+
+def bpe_oracle_sql(n_merges: int) -> str:
+    """Unrolled DuckDB CTE: one pair count + top-1 + replace per merge."""
+    parts = [f"lines AS ({DOC_LINES_SQL})",
+             """s0 AS (
+  SELECT '<' || array_to_string(regexp_extract_all(hex(encode(line)), '..'), '><') || '>' AS q,
+         count(*) AS w, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS first
+  FROM lines WHERE length(line) > 0 GROUP BY line)"""]
+    for k in range(n_merges):
+        parts.append(f"""p{k} AS (
+  SELECT t[i] AS a, t[i + 1] AS b, sum(w) AS n, min(struct_pack(f := first, pos := i)) AS o
+  FROM (SELECT string_split(substr(q, 2, length(q) - 2), '><') AS t, w, first FROM s{k}) x,
+       range(1, len(t)) r(i)
+  GROUP BY 1, 2)""")
+        parts.append(f"m{k} AS (SELECT {k} AS rank, a, b, n FROM p{k} ORDER BY n DESC, o LIMIT 1)")
+        parts.append(f"""s{k + 1} AS (
+  SELECT replace(q, '<' || a || '><' || b || '>', '<' || a || b || '>') AS q, w, first
+  FROM s{k}, m{k})""")
+    union = " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(n_merges))
+    return "WITH " + ",\n".join(parts) + f"\nSELECT CAST(rank AS INTEGER) AS rank, a, b, " \
+        f"CAST(n AS BIGINT) AS n FROM ({union})"
+
+
+BPE_SQL = bpe_oracle_sql(N_MERGES)
+
+
+@register("bpe_merges", oracle=BPE_SQL)
+def q_bpe_merges(spark, sf_dir):
+    """Line-BPE merges (rank, a, b, n) learned over all document lines."""
+    return line_model(spark, sf_dir).merges_df(spark)
+
+
+_SPECIAL_VALUES = ", ".join(f"('{s}', {256 + i}, 'special')" for i, s in enumerate(DEFAULT_SPECIALS))
+
+
+@register("bpe_vocab", oracle=f"""
+WITH m AS ({BPE_SQL})
+SELECT upper(lpad(to_hex(r.range), 2, '0')) AS token, CAST(r.range AS INTEGER) AS id,
+       'byte' AS kind FROM range(256) r
+UNION ALL SELECT * FROM (VALUES {_SPECIAL_VALUES}) v(token, id, kind)
+UNION ALL SELECT a || b, CAST({256 + len(DEFAULT_SPECIALS)} + rank AS INTEGER), 'merge' FROM m
+""")
+def q_bpe_vocab(spark, sf_dir):
+    """The id-ordered vocabulary: bytes, specials, then merges."""
+    return line_model(spark, sf_dir).vocab_df(spark)
+
+
+@register("bpe_encode")
+def q_bpe_encode(spark, sf_dir):
+    """Every document line encoded (line mode) with BOS/EOS."""
+    model = line_model(spark, sf_dir)
+    return X.encode(doc_lines(spark, sf_dir), model, "line", "ids", add_bos=True, add_eos=True) \
+        .select("doc_id", "line_no", "ids")
+
+
+@register("roundtrip_mismatches", oracle=f"""
+SELECT d.lang, count(*) AS n_lines, CAST(0 AS BIGINT) AS mismatches
+FROM ({DOC_LINES_SQL}) l JOIN documents d USING (doc_id)
+WHERE length(l.line) > 0 GROUP BY d.lang
+""")
+def q_roundtrip(spark, sf_dir):
+    """decode(encode(line)) == line over the whole corpus, per language."""
+    model = line_model(spark, sf_dir)
+    lines = doc_lines(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang"])
+    checked = Q.roundtrip(lines, model, "line")
+    return checked.join(docs, "doc_id").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.when(F.col("ok"), 0).otherwise(1)).cast("long").alias("mismatches"))
+
+
+@register("inspect_tokens")
+def q_inspect(spark, sf_dir):
+    """L2: text, ids, pieces and decoded text for every benchmark item."""
+    model = line_model(spark, sf_dir)
+    bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    enc = X.encode(bench, model, "text", "ids", add_bos=True, add_eos=True)
+    out = X.decode(X.pieces(enc, model, "ids", "pieces"), model, "ids", "decoded")
+    return out.select("item_id", "text", "ids", "pieces", "decoded")
+
+
+@register("word_pretokens")
+def q_word_pretokens(spark, sf_dir):
+    """Word pre-tokenization of every document line (Java regex).
+
+    No DuckDB oracle: its regex engine has no lookahead; checked against
+    Python's ``regex`` module on fixtures in tests.
+    """
+    lines = doc_lines(spark, sf_dir)
+    return lines.select("doc_id", "line_no",
+                        F.regexp_extract_all("line", F.lit(WORD_PATTERN), 0).alias("words"))
+
+
+@register("word_bpe_merges")
+def q_word_bpe_merges(spark, sf_dir):
+    """Word-mode merges (never crossing a word) over all document lines."""
+    return word_model(spark, sf_dir).merges_df(spark)
+
+
+@register("word_bpe_encode")
+def q_word_bpe_encode(spark, sf_dir):
+    """I4: rank-ordered word-mode encoding of every document line."""
+    model = word_model(spark, sf_dir)
+    return X.encode(doc_lines(spark, sf_dir), model, "line", "ids").select("doc_id", "line_no", "ids")
+
+
+@register("token_frequency")
+def q_token_frequency(spark, sf_dir):
+    """D1 over BPE ids: how often each vocabulary id occurs in the encoded corpus."""
+    model = line_model(spark, sf_dir)
+    enc = X.encode(doc_lines(spark, sf_dir), model, "line", "ids")
+    return enc.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
