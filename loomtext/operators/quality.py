@@ -20,17 +20,17 @@ def roundtrip(df: DataFrame, model: BpeModel, text_col: str = "line") -> DataFra
 
 
 def assign_split(df: DataFrame, key_col: str = "doc_id", val_permille: int = 100,
-                 seed: int = 42, method: str = "hash") -> DataFrame:
+                 seed: int = 42, method: str = "hash", val_every: int = 10) -> DataFrame:
     """L3: deterministic train/val split per key (no global state, no shuffle).
 
     ``hash``: ``pmod(xxhash64(seed, key), 1000) < val_permille`` → 'val'.
-    ``modulo``: ``pmod(key, 1000) < val_permille`` (easy to mirror in SQL).
+    ``modulo``: ``pmod(key, val_every) == 0`` → 'val' (easy to mirror in SQL).
     """
     if method == "hash":
-        bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key_col)), F.lit(1000))
+        is_val = F.pmod(F.xxhash64(F.lit(seed), F.col(key_col)), F.lit(1000)) < val_permille
     else:
-        bucket = F.pmod(F.col(key_col), F.lit(1000))
-    return df.withColumn("split", F.when(bucket < val_permille, "val").otherwise("train"))
+        is_val = F.pmod(F.col(key_col), F.lit(int(val_every))) == 0
+    return df.withColumn("split", F.when(is_val, "val").otherwise("train"))
 
 
 def leakage(df: DataFrame, text_col: str = "text", split_col: str = "split") -> DataFrame:

@@ -1,5 +1,161 @@
-"""Registered queries (q_pack)."""
+"""Packing queries: split, shards (exact / fast), windows, (x, y), batch plan.
+
+Token ids here are UTF-8 bytes (built-in expressions), so every stage has a
+DuckDB mirror; the packers themselves are tokenizer-agnostic (BPE ids flow
+through the same operators, see ``bpe_pack_shards``).
+"""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.text import byte_ids
+from ..operators import pack as P
+from ..operators import quality as Q
+from .catalog import register
+from .q_corpus import DOC_LINES_SQL, doc_lines
+
+SHARD_TOKENS = 50_000
+WINDOW = 256
+BATCH, ACCUM, STEPS, WARMUP, LR = 8, 4, 50, 10, 3.0e-4
+
+SPLIT_LINES_SQL = f"""
+  SELECT CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, doc_id, line_no, line,
+         octet_length(encode(line)) AS n
+  FROM ({DOC_LINES_SQL}) WHERE length(line) > 0
+"""
+OFFSETS_SQL = f"""
+  SELECT *, sum(n) OVER (PARTITION BY split ORDER BY doc_id, line_no
+                         ROWS UNBOUNDED PRECEDING) AS c
+  FROM ({SPLIT_LINES_SQL})
+"""
+
+
+def split_lines(spark, sf_dir):
+    return Q.assign_split(doc_lines(spark, sf_dir), "doc_id", method="modulo", val_every=10)
+
+
+def byte_offsets(spark, sf_dir):
+    enc = split_lines(spark, sf_dir).select("split", "doc_id", "line_no",
+                                            byte_ids("line").alias("ids"))
+    return P.token_offsets(enc, ["doc_id", "line_no"])
+
+
+@register("split_assign", oracle="""
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM documents
+""")
+def q_split_assign(spark, sf_dir):
+    """L3: deterministic document split (modulo mode; hash mode in the operator)."""
+    from ..sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents", ["doc_id"])
+    return Q.assign_split(docs, "doc_id", method="modulo", val_every=10)
+
+
+@register("split_leakage", oracle=f"""
+SELECT line AS text, CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
+       CAST(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) AS BIGINT) AS n_val
+FROM ({SPLIT_LINES_SQL}) GROUP BY line
+HAVING sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) > 0
+   AND sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) > 0
+""")
+def q_split_leakage(spark, sf_dir):
+    """L4: lines that occur in both the train and the val split."""
+    lines = split_lines(spark, sf_dir).withColumnRenamed("line", "text")
+    return Q.leakage(lines, "text", "split")
+
+
+SHARDS_EXACT_SQL = f"""
+WITH RECURSIVE o AS ({OFFSETS_SQL}),
+b(split, bound) AS (
+  SELECT split, min(c) FROM o WHERE c >= {SHARD_TOKENS} GROUP BY split
+  UNION ALL
+  SELECT b.split, (SELECT min(o.c) FROM o WHERE o.split = b.split AND o.c >= b.bound + {SHARD_TOKENS})
+  FROM b WHERE b.bound IS NOT NULL
+),
+sh AS (
+  SELECT o.split, o.n, CAST((SELECT count(*) FROM b WHERE b.split = o.split AND b.bound < o.c)
+                            AS INTEGER) AS shard_id
+  FROM o
+)
+SELECT split, shard_id, CAST(sum(n) AS BIGINT) AS n_tokens, count(*) AS n_lines,
+       printf('%s_%05d', split, shard_id) AS name
+FROM sh GROUP BY split, shard_id
+"""
+
+
+@register("shards_exact", oracle=SHARDS_EXACT_SQL)
+def q_shards_exact(spark, sf_dir):
+    """Exact buffered sharding (S = 50,000 tokens) of both splits."""
+    sh = P.shards_exact(byte_offsets(spark, sf_dir), SHARD_TOKENS)
+    return P.shard_totals(sh)
+
+
+@register("shards_fast", oracle=f"""
+SELECT split, CAST(floor((c - n) / {SHARD_TOKENS}) AS INTEGER) AS shard_id,
+       CAST(sum(n) AS BIGINT) AS n_tokens, count(*) AS n_lines,
+       printf('%s_%05d', split, CAST(floor((c - n) / {SHARD_TOKENS}) AS INTEGER)) AS name
+FROM ({OFFSETS_SQL}) GROUP BY 1, 2
+""")
+def q_shards_fast(spark, sf_dir):
+    """E5 fast mode: shard = floor(tokens before the line / S)."""
+    return P.shard_totals(P.shards_fast(byte_offsets(spark, sf_dir), SHARD_TOKENS))
+
+
+@register("token_totals", oracle=f"""
+SELECT split, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM ({SPLIT_LINES_SQL}) GROUP BY split
+""")
+def q_token_totals(spark, sf_dir):
+    """D3: lines and tokens per split (byte tokens)."""
+    off = byte_offsets(spark, sf_dir)
+    return off.groupBy("split").agg(F.count(F.lit(1)).alias("n_lines"),
+                                    F.sum("n").cast("long").alias("n_tokens"))
+
+
+WINDOWS_SQL = f"""
+  WITH o AS ({OFFSETS_SQL}),
+  toks AS (
+    SELECT split, c - n AS s,
+           list_transform(regexp_extract_all(hex(encode(line)), '..'),
+                          lambda h: CAST(('0x' || h) AS INTEGER)) AS ids
+    FROM o
+  ),
+  t AS (SELECT split, s + i - 1 AS g, ids[i] AS id FROM toks, range(1, len(ids) + 1) r(i)),
+  w AS (SELECT split, CAST(g // {WINDOW} AS BIGINT) AS window_id, list(id ORDER BY g) AS ids
+        FROM t GROUP BY 1, 2)
+  SELECT split, window_id, ids FROM w WHERE len(ids) = {WINDOW}
+"""
+
+
+@register("windows", oracle=WINDOWS_SQL)
+def q_windows(spark, sf_dir):
+    """Non-overlapping 256-token windows of each split; tail dropped."""
+    return P.windows(byte_offsets(spark, sf_dir), WINDOW)
+
+
+@register("next_token_xy", oracle=f"""
+SELECT split, window_id, ids[1:{WINDOW - 1}] AS x, ids[2:{WINDOW}] AS y FROM ({WINDOWS_SQL})
+""")
+def q_next_token_xy(spark, sf_dir):
+    """Inputs and next-token labels of every window (shifted once)."""
+    return P.xy(P.windows(byte_offsets(spark, sf_dir), WINDOW)).select("split", "window_id", "x", "y")
+
+
+@register("batch_plan", oracle=f"""
+WITH w AS (SELECT window_id FROM ({WINDOWS_SQL}) WHERE split = 'train'),
+n AS (SELECT count(*) AS nw FROM w),
+d AS (SELECT range AS d FROM range({STEPS * BATCH * ACCUM}))
+SELECT CAST(d // {BATCH * ACCUM} AS BIGINT) AS step, CAST((d // {BATCH}) % {ACCUM} AS INTEGER) AS micro,
+       CAST(d % {BATCH} AS INTEGER) AS slot, w.window_id,
+       round(CASE WHEN d // {BATCH * ACCUM} < {WARMUP}
+            THEN {LR} * (d // {BATCH * ACCUM}) / {WARMUP}
+            ELSE {LR} * 0.5 * (1 + cos(pi() * ((d // {BATCH * ACCUM}) - {WARMUP}) / ({STEPS} - {WARMUP})))
+       END, 12) AS lr
+FROM d, n JOIN w ON w.window_id = d.d % n.nw
+""")
+def q_batch_plan(spark, sf_dir):
+    """50 steps × 4 micro-steps × 8 windows over the train windows."""
+    win = P.windows(byte_offsets(spark, sf_dir), WINDOW).where(F.col("split") == "train")
+    idx = P.dense_window_index(win, ["window_id"])
+    plan = P.batch_plan(idx, BATCH, ACCUM, STEPS, WARMUP, LR)
+    return plan.withColumn("lr", F.round("lr", 12))
