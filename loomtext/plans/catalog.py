@@ -38,4 +38,4 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the modules runs their @register decorators.
-    from . import q_corpus, q_tokenizer, q_pack, q_lm, q_vectors  # noqa: F401
+    from . import q_corpus, q_tokenizer, q_pack, q_lm, q_vectors, q_stream  # noqa: F401
