@@ -154,12 +154,16 @@ def top_k_exact(df: DataFrame, k: int, score: str = "logit", by: str = "ctx",
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def top_p(df: DataFrame, p: float, prob: str = "prob", by: str = "ctx", tie: str = "token") -> DataFrame:
-    """nucleus — keep rows while the mass strictly before them is < p."""
+def top_p(df: DataFrame, p: float, prob: str = "prob", by: str = "ctx", tie: str = "token",
+          eps: float = 1e-12) -> DataFrame:
+    """nucleus — keep rows while the mass strictly before them is < p.
+
+    ``eps`` absorbs floating error when the exact mass equals p (common with
+    small counts), so that case is excluded as exact arithmetic would."""
     w = Window.partitionBy(by).orderBy(F.desc(prob), F.asc(tie)) \
         .rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(prob).over(w), F.lit(0.0))
-    return df.withColumn("_before", before).where(F.col("_before") < p).drop("_before")
+    return df.withColumn("_before", before).where(F.col("_before") < p - eps).drop("_before")
 
 
 def uniform01(*cols: Column, seed: int = 0) -> Column:

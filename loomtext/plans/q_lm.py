@@ -179,7 +179,7 @@ SELECT ctx, token, round(prob, 9) AS prob FROM (
   SELECT *, coalesce(sum(prob) OVER (PARTITION BY ctx ORDER BY prob DESC, token
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM s)
-WHERE before < {TOPP}
+WHERE before < {TOPP} - 1e-12
 """)
 def q_topp(spark, sf_dir):
     """nucleus filter p = 0.9 over each context's softmax."""
