@@ -310,3 +310,44 @@ def pieces(df: DataFrame, model: BpeModel, ids_col: str = "ids", out_col: str =
         return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), vals)
 
     return _map_column(df, ids_col, out_col, T.ArrayType(T.StringType()), fn)
+
+
+def token_to_id(tokens: DataFrame, model: BpeModel, token_col: str = "token",
+                out_col: str = "id") -> DataFrame:
+    """Surface → id with the fallback chain vocab → own bytes → ``<unk>``.
+
+    A surface not in the vocabulary becomes the ids of its bytes when
+    ``byte_fallback`` (an array), else ``<unk>``.  The vocabulary side is
+    broadcast (bounded by the vocabulary size).
+    """
+    spark = tokens.sparkSession
+    vocab = F.broadcast(model.vocab_df(spark).select(F.col("token").alias("_t"),
+                                                     F.col("id").alias("_id")))
+    unk = model.special_id("<unk>")
+    j = tokens.join(vocab, tokens[token_col] == vocab["_t"], "left")
+    if model.byte_fallback:
+        fb = F.transform(F.regexp_extract_all(F.hex(F.encode(token_col, "UTF-8")), F.lit(".."), 0),
+                         lambda h: F.conv(h, 16, 10).cast("int"))
+    else:
+        fb = F.array(F.lit(unk).cast("int"))
+    return j.withColumn(out_col, F.when(F.col("_id").isNotNull(), F.array("_id")).otherwise(fb)) \
+            .drop("_t", "_id")
+
+
+def id_to_token(ids: DataFrame, model: BpeModel, id_col: str = "id",
+                out_col: str = "token") -> DataFrame:
+    """Id → surface via a broadcast join; unknown ids are an error (anti-join check)."""
+    spark = ids.sparkSession
+    vocab = F.broadcast(model.vocab_df(spark).select(F.col("id").alias(id_col),
+                                                     F.col("token").alias(out_col), "kind"))
+    bad = ids.join(vocab, id_col, "left_anti").limit(1).count()
+    if bad:
+        raise ValueError("id_to_token: id outside the vocabulary")
+    return ids.join(vocab, id_col, "inner")
+
+
+def merge_pairs_in_corpus(pairs: DataFrame, model: BpeModel) -> DataFrame:
+    """Adjacent pairs (a, b surfaces) that are in the merge set (semi-join)."""
+    spark = pairs.sparkSession
+    m = F.broadcast(model.merges_df(spark).select("a", "b"))
+    return pairs.join(m, ["a", "b"], "left_semi")

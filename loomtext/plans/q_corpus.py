@@ -132,3 +132,26 @@ SELECT doc_id, line_no, line FROM ({DOC_LINES_SQL}) WHERE length(line) > 0
 def q_doc_lines(spark, sf_dir):
     """A2/B3/B5 over documents: non-empty LF-separated lines with numbers."""
     return doc_lines(spark, sf_dir)
+
+
+@register("corpus_text_roundtrip", oracle=f"""
+SELECT count(*) AS n_lines, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes
+FROM ({FLAT_CORPUS_SQL})
+""")
+def q_corpus_text_roundtrip(spark, sf_dir):
+    """Write the flattened corpus as text (one document per line),
+    read the files back in listed order, and total lines and bytes."""
+    import os
+
+    from ..session import scratch_path
+    from ..sources.tables import read_text_lines, write_text
+    base = scratch_path(spark, "corpus_text")
+    corpus = flat_corpus(spark, sf_dir)
+    paths = []
+    for i, src in enumerate(["documents", "conversations"]):
+        p = os.path.join(base, src)
+        write_text(corpus.where(F.col("source") == src).orderBy(*C.CORPUS_ORDER), p)
+        paths.append(p)
+    back = read_text_lines(spark, paths)
+    return back.agg(F.count(F.lit(1)).alias("n_lines"),
+                    F.sum(F.octet_length("line")).cast("long").alias("n_bytes"))

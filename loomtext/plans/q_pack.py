@@ -159,3 +159,25 @@ def q_batch_plan(spark, sf_dir):
     idx = P.dense_window_index(win, ["window_id"])
     plan = P.batch_plan(idx, BATCH, ACCUM, STEPS, WARMUP, LR)
     return plan.withColumn("lr", F.round("lr", 12))
+
+
+@register("bpe_pack_shards")
+def q_bpe_pack_shards(spark, sf_dir):
+    """I8/A4/A5: encode both splits with the line tokenizer, pack exact shards of
+    20,000 tokens, write them (parquet, split directories) and scan them back;
+    returns per-shard totals from the written table."""
+    import os
+
+    from ..operators import codec as X
+    from ..session import scratch_path
+    from .q_tokenizer import line_model
+    model = line_model(spark, sf_dir)
+    enc = X.encode(split_lines(spark, sf_dir), model, "line", "ids") \
+        .select("split", "doc_id", "line_no", "ids")
+    sh = P.shard_positions(P.shards_exact(P.token_offsets(enc, ["doc_id", "line_no"]), 20_000))
+    path = os.path.join(scratch_path(spark, "shards"), "shards")
+    P.write_shards(sh.withColumn("n", F.size("ids")), path, ["doc_id", "line_no"])
+    back = P.read_shards(spark, path)
+    return back.groupBy("split", "shard_id").agg(
+        F.sum(F.size("ids")).cast("long").alias("n_tokens"),
+        F.count(F.lit(1)).alias("n_lines"), F.min("pos").alias("first_pos"))

@@ -154,3 +154,29 @@ def q_token_frequency(spark, sf_dir):
     model = line_model(spark, sf_dir)
     enc = X.encode(doc_lines(spark, sf_dir), model, "line", "ids")
     return enc.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("id_range_check")
+def q_id_range_check(spark, sf_dir):
+    """Encoded ids fit uint32 and are all in the vocabulary (per language)."""
+    from ..operators import quality as Qm
+    model = line_model(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang"])
+    enc = X.encode(doc_lines(spark, sf_dir), model, "line", "ids").join(docs, "doc_id")
+    return Qm.id_range_report(enc, model.vocab_df(spark), "ids", ["lang"])
+
+
+@register("merge_pair_hits", oracle=f"""
+WITH m AS ({BPE_SQL}),
+lines AS ({DOC_LINES_SQL}),
+hx AS (SELECT hex(encode(line)) AS h FROM lines WHERE length(line) > 0),
+pos AS (SELECT h, unnest(range(0, length(h) // 2 - 1)) AS i FROM hx),
+p AS (SELECT substr(h, 2 * i + 1, 2) AS a, substr(h, 2 * i + 3, 2) AS b, count(*) AS n
+      FROM pos GROUP BY 1, 2)
+SELECT p.a, p.b, p.n FROM p WHERE EXISTS (SELECT 1 FROM m WHERE m.a = p.a AND m.b = p.b)
+""")
+def q_merge_pair_hits(spark, sf_dir):
+    """Raw byte pairs of the corpus that are themselves learned merges."""
+    from ..operators import counts as Km
+    pairs = Km.byte_pair_counts(doc_lines(spark, sf_dir))
+    return X.merge_pairs_in_corpus(pairs, line_model(spark, sf_dir))
