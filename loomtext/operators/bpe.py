@@ -36,6 +36,11 @@ log = logging.getLogger(__name__)
 
 # How many top pairs one round looks at to detect ties without a second job.
 TIE_PROBE = 64
+# "auto" mode: delta counting once a full recount would scan more tokens than this.
+DELTA_MIN_TOKENS = 200_000_000
+# A merge occurring more often than this share of the weighted rows is recounted in
+# full (most rows change); rarer merges update the counts by their delta.
+FULL_RECOUNT_SHARE = 0.4
 
 
 @dataclass
@@ -170,11 +175,55 @@ def _first_seen(seqs: DataFrame, tied: DataFrame | list[tuple[str, str]]) -> tup
     return best[0]["a"], best[0]["b"]
 
 
+def _batch_picks(top, first, counts, used_surfaces, room: int, min_freq: int,
+                 tie_probe_full: bool) -> list[tuple[str, str, int]]:
+    """Extend the first pick with later probe candidates while the result is
+    provably what one-merge-per-round would choose next (SURVEY §7.3):
+
+    * symbols disjoint from every earlier pick, and not a self pair;
+    * count strictly above the largest count any pair created by earlier picks
+      can reach: for pick (a, b) that is max(min(n_ab, max_x n(x, a)),
+      min(n_ab, max_y n(b, y)));
+    * count not tied with the next candidate (tie order would need first-seen);
+    * the usual stop rules (min_freq, vocabulary room, surface already present).
+    The first candidate that fails ends the batch; none is ever skipped.
+    """
+    a0, b0, n0 = first
+    cand = [(r["a"], r["b"], int(r["n"])) for r in top if (r["a"], r["b"]) != (a0, b0)]
+    if room <= 1 or not cand:
+        return [first]
+    syms = sorted({x for c in cand for x in c[:2]} | {a0, b0})
+    ends = {r["b"]: int(r["m"]) for r in counts.where(F.col("b").isin(syms))
+            .groupBy("b").agg(F.max("n").alias("m")).collect()}
+    starts = {r["a"]: int(r["m"]) for r in counts.where(F.col("a").isin(syms))
+              .groupBy("a").agg(F.max("n").alias("m")).collect()}
+
+    def bound(a, b, n):
+        return max(min(n, ends.get(a, 0)), min(n, starts.get(b, 0)))
+
+    picks, used = [first], {a0, b0}
+    limit = bound(a0, b0, n0)
+    new_surfaces = {a0 + b0}
+    for i, (a, b, n) in enumerate(cand):
+        if len(picks) >= room or n < min_freq or n <= limit or a == b:
+            break
+        nxt_tied = (cand[i + 1][2] == n) if i + 1 < len(cand) else tie_probe_full
+        if nxt_tied or a in used or b in used:
+            break
+        if a + b in used_surfaces or a + b in new_surfaces:
+            break
+        picks.append((a, b, n))
+        used |= {a, b}
+        new_surfaces.add(a + b)
+        limit = max(limit, bound(a, b, n))
+    return picks
+
+
 def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
               specials: Sequence[str] | None = None, mode: str = "line",
               lowercase: bool = False, byte_fallback: bool = True,
-              tie_break: str = "first_seen", incremental: bool = True,
-              checkpoint_every: int = 8) -> BpeModel:
+              tie_break: str = "first_seen", incremental: bool | str = "auto",
+              batch: bool = True, checkpoint_every: int = 20) -> BpeModel:
     """Learn merges until the vocabulary is full or a stop rule fires.
 
     Stop rules (in order): no pairs left; best count < ``min_freq``; the merged
@@ -182,8 +231,12 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
     occurrence in corpus order) or ``smallest`` (lexicographically smallest
     (a, b) surfaces).  ``sequences`` is the output of ``line_sequences`` /
     ``word_sequences``.
+
+    ``batch`` applies several merges per round when that provably equals one
+    merge per round.  ``incremental``: maintain pair counts by delta (True),
+    recount every round (False), or decide by corpus volume ("auto": delta
+    counting once a full recount would scan more than ``DELTA_MIN_TOKENS``).
     """
-    spark = sequences.sparkSession
     specials = list(DEFAULT_SPECIALS if specials is None else specials)
     vocab = base_vocab(specials)
     surfaces = {t for t, _, k in vocab if k != "special"}
@@ -191,13 +244,20 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
     stop = "vocab_full"
 
     seqs = cut_lineage(sequences.select("q", "w", "first"))
-    counts = None
-    if incremental:
-        counts = cut_lineage(pair_counts(seqs).where(F.col("n") != 0))
+    tot = seqs.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.length("q") / 4).alias("t")).first()
+    total_w, total_tokens = int(tot["w"] or 0), float(tot["t"] or 0)
+    if incremental == "auto":
+        incremental = total_tokens > DELTA_MIN_TOKENS
+    counts = cut_lineage(pair_counts(seqs).where(F.col("n") != 0)) if incremental else None
     rounds = 0
+    held = None    # cached state of the current sequences (unpersisted once replaced)
+    stale = []     # caches that may be dropped after the next materialization
     while len(vocab) < vocab_size:
         cur = counts if incremental else pair_counts(seqs).persist(StorageLevel.MEMORY_AND_DISK)
         top = cur.orderBy(F.desc("n"), "a", "b").limit(TIE_PROBE).collect()
+        for df in stale:
+            df.unpersist()
+        stale = []
         if not top:
             stop = "no_pairs"
             break
@@ -206,53 +266,76 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
             stop = "min_freq"
             break
         tied = [(r["a"], r["b"]) for r in top if int(r["n"]) == best_n]
+        probe_full = len(top) == TIE_PROBE
         if len(tied) == 1:
             a, b = tied[0]
         elif tie_break == "smallest":
-            a, b = tied[0]  # already ordered by (a, b); the probe holds the smallest
-        elif len(tied) < len(top) or len(top) < TIE_PROBE:
+            a, b = tied[0]  # the probe is ordered by (n desc, a, b): this is the smallest
+        elif len(tied) < len(top) or not probe_full:
             a, b = _first_seen(seqs, tied)
         else:  # more ties than the probe saw: resolve over all of them, still exact
             a, b = _first_seen(seqs, cur.where(F.col("n") == best_n))
-        if not incremental:
-            cur.unpersist()
-        new = a + b
-        if new in surfaces:
+        if a + b in surfaces:
             stop = "exists"
+            if not incremental:
+                cur.unpersist()
             break
-        merges.append((a, b, best_n))
-        surfaces.add(new)
-        vocab.append((new, len(vocab), "merge"))
-        pat, rep = f"<{a}><{b}>", f"<{new}>"
+        picks = [(a, b, best_n)]
+        # Batching needs the probe order to be the true order among equal counts:
+        # only with the "smallest" rule, or when the first pick had no tie.
+        if batch and (tie_break == "smallest" or len(tied) == 1):
+            picks = _batch_picks(top, (a, b, best_n), cur, surfaces, vocab_size - len(vocab),
+                                 min_freq, probe_full)
+        if not incremental:
+            stale.append(cur)
+        for pa, pb, pn in picks:
+            merges.append((pa, pb, pn))
+            surfaces.add(pa + pb)
+            vocab.append((pa + pb, len(vocab), "merge"))
+            log.info("merge %d: %s + %s (%d)", len(merges) - 1, pa, pb, pn)
         rounds += 1
+
+        # Apply the round's merges (disjoint symbols: order does not matter).
+        hit = None
+        q = F.col("q")
+        for pa, pb, _ in picks:
+            pat = f"<{pa}><{pb}>"
+            c = F.col("q").contains(pat)
+            hit = c if hit is None else (hit | c)
+            q = F.replace(q, F.lit(pat), F.lit(f"<{pa + pb}>"))
+        occ = sum(pn for _, _, pn in picks)
+        full = (not incremental) or occ > FULL_RECOUNT_SHARE * total_w
+        stepped = seqs.select(
+            F.when(hit, q).otherwise(F.col("q")).alias("q"), "w", "first",
+            (F.lit(None).cast("string") if full else F.when(hit, F.col("q"))).alias("prev"))
+        if rounds % checkpoint_every == 0:
+            stepped = cut_lineage(stepped)
+        else:
+            stepped = stepped.persist(StorageLevel.MEMORY_AND_DISK)
+        new_seqs = stepped.select("q", "w", "first")
+        if held is not None:
+            stale.append(held)
+        seqs, held = new_seqs, stepped
         if incremental:
-            hit = F.col("q").contains(pat)
-            affected = seqs.where(hit)
-            after = affected.select(F.replace("q", F.lit(pat), F.lit(rep)).alias("q"), "w",
-                                    "first")
-            delta = _pairs(affected, -1).unionByName(_pairs(after, 1)) \
-                .groupBy("a", "b").agg(F.sum("w").alias("n"))
-            merged = counts.unionByName(delta).groupBy("a", "b").agg(F.sum("n").alias("n")) \
-                .where(F.col("n") != 0)
-            new_seqs = seqs.select(
-                F.when(hit, F.replace("q", F.lit(pat), F.lit(rep))).otherwise(F.col("q"))
-                .alias("q"), "w", "first")
-            if rounds % checkpoint_every == 0:
-                counts_next = cut_lineage(merged)
-                seqs_next = cut_lineage(new_seqs)
+            if full:
+                merged = pair_counts(new_seqs)
             else:
-                counts_next = merged.persist(StorageLevel.MEMORY_AND_DISK)
-                counts_next.count()
-                seqs_next = new_seqs.persist(StorageLevel.MEMORY_AND_DISK)
-            counts.unpersist()
-            counts, seqs = counts_next, seqs_next
-        else:
-            new_seqs = seqs.select(F.replace("q", F.lit(pat), F.lit(rep)).alias("q"), "w", "first")
-            seqs = (cut_lineage(new_seqs) if rounds % checkpoint_every == 0
-                    else new_seqs.persist(StorageLevel.MEMORY_AND_DISK))
-        log.info("merge %d: %s + %s (%d)", len(merges) - 1, a, b, best_n)
-    if counts is not None:
-        counts.unpersist()
+                changed = stepped.where(F.col("prev").isNotNull())
+                delta = _pairs(changed.select(F.col("prev").alias("q"), "w"), -1) \
+                    .unionByName(_pairs(changed.select("q", "w"), 1))
+                merged = counts.unionByName(delta.select("a", "b", F.col("w").alias("n"))) \
+                    .groupBy("a", "b").agg(F.sum("n").alias("n"))
+            stale.append(counts)
+            if full:
+                # Materialized by the next round's top-pair job (no extra action).
+                counts = merged.where(F.col("n") != 0).persist(StorageLevel.MEMORY_AND_DISK)
+            else:
+                # A delta refers to the previous counts and twice to the sequences;
+                # nesting those plans round after round grows them without bound,
+                # so the (small) counts table is checkpointed every delta round.
+                counts = cut_lineage(merged.where(F.col("n") != 0))
+    for df in stale + [d for d in (held, counts) if d is not None]:
+        df.unpersist()
     return BpeModel(merges=merges, vocab=vocab, specials=specials, mode=mode,
                     lowercase=lowercase, byte_fallback=byte_fallback, vocab_size=vocab_size,
                     min_freq=min_freq, stop_reason=stop)

@@ -144,3 +144,25 @@ def test_random_shard_inputs(spark):
             for i in members:
                 want[i] = k
         assert got == want, (sizes, S)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_batched_training_equals_brute_on_random_corpora(spark, seed):
+    rng = random.Random(seed)
+    alphabet = "abcd "[: rng.randint(3, 5)]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40)))
+             for _ in range(rng.randint(5, 40))]
+    lines = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)],
+                                  "doc_id long, line_no int, line string")
+    want, why = brute.train(texts, 30, min_freq=2)
+    for kw in ({"batch": True, "incremental": False}, {"batch": True, "incremental": True},
+               {"batch": False, "incremental": True}):
+        m = bpe.train_line_bpe(lines, vocab_size=260 + 30, min_freq=2, **kw)
+        assert m.merges == want, kw
+        assert m.stop_reason == why or (why == "vocab_full" and len(m.merges) == 30)
+
+
+def test_batched_training_more_merges_on_corpus(spark, lines, local_lines):
+    m = bpe.train_line_bpe(lines, vocab_size=260 + 40, min_freq=2, batch=True)
+    want, _ = brute.train(local_lines, 40)
+    assert m.merges == want
