@@ -148,3 +148,25 @@ def test_byte_alphabet_rule():
     assert len(set(table.values())) == 256
     assert table[ord("A")] == "A" and table[ord(" ")] == chr(256 + 32)
     assert F is not None
+
+
+def test_token_and_id_lookups(spark):
+    m = bpe.train_line_bpe(_lines(spark, ["Hello", "Hello Hello", "Help", "Yellow mellow"]),
+                           vocab_size=300, min_freq=2)
+    toks = spark.createDataFrame([("48656C6C6F",), ("<eos>",), ("zz",)], "token string")
+    got = {r["token"]: r["id"] for r in codec.token_to_id(toks, m).collect()}
+    assert got["48656C6C6F"] == [263] and got["<eos>"] == [259]
+    assert got["zz"] == [0x7A, 0x7A]  # not a surface: its own bytes (fallback chain)
+    ids = spark.createDataFrame([(263,), (259,)], "id int")
+    back = {r["id"]: (r["token"], r["kind"]) for r in codec.id_to_token(ids, m).collect()}
+    assert back == {263: ("48656C6C6F", "merge"), 259: ("<eos>", "special")}
+    import pytest
+    with pytest.raises(ValueError):
+        codec.id_to_token(spark.createDataFrame([(999,)], "id int"), m)
+
+
+def test_bos_eos_only_when_present(spark):
+    m = bpe.train_line_bpe(_lines(spark, ["abab"]), vocab_size=258, min_freq=1, specials=["<pad>"])
+    assert m.special_id("<bos>") is None
+    df = spark.createDataFrame([("ab",)], "line string")
+    assert codec.encode(df, m, "line", add_bos=True, add_eos=True).first()["ids"] == [257]
