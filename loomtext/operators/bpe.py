@@ -193,10 +193,14 @@ def _batch_picks(top, first, counts, used_surfaces, room: int, min_freq: int,
     if room <= 1 or not cand:
         return [first]
     syms = sorted({x for c in cand for x in c[:2]} | {a0, b0})
-    ends = {r["b"]: int(r["m"]) for r in counts.where(F.col("b").isin(syms))
-            .groupBy("b").agg(F.max("n").alias("m")).collect()}
-    starts = {r["a"]: int(r["m"]) for r in counts.where(F.col("a").isin(syms))
-              .groupBy("a").agg(F.max("n").alias("m")).collect()}
+    # One small job: per symbol, the largest count of a pair ending / starting with it.
+    side = counts.where(F.col("a").isin(syms) | F.col("b").isin(syms))
+    maxima = side.where(F.col("b").isin(syms)).groupBy(F.col("b").alias("s")) \
+        .agg(F.max("n").alias("m")).withColumn("end", F.lit(True)).unionByName(
+            side.where(F.col("a").isin(syms)).groupBy(F.col("a").alias("s"))
+            .agg(F.max("n").alias("m")).withColumn("end", F.lit(False))).collect()
+    ends = {r["s"]: int(r["m"]) for r in maxima if r["end"]}
+    starts = {r["s"]: int(r["m"]) for r in maxima if not r["end"]}
 
     def bound(a, b, n):
         return max(min(n, ends.get(a, 0)), min(n, starts.get(b, 0)))

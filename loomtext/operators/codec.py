@@ -26,9 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import WORD_PATTERN, normalize
+from ..session import ship_package
 from .bpe import BpeModel
 
 
+def _ship_active() -> None:
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    if s is not None:
+        ship_package(s)
+
+
 # ---------------------------------------------------------------------------
 # numpy kernels
 # ---------------------------------------------------------------------------
@@ -223,6 +231,7 @@ class Codec:
 
 def _map_column(df: DataFrame, src: str, out_col: str, out_type, fn) -> DataFrame:
     """mapInArrow adding ``out_col`` = fn(batch column ``src``)."""
+    ship_package(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name != out_col]
     schema = T.StructType(fields + [T.StructField(out_col, out_type, True)])
     names = [f.name for f in fields]
@@ -269,6 +278,7 @@ def decode(df: DataFrame, model: BpeModel, ids_col: str = "ids", out_col: str =
 def encode_udf(model: BpeModel, add_bos: bool = False, add_eos: bool = False):
     """SQL-callable pandas UDF: text → array<int> (2.K ``bpe_encode``)."""
     codec = Codec(model, add_bos, add_eos)
+    _ship_active()
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def bpe_encode(texts: pd.Series) -> pd.Series:
@@ -286,6 +296,7 @@ def encode_udf(model: BpeModel, add_bos: bool = False, add_eos: bool = False):
 def decode_udf(model: BpeModel):
     """SQL-callable pandas UDF: array<int> → string (2.K ``bpe_decode``)."""
     codec = Codec(model)
+    _ship_active()
 
     @F.pandas_udf(T.StringType())
     def bpe_decode(ids: pd.Series) -> pd.Series:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.schedule import cosine_warmup
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from .positions import exclusive_prefix_sum
 
 
@@ -133,6 +133,7 @@ def shards_exact(offsets: DataFrame, shard_tokens: int, split_col: str = "split"
     Adds ``shard_id``.
     """
     S = int(shard_tokens)
+    ship_package(offsets.sparkSession)
     ends = offsets.select(split_col, "_blk", (F.col("start") + F.col("n")).alias("_end"))
     schema = T.StructType([T.StructField(split_col, T.StringType()),
                            T.StructField("_blk", T.IntegerType()),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 
 def default_blocks(df: DataFrame) -> int:
@@ -56,6 +56,7 @@ def exclusive_prefix_sum(df: DataFrame, size_col: str, order_cols: Sequence[str]
     block-local stage is checkpointed so the block assignment is frozen and the
     upstream work (e.g. encoding) is not recomputed for the block totals.
     """
+    ship_package(df.sparkSession)
     ranged = range_blocks(df, order_cols, blocks)
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("_blk", T.IntegerType(), False),

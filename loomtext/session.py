@@ -36,7 +36,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a scratch one only if unset."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote sessions manage checkpoints server-side
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
@@ -49,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
+    base = ensure_checkpoint_dir(spark) or tempfile.gettempdir()
     return os.path.join(base, "tables", f"{name}-{os.urandom(6).hex()}")
 
 
@@ -57,3 +60,46 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into spark.checkpoint.dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (falls back to the shuffle partition count)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``loomtext`` importable in executor Python workers (``--py-files``).
+
+    Operators that run Python on executors (mapInArrow, pandas UDFs) pickle
+    references to package functions; the workers must be able to import the
+    package.  Zips the installed package once per application and adds it with
+    ``addPyFile`` (``addArtifacts`` on a remote session).
+    """
+    import zipfile
+
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:
+        app = f"remote-{id(spark)}"
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="loomtext-pyfiles-")
+    zpath = os.path.join(out_dir, "loomtext.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("loomtext", os.path.relpath(full, pkg_dir)))
+    try:
+        spark.sparkContext.addPyFile(zpath)
+    except Exception:
+        spark.addArtifacts(zpath, pyfile=True)
+    _SHIPPED.add(app)

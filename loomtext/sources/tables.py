@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_invalid_utf8
+from ..session import parallelism
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -33,8 +34,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     if columns:
         df = df.select(*columns)
     if balance:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
+        slots = parallelism(spark)
+        try:
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # no RDD view (remote session): leave the scan as is
+            splits = slots
+        if splits < slots:
             df = df.repartition(slots)
     return df
 
