@@ -161,7 +161,29 @@ def q_batch_plan(spark, sf_dir):
     return plan.withColumn("lr", F.round("lr", 12))
 
 
-@register("bpe_pack_shards")
+def _bpe_pack_oracle() -> str:
+    from .q_tokenizer import ENCODE_PASSES, encode_oracle_sql
+    enc = encode_oracle_sql(ENCODE_PASSES, bos_eos=False)
+    return f"""
+WITH RECURSIVE e AS ({enc}),
+o AS (
+  SELECT *, sum(n) OVER (PARTITION BY split ORDER BY doc_id, line_no ROWS UNBOUNDED PRECEDING) AS c
+  FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, doc_id, line_no,
+               len(ids) AS n FROM e WHERE len(ids) > 0)),
+b(split, bound) AS (
+  SELECT split, min(c) FROM o WHERE c >= 20000 GROUP BY split
+  UNION ALL
+  SELECT b.split, (SELECT min(o.c) FROM o WHERE o.split = b.split AND o.c >= b.bound + 20000)
+  FROM b WHERE b.bound IS NOT NULL),
+sh AS (SELECT o.*, CAST((SELECT count(*) FROM b WHERE b.split = o.split AND b.bound < o.c)
+                        AS INTEGER) AS shard_id FROM o)
+SELECT split, shard_id, CAST(sum(n) AS BIGINT) AS n_tokens, count(*) AS n_lines,
+       CAST(0 AS BIGINT) AS first_pos
+FROM sh GROUP BY split, shard_id
+"""
+
+
+@register("bpe_pack_shards", oracle=_bpe_pack_oracle())
 def q_bpe_pack_shards(spark, sf_dir):
     """I8/A4/A5: encode both splits with the line tokenizer, pack exact shards of
     20,000 tokens, write them (parquet, split directories) and scan them back;
@@ -181,3 +203,35 @@ def q_bpe_pack_shards(spark, sf_dir):
     return back.groupBy("split", "shard_id").agg(
         F.sum(F.size("ids")).cast("long").alias("n_tokens"),
         F.count(F.lit(1)).alias("n_lines"), F.min("pos").alias("first_pos"))
+
+
+@register("windows_per_shard", oracle=f"""
+WITH RECURSIVE o AS ({OFFSETS_SQL}),
+b(split, bound) AS (
+  SELECT split, min(c) FROM o WHERE c >= {SHARD_TOKENS} GROUP BY split
+  UNION ALL
+  SELECT b.split, (SELECT min(o.c) FROM o WHERE o.split = b.split AND o.c >= b.bound + {SHARD_TOKENS})
+  FROM b WHERE b.bound IS NOT NULL
+),
+sh AS (
+  SELECT o.*, CAST((SELECT count(*) FROM b WHERE b.split = o.split AND b.bound < o.c)
+                   AS INTEGER) AS shard_id
+  FROM o
+),
+ps AS (SELECT *, c - n - min(c - n) OVER (PARTITION BY split, shard_id) AS pos FROM sh),
+toks AS (
+  SELECT split, shard_id, pos,
+         list_transform(regexp_extract_all(hex(encode(line)), '..'),
+                        lambda h: CAST(('0x' || h) AS INTEGER)) AS ids
+  FROM ps
+),
+t AS (SELECT split, shard_id, pos + i - 1 AS g, ids[i] AS id
+      FROM toks, range(1, len(ids) + 1) r(i)),
+w AS (SELECT split, shard_id, CAST(g // {WINDOW} AS BIGINT) AS window_id,
+             list(id ORDER BY g) AS ids FROM t GROUP BY 1, 2, 3)
+SELECT split, shard_id, window_id, ids FROM w WHERE len(ids) = {WINDOW}
+""")
+def q_windows_per_shard(spark, sf_dir):
+    """E3 per_shard + shard positions: 256-token windows restarting at every exact shard."""
+    sh = P.shard_positions(P.shards_exact(byte_offsets(spark, sf_dir), SHARD_TOKENS))
+    return P.windows(sh, WINDOW, per_shard=True).select("split", "shard_id", "window_id", "ids")

@@ -68,6 +68,48 @@ def bpe_oracle_sql(n_merges: int) -> str:
 BPE_SQL = bpe_oracle_sql(N_MERGES)
 
 
+def encode_oracle_sql(passes: int, bos_eos: bool = True, source_sql: str = DOC_LINES_SQL) -> str:
+    """DuckDB mirror of line-mode encoding: ``passes`` unrolled left-to-right
+    passes of the merge-set rule (a position merges when its pair is in the
+    set and its offset inside the run of mergeable positions is even; positions
+    are renumbered every pass), then
+    surface → id (bytes, or 260 + rank for merges)."""
+    parts = [f"m AS ({BPE_SQL})",
+             "ms AS (SELECT a || ',' || b AS k FROM m)",
+             f"""t0 AS (
+  SELECT doc_id, line_no, generate_subscripts(toks, 1) AS i, unnest(toks) AS tok
+  FROM (SELECT doc_id, line_no, regexp_extract_all(hex(encode(line)), '..') AS toks
+        FROM ({source_sql}) WHERE length(line) > 0))"""]
+    w = "PARTITION BY doc_id, line_no ORDER BY i"
+    for k in range(passes):
+        parts.append(f"""q{k} AS (
+  SELECT doc_id, line_no, i, rn, tok, nxt,
+         coalesce(nxt IS NOT NULL AND (tok || ',' || nxt) IN (SELECT k FROM ms), false) AS mg
+  FROM (SELECT *, lead(tok) OVER ({w}) AS nxt, row_number() OVER ({w}) AS rn FROM t{k}))""")
+        parts.append(f"""s{k} AS (
+  SELECT *, mg AND ((rn - coalesce(max(CASE WHEN NOT mg THEN rn END) OVER (
+            {w} ROWS UNBOUNDED PRECEDING), 0) - 1) % 2 = 0) AS pick
+  FROM q{k})""")
+        parts.append(f"""t{k + 1} AS (
+  SELECT doc_id, line_no, i, CASE WHEN pick THEN tok || nxt ELSE tok END AS tok
+  FROM (SELECT *, lag(pick) OVER ({w}) AS prevpick FROM s{k})
+  WHERE NOT coalesce(prevpick, false))""")
+    ids = f"""ids AS (
+  SELECT t.doc_id, t.line_no, t.i,
+         CASE WHEN length(t.tok) = 2 THEN CAST(('0x' || t.tok) AS INTEGER)
+              ELSE CAST({256 + len(DEFAULT_SPECIALS)} + m.rank AS INTEGER) END AS id
+  FROM t{passes} t LEFT JOIN m ON m.a || m.b = t.tok)"""
+    parts.append(ids)
+    body = "list(id ORDER BY i)"
+    if bos_eos:
+        body = f"list_concat([258], {body}, [259])"
+    return "WITH " + ",\n".join(parts) + \
+        f"\nSELECT doc_id, line_no, {body} AS ids FROM ids GROUP BY doc_id, line_no"
+
+
+ENCODE_PASSES = N_MERGES + 4
+
+
 @register("bpe_merges", oracle=BPE_SQL)
 def q_bpe_merges(spark, sf_dir):
     """Line-BPE merges (rank, a, b, n) learned over all document lines."""
@@ -89,7 +131,7 @@ def q_bpe_vocab(spark, sf_dir):
     return line_model(spark, sf_dir).vocab_df(spark)
 
 
-@register("bpe_encode")
+@register("bpe_encode", oracle=encode_oracle_sql(ENCODE_PASSES))
 def q_bpe_encode(spark, sf_dir):
     """Every document line encoded (line mode) with BOS/EOS."""
     model = line_model(spark, sf_dir)
@@ -113,7 +155,24 @@ def q_roundtrip(spark, sf_dir):
         F.sum(F.when(F.col("ok"), 0).otherwise(1)).cast("long").alias("mismatches"))
 
 
-@register("inspect_tokens")
+@register("inspect_tokens", oracle=f"""
+WITH e AS ({encode_oracle_sql(ENCODE_PASSES, True,
+                              "SELECT item_id AS doc_id, 0 AS line_no, text AS line FROM benchmark")}),
+m AS ({BPE_SQL}),
+lab AS (
+  SELECT CAST(range AS INTEGER) AS id, '<0x' || lower(lpad(to_hex(range), 2, '0')) || '>' AS label
+  FROM range(256)
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({256 + i}, '{t}')" for i, t in enumerate(DEFAULT_SPECIALS))}) v(id, label)
+  UNION ALL SELECT CAST({256 + len(DEFAULT_SPECIALS)} + rank AS INTEGER),
+                   array_to_string(list_transform(regexp_extract_all(a || b, '..'),
+                                                  lambda h: '<0x' || lower(h) || '>'), '')
+  FROM m),
+p AS (SELECT e.doc_id, list(lab.label ORDER BY k) AS pieces
+      FROM (SELECT doc_id, generate_subscripts(ids, 1) AS k, unnest(ids) AS id FROM e) x
+      JOIN lab USING (id) JOIN e USING (doc_id) GROUP BY e.doc_id)
+SELECT b.item_id, b.text, e.ids, p.pieces, b.text AS decoded
+FROM benchmark b JOIN e ON e.doc_id = b.item_id JOIN p ON p.doc_id = b.item_id
+""")
 def q_inspect(spark, sf_dir):
     """L2: text, ids, pieces and decoded text for every benchmark item."""
     model = line_model(spark, sf_dir)
@@ -148,7 +207,11 @@ def q_word_bpe_encode(spark, sf_dir):
     return X.encode(doc_lines(spark, sf_dir), model, "line", "ids").select("doc_id", "line_no", "ids")
 
 
-@register("token_frequency")
+@register("token_frequency", oracle=f"""
+SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id
+                               FROM ({encode_oracle_sql(ENCODE_PASSES, bos_eos=False)}))
+GROUP BY id
+""")
 def q_token_frequency(spark, sf_dir):
     """D1 over BPE ids: how often each vocabulary id occurs in the encoded corpus."""
     model = line_model(spark, sf_dir)
@@ -156,7 +219,13 @@ def q_token_frequency(spark, sf_dir):
     return enc.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("id_range_check")
+@register("id_range_check", oracle=f"""
+SELECT d.lang, count(*) AS n_ids, max(e.id) AS max_id, CAST(0 AS BIGINT) AS n_out_of_range,
+       CAST(sum(CASE WHEN e.id >= {LINE_VOCAB} OR e.id < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unknown
+FROM (SELECT doc_id, unnest(ids) AS id
+      FROM ({encode_oracle_sql(ENCODE_PASSES, bos_eos=False)})) e
+JOIN documents d USING (doc_id) GROUP BY d.lang
+""")
 def q_id_range_check(spark, sf_dir):
     """Encoded ids fit uint32 and are all in the vocabulary (per language)."""
     from ..operators import quality as Qm
@@ -180,3 +249,22 @@ def q_merge_pair_hits(spark, sf_dir):
     from ..operators import counts as Km
     pairs = Km.byte_pair_counts(doc_lines(spark, sf_dir))
     return X.merge_pairs_in_corpus(pairs, line_model(spark, sf_dir))
+
+
+@register("bpe_vocab_reloaded", oracle=f"""
+WITH m AS ({BPE_SQL})
+SELECT upper(lpad(to_hex(r.range), 2, '0')) AS token, CAST(r.range AS INTEGER) AS id,
+       'byte' AS kind FROM range(256) r
+UNION ALL SELECT * FROM (VALUES {_SPECIAL_VALUES}) v(token, id, kind)
+UNION ALL SELECT a || b, CAST({256 + len(DEFAULT_SPECIALS)} + rank AS INTEGER), 'merge' FROM m
+""")
+def q_bpe_vocab_reloaded(spark, sf_dir):
+    """Save the tokenizer tables, load them back, return the loaded vocabulary."""
+    import os
+
+    from ..session import scratch_path
+    from ..sources import tokenizer_store as store
+    path = os.path.join(scratch_path(spark, "tokenizer"), "model")
+    store.save_model(spark, line_model(spark, sf_dir), path)
+    return store.load_model(spark, path).vocab_df(spark)
+
