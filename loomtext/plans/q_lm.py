@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import byte_ids
 from ..operators import ngram as G
 from ..operators import pack as P
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .catalog import register
 from .q_pack import SPLIT_LINES_SQL, WINDOW, WINDOWS_SQL, byte_offsets, split_lines
@@ -28,7 +29,9 @@ def byte_seqs(spark, sf_dir, split):
 
 
 def train_bigram(spark, sf_dir):
-    return G.bigram_model(byte_seqs(spark, sf_dir, "train"), V, K)
+    """The bigram table of the train split, materialized once (it is small —
+    at most V² observed pairs) so scoring does not rescan the corpus per branch."""
+    return cut_lineage(G.bigram_model(byte_seqs(spark, sf_dir, "train"), V, K))
 
 
 TOKS_SQL = f"""

@@ -95,3 +95,16 @@ def test_streaming_matches_batch(spark, sf):
     assert s == b
     e = q_stream.q_stream_encode(spark, sf).count()
     assert e == q_corpus.q_doc_lines(spark, sf).count()
+
+
+def test_streaming_bpe_encode_equals_batch(spark, sf):
+    from loomtext.operators import codec, corpus
+    from loomtext.plans import q_corpus, q_stream
+    from loomtext.streaming import ingest
+    lines = q_corpus.doc_lines(spark, sf)
+    m = bpe.train_line_bpe(lines, vocab_size=270, min_freq=2)
+    stream_lines = corpus.split_lines(q_stream.doc_stream(spark, sf), ["doc_id"])
+    enc = codec.encode(stream_lines, m, "line", "ids")
+    got = ingest.run_to_table(spark, enc.select("doc_id", "line_no", "ids"), "bpe_stream")
+    want = codec.encode(lines, m, "line", "ids").select("doc_id", "line_no", "ids")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
