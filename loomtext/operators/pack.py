@@ -48,12 +48,9 @@ def token_offsets(encoded: DataFrame, order_cols: Sequence[str], ids_col: str =
     and ``_blk``.  Zero-token lines are dropped first (B5)."""
     sized = encoded.withColumn("n", F.size(ids_col).cast("long")).where(F.col("n") > 0)
     keyed = [split_col, *order_cols]
-    off = exclusive_prefix_sum(sized, "n", keyed, out_col="_g", blocks=blocks)
-    # split base = global offset of the first line of the split (one row per split)
-    base = off.groupBy(split_col).agg(F.min("_g").alias("_split_base"))
-    return off.join(F.broadcast(base), split_col) \
-              .withColumn("start", F.col("_g") - F.col("_split_base")) \
-              .drop("_g", "_split_base")
+    # the running total restarts for every split (split leads the order key)
+    return exclusive_prefix_sum(sized, "n", keyed, out_col="start", blocks=blocks,
+                                group_col=split_col)
 
 
 # ---------------------------------------------------------------------------

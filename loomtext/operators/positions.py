@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -32,42 +33,66 @@ def range_blocks(df: DataFrame, order_cols: Sequence[str], blocks: int | None =
     return df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
 
 
-def _local_sums(size_col: str, local_col: str):
+def _local_sums(size_col: str, local_col: str, group_col: str | None = None):
+    """Exclusive running sum inside a sorted block; restarts when ``group_col``
+    changes (rows are sorted by the group first)."""
     def run(batches):
         pid = TaskContext.get().partitionId()
-        carry = 0
+        carry, last_group = 0, None
         for b in batches:
-            sizes = pc.fill_null(b.column(size_col).cast(pa.int64()), 0)
-            inclusive = pc.add(pc.cumulative_sum(sizes), pa.scalar(carry, pa.int64()))
-            before = pc.subtract(inclusive, sizes)
-            if len(b):
-                carry = inclusive[len(b) - 1].as_py()
-            yield (b.append_column("_blk", pa.array([pid] * len(b), pa.int32()))
-                    .append_column(local_col, before))
+            n = len(b)
+            sizes = np.asarray(pc.fill_null(b.column(size_col).cast(pa.int64()), 0), np.int64)
+            if group_col is None:
+                starts = np.zeros(n, bool)
+            else:
+                g = b.column(group_col).to_numpy(zero_copy_only=False)
+                starts = np.empty(n, bool)
+                if n:
+                    starts[0] = g[0] != last_group
+                    starts[1:] = g[1:] != g[:-1]
+                    last_group = g[-1]
+            raw = sizes.copy()
+            if n and not starts[0]:
+                raw[0] += carry  # the first rows continue the previous batch's group
+            raw = np.cumsum(raw)
+            # restart at each group start: remove the raw total reached just before it
+            last = np.maximum.accumulate(np.where(starts, np.arange(n), -1)) if n else starts
+            inclusive = raw - np.where(last >= 1, raw[np.maximum(last - 1, 0)], 0)
+            before = inclusive - sizes
+            if n:
+                carry = int(inclusive[-1])
+            yield (b.append_column("_blk", pa.array(np.full(n, pid, np.int32)))
+                    .append_column(local_col, pa.array(before, pa.int64())))
     return run
 
 
 def exclusive_prefix_sum(df: DataFrame, size_col: str, order_cols: Sequence[str],
                          out_col: str = "start", blocks: int | None = None,
-                         checkpoint: bool = True) -> DataFrame:
+                         checkpoint: bool = True, group_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = sum of ``size_col`` over all rows strictly before (in order).
 
-    Also keeps ``_blk`` (the range block id, ordered like the key).  The
-    block-local stage is checkpointed so the block assignment is frozen and the
-    upstream work (e.g. encoding) is not recomputed for the block totals.
+    With ``group_col`` (which must be the first order column) the sum restarts
+    for every group value.  Also keeps ``_blk`` (the range block id, ordered
+    like the key).  The block-local stage is checkpointed so the block
+    assignment is frozen and the upstream work (e.g. encoding) is not
+    recomputed for the block totals.
     """
+    if group_col is not None and order_cols[0] != group_col:
+        raise ValueError("group_col must lead the order columns")
     ship_package(df.sparkSession)
     ranged = range_blocks(df, order_cols, blocks)
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("_blk", T.IntegerType(), False),
         T.StructField("_local", T.LongType(), False)])
-    local = ranged.mapInArrow(_local_sums(size_col, "_local"), schema)
+    local = ranged.mapInArrow(_local_sums(size_col, "_local", group_col), schema)
     if checkpoint:
         local = cut_lineage(local)
-    totals = local.groupBy("_blk").agg(F.sum(F.col(size_col).cast("long")).alias("_tot"))
-    # One row per block: an unpartitioned window over `blocks` rows is fine.
-    w = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_blk", F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_base"))
-    out = local.join(F.broadcast(base), "_blk")
+    keys = ["_blk"] + ([group_col] if group_col else [])
+    totals = local.groupBy(*keys).agg(F.sum(F.col(size_col).cast("long")).alias("_tot"))
+    # One row per (group, block): a window over at most blocks × groups rows.
+    w = (Window.partitionBy(group_col) if group_col else Window).orderBy("_blk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*keys, F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_base"))
+    out = local.join(F.broadcast(base), keys)
     return out.withColumn(out_col, (F.col("_base") + F.col("_local")).cast("long")) \
               .drop("_base", "_local")

@@ -166,3 +166,20 @@ def test_batched_training_more_merges_on_corpus(spark, lines, local_lines):
     m = bpe.train_line_bpe(lines, vocab_size=260 + 40, min_freq=2, batch=True)
     want, _ = brute.train(local_lines, 40)
     assert m.merges == want
+
+
+def test_grouped_prefix_sum_matches_pandas(spark):
+    import pandas as pd
+    from loomtext.operators.positions import exclusive_prefix_sum
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", "c"]), i, rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, k long, n long")
+    got = exclusive_prefix_sum(df, "n", ["g", "k"], out_col="s", blocks=7, group_col="g")
+    got = {(r["g"], r["k"]): r["s"] for r in got.collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "k", "n"]).sort_values(["g", "k"])
+    pdf["s"] = pdf.groupby("g")["n"].cumsum() - pdf["n"]
+    assert got == {(g, k): s for g, k, s in pdf[["g", "k", "s"]].itertuples(index=False)}
+    plain = exclusive_prefix_sum(df, "n", ["g", "k"], out_col="s", blocks=5)
+    pdf["t"] = pdf["n"].cumsum() - pdf["n"]
+    assert {(r["g"], r["k"]): r["s"] for r in plain.collect()} == \
+        {(g, k): t for g, k, t in pdf[["g", "k", "t"]].itertuples(index=False)}
