@@ -150,9 +150,12 @@ def q_roundtrip(spark, sf_dir):
     lines = doc_lines(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang"])
     checked = Q.roundtrip(lines, model, "line")
-    return checked.join(docs, "doc_id").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.when(F.col("ok"), 0).otherwise(1)).cast("long").alias("mismatches"))
+    # aggregate per document before the join: one row per doc_id meets `documents`,
+    # so a document holding a large share of all lines is not a hot join key
+    per_doc = checked.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("bad"))
+    return per_doc.join(docs, "doc_id").groupBy("lang").agg(
+        F.sum("n").cast("long").alias("n_lines"), F.sum("bad").cast("long").alias("mismatches"))
 
 
 @register("inspect_tokens", oracle=f"""
@@ -231,8 +234,11 @@ def q_id_range_check(spark, sf_dir):
     from ..operators import quality as Qm
     model = line_model(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang"])
-    enc = X.encode(doc_lines(spark, sf_dir), model, "line", "ids").join(docs, "doc_id")
-    return Qm.id_range_report(enc, model.vocab_df(spark), "ids", ["lang"])
+    enc = X.encode(doc_lines(spark, sf_dir), model, "line", "ids")
+    per_doc = Qm.id_range_report(enc, model.vocab_df(spark), "ids", ["doc_id"])
+    return per_doc.join(docs, "doc_id").groupBy("lang").agg(
+        F.sum("n_ids").alias("n_ids"), F.max("max_id").alias("max_id"),
+        F.sum("n_out_of_range").alias("n_out_of_range"), F.sum("n_unknown").alias("n_unknown"))
 
 
 @register("merge_pair_hits", oracle=f"""
