@@ -175,8 +175,26 @@ def _first_seen(seqs: DataFrame, tied: DataFrame | list[tuple[str, str]]) -> tup
     return best[0]["a"], best[0]["b"]
 
 
-def _batch_picks(top, first, counts, used_surfaces, room: int, min_freq: int,
-                 tie_probe_full: bool) -> list[tuple[str, str, int]]:
+def _probe(counts: DataFrame, with_maxima: bool):
+    """One job: the top pairs (n desc, a, b) and, for batching, the largest
+    count of a pair ending / starting with each symbol (one row per symbol,
+    so at most 2 × vocabulary size rows)."""
+    top = counts.orderBy(F.desc("n"), "a", "b").limit(TIE_PROBE) \
+        .select(F.lit("t").alias("k"), "a", "b", "n")
+    if with_maxima:
+        ends = counts.groupBy("b").agg(F.max("n").alias("n")) \
+            .select(F.lit("e").alias("k"), F.lit(None).cast("string").alias("a"), "b", "n")
+        starts = counts.groupBy("a").agg(F.max("n").alias("n")) \
+            .select(F.lit("s").alias("k"), "a", F.lit(None).cast("string").alias("b"), "n")
+        top = top.unionByName(ends).unionByName(starts)
+    rows = top.collect()
+    tops = sorted((r for r in rows if r["k"] == "t"), key=lambda r: (-int(r["n"]), r["a"], r["b"]))
+    return (tops, {r["b"]: int(r["n"]) for r in rows if r["k"] == "e"},
+            {r["a"]: int(r["n"]) for r in rows if r["k"] == "s"})
+
+
+def _batch_picks(top, first, ends: dict, starts: dict, used_surfaces, room: int,
+                 min_freq: int, tie_probe_full: bool) -> list[tuple[str, str, int]]:
     """Extend the first pick with later probe candidates while the result is
     provably what one-merge-per-round would choose next (SURVEY §7.3):
 
@@ -192,15 +210,6 @@ def _batch_picks(top, first, counts, used_surfaces, room: int, min_freq: int,
     cand = [(r["a"], r["b"], int(r["n"])) for r in top if (r["a"], r["b"]) != (a0, b0)]
     if room <= 1 or not cand:
         return [first]
-    syms = sorted({x for c in cand for x in c[:2]} | {a0, b0})
-    # One small job: per symbol, the largest count of a pair ending / starting with it.
-    side = counts.where(F.col("a").isin(syms) | F.col("b").isin(syms))
-    maxima = side.where(F.col("b").isin(syms)).groupBy(F.col("b").alias("s")) \
-        .agg(F.max("n").alias("m")).withColumn("end", F.lit(True)).unionByName(
-            side.where(F.col("a").isin(syms)).groupBy(F.col("a").alias("s"))
-            .agg(F.max("n").alias("m")).withColumn("end", F.lit(False))).collect()
-    ends = {r["s"]: int(r["m"]) for r in maxima if r["end"]}
-    starts = {r["s"]: int(r["m"]) for r in maxima if not r["end"]}
 
     def bound(a, b, n):
         return max(min(n, ends.get(a, 0)), min(n, starts.get(b, 0)))
@@ -258,7 +267,7 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
     stale = []     # caches that may be dropped after the next materialization
     while len(vocab) < vocab_size:
         cur = counts if incremental else pair_counts(seqs).persist(StorageLevel.MEMORY_AND_DISK)
-        top = cur.orderBy(F.desc("n"), "a", "b").limit(TIE_PROBE).collect()
+        top, ends, starts = _probe(cur, batch)
         for df in stale:
             df.unpersist()
         stale = []
@@ -288,8 +297,8 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
         # Batching needs the probe order to be the true order among equal counts:
         # only with the "smallest" rule, or when the first pick had no tie.
         if batch and (tie_break == "smallest" or len(tied) == 1):
-            picks = _batch_picks(top, (a, b, best_n), cur, surfaces, vocab_size - len(vocab),
-                                 min_freq, probe_full)
+            picks = _batch_picks(top, (a, b, best_n), ends, starts, surfaces,
+                                 vocab_size - len(vocab), min_freq, probe_full)
         if not incremental:
             stale.append(cur)
         for pa, pb, pn in picks:
