@@ -43,14 +43,27 @@ from .positions import exclusive_prefix_sum
 # offsets
 # ---------------------------------------------------------------------------
 def token_offsets(encoded: DataFrame, order_cols: Sequence[str], ids_col: str = "ids",
-                  split_col: str = "split", blocks: int | None = None) -> DataFrame:
+                  split_col: str = "split", blocks: int | None = None,
+                  encode=None) -> DataFrame:
     """Add ``n`` (tokens), ``start`` (tokens before the line inside its split)
-    and ``_blk``.  Zero-token lines are dropped first (B5)."""
-    sized = encoded.withColumn("n", F.size(ids_col).cast("long")).where(F.col("n") > 0)
+    and ``_blk``.  Zero-token lines are dropped first (B5).
+
+    With ``encode`` (a row-local step producing ``ids_col``), ``encoded`` holds
+    the raw lines and the step runs after the range shuffle, so the range
+    sampler does not evaluate it a second time.
+    """
+    def sized(df: DataFrame) -> DataFrame:
+        if encode is not None:
+            df = encode(df)
+        return df.withColumn("n", F.size(ids_col).cast("long")).where(F.col("n") > 0)
+
     keyed = [split_col, *order_cols]
     # the running total restarts for every split (split leads the order key)
-    return exclusive_prefix_sum(sized, "n", keyed, out_col="start", blocks=blocks,
-                                group_col=split_col)
+    if encode is None:
+        return exclusive_prefix_sum(sized(encoded), "n", keyed, out_col="start", blocks=blocks,
+                                    group_col=split_col)
+    return exclusive_prefix_sum(encoded, "n", keyed, out_col="start", blocks=blocks,
+                                group_col=split_col, transform=sized)
 
 
 # ---------------------------------------------------------------------------

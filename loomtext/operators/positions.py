@@ -68,7 +68,8 @@ def _local_sums(size_col: str, local_col: str, group_col: str | None = None):
 
 def exclusive_prefix_sum(df: DataFrame, size_col: str, order_cols: Sequence[str],
                          out_col: str = "start", blocks: int | None = None,
-                         checkpoint: bool = True, group_col: str | None = None) -> DataFrame:
+                         checkpoint: bool = True, group_col: str | None = None,
+                         transform=None) -> DataFrame:
     """Add ``out_col`` = sum of ``size_col`` over all rows strictly before (in order).
 
     With ``group_col`` (which must be the first order column) the sum restarts
@@ -76,11 +77,17 @@ def exclusive_prefix_sum(df: DataFrame, size_col: str, order_cols: Sequence[str]
     like the key).  The block-local stage is checkpointed so the block
     assignment is frozen and the upstream work (e.g. encoding) is not
     recomputed for the block totals.
+
+    ``transform`` (a row-local DataFrame → DataFrame step such as encoding) runs
+    after the range shuffle, inside the sorted blocks: the range sampler then
+    reads only the cheap input instead of evaluating the step an extra time.
     """
     if group_col is not None and order_cols[0] != group_col:
         raise ValueError("group_col must lead the order columns")
     ship_package(df.sparkSession)
     ranged = range_blocks(df, order_cols, blocks)
+    if transform is not None:
+        ranged = transform(ranged)
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("_blk", T.IntegerType(), False),
         T.StructField("_local", T.LongType(), False)])

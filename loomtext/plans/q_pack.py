@@ -194,9 +194,11 @@ def q_bpe_pack_shards(spark, sf_dir):
     from ..session import scratch_path
     from .q_tokenizer import line_model
     model = line_model(spark, sf_dir)
-    enc = X.encode(split_lines(spark, sf_dir), model, "line", "ids") \
-        .select("split", "doc_id", "line_no", "ids")
-    sh = P.shard_positions(P.shards_exact(P.token_offsets(enc, ["doc_id", "line_no"]), 20_000))
+    lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
+    # encoding runs inside the range blocks (after the shuffle), not before the sampler
+    off = P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: X.encode(
+        df, model, "line", "ids").drop("line"))
+    sh = P.shard_positions(P.shards_exact(off, 20_000))
     path = os.path.join(scratch_path(spark, "shards"), "shards")
     P.write_shards(sh.withColumn("n", F.size("ids")), path, ["doc_id", "line_no"])
     back = P.read_shards(spark, path)

@@ -183,3 +183,17 @@ def test_grouped_prefix_sum_matches_pandas(spark):
     pdf["t"] = pdf["n"].cumsum() - pdf["n"]
     assert {(r["g"], r["k"]): r["s"] for r in plain.collect()} == \
         {(g, k): t for g, k, t in pdf[["g", "k", "t"]].itertuples(index=False)}
+
+
+def test_encode_inside_blocks_equals_encode_before(spark, lines, line_model):
+    src = lines.select(F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"),
+                       "doc_id", "line_no", "line")
+    before = pack.token_offsets(codec.encode(src, line_model, "line", "ids").drop("line"),
+                                ["doc_id", "line_no"], blocks=5)
+    inside = pack.token_offsets(src, ["doc_id", "line_no"], blocks=3,
+                                encode=lambda d: codec.encode(d, line_model, "line", "ids").drop("line"))
+    k = ["split", "doc_id", "line_no", "start", "n"]
+    assert sorted(map(tuple, before.select(*k).collect())) == sorted(map(tuple, inside.select(*k).collect()))
+    a = pack.shards_exact(before, 3000).select("doc_id", "line_no", "shard_id")
+    b = pack.shards_exact(inside, 3000).select("doc_id", "line_no", "shard_id")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
