@@ -36,9 +36,10 @@ def split_lines(spark, sf_dir):
 
 
 def byte_offsets(spark, sf_dir):
-    enc = split_lines(spark, sf_dir).select("split", "doc_id", "line_no",
-                                            byte_ids("line").alias("ids"))
-    return P.token_offsets(enc, ["doc_id", "line_no"])
+    lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
+    # byte ids are computed inside the range blocks (the sampler reads raw lines)
+    return P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: df.select(
+        "split", "doc_id", "line_no", byte_ids("line").alias("ids")))
 
 
 @register("split_assign", oracle="""
