@@ -13,16 +13,22 @@ per-block running sums (``positions``); nothing goes through a single task.
 Exact sharding (T8) closes a shard at the first whole line where the buffered
 tokens reach S.  With cumulative line ends c, the boundaries are
 ``b_{k+1} = min{c_i : c_i >= b_k + S}`` — a chain that depends on where it
-enters each block.  Each block first walks its chain from a guessed entry;
-then blocks whose true entry (the exit of the block before) differs walk
-again.  Chains from different entries merge as soon as they hit the same line
-end, so the exits usually settle after one fix-up round; the loop is exact in
-every case (at worst one round per block).  Only one row per block (its exit
-threshold) reaches the driver per round.
+enters each block.  A block's entry threshold always lies within S tokens of
+its first line end, so only the lines in that window can be its first
+boundary.  Pass 1 (parallel): every block walks the chain from each of those
+candidate lines at once (vectorized searchsorted) and records the exit
+threshold per candidate.  The driver then composes the blocks in order with
+one lookup each; this summary is size-checked (``SUMMARY_LIMIT`` entries in
+total).  Pass 2 (parallel): each block walks from its true entry and numbers
+its shards.  Beyond the limit, the fallback iterates: walk from guessed
+entries, then re-walk blocks whose entry changed.  That is exact too, but it
+takes up to one round per block, because chains from different entries rarely
+re-merge.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Sequence
 
@@ -38,6 +44,8 @@ from ..functions.schedule import cosine_warmup
 from ..session import cut_lineage, ship_package
 from .positions import exclusive_prefix_sum
 
+log = logging.getLogger(__name__)
+
 
 # ---------------------------------------------------------------------------
 # offsets
@@ -134,6 +142,66 @@ def _chains(entries: dict, S: int, split_col: str, with_bounds: bool):
 
 # Largest boundary table (rows = shards) that is broadcast; beyond it, a join.
 BROADCAST_BOUNDS_LIMIT = 2_000_000
+# Largest total of per-block entry summaries brought to the driver for the
+# one-pass composition; beyond it, the iterative fix-up rounds are used.
+SUMMARY_LIMIT = 2_000_000
+
+
+def _summaries(S: int, split_col: str):
+    """Per block: the exit threshold for every line that can be the block's
+    first boundary.  The entry threshold of a block lies in (prev_end, prev_end
+    + S] with prev_end < first line end, so only lines ending before
+    ``ends[0] + S`` (plus the first at or after it) can be entries.  All
+    candidates are walked together with vectorized searchsorted; the loop runs
+    once per boundary step (block tokens / S + 1 times)."""
+    def run(batches):
+        for b in batches:
+            out = {split_col: [], "_blk": [], "last": [], "cand": [], "exit": []}
+            sp = b.column(split_col).to_pylist()
+            bl = b.column("_blk").to_pylist()
+            ends = b.column("ends")
+            for i in range(len(b)):
+                c = np.asarray(ends[i].values, np.int64)
+                if not len(c):
+                    continue
+                k = min(int(np.searchsorted(c, c[0] + S, side="left")) + 1, len(c))
+                cand = np.arange(k)
+                t = c[cand] + S
+                live = np.ones(k, bool)
+                while live.any():
+                    j = np.searchsorted(c, t[live], side="left")
+                    inside = j < len(c)
+                    idx = np.flatnonzero(live)
+                    t[idx[inside]] = c[j[inside]] + S
+                    live[idx[~inside]] = False
+                out[split_col].append(sp[i]); out["_blk"].append(bl[i])
+                out["last"].append(int(c[-1])); out["cand"].append(c[cand].tolist())
+                out["exit"].append(t.tolist())
+            yield pa.RecordBatch.from_pydict({
+                split_col: pa.array(out[split_col], pa.string()),
+                "_blk": pa.array(out["_blk"], pa.int32()),
+                "last": pa.array(out["last"], pa.int64()),
+                "cand": pa.array(out["cand"], pa.list_(pa.int64())),
+                "exit": pa.array(out["exit"], pa.list_(pa.int64()))})
+    return run
+
+
+def _compose_entries(summary_rows, S: int, split_col: str) -> dict:
+    """Driver: walk the blocks in order with one lookup each."""
+    entries, prev_split, t = {}, None, None
+    for r in sorted(summary_rows, key=lambda r: (r[split_col], r["_blk"])):
+        key = (r[split_col], r["_blk"])
+        if key[0] != prev_split:
+            prev_split, t = key[0], S
+        entries[key] = t
+        if t > r["last"]:
+            continue  # no line end reaches t in this block: the threshold passes through
+        cand = np.asarray(r["cand"], np.int64)
+        e = int(np.searchsorted(cand, t, side="left"))
+        if e >= len(cand):  # cannot happen for a valid entry; keep the walk exact anyway
+            raise RuntimeError("entry threshold outside the candidate window")
+        t = int(r["exit"][e])
+    return entries
 
 
 def shards_exact(offsets: DataFrame, shard_tokens: int, split_col: str = "split") -> DataFrame:
@@ -161,9 +229,19 @@ def shards_exact(offsets: DataFrame, shard_tokens: int, split_col: str = "split"
         return {(r[split_col], r["_blk"]): int(r["exit"]) for r in res}
 
     order = sorted((r[split_col], r["_blk"]) for r in blocks.select(split_col, "_blk").collect())
-    entries: dict = {k: None for k in order}
-    exits = exits_for(None, entries)
-    while True:
+    summary_schema = (f"{split_col} string, _blk int, last long, cand array<long>, "
+                      "exit array<long>")
+    summaries = cut_lineage(blocks.mapInArrow(_summaries(S, split_col), summary_schema))
+    size = summaries.select(F.sum(F.size("cand"))).first()[0] or 0
+    if size <= SUMMARY_LIMIT:
+        # exact in two parallel passes: per-block summaries, then the final walk
+        entries = _compose_entries(summaries.collect(), S, split_col)
+        exits, fixups = None, -1
+    else:
+        entries = {k: None for k in order}
+        exits = exits_for(None, entries)
+        fixups = 0
+    while exits is not None:
         want, prev_split, carry = {}, None, None
         for key in order:
             if key[0] != prev_split:
@@ -175,6 +253,9 @@ def shards_exact(offsets: DataFrame, shard_tokens: int, split_col: str = "split"
             break
         entries.update({k: want[k] for k in dirty})
         exits.update({k: v for k, v in exits_for(dirty, entries).items() if k in set(dirty)})
+        fixups += 1
+        log.info("shards_exact: fix-up round %d re-walked %d of %d blocks", fixups, len(dirty),
+                 len(order))
 
     final = cut_lineage(blocks.mapInArrow(_chains(entries, S, split_col, True), bounds_schema)
                         .drop("exit"))

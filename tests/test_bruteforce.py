@@ -197,3 +197,20 @@ def test_encode_inside_blocks_equals_encode_before(spark, lines, line_model):
     a = pack.shards_exact(before, 3000).select("doc_id", "line_no", "shard_id")
     b = pack.shards_exact(inside, 3000).select("doc_id", "line_no", "shard_id")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_exact_shards_fallback_rounds_match(spark, monkeypatch):
+    monkeypatch.setattr(pack, "SUMMARY_LIMIT", -1)  # force the iterative fix-up path
+    rng = random.Random(8)
+    for _ in range(2):
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(10, 60))]
+        S = rng.randint(3, 25)
+        enc = spark.createDataFrame([("t", i, 0, [1] * n) for i, n in enumerate(sizes)],
+                                    "split string, doc_id long, line_no int, ids array<int>")
+        off = pack.token_offsets(enc, ["doc_id", "line_no"], blocks=rng.randint(2, 6))
+        got = [r["shard_id"] for r in pack.shards_exact(off, S).orderBy("doc_id").collect()]
+        want = [0] * len(sizes)
+        for k, members in enumerate(brute.shard_sizes(sizes, S)):
+            for i in members:
+                want[i] = k
+        assert got == want, (sizes, S)
