@@ -20,7 +20,10 @@ candidate lines at once (vectorized searchsorted) and records the exit
 threshold per candidate.  The driver then composes the blocks in order with
 one lookup each; this summary is size-checked (``SUMMARY_LIMIT`` entries in
 total).  Pass 2 (parallel): each block walks from its true entry and numbers
-its shards.  Beyond the limit, the fallback iterates: walk from guessed
+its shards.  Beyond the limit, when every block spans at least S tokens, the
+block functions are composed by a log-depth scan (pointer doubling:
+ceil(log2(blocks)) rounds of a one-row-per-block self-join).  Otherwise the
+fallback iterates: walk from guessed
 entries, then re-walk blocks whose entry changed.  That is exact too, but it
 takes up to one round per block, because chains from different entries rarely
 re-merge.
@@ -145,6 +148,8 @@ BROADCAST_BOUNDS_LIMIT = 2_000_000
 # Largest total of per-block entry summaries brought to the driver for the
 # one-pass composition; beyond it, the iterative fix-up rounds are used.
 SUMMARY_LIMIT = 2_000_000
+# Use the log-depth scan when blocks are at least S tokens long (tests turn it off).
+SCAN_ENABLED = True
 
 
 def _summaries(S: int, split_col: str):
@@ -204,6 +209,67 @@ def _compose_entries(summary_rows, S: int, split_col: str) -> dict:
     return entries
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _compose_exits(inner_exits, cand, exits):
+    """Apply a block range's step function (cand → exits) to earlier exits."""
+    import pandas as pd
+    out = []
+    for xs, c, e in zip(inner_exits, cand, exits):
+        if xs is None or c is None:  # rows the caller's `when` discards
+            out.append(np.zeros(0, np.int64))
+            continue
+        c = np.asarray(c, np.int64)
+        e = np.asarray(e, np.int64)
+        xs = np.asarray(xs, np.int64)
+        idx = np.searchsorted(c, xs, side="left")
+        if (idx >= len(c)).any():
+            raise RuntimeError("composed exit outside the candidate window")
+        out.append(e[idx])
+    return pd.Series(out)
+
+
+def _scan_entries(summaries: DataFrame, S: int, split_col: str) -> dict:
+    """Exact entries by a log-depth scan (pointer doubling) over block functions.
+
+    Valid when every block but the last of its split spans at least S tokens,
+    so thresholds never pass through a block.  Round k composes each block's
+    range function with the one 2^k blocks earlier (a self-join of a table with
+    one row per block); after ceil(log2(blocks)) rounds each row covers the
+    split's prefix, and its value at S is that block's exit.
+    """
+    first = summaries.groupBy(split_col).agg(F.min("_blk").alias("_b0"))
+    X = summaries.join(F.broadcast(first), split_col) \
+        .select(split_col, "_blk", (F.col("_blk") - F.col("_b0")).alias("pos"), "cand", "exit")
+    X = cut_lineage(X)
+    n = X.agg(F.max("pos")).first()[0] or 0
+    k = 1
+    while k <= n:
+        left = X.select(split_col, (F.col("pos") + k).alias("pos"),
+                        F.col("cand").alias("lc"), F.col("exit").alias("lx"))
+        j = X.join(left, [split_col, "pos"], "left")
+        X = cut_lineage(j.select(
+            split_col, "_blk", "pos",
+            F.when(F.col("lc").isNotNull(), F.col("lc")).otherwise(F.col("cand")).alias("cand"),
+            F.when(F.col("lc").isNotNull(), _compose_exits("lx", "cand", "exit"))
+            .otherwise(F.col("exit")).alias("exit")))
+        log.info("shards_exact: scan round with stride %d", k)
+        k *= 2
+    # every row now maps the split's first entry window; evaluate it at S
+    rows = X.select(split_col, "_blk", "pos",
+                    _compose_exits(F.array(F.lit(S).cast("long")), "cand", "exit")[0]
+                    .alias("exit")).collect()  # one row per block
+    entries, by_split = {}, {}
+    for r in rows:
+        by_split.setdefault(r[split_col], []).append((r["pos"], r["_blk"], int(r["exit"])))
+    for sp, items in by_split.items():
+        items.sort()
+        prev = S
+        for _, blk, ex in items:
+            entries[(sp, blk)] = prev
+            prev = ex
+    return entries
+
+
 def shards_exact(offsets: DataFrame, shard_tokens: int, split_col: str = "split") -> DataFrame:
     """E5 exact mode (T8): shard ids equal to a sequential buffered pass.
 
@@ -233,10 +299,19 @@ def shards_exact(offsets: DataFrame, shard_tokens: int, split_col: str = "split"
                       "exit array<long>")
     summaries = cut_lineage(blocks.mapInArrow(_summaries(S, split_col), summary_schema))
     size = summaries.select(F.sum(F.size("cand"))).first()[0] or 0
+    # blocks (other than the last of each split) shorter than S allow pass-through
+    w_last = Window.partitionBy(split_col)
+    short = summaries.withColumn("_lastblk", F.max("_blk").over(w_last)) \
+        .where((F.col("_blk") < F.col("_lastblk"))
+               & (F.col("last") - F.element_at("cand", 1) < F.lit(S))).limit(1).count()
     if size <= SUMMARY_LIMIT:
         # exact in two parallel passes: per-block summaries, then the final walk
         entries = _compose_entries(summaries.collect(), S, split_col)
         exits, fixups = None, -1
+    elif SCAN_ENABLED and not short:
+        # exact with a log-depth scan over the block functions
+        entries = _scan_entries(summaries, S, split_col)
+        exits, fixups = None, -1
     else:
         entries = {k: None for k in order}
         exits = exits_for(None, entries)

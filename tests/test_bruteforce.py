@@ -201,6 +201,7 @@ def test_encode_inside_blocks_equals_encode_before(spark, lines, line_model):
 
 def test_exact_shards_fallback_rounds_match(spark, monkeypatch):
     monkeypatch.setattr(pack, "SUMMARY_LIMIT", -1)  # force the iterative fix-up path
+    monkeypatch.setattr(pack, "SCAN_ENABLED", False)
     rng = random.Random(8)
     for _ in range(2):
         sizes = [rng.randint(1, 9) for _ in range(rng.randint(10, 60))]
@@ -214,3 +215,24 @@ def test_exact_shards_fallback_rounds_match(spark, monkeypatch):
             for i in members:
                 want[i] = k
         assert got == want, (sizes, S)
+
+
+def test_exact_shards_scan_path_matches(spark, monkeypatch):
+    monkeypatch.setattr(pack, "SUMMARY_LIMIT", -1)  # skip the driver composition
+    rng = random.Random(21)
+    for _ in range(3):
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(150, 400))]
+        S = rng.randint(3, 20)   # blocks hold many shards: the scan path applies
+        nb = rng.randint(3, 9)
+        enc = spark.createDataFrame([("t" if i % 7 else "v", i, 0, [1] * n)
+                                     for i, n in enumerate(sizes)],
+                                    "split string, doc_id long, line_no int, ids array<int>")
+        off = pack.token_offsets(enc, ["doc_id", "line_no"], blocks=nb)
+        got = {r["doc_id"]: r["shard_id"] for r in pack.shards_exact(off, S).collect()}
+        for sp in ("t", "v"):
+            idx = [i for i in range(len(sizes)) if ("t" if i % 7 else "v") == sp]
+            want = {}
+            for k, members in enumerate(brute.shard_sizes([sizes[i] for i in idx], S)):
+                for m in members:
+                    want[idx[m]] = k
+            assert {i: got[i] for i in idx} == want, (S, nb)
