@@ -274,3 +274,40 @@ def q_bpe_vocab_reloaded(spark, sf_dir):
     store.save_model(spark, line_model(spark, sf_dir), path)
     return store.load_model(spark, path).vocab_df(spark)
 
+
+
+@register("sql_udf_roundtrip", oracle=f"""
+SELECT d.lang, count(*) AS n_lines, CAST(0 AS BIGINT) AS mismatches
+FROM ({DOC_LINES_SQL}) l JOIN documents d USING (doc_id)
+WHERE length(l.line) > 0 GROUP BY d.lang
+""")
+def q_sql_udf_roundtrip(spark, sf_dir):
+    """2.K: the tokenizer registered as SQL functions; the round trip written in SQL."""
+    from .. import sql as lsql
+    lsql.register(spark, line_model(spark, sf_dir))
+    doc_lines(spark, sf_dir).createOrReplaceTempView("loomtext_lines")
+    read_table(spark, sf_dir, "documents", ["doc_id", "lang"]).createOrReplaceTempView("loomtext_docs")
+    return spark.sql("""
+        WITH per_doc AS (
+          SELECT doc_id, count(*) AS n,
+                 sum(CASE WHEN bpe_decode(bpe_encode(line)) = line THEN 0 ELSE 1 END) AS bad
+          FROM loomtext_lines GROUP BY doc_id)
+        SELECT d.lang, CAST(sum(p.n) AS BIGINT) AS n_lines, CAST(sum(p.bad) AS BIGINT) AS mismatches
+        FROM per_doc p JOIN loomtext_docs d ON p.doc_id = d.doc_id GROUP BY d.lang""")
+
+
+@register("word_artifacts_reloaded")
+def q_word_artifacts_reloaded(spark, sf_dir):
+    """Write the word tokenizer as vocab.json + merges.txt, read them back,
+    return the reloaded merges in rank order (equal to ``word_bpe_merges``)."""
+    import os
+
+    from ..session import scratch_path
+    from ..sources import tokenizer_store as store
+    model = word_model(spark, sf_dir)
+    d = scratch_path(spark, "word_artifacts")
+    store.save_word_artifacts(spark, model, d)
+    back = store.load_word_artifacts(spark, os.path.join(d, "vocab.json"),
+                                     os.path.join(d, "merges.txt"), specials=model.specials)
+    return spark.createDataFrame([(r, a, b) for r, (a, b, _) in enumerate(back.merges)],
+                                 "rank int, a string, b string")
