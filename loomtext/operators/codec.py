@@ -282,11 +282,10 @@ def encode_udf(model: BpeModel, add_bos: bool = False, add_eos: bool = False):
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def bpe_encode(texts: pd.Series) -> pd.Series:
-        if model.mode == "line":
-            res = codec.encode_array(pa.array(texts, pa.large_string()))
-        else:
-            import re as _re  # noqa: F401  (pattern is Java-only; words via JVM in encode())
-            raise ValueError("word mode SQL encode: call encode() (JVM pre-tokenization)")
+        if model.mode != "line":
+            # the word pattern is a Java regex: word mode runs through encode()
+            raise ValueError("word mode SQL encode: use codec.encode (JVM pre-tokenization)")
+        res = codec.encode_array(pa.array(texts, pa.large_string()))
         flat, offs = list_ids(res)
         return pd.Series(np.split(flat.astype(np.int32), offs[1:-1]) if len(offs) > 1 else [])
 

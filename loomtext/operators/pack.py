@@ -32,13 +32,11 @@ re-merge.
 from __future__ import annotations
 
 import logging
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,7 +99,6 @@ def _block_ends(split_col: str):
     """Per block and split: (split, _blk, ends array<long>) with sorted line ends."""
     def run(batches):
         parts: dict = {}
-        pid = TaskContext.get().partitionId()
         for b in batches:
             if not len(b):
                 continue
@@ -111,7 +108,6 @@ def _block_ends(split_col: str):
             for s in pc.unique(sp).to_pylist():
                 parts.setdefault((s, blk), []).append(
                     np.asarray(ends.filter(pc.equal(sp, s)), np.int64))
-        _ = pid
         for (s, blk), arrs in parts.items():
             yield pa.RecordBatch.from_pydict({
                 split_col: pa.array([s], pa.string()), "_blk": pa.array([blk], pa.int32()),
@@ -473,6 +469,3 @@ def batch_plan(indexed: DataFrame, batch_size: int, grad_accum: int, max_steps:
     return plan.select("step", "micro", "slot", "window_id",
                        cosine_warmup(F.col("step"), warmup, max_steps, base_lr).alias("lr"))
 
-
-def stream_length_windows(total_tokens: int, length: int) -> int:
-    return math.floor(total_tokens / length)
