@@ -43,13 +43,14 @@ def word_model(spark, sf_dir, n_merges: int = WORD_MERGES):
     return _MODELS[key]
 
 
-def bpe_oracle_sql(n_merges: int) -> str:
+def bpe_oracle_sql(n_merges: int, lowercase: bool = False) -> str:
     """Unrolled DuckDB CTE: one pair count + top-1 + replace per merge."""
+    text = "lower(line)" if lowercase else "line"
     parts = [f"lines AS ({DOC_LINES_SQL})",
-             """s0 AS (
-  SELECT '<' || array_to_string(regexp_extract_all(hex(encode(line)), '..'), '><') || '>' AS q,
+             f"""s0 AS (
+  SELECT '<' || array_to_string(regexp_extract_all(hex(encode(t)), '..'), '><') || '>' AS q,
          count(*) AS w, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS first
-  FROM lines WHERE length(line) > 0 GROUP BY line)"""]
+  FROM (SELECT {text} AS t, doc_id, line_no FROM lines WHERE length(line) > 0) GROUP BY t)"""]
     for k in range(n_merges):
         parts.append(f"""p{k} AS (
   SELECT t[i] AS a, t[i + 1] AS b, sum(w) AS n, min(struct_pack(f := first, pos := i)) AS o
@@ -311,3 +312,14 @@ def q_word_artifacts_reloaded(spark, sf_dir):
                                      os.path.join(d, "merges.txt"), specials=model.specials)
     return spark.createDataFrame([(r, a, b) for r, (a, b, _) in enumerate(back.merges)],
                                  "rank int, a string, b string")
+
+
+@register("bpe_merges_lower", oracle=bpe_oracle_sql(8, lowercase=True))
+def q_bpe_merges_lower(spark, sf_dir):
+    """Line BPE on lower-cased lines (8 merges); ``lowercase`` is kept in meta."""
+    key = ("line-lower", sf_dir, 8)
+    if key not in _MODELS:
+        _MODELS[key] = B.train_line_bpe(doc_lines(spark, sf_dir), ["doc_id", "line_no"],
+                                        vocab_size=256 + len(DEFAULT_SPECIALS) + 8, min_freq=2,
+                                        lowercase=True)
+    return _MODELS[key].merges_df(spark)

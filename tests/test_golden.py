@@ -170,3 +170,10 @@ def test_bos_eos_only_when_present(spark):
     assert m.special_id("<bos>") is None
     df = spark.createDataFrame([("ab",)], "line string")
     assert codec.encode(df, m, "line", add_bos=True, add_eos=True).first()["ids"] == [257]
+
+
+def test_label_byte_conversions(spark):
+    from loomtext.functions.text import byte_label, label_to_byte
+    df = spark.createDataFrame([("4A",)], "h string")
+    r = df.select(byte_label("h").alias("l")).select("l", label_to_byte("l").alias("b")).first()
+    assert r["l"] == "<0x4a>" and r["b"] == 0x4A
