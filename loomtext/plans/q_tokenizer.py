@@ -245,7 +245,42 @@ def q_word_bpe_merges(spark, sf_dir):
     return word_model(spark, sf_dir).merges_df(spark)
 
 
-@register("word_bpe_encode")
+def word_encode_oracle_sql(n_merges: int, passes: int) -> str:
+    """DuckDB mirror of word-mode encoding: per pass, every word merges the
+    non-overlapping left-to-right occurrences of its lowest-rank pair."""
+    w = "PARTITION BY doc_id, line_no, wi ORDER BY i"
+    parts = [f"m AS ({word_bpe_oracle_sql(n_merges)})",
+             f"pw AS ({WORD_PRETOKENS_SQL})",
+             """t0 AS (
+  SELECT doc_id, line_no, wi, generate_subscripts(toks, 1) AS i, unnest(toks) AS tok
+  FROM (SELECT doc_id, line_no, wi, regexp_extract_all(hex(encode(word)), '..') AS toks
+        FROM (SELECT doc_id, line_no, generate_subscripts(words, 1) AS wi, unnest(words) AS word
+              FROM pw)))"""]
+    for k in range(passes):
+        parts.append(f"""q{k} AS (
+  SELECT x.*, m.rank AS r FROM (
+    SELECT *, lead(tok) OVER ({w}) AS nxt, row_number() OVER ({w}) AS rn FROM t{k}) x
+  LEFT JOIN m ON m.a = x.tok AND m.b = x.nxt)""")
+        parts.append(f"""c{k} AS (
+  SELECT *, coalesce(r = min(r) OVER (PARTITION BY doc_id, line_no, wi), false) AS cand FROM q{k})""")
+        parts.append(f"""s{k} AS (
+  SELECT *, cand AND ((rn - coalesce(max(CASE WHEN NOT cand THEN rn END) OVER (
+            {w} ROWS UNBOUNDED PRECEDING), 0) - 1) % 2 = 0) AS pick
+  FROM c{k})""")
+        parts.append(f"""t{k + 1} AS (
+  SELECT doc_id, line_no, wi, i, CASE WHEN pick THEN tok || nxt ELSE tok END AS tok
+  FROM (SELECT *, lag(pick) OVER ({w}) AS prevpick FROM s{k})
+  WHERE NOT coalesce(prevpick, false))""")
+    parts.append(f"""ids AS (
+  SELECT t.doc_id, t.line_no, t.wi, t.i,
+         CASE WHEN length(t.tok) = 2 THEN CAST(('0x' || t.tok) AS INTEGER)
+              ELSE CAST({256 + len(DEFAULT_SPECIALS)} + m.rank AS INTEGER) END AS id
+  FROM t{passes} t LEFT JOIN m ON m.a || m.b = t.tok)""")
+    return "WITH " + ",\n".join(parts) + \
+        "\nSELECT doc_id, line_no, list(id ORDER BY wi, i) AS ids FROM ids GROUP BY doc_id, line_no"
+
+
+@register("word_bpe_encode", oracle=word_encode_oracle_sql(WORD_MERGES, 24))
 def q_word_bpe_encode(spark, sf_dir):
     """I4: rank-ordered word-mode encoding of every document line."""
     model = word_model(spark, sf_dir)
