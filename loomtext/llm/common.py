@@ -38,3 +38,10 @@ def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does just that on pure ASCII text, faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(
         F.translate(c, UPPER, LOWER))
+
+
+def range_parts(df: DataFrame) -> int:
+    """Partitions for a range sort: as many as the scan has splits, so they grow
+    with the input, and no fewer than the session's shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+               df.rdd.getNumPartitions())

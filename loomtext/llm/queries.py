@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .chunk_dedup import exact_groups
 from .common import LOWER, UPPER, read_table
 from .decontam import contamination
+from .hilbert_pack import pack
+from .pfor import round_trip
 from .rendezvous import shard_documents
+from .setsketch import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +76,12 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+@register("op4_token_ids")
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written as patched frame-of-reference blocks and read back."""
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
 _OP7 = rf"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all({_low("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
@@ -109,6 +118,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@register("op8_hilbert_pack")
+def op8_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 along a Hilbert curve."""
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 _OP9 = f"""
 WITH d AS (SELECT doc_id, {_low("coalesce(text, '')")} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -121,3 +136,9 @@ FROM d JOIN g USING (t)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts over chunk recipes; of each group the largest doc_id stays."""
     return exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+@register("op10_setsketch_near_dedup")
+def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents over two-word shingles, similarity 0.8."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
