@@ -11,6 +11,7 @@ from .common import LOWER, UPPER, read_table
 from .decontam import contamination
 from .hilbert_pack import pack
 from .pfor import round_trip
+from .quality_mil import quality
 from .rendezvous import shard_documents
 from .setsketch import near_duplicates
 
@@ -82,6 +83,12 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"))
 
 
+@register("op6_quality_mil")
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by gated attention over its passages."""
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 _OP7 = rf"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all({_low("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws

@@ -31,8 +31,11 @@ def _pow(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, CHUNK)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n - 1, b, np.uint64)]).astype(np.uint64))
-                      for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _powers.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _powers.append(np.cumprod(p))
     return _powers
 
 
@@ -56,6 +59,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text with the total at the end)."""
+    return words_at(raw, offsets)[:2]
+
+
+def words_at(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes and the byte where each word starts."""
     out, places, at, total = [], [], 0, len(raw)
     while at < total:
         end = min(at + CHUNK, total)
@@ -82,8 +90,9 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
             places.append(starts + at)
         at = end
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(out), np.searchsorted(np.concatenate(places), offsets)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
+    at = np.concatenate(places)
+    return np.concatenate(out), np.searchsorted(at, offsets), at
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,20 +100,20 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.
 
     Fewer words than ``width`` make one shingle, no words none.
     """
+    # Random odd factors: with regular ones, rearranged words could cancel out.
+    factor = np.random.default_rng(width).integers(1, 1 << 63, width + 1, dtype=np.uint64) | np.uint64(1)
     n = len(words)
     h = np.zeros(n, np.uint64)
     for i in range(width):
-        h[: max(n - i, 0)] += words[i:] * np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64))
+        h[: max(n - i, 0)] += words[i:] * factor[i]
     h = mix(h)
     sets = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= width:
             sets.append(np.unique(h[a: b - width + 1]))
         elif b > a:
-            s = np.uint64(b - a)
-            for w in words[a:b]:
-                s = mix(np.atleast_1d(s * np.uint64(0x2545F4914F6CDD1D) ^ w))[0]
-            sets.append(np.atleast_1d(s))
+            short = np.add.reduce(words[a:b] * factor[: b - a]) + np.uint64(b - a) * factor[width]
+            sets.append(mix(np.atleast_1d(short)))
         else:
             sets.append(np.zeros(0, np.uint64))
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64),
