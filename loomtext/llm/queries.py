@@ -10,10 +10,13 @@ from .chunk_dedup import exact_groups
 from .common import LOWER, UPPER, read_table
 from .decontam import contamination
 from .hilbert_pack import pack
+from .markov_secrets import secrets
 from .pfor import round_trip
 from .quality_mil import quality
 from .rendezvous import shard_documents
 from .setsketch import near_duplicates
+from .suffix_tree_lm import scores
+from .weak_pii import personal_data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +80,24 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+@register("op1_suffix_tree_lm")
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole text under a probabilistic suffix tree."""
+    return scores(read_table(spark, sf_dir, "documents"))
+
+
+@register("op3_weak_pii")
+def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base spans, and those that weak supervision adds."""
+    return personal_data(read_table(spark, sf_dir, "documents"))
+
+
+@register("op5_markov_secrets")
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: base spans, and runs that look random."""
+    return secrets(read_table(spark, sf_dir, "documents"))
+
+
 @register("op4_token_ids")
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids, written as patched frame-of-reference blocks and read back."""
