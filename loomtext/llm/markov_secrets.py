@@ -2,10 +2,11 @@
 
 Base spans follow fixed rules (assign, access, hex) and always stand.  Two
 first-order models over characters are trained: one of random strings, from the
-values of base spans, one of ordinary identifiers, from the corpus' other runs of
-such characters.  The labels are the base rules'; the counts cover all documents
-and are small matrices, summed by Spark.  A long run outside base spans whose
-log-likelihood ratio per character is at least ``RATIO`` is added as ``random``.
+values of base spans, one of ordinary identifiers, from the corpus' longer runs of
+letters and joiners without a digit or plus sign.  Those rules label the samples;
+the counts cover all documents and are small matrices, summed by Spark.  A long
+run outside base spans whose log-likelihood ratio per character is at least
+``RATIO`` is added as ``random``.
 
 Defined cases: null and empty texts have no spans; without base spans there is
 no random model and nothing is added; repeated rows are separate; an empty
@@ -28,7 +29,9 @@ from .text_hash import buffers
 
 KINDS = ("assign", "access", "hex")
 #: Runs that train the identifier model, and runs that are scored.
-LEARN_CHARS, SCORE_CHARS, RATIO, SMOOTH = 8, 16, 1.0, 0.5
+LEARN_CHARS, SCORE_CHARS, RATIO = 8, 16, 1.0
+#: Weight of a model's character shares in each row of its transitions.
+SMOOTH = 20.0
 STEP = 256
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -41,6 +44,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(ALPHABET)
 _CODE = np.full(256, -1, np.int64)
 _CODE[list(ALPHABET.encode())] = np.arange(N)
+_ODD = np.isin(np.arange(256), list(b"0123456789+"))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -84,6 +88,9 @@ def _count(batches):
             if not len(raw):
                 continue
             starts, ends = _runs(raw, offsets, LEARN_CHARS)
+            odd = np.concatenate([[0], np.cumsum(_ODD[raw])])
+            plain = odd[starts] == odd[ends]
+            starts, ends = starts[plain], ends[plain]
             code = _CODE[raw]
             mark = np.zeros(len(raw) + 1, np.int64)
             mark[starts] += 1
@@ -98,21 +105,17 @@ def _count(batches):
             long[np.searchsorted(offsets, at, "right") - 1] = True
             for i in np.flatnonzero(long | np.asarray(b.column("named"))):
                 text = b.column("text")[int(i)].as_py()
-                values = [text[v:e] for _, _, e, v in base_spans(text)]
-                if values:
-                    own = transitions(values)
-                    total[1] += own
-                    # A run that is a base value is no identifier.
-                    total[0] -= transitions([v for v in values if len(v) >= LEARN_CHARS])
-    np.maximum(total, 0, out=total)
+                total[1] += transitions([text[v:e] for _, _, e, v in base_spans(text)])
     m, a, z = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(a, pa.int32()), pa.array(z, pa.int32()),
                                       pa.array(total[m, a, z], pa.int64())], names=["model", "a", "z", "n"])
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
-    """log P(z | a) of random strings less that of identifiers, smoothed."""
-    p = (counts + SMOOTH) / (counts + SMOOTH).sum(axis=2, keepdims=True)
+    """log P(z | a) of random strings less that of identifiers, smoothed by P(z)."""
+    share = counts.sum(axis=1, keepdims=True) + 0.5
+    share = share / share.sum(axis=2, keepdims=True)
+    p = (counts + SMOOTH * share) / (counts.sum(axis=2, keepdims=True) + SMOOTH)
     return np.log(p[1]) - np.log(p[0])
 
 
