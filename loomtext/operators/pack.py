@@ -12,41 +12,26 @@ per-block running sums (``positions``); nothing goes through a single task.
 
 Exact sharding (T8) closes a shard at the first whole line where the buffered
 tokens reach S.  With cumulative line ends c, the boundaries are
-``b_{k+1} = min{c_i : c_i >= b_k + S}`` — a chain that depends on where it
-enters each block.  A block's entry threshold always lies within S tokens of
-its first line end, so only the lines in that window can be its first
-boundary.  Pass 1 (parallel): every block walks the chain from each of those
-candidate lines at once (vectorized searchsorted) and records the exit
-threshold per candidate.  The driver then composes the blocks in order with
-one lookup each; this summary is size-checked (``SUMMARY_LIMIT`` entries in
-total).  Pass 2 (parallel): each block walks from its true entry and numbers
-its shards.  Beyond the limit, when every block spans at least S tokens, the
-block functions are composed by a log-depth scan (pointer doubling:
-ceil(log2(blocks)) rounds of a one-row-per-block self-join).  Otherwise the
-fallback iterates: walk from guessed
-entries, then re-walk blocks whose entry changed.  That is exact too, but it
-takes up to one round per block, because chains from different entries rarely
-re-merge.
+``b_{k+1} = min{c_i : c_i >= b_k + S}``: a chain that depends on where it
+enters each block.  The token stream is cut into blocks of a fixed number of
+tokens; a chain can enter a block only in its first S tokens, so a block is a
+short step function from entry to exit, tabulated in parallel.  The functions
+are composed FAN blocks at a time up a tree, and the true entries are handed down
+it: 2 log_FAN(blocks) small jobs, the same path at every size.
 """
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.schedule import cosine_warmup
 from ..session import cut_lineage, ship_package
 from .positions import exclusive_prefix_sum
 
-log = logging.getLogger(__name__)
-
 
 # ---------------------------------------------------------------------------
 # offsets
@@ -84,267 +69,154 @@ def shards_fast(offsets: DataFrame, shard_tokens: int) -> DataFrame:
                               .cast("int"))
 
 
-def _walk(c: np.ndarray, t: int, S: int) -> tuple[list[int], int]:
-    """Boundaries in sorted ends ``c`` from entry threshold ``t``; returns exit."""
-    bounds = []
-    while True:
-        j = int(np.searchsorted(c, t, side="left"))
-        if j >= len(c):
-            return bounds, t
-        bounds.append(int(c[j]))
-        t = int(c[j]) + S
-
-
-def _block_ends(split_col: str):
-    """Per block and split: (split, _blk, ends array<long>) with sorted line ends."""
-    def run(batches):
-        parts: dict = {}
-        for b in batches:
-            if not len(b):
-                continue
-            blk = b.column("_blk")[0].as_py()
-            sp = b.column(split_col)
-            ends = b.column("_end")
-            for s in pc.unique(sp).to_pylist():
-                parts.setdefault((s, blk), []).append(
-                    np.asarray(ends.filter(pc.equal(sp, s)), np.int64))
-        for (s, blk), arrs in parts.items():
-            yield pa.RecordBatch.from_pydict({
-                split_col: pa.array([s], pa.string()), "_blk": pa.array([blk], pa.int32()),
-                "ends": pa.array([np.concatenate(arrs)], pa.list_(pa.int64()))})
+#: Tokens of a block in shards: a block has at most BLOCK_SHARDS + 1 boundaries.
+BLOCK_SHARDS = 8
+#: Blocks composed in one task, level by level.
+FAN = 16
+
+_STEP = "{split} string, blk long, c long, exit long, cnt long, last long"
+_ENTRY = "{split} string, blk long, t long, prior long, prev long"
+
+
+def _block_function(S: int, width: int, split_col: str):
+    """A block's step function from its sorted line ends.
+
+    A row (c, exit, cnt, last): entering with a threshold above the previous
+    row's c and up to this c leaves with ``exit`` after ``cnt`` boundaries, the
+    last at ``last``.  The block's own end closes the list: a threshold that no
+    line end of the block reaches passes through to the next block.
+    """
+    def run(pdf):
+        import pandas as pd
+        blk, split = int(pdf["blk"].iloc[0]), pdf[split_col].iloc[0]
+        ends = np.sort(pdf["_end"].to_numpy())
+        stop = (blk + 1) * width
+        k = min(int(np.searchsorted(ends, blk * width + S)) + 1, len(ends))
+        c = ends[:k]
+        last, cnt, live = c.copy(), np.ones(k, np.int64), np.arange(k)
+        while len(live):
+            j = np.searchsorted(ends, last[live] + S)
+            inside = j < len(ends)
+            live = live[inside]
+            last[live] = ends[j[inside]]
+            cnt[live] += 1
+        return pd.DataFrame({split_col: split, "blk": blk, "c": np.append(c, stop),
+                             "exit": np.append(np.maximum(last + S, stop), stop),
+                             "cnt": np.append(cnt, 0), "last": np.append(last, -1)})
     return run
 
 
-def _chains(entries: dict, S: int, split_col: str, with_bounds: bool):
-    """mapInArrow over block rows: walk each block's chain from its entry."""
-    def run(batches):
-        for b in batches:
-            out_s, out_b, out_exit, out_bounds = [], [], [], []
-            sp = b.column(split_col).to_pylist()
-            bl = b.column("_blk").to_pylist()
-            ends = b.column("ends")
-            for i in range(len(b)):
-                c = np.asarray(ends[i].values, np.int64)
-                t = entries.get((sp[i], bl[i]))
-                if t is None:  # speculative entry: the block's first line end
-                    t = int(c[0]) if len(c) else 0
-                bounds, ex = _walk(c, t, S)
-                out_s.append(sp[i]); out_b.append(bl[i]); out_exit.append(ex)
-                out_bounds.append(bounds)
-            cols = {split_col: pa.array(out_s, pa.string()), "_blk": pa.array(out_b, pa.int32()),
-                    "exit": pa.array(out_exit, pa.int64())}
-            if with_bounds:
-                cols["bounds"] = pa.array(out_bounds, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(cols)
+def _apply(rows, t: np.ndarray, stop: int):
+    """(exit, cnt, last) of thresholds t; a block without rows passes them on."""
+    if rows is None:
+        return np.full(len(t), stop), np.zeros(len(t), np.int64), np.full(len(t), -1)
+    i = np.searchsorted(rows["c"], t)
+    return rows["exit"][i], rows["cnt"][i], rows["last"][i]
+
+
+def _children(pdf) -> dict:
+    return {int(b): {k: g[k].to_numpy() for k in ("c", "exit", "cnt", "last")}
+            for b, g in pdf.sort_values(["blk", "c"]).groupby("blk")}
+
+
+def _compose(width: int, split_col: str):
+    """The step function of FAN neighbouring blocks of ``width`` tokens."""
+    def run(pdf):
+        import pandas as pd
+        split, up = pdf[split_col].iloc[0], int(pdf["blk"].iloc[0]) // FAN
+        kids, first = _children(pdf), up * FAN
+        t = kids[first]["c"] if first in kids else np.array([(first + 1) * width])
+        c, cnt, last = t, np.zeros(len(t), np.int64), np.full(len(t), -1)
+        for b in range(first, first + FAN):
+            t, n, seen = _apply(kids.get(b), t, (b + 1) * width)
+            cnt, last = cnt + n, np.where(seen >= 0, seen, last)
+        return pd.DataFrame({split_col: split, "blk": up, "c": c, "exit": t, "cnt": cnt, "last": last})
     return run
 
 
-# Largest boundary table (rows = shards) that is broadcast; beyond it, a join.
-BROADCAST_BOUNDS_LIMIT = 2_000_000
-# Largest total of per-block entry summaries brought to the driver for the
-# one-pass composition; beyond it, the iterative fix-up rounds are used.
-SUMMARY_LIMIT = 2_000_000
-# Use the log-depth scan when blocks are at least S tokens long (tests turn it off).
-SCAN_ENABLED = True
-
-
-def _summaries(S: int, split_col: str):
-    """Per block: the exit threshold for every line that can be the block's
-    first boundary.  The entry threshold of a block lies in (prev_end, prev_end
-    + S] with prev_end < first line end, so only lines ending before
-    ``ends[0] + S`` (plus the first at or after it) can be entries.  All
-    candidates are walked together with vectorized searchsorted; the loop runs
-    once per boundary step (block tokens / S + 1 times)."""
-    def run(batches):
-        for b in batches:
-            out = {split_col: [], "_blk": [], "last": [], "cand": [], "exit": []}
-            sp = b.column(split_col).to_pylist()
-            bl = b.column("_blk").to_pylist()
-            ends = b.column("ends")
-            for i in range(len(b)):
-                c = np.asarray(ends[i].values, np.int64)
-                if not len(c):
-                    continue
-                k = min(int(np.searchsorted(c, c[0] + S, side="left")) + 1, len(c))
-                cand = np.arange(k)
-                t = c[cand] + S
-                live = np.ones(k, bool)
-                while live.any():
-                    j = np.searchsorted(c, t[live], side="left")
-                    inside = j < len(c)
-                    idx = np.flatnonzero(live)
-                    t[idx[inside]] = c[j[inside]] + S
-                    live[idx[~inside]] = False
-                out[split_col].append(sp[i]); out["_blk"].append(bl[i])
-                out["last"].append(int(c[-1])); out["cand"].append(c[cand].tolist())
-                out["exit"].append(t.tolist())
-            yield pa.RecordBatch.from_pydict({
-                split_col: pa.array(out[split_col], pa.string()),
-                "_blk": pa.array(out["_blk"], pa.int32()),
-                "last": pa.array(out["last"], pa.int64()),
-                "cand": pa.array(out["cand"], pa.list_(pa.int64())),
-                "exit": pa.array(out["exit"], pa.list_(pa.int64()))})
+def _descend(width: int, split_col: str):
+    """A group's entry becomes an entry for each block in it that has rows."""
+    def run(kids_pdf, entry_pdf):
+        import pandas as pd
+        if not len(kids_pdf) or not len(entry_pdf):
+            return pd.DataFrame({split_col: pd.Series([], dtype=str), **{
+                k: pd.Series([], dtype="int64") for k in ("blk", "t", "prior", "prev")}})
+        e = entry_pdf.iloc[0]
+        t, prior, prev = np.array([e["t"]]), int(e["prior"]), int(e["prev"])
+        kids, first, out = _children(kids_pdf), int(e["blk"]) * FAN, []
+        for b in range(first, first + FAN):
+            if b in kids:
+                out.append((kids_pdf[split_col].iloc[0], b, int(t[0]), prior, prev))
+            t, n, seen = _apply(kids.get(b), t, (b + 1) * width)
+            prior += int(n[0])
+            prev = int(seen[0]) if seen[0] >= 0 else prev
+        return pd.DataFrame(out, columns=[split_col, "blk", "t", "prior", "prev"])
     return run
 
 
-def _compose_entries(summary_rows, S: int, split_col: str) -> dict:
-    """Driver: walk the blocks in order with one lookup each."""
-    entries, prev_split, t = {}, None, None
-    for r in sorted(summary_rows, key=lambda r: (r[split_col], r["_blk"])):
-        key = (r[split_col], r["_blk"])
-        if key[0] != prev_split:
-            prev_split, t = key[0], S
-        entries[key] = t
-        if t > r["last"]:
-            continue  # no line end reaches t in this block: the threshold passes through
-        cand = np.asarray(r["cand"], np.int64)
-        e = int(np.searchsorted(cand, t, side="left"))
-        if e >= len(cand):  # cannot happen for a valid entry; keep the walk exact anyway
-            raise RuntimeError("entry threshold outside the candidate window")
-        t = int(r["exit"][e])
-    return entries
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _compose_exits(inner_exits, cand, exits):
-    """Apply a block range's step function (cand → exits) to earlier exits."""
-    import pandas as pd
-    out = []
-    for xs, c, e in zip(inner_exits, cand, exits):
-        if xs is None or c is None:  # rows the caller's `when` discards
-            out.append(np.zeros(0, np.int64))
-            continue
-        c = np.asarray(c, np.int64)
-        e = np.asarray(e, np.int64)
-        xs = np.asarray(xs, np.int64)
-        idx = np.searchsorted(c, xs, side="left")
-        if (idx >= len(c)).any():
-            raise RuntimeError("composed exit outside the candidate window")
-        out.append(e[idx])
-    return pd.Series(out)
-
-
-def _scan_entries(summaries: DataFrame, S: int, split_col: str) -> dict:
-    """Exact entries by a log-depth scan (pointer doubling) over block functions.
-
-    Valid when every block but the last of its split spans at least S tokens,
-    so thresholds never pass through a block.  Round k composes each block's
-    range function with the one 2^k blocks earlier (a self-join of a table with
-    one row per block); after ceil(log2(blocks)) rounds each row covers the
-    split's prefix, and its value at S is that block's exit.
-    """
-    first = summaries.groupBy(split_col).agg(F.min("_blk").alias("_b0"))
-    X = summaries.join(F.broadcast(first), split_col) \
-        .select(split_col, "_blk", (F.col("_blk") - F.col("_b0")).alias("pos"), "cand", "exit")
-    X = cut_lineage(X)
-    n = X.agg(F.max("pos")).first()[0] or 0
-    k = 1
-    while k <= n:
-        left = X.select(split_col, (F.col("pos") + k).alias("pos"),
-                        F.col("cand").alias("lc"), F.col("exit").alias("lx"))
-        j = X.join(left, [split_col, "pos"], "left")
-        X = cut_lineage(j.select(
-            split_col, "_blk", "pos",
-            F.when(F.col("lc").isNotNull(), F.col("lc")).otherwise(F.col("cand")).alias("cand"),
-            F.when(F.col("lc").isNotNull(), _compose_exits("lx", "cand", "exit"))
-            .otherwise(F.col("exit")).alias("exit")))
-        log.info("shards_exact: scan round with stride %d", k)
-        k *= 2
-    # every row now maps the split's first entry window; evaluate it at S
-    rows = X.select(split_col, "_blk", "pos",
-                    _compose_exits(F.array(F.lit(S).cast("long")), "cand", "exit")[0]
-                    .alias("exit")).collect()  # one row per block
-    entries, by_split = {}, {}
-    for r in rows:
-        by_split.setdefault(r[split_col], []).append((r["pos"], r["_blk"], int(r["exit"])))
-    for sp, items in by_split.items():
-        items.sort()
-        prev = S
-        for _, blk, ex in items:
-            entries[(sp, blk)] = prev
-            prev = ex
-    return entries
+def _block_bounds(S: int, split_col: str):
+    """A block's boundaries from its entry: at most BLOCK_SHARDS + 1."""
+    def run(ends_pdf, entry_pdf):
+        import pandas as pd
+        if not len(ends_pdf) or not len(entry_pdf):
+            return pd.DataFrame({split_col: pd.Series([], dtype=str), "blk": pd.Series([], dtype="int64"),
+                                 "prior": pd.Series([], dtype="int64"), "bounds": pd.Series([], dtype=object)})
+        e = entry_pdf.iloc[0]
+        ends, t, bounds = np.sort(ends_pdf["_end"].to_numpy()), int(e["t"]), [int(e["prev"])]
+        while (j := int(np.searchsorted(ends, t))) < len(ends):
+            bounds.append(int(ends[j]))
+            t = bounds[-1] + S
+        return pd.DataFrame({split_col: [e[split_col]], "blk": [int(e["blk"])], "prior": [int(e["prior"])],
+                             "bounds": [bounds]})
+    return run
 
 
 def shards_exact(offsets: DataFrame, shard_tokens: int, split_col: str = "split") -> DataFrame:
     """E5 exact mode (T8): shard ids equal to a sequential buffered pass.
 
-    ``offsets`` comes from ``token_offsets`` (one range block per partition).
-    Adds ``shard_id``.
+    ``offsets`` comes from ``token_offsets``.  Adds ``shard_id`` and ``pos``
+    (tokens before the line in its shard).  One path at every size: blocks of
+    BLOCK_SHARDS x S tokens, their step functions composed FAN at a time up a
+    tree, entries handed down the same tree, boundaries numbered in the blocks.
     """
     S = int(shard_tokens)
+    width = BLOCK_SHARDS * S
     ship_package(offsets.sparkSession)
-    ends = offsets.select(split_col, "_blk", (F.col("start") + F.col("n")).alias("_end"))
-    schema = T.StructType([T.StructField(split_col, T.StringType()),
-                           T.StructField("_blk", T.IntegerType()),
-                           T.StructField("ends", T.ArrayType(T.LongType()))])
-    blocks = cut_lineage(ends.mapInArrow(_block_ends(split_col), schema))
-    exit_schema = "split_ string, _blk int, exit long".replace("split_", split_col)
-    bounds_schema = exit_schema + ", bounds array<long>"
-
-    def exits_for(keys, entries):
-        sel = blocks
-        if keys is not None:
-            sel = blocks.where(F.struct(split_col, "_blk").isin(
-                [F.struct(F.lit(k[0]), F.lit(k[1])) for k in keys])) if len(keys) < 256 else blocks
-        res = sel.mapInArrow(_chains(entries, S, split_col, False), exit_schema).collect()
-        return {(r[split_col], r["_blk"]): int(r["exit"]) for r in res}
-
-    order = sorted((r[split_col], r["_blk"]) for r in blocks.select(split_col, "_blk").collect())
-    summary_schema = (f"{split_col} string, _blk int, last long, cand array<long>, "
-                      "exit array<long>")
-    summaries = cut_lineage(blocks.mapInArrow(_summaries(S, split_col), summary_schema))
-    size = summaries.select(F.sum(F.size("cand"))).first()[0] or 0
-    # blocks (other than the last of each split) shorter than S allow pass-through
-    w_last = Window.partitionBy(split_col)
-    short = summaries.withColumn("_lastblk", F.max("_blk").over(w_last)) \
-        .where((F.col("_blk") < F.col("_lastblk"))
-               & (F.col("last") - F.element_at("cand", 1) < F.lit(S))).limit(1).count()
-    if size <= SUMMARY_LIMIT:
-        # exact in two parallel passes: per-block summaries, then the final walk
-        entries = _compose_entries(summaries.collect(), S, split_col)
-        exits, fixups = None, -1
-    elif SCAN_ENABLED and not short:
-        # exact with a log-depth scan over the block functions
-        entries = _scan_entries(summaries, S, split_col)
-        exits, fixups = None, -1
-    else:
-        entries = {k: None for k in order}
-        exits = exits_for(None, entries)
-        fixups = 0
-    while exits is not None:
-        want, prev_split, carry = {}, None, None
-        for key in order:
-            if key[0] != prev_split:
-                carry, prev_split = S, key[0]
-            want[key] = carry
-            carry = exits[key]
-        dirty = [k for k in order if entries[k] != want[k]]
-        if not dirty:
-            break
-        entries.update({k: want[k] for k in dirty})
-        exits.update({k: v for k, v in exits_for(dirty, entries).items() if k in set(dirty)})
-        fixups += 1
-        log.info("shards_exact: fix-up round %d re-walked %d of %d blocks", fixups, len(dirty),
-                 len(order))
-
-    final = cut_lineage(blocks.mapInArrow(_chains(entries, S, split_col, True), bounds_schema)
-                        .drop("exit"))
-    # Shard index of a block's first line = boundaries in earlier blocks of the split
-    # (one row per block, so the window runs over `blocks` rows).
-    w = Window.partitionBy(split_col).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    table = final.withColumn("_prior", F.coalesce(F.sum(F.size("bounds")).over(w), F.lit(0)))
-    n_bounds = final.select(F.sum(F.size("bounds"))).first()[0] or 0
-    table = F.broadcast(table) if n_bounds <= BROADCAST_BOUNDS_LIMIT else table
-    out = offsets.join(table, [split_col, "_blk"])
     end = F.col("start") + F.col("n")
-    local = F.size(F.filter("bounds", lambda b: b < end))
-    return out.withColumn("shard_id", (F.col("_prior") + local).cast("int")) \
-              .drop("bounds", "_prior")
+    ends = offsets.select(split_col, F.floor((end - 1) / F.lit(width)).cast("long").alias("blk"),
+                          end.alias("_end"))
+    step, entry = _STEP.format(split=split_col), _ENTRY.format(split=split_col)
+    levels = [cut_lineage(ends.groupBy(split_col, "blk").applyInPandas(
+        _block_function(S, width, split_col), step))]
+    widths = [width]
+    while (levels[-1].agg(F.max("blk")).first()[0] or 0) > 0:
+        w = widths[-1]
+        levels.append(cut_lineage(levels[-1].groupBy(split_col, F.floor(F.col("blk") / FAN).alias("_up"))
+                                  .applyInPandas(_compose(w, split_col), step)))
+        widths.append(w * FAN)
+    entries = levels[-1].select(split_col, "blk").distinct().select(
+        split_col, "blk", F.lit(S).cast("long").alias("t"), F.lit(0).cast("long").alias("prior"),
+        F.lit(0).cast("long").alias("prev"))
+    for level, w in zip(levels[-2::-1], widths[-2::-1]):
+        up = F.floor(F.col("blk") / FAN)
+        entries = level.withColumn("_up", up).groupBy(split_col, "_up").cogroup(
+            entries.withColumn("_up", F.col("blk")).groupBy(split_col, "_up")) \
+            .applyInPandas(_descend(w, split_col), entry)
+    bounds = ends.groupBy(split_col, "blk").cogroup(entries.groupBy(split_col, "blk")).applyInPandas(
+        _block_bounds(S, split_col), f"{split_col} string, blk long, prior long, bounds array<long>")
+    keyed = offsets.withColumn("blk", F.floor((end - 1) / F.lit(width)).cast("long"))
+    local = F.size(F.filter("bounds", lambda b: b < end)) - 1  # bounds[0] is the last one before the block
+    local = F.greatest(local, F.lit(0))
+    return keyed.join(bounds, [split_col, "blk"]) \
+        .withColumn("shard_id", (F.col("prior") + local).cast("int")) \
+        .withColumn("pos", F.col("start") - F.element_at("bounds", (local + 1).cast("int"))) \
+        .drop("bounds", "prior", "blk")
 
 
 def shard_positions(sharded: DataFrame, split_col: str = "split") -> DataFrame:
-    """Add ``pos`` = token offset of the line inside its shard."""
+    """``pos`` = token offset of the line inside its shard, where it is not there yet."""
+    if "pos" in sharded.columns:
+        return sharded
     first = sharded.groupBy(split_col, "shard_id").agg(F.min("start").alias("_s0"))
     return sharded.join(first, [split_col, "shard_id"]) \
                   .withColumn("pos", F.col("start") - F.col("_s0")).drop("_s0")

@@ -199,40 +199,25 @@ def test_encode_inside_blocks_equals_encode_before(spark, lines, line_model):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_exact_shards_fallback_rounds_match(spark, monkeypatch):
-    monkeypatch.setattr(pack, "SUMMARY_LIMIT", -1)  # force the iterative fix-up path
-    monkeypatch.setattr(pack, "SCAN_ENABLED", False)
-    rng = random.Random(8)
-    for _ in range(2):
-        sizes = [rng.randint(1, 9) for _ in range(rng.randint(10, 60))]
-        S = rng.randint(3, 25)
-        enc = spark.createDataFrame([("t", i, 0, [1] * n) for i, n in enumerate(sizes)],
-                                    "split string, doc_id long, line_no int, ids array<int>")
-        off = pack.token_offsets(enc, ["doc_id", "line_no"], blocks=rng.randint(2, 6))
-        got = [r["shard_id"] for r in pack.shards_exact(off, S).orderBy("doc_id").collect()]
-        want = [0] * len(sizes)
-        for k, members in enumerate(brute.shard_sizes(sizes, S)):
-            for i in members:
-                want[i] = k
-        assert got == want, (sizes, S)
-
-
-def test_exact_shards_scan_path_matches(spark, monkeypatch):
-    monkeypatch.setattr(pack, "SUMMARY_LIMIT", -1)  # skip the driver composition
-    rng = random.Random(21)
-    for _ in range(3):
-        sizes = [rng.randint(1, 9) for _ in range(rng.randint(150, 400))]
-        S = rng.randint(3, 20)   # blocks hold many shards: the scan path applies
-        nb = rng.randint(3, 9)
-        enc = spark.createDataFrame([("t" if i % 7 else "v", i, 0, [1] * n)
-                                     for i, n in enumerate(sizes)],
-                                    "split string, doc_id long, line_no int, ids array<int>")
-        off = pack.token_offsets(enc, ["doc_id", "line_no"], blocks=nb)
-        got = {r["doc_id"]: r["shard_id"] for r in pack.shards_exact(off, S).collect()}
-        for sp in ("t", "v"):
-            idx = [i for i in range(len(sizes)) if ("t" if i % 7 else "v") == sp]
-            want = {}
-            for k, members in enumerate(brute.shard_sizes([sizes[i] for i in idx], S)):
+@pytest.mark.parametrize("fan,width", [(2, 1), (3, 2), (16, 8)])
+def test_exact_shards_tree_matches(spark, monkeypatch, fan, width):
+    """Small blocks and fan-out force several tree levels; empty middle lines,
+    constant and random sizes, lines longer than a block."""
+    monkeypatch.setattr(pack, "FAN", fan)
+    monkeypatch.setattr(pack, "BLOCK_SHARDS", width)
+    rng = random.Random(fan)
+    cases = [([4] * 1300, 11), ([4 if not 400 <= i < 800 else 0 for i in range(1300)], 11),
+             ([rng.randint(0, 9) for _ in range(700)], 13), ([1, 200, 1, 1, 300, 2, 0, 500] * 12, 17), ([3], 50)]
+    for sizes, S in cases:
+        rows = [("train" if i % 7 else "val", i, list(range(n))) for i, n in enumerate(sizes)]
+        off = pack.token_offsets(spark.createDataFrame(rows, "split string, doc_id int, ids array<int>"), ["doc_id"])
+        got = {r["doc_id"]: (r["shard_id"], r["pos"]) for r in pack.shards_exact(off, S).collect()}
+        want = {}
+        for split in ("train", "val"):
+            own = [i for s, i, _ in rows if s == split]
+            for k, members in enumerate(brute.shard_sizes([sizes[i] for i in own], S)):
+                at = 0
                 for m in members:
-                    want[idx[m]] = k
-            assert {i: got[i] for i in idx} == want, (S, nb)
+                    want[own[m]] = (k, at)
+                    at += sizes[own[m]]
+        assert got == want
