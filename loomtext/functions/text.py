@@ -99,17 +99,6 @@ def drop_invalid_utf8(col) -> Column:
         F.replace(F.make_valid_utf8(c), F.lit("�"), F.lit("")))
 
 
-def with_bos_eos(ids_col, bos_id=None, eos_id=None) -> Column:
-    """H7: prepend BOS / append EOS ids (None = off)."""
-    parts = []
-    if bos_id is not None:
-        parts.append(F.array(F.lit(int(bos_id))))
-    parts.append(_c(ids_col))
-    if eos_id is not None:
-        parts.append(F.array(F.lit(int(eos_id))))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
 def shard_name(split_col, shard_col) -> Column:
     """H12: '{split}_{shard:05d}'."""
     return F.format_string("%s_%05d", _c(split_col), _c(shard_col))

@@ -326,9 +326,9 @@ def token_to_id(tokens: DataFrame, model: BpeModel, token_col: str = "token",
                 out_col: str = "id") -> DataFrame:
     """Surface → id with the fallback chain vocab → own bytes → ``<unk>``.
 
-    A surface not in the vocabulary becomes the ids of its bytes when
-    ``byte_fallback`` (an array), else ``<unk>``.  The vocabulary side is
-    broadcast (bounded by the vocabulary size).
+    With ``byte_fallback`` a surface that is not in the vocabulary but is a valid
+    run of hex bytes becomes the ids of those bytes (an array); any other one
+    becomes ``<unk>``.  The vocabulary side is broadcast (bounded by its size).
     """
     spark = tokens.sparkSession
     vocab = F.broadcast(model.vocab_df(spark).select(F.col("token").alias("_t"),
@@ -336,8 +336,12 @@ def token_to_id(tokens: DataFrame, model: BpeModel, token_col: str = "token",
     unk = model.special_id("<unk>")
     j = tokens.join(vocab, tokens[token_col] == vocab["_t"], "left")
     if model.byte_fallback:
-        fb = F.transform(F.regexp_extract_all(F.hex(F.encode(token_col, "UTF-8")), F.lit(".."), 0),
-                         lambda h: F.conv(h, 16, 10).cast("int"))
+        by_byte = {t: i for t, i, k in model.vocab if k == "byte"}
+        byte_ids = F.array(*[F.lit(by_byte[f"{b:02X}"]) for b in range(256)])
+        fb = F.when(F.col(token_col).rlike("^([0-9A-F]{2})+$"), F.transform(
+            F.regexp_extract_all(F.col(token_col), F.lit(".."), 0),
+            lambda h: F.get(byte_ids, F.conv(h, 16, 10).cast("int")))) \
+            .otherwise(F.array(F.lit(unk).cast("int")))
     else:
         fb = F.array(F.lit(unk).cast("int"))
     return j.withColumn(out_col, F.when(F.col("_id").isNotNull(), F.array("_id")).otherwise(fb)) \

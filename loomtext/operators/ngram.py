@@ -167,9 +167,9 @@ def top_p(df: DataFrame, p: float, prob: str = "prob", by: str = "ctx", tie: str
 
 
 def uniform01(*cols: Column, seed: int = 0) -> Column:
-    """Deterministic U(0,1) from a 64-bit hash of (seed, cols…)."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(2 ** 53))
+    """Deterministic U(0,1): the first 52 bits of md5('seed|col|col…')."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
 
 
 def draw(df: DataFrame, prob: str = "prob", by: Sequence[str] = ("ctx",), token: str = "token",
@@ -219,18 +219,22 @@ def continue_sampled(prompts: DataFrame, logits: DataFrame, max_new_tokens: int,
                      key: str = "prompt_id", ids_col: str = "ids",
                      checkpoint_every: int = 8) -> DataFrame:
     """I7 sampled: temperature (H8, floored), top-k with ties (F2), softmax
-    (H9), one seeded draw per prompt and step (F6)."""
+    (H9), one seeded draw per prompt and step (F6), made in the prompt's row over
+    its context's candidates; every step adds one broadcast join to the plan."""
     dist = softmax(top_k_ties(logits.withColumn("logit", temperature(F.col("logit"), temp)), k))
-    dist = cut_lineage(dist.select("ctx", "token", "prob"))
+    # One row per context (at most V), with its candidates: at most V of them.
+    table = cut_lineage(dist.groupBy("ctx").agg(
+        F.array_sort(F.collect_list(F.struct("token", "prob"))).alias("_next"))) \
+        .withColumnRenamed("ctx", "_ctx")
     cur = prompts.select(key, ids_col)
     for step in range(max_new_tokens):
-        ctx = cur.select(key, F.element_at(ids_col, -1).alias("ctx"))
-        cand = ctx.join(dist, "ctx")  # ≤ k (or V) rows per prompt
-        picked = draw(cand, "prob", [key], "token", seed=seed, extra=[F.lit(step)])
-        cur = cur.join(picked, key, "left").select(
-            key, F.when(F.col("token").isNotNull(),
-                        F.concat(ids_col, F.array(F.col("token").cast("int"))))
-            .otherwise(F.col(ids_col)).alias(ids_col))
+        race = F.array_min(F.transform("_next", lambda c: F.struct(
+            (-F.log(uniform01(F.col(key), c["token"], F.lit(step), seed=seed)) / c["prob"]).alias("t"),
+            c["token"].alias("token"))))
+        cur = cur.withColumn("_ctx", F.element_at(ids_col, -1)).join(F.broadcast(table), "_ctx", "left") \
+            .select(key, F.when(F.col("_next").isNotNull(),
+                                F.concat(ids_col, F.array(race["token"].cast("int"))))
+                    .otherwise(F.col(ids_col)).alias(ids_col))
         if (step + 1) % checkpoint_every == 0:
             cur = cut_lineage(cur)
     return cur

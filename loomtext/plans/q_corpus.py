@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_tokens
 from ..operators import corpus as C
 from ..operators import counts as K
 from ..sources.tables import read_table
@@ -64,13 +63,11 @@ SELECT a, b, n, first.doc_id AS first_doc, first.line_no AS first_line,
 FROM pairs ORDER BY n DESC, first LIMIT 1
 """)
 def q_top_pair(spark, sf_dir):
-    lines = doc_lines(spark, sf_dir)
-    seqs = lines.select("doc_id", "line_no", byte_tokens("line").alias("toks"))
-    pairs = K.pair_frequency(seqs, "toks", order_cols=["doc_id", "line_no"])
-    top = K.top_pair(pairs)
-    return top.select("a", "b", "n", F.col("first.doc_id").alias("first_doc"),
-                      F.col("first.line_no").alias("first_line"),
-                      F.col("first.pos").alias("first_pos"))
+    """the most frequent adjacent byte pair, ties to the first seen."""
+    top = K.top_byte_pair(doc_lines(spark, sf_dir))
+    return top.select("a", "b", "n", F.col("doc_id").alias("first_doc"),
+                      F.col("line_no").cast("int").alias("first_line"),
+                      F.col("pos").cast("int").alias("first_pos"))
 
 
 @register("byte_freq", oracle="""
@@ -79,12 +76,13 @@ FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS tok FROM doc
 GROUP BY 1
 """)
 def q_byte_freq(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["text"])
-    return K.token_frequency(docs.select(byte_tokens("text").alias("toks")))
+    """How often each byte occurs in documents."""
+    return K.byte_counts(read_table(spark, sf_dir, "documents", ["text"]), "text")
 
 
 @register("corpus_flatten", oracle=FLAT_CORPUS_SQL)
 def q_corpus_flatten(spark, sf_dir):
+    """B2/G1: documents and conversations in order, one flattened line each."""
     return flat_corpus(spark, sf_dir).select("src_ord", "source", "doc_id", "part", "text")
 
 
@@ -93,6 +91,7 @@ SELECT source, count(*) AS n_rows, sum(octet_length(encode(text))) AS n_bytes
 FROM ({FLAT_CORPUS_SQL}) GROUP BY source
 """)
 def q_source_counts(spark, sf_dir):
+    """Rows and bytes of each source."""
     return K.source_counts(flat_corpus(spark, sf_dir))
 
 
@@ -110,6 +109,7 @@ CLEAN_SQL = f"""
 
 @register("clean_corpus", oracle=CLEAN_SQL)
 def q_clean_corpus(spark, sf_dir):
+    """White space collapsed, empty and repeated texts dropped, first one kept."""
     return C.clean_corpus(flat_corpus(spark, sf_dir))
 
 

@@ -20,7 +20,8 @@ from .q_pack import SPLIT_LINES_SQL, WINDOW, WINDOWS_SQL, byte_offsets, split_li
 V, K = 256, 1.0
 TEMP, TOPK, TOPP = 0.8, 5, 0.9
 PPL_BATCH, PPL_MAX_BATCHES = 8, 100
-PROMPT_BYTES, NEW_TOKENS = 8, 16
+NEW_TOKENS = 16
+DRAW_SEED, CONTINUE_SEED = 7, 11
 
 
 def byte_seqs(spark, sf_dir, split):
@@ -190,21 +191,37 @@ def q_topp(spark, sf_dir):
     return G.top_p(lg, TOPP).select("ctx", "token", F.round("prob", 9).alias("prob"))
 
 
-@register("next_token_sample")
-def q_next_token_sample(spark, sf_dir):
-    """one seeded weighted draw per context after temperature + top-k.
+def _u(seed: int, *cols: str) -> str:
+    """ngram.uniform01 in DuckDB."""
+    text = " || '|' || ".join([f"'{seed}'", *(f"CAST({c} AS VARCHAR)" for c in cols)])
+    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)"
+
+
+SAMPLE_DIST_SQL = f"""
+  SELECT ctx, token, z / sum(z) OVER (PARTITION BY ctx) AS prob
+  FROM (SELECT ctx, token, exp(l - max(l) OVER (PARTITION BY ctx)) AS z
+        FROM (SELECT ctx, token, logit / {TEMP} AS l,
+                     rank() OVER (PARTITION BY ctx ORDER BY logit DESC) AS r FROM ({LOGITS_SQL}))
+        WHERE r <= {TOPK})
+"""
 
-    Uses a 64-bit hash DuckDB does not offer; frequency check in tests."""
+
+@register("next_token_sample", oracle=f"""
+SELECT ctx, arg_min(token, -ln({_u(DRAW_SEED, 'ctx', 'token')}) / prob) AS token
+FROM ({SAMPLE_DIST_SQL}) GROUP BY ctx
+""")
+def q_next_token_sample(spark, sf_dir):
+    """one seeded weighted draw per context after temperature + top-k."""
     lg = G.next_token_logits(train_bigram(spark, sf_dir))
     lg = lg.withColumn("logit", G.temperature(F.col("logit"), TEMP))
     dist = G.softmax(G.top_k_ties(lg, TOPK))
-    return G.draw(dist, "prob", ["ctx"], "token", seed=7)
+    return G.draw(dist, "prob", ["ctx"], "token", seed=DRAW_SEED)
 
 
 def prompts(spark, sf_dir):
     bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     return bench.select(F.col("item_id").alias("prompt_id"),
-                        F.slice(byte_ids("text"), 1, PROMPT_BYTES).alias("ids")) \
+                        byte_ids("text").alias("ids")) \
         .where(F.size("ids") > 0)
 
 
@@ -215,7 +232,7 @@ ch AS (SELECT ctx, token FROM (
          FROM ({LOGITS_SQL})) WHERE r = 1),
 p AS (SELECT item_id AS prompt_id,
              list_transform(regexp_extract_all(hex(encode(text)), '..'),
-                            lambda h: CAST(('0x' || h) AS INTEGER))[1:{PROMPT_BYTES}] AS ids
+                            lambda h: CAST(('0x' || h) AS INTEGER)) AS ids
       FROM benchmark),
 g(prompt_id, step, ids) AS (
   SELECT prompt_id, 0, ids FROM p WHERE len(ids) > 0
@@ -227,13 +244,33 @@ g(prompt_id, step, ids) AS (
 SELECT prompt_id, ids FROM g WHERE step = {NEW_TOKENS}
 """)
 def q_greedy_continue(spark, sf_dir):
-    """Continue the first 8 bytes of every benchmark item by 16 greedy tokens."""
+    """Continue every whole benchmark item by 16 greedy tokens."""
     choice = G.greedy(G.next_token_logits(train_bigram(spark, sf_dir)))
     return G.continue_greedy(prompts(spark, sf_dir), choice, NEW_TOKENS)
 
 
-@register("sample_continue")
+@register("sample_continue", oracle=f"""
+WITH RECURSIVE
+dist AS ({SAMPLE_DIST_SQL}),
+nx AS (SELECT ctx, list(token ORDER BY token) AS tokens, list(prob ORDER BY token) AS probs
+       FROM dist GROUP BY ctx),
+p AS (SELECT item_id AS prompt_id,
+             list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                            lambda h: CAST(('0x' || h) AS INTEGER)) AS ids
+      FROM benchmark),
+g(prompt_id, step, ids) AS (
+  SELECT prompt_id, 0, ids FROM p WHERE len(ids) > 0
+  UNION ALL
+  SELECT prompt_id, step + 1, CASE WHEN tokens IS NULL THEN ids ELSE list_append(ids, CAST(
+           tokens[list_position(ts, list_min(ts))] AS INTEGER)) END
+  FROM (SELECT g.*, nx.tokens,
+               [-ln({_u(CONTINUE_SEED, 'prompt_id', 'nx.tokens[i]', 'step')}) / nx.probs[i]
+                FOR i IN range(1, len(nx.tokens) + 1)] AS ts
+        FROM g LEFT JOIN nx ON nx.ctx = g.ids[len(g.ids)] WHERE g.step < {NEW_TOKENS}))
+SELECT prompt_id, ids FROM g WHERE step = {NEW_TOKENS}
+""")
 def q_sample_continue(spark, sf_dir):
-    """Sampled continuation (T = 0.8, top-k 5 with ties, seeded draws)."""
+    """Sampled continuation of every whole benchmark item (T = 0.8, top-k 5
+    with ties, seeded draws)."""
     lg = G.next_token_logits(train_bigram(spark, sf_dir))
-    return G.continue_sampled(prompts(spark, sf_dir), lg, NEW_TOKENS, temp=TEMP, k=TOPK, seed=11)
+    return G.continue_sampled(prompts(spark, sf_dir), lg, NEW_TOKENS, temp=TEMP, k=TOPK, seed=CONTINUE_SEED)

@@ -45,14 +45,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
-    scratch = tempfile.mkdtemp(prefix="loomtext-ckpt-")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    scratch = tempfile.mkdtemp(prefix="loomtext-ckpt-")  # local tests and the bench only
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark) or tempfile.gettempdir()
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(base, "tables", f"{name}-{os.urandom(6).hex()}")
 
 

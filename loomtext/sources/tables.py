@@ -24,23 +24,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: Sequence[str] | None = None, balance: bool = True) -> DataFrame:
     """A1: scan one named table (parquet) with column pruning.
 
-    A table stored as a few large row groups scans in a few tasks, which would
-    leave the cluster idle for the whole first stage.  With ``balance`` such a
-    scan (fewer splits than ``defaultParallelism``) is spread round-robin over
-    the available slots; a scan that already has enough splits — the normal
-    case for large inputs — is left untouched (no extra shuffle).
+    A table that scans as one split (at most ``spark.sql.files.maxPartitionBytes``)
+    would run the whole first stage in one task.  With ``balance`` such a table
+    is dealt round-robin; a table of more splits is never shuffled, whatever
+    the number of slots.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     if columns:
         df = df.select(*columns)
     if balance:
-        slots = parallelism(spark)
         try:
-            splits = df.rdd.getNumPartitions()
+            one_split = df.rdd.getNumPartitions() <= 1
         except Exception:  # no RDD view (remote session): leave the scan as is
-            splits = slots
-        if splits < slots:
-            df = df.repartition(slots)
+            one_split = False
+        if one_split:
+            df = df.repartition(parallelism(spark))
     return df
 
 

@@ -153,10 +153,11 @@ def test_byte_alphabet_rule():
 def test_token_and_id_lookups(spark):
     m = bpe.train_line_bpe(_lines(spark, ["Hello", "Hello Hello", "Help", "Yellow mellow"]),
                            vocab_size=300, min_freq=2)
-    toks = spark.createDataFrame([("48656C6C6F",), ("<eos>",), ("zz",)], "token string")
+    toks = spark.createDataFrame([("48656C6C6F",), ("<eos>",), ("zz",), ("DEAD",)], "token string")
     got = {r["token"]: r["id"] for r in codec.token_to_id(toks, m).collect()}
     assert got["48656C6C6F"] == [263] and got["<eos>"] == [259]
-    assert got["zz"] == [0x7A, 0x7A]  # not a surface: its own bytes (fallback chain)
+    assert got["DEAD"] == [0xDE, 0xAD]  # a surface of bytes that no merge made
+    assert got["zz"] == [257]  # no surface at all: <unk>
     ids = spark.createDataFrame([(263,), (259,)], "id int")
     back = {r["id"]: (r["token"], r["kind"]) for r in codec.id_to_token(ids, m).collect()}
     assert back == {263: ("48656C6C6F", "merge"), 259: ("<eos>", "special")}
