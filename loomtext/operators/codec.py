@@ -282,12 +282,18 @@ def encode_udf(model: BpeModel, add_bos: bool = False, add_eos: bool = False):
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def bpe_encode(texts: pd.Series) -> pd.Series:
-        if model.mode != "line":
-            # the word pattern is a Java regex: word mode runs through encode()
-            raise ValueError("word mode SQL encode: use codec.encode (JVM pre-tokenization)")
-        res = codec.encode_array(pa.array(texts, pa.large_string()))
+        known = texts.notna().to_numpy()
+        texts = texts.fillna("")
+        if codec.mode == "line":
+            res = codec.encode_array(pa.array(texts, pa.large_string()))
+        else:  # the word pattern, by a regex engine that knows \\p{L} and lookahead
+            import regex
+
+            find = regex.compile(WORD_PATTERN.removeprefix("(?U)")).findall
+            res = codec.encode_words(pa.array([find(t) for t in texts], pa.large_list(pa.large_string())))
         flat, offs = list_ids(res)
-        return pd.Series(np.split(flat.astype(np.int32), offs[1:-1]) if len(offs) > 1 else [])
+        out = pd.Series(np.split(flat.astype(np.int32), offs[1:-1]) if len(offs) > 1 else [], dtype=object)
+        return out.where(known, None)  # NULL stays NULL
 
     return bpe_encode
 

@@ -92,6 +92,20 @@ def score_unigram(seqs: DataFrame, model: DataFrame, total: int, vocab_size: int
                                 F.sum(F.col("cnt") * -F.log(p)).alias("nll_sum"))
 
 
+def score_xy(xy: DataFrame, model: DataFrame, vocab_size: int, k: float = 1.0,
+             keys: Sequence[str] = ("window_id",)) -> DataFrame:
+    """D5/D6 from (x, y): (keys, n_pos, nll_sum); a NULL label (B8) is no position.
+
+    Pairs are counted per group before they meet the model."""
+    keys = list(keys)
+    pos = xy.select(*keys, F.explode(F.arrays_zip("x", "y")).alias("z")).where("z.y is not null") \
+        .groupBy(*keys, F.col("z.x").alias("a"), F.col("z.y").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
+    ctx = model.select("a", "ctx_n").distinct()
+    j = pos.join(model.select("a", "b", "p"), ["a", "b"], "left").join(ctx, "a", "left")
+    p = F.coalesce(F.col("p"), F.lit(k) / (F.coalesce(F.col("ctx_n"), F.lit(0)) + k * vocab_size))
+    return j.groupBy(*keys).agg(F.sum("cnt").alias("n_pos"), F.sum(F.col("cnt") * -F.log(p)).alias("nll_sum"))
+
+
 def perplexity(scored: DataFrame) -> DataFrame:
     """Per group: mean nll and its exp (D5 + H10)."""
     nll = F.col("nll_sum") / F.col("n_pos")

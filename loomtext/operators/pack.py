@@ -275,13 +275,16 @@ def windows(offsets: DataFrame, length: int, stride: int | None = None, drop_tai
     k0 = F.greatest(F.lit(0), F.ceil((s - F.lit(L) + 1) / F.lit(st))).cast("long")
     k1 = F.floor((e - 1) / F.lit(st)).cast("long")
     keys = [split_col] + (["shard_id"] if per_shard else [])
-    frag = offsets.select(*keys, s.alias("_s"), "ids",
-                          F.explode(F.sequence(k0, F.greatest(k0, k1))).alias("k"))
-    lo = F.greatest(F.col("_s"), F.col("k") * st)
-    hi = F.least(F.col("_s") + F.size("ids"), F.col("k") * st + L)
-    frag = frag.select(*keys, "k", lo.alias("_lo"),
-                       F.slice("ids", (lo - F.col("_s") + 1).cast("int"), (hi - lo).cast("int"))
-                       .alias("_frag"))
+
+    def fragment(k):
+        lo = F.greatest(F.col("_s"), k * st)
+        hi = F.least(F.col("_s") + F.size("ids"), k * st + L)
+        return F.struct(k.alias("k"), lo.alias("_lo"), F.slice(
+            "ids", (lo - F.col("_s") + 1).cast("int"), (hi - lo).cast("int")).alias("_frag"))
+
+    # sliced before the explode: no row carries more than its own fragment
+    frag = offsets.select(*keys, s.alias("_s"), "ids", k0.alias("_k0"), F.greatest(k0, k1).alias("_k1")) \
+        .select(*keys, F.inline(F.transform(F.sequence("_k0", "_k1"), fragment)))
     grouped = frag.groupBy(*keys, "k").agg(
         F.array_sort(F.collect_list(F.struct("_lo", "_frag"))).alias("_parts"))
     out = grouped.select(*keys, F.col("k").alias("window_id"),
@@ -319,15 +322,23 @@ def dense_window_index(windows_df: DataFrame, order_cols: Sequence[str], seed: i
     return idx.drop("_one", "_blk", *(["_h"] if seed is not None else []))
 
 
-def batch_plan(indexed: DataFrame, batch_size: int, grad_accum: int, max_steps: int,
-               warmup: int, base_lr: float, start_step: int = 0) -> DataFrame:
+def window_count(n_tokens: int, length: int, stride: int | None = None) -> int:
+    """How many full windows a stream of so many tokens holds."""
+    return max(0, (int(n_tokens) - int(length)) // int(stride or length) + 1) if n_tokens >= length else 0
+
+
+def batch_plan(indexed: DataFrame | None, batch_size: int, grad_accum: int, max_steps: int,
+               warmup: int, base_lr: float, start_step: int = 0, n_windows: int | None = None,
+               spark=None) -> DataFrame:
     """Draws d = 0.. of an endless loader over W windows.
 
     draw d → step = start + d // (B·A), micro = (d // B) % A, slot = d % B,
-    window = index d mod W; each row carries the step's learning rate.
+    window = index d mod W; each row carries the step's learning rate.  Windows
+    in their own order are numbered densely already: then ``n_windows`` (a count
+    of tokens) replaces ``indexed`` (idx, window_id) and no window is built.
     """
-    spark = indexed.sparkSession
-    W = indexed.count()  # one scalar
+    spark = spark or indexed.sparkSession
+    W = indexed.count() if n_windows is None else int(n_windows)  # one scalar
     if W == 0:
         return spark.createDataFrame([], "step long, micro int, slot int, window_id long, lr double")
     B, A = int(batch_size), int(grad_accum)
@@ -337,7 +348,8 @@ def batch_plan(indexed: DataFrame, batch_size: int, grad_accum: int, max_steps:
         (F.floor(F.col("id") / B) % A).cast("int").alias("micro"),
         (F.col("id") % B).cast("int").alias("slot"),
         F.pmod(F.col("id"), F.lit(W)).alias("idx"))
-    plan = draws.join(indexed.select("idx", "window_id"), "idx")
+    plan = draws.withColumnRenamed("idx", "window_id") if indexed is None \
+        else draws.join(indexed.select("idx", "window_id"), "idx")
     return plan.select("step", "micro", "slot", "window_id",
                        cosine_warmup(F.col("step"), warmup, max_steps, base_lr).alias("lr"))
 

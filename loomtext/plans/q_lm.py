@@ -21,6 +21,8 @@ V, K = 256, 1.0
 TEMP, TOPK, TOPP = 0.8, 5, 0.9
 PPL_BATCH, PPL_MAX_BATCHES = 8, 100
 NEW_TOKENS = 16
+#: The byte whose positions masked_ppl leaves out.
+MASKED = 32
 DRAW_SEED, CONTINUE_SEED = 7, 11
 
 
@@ -114,6 +116,27 @@ def q_bigram_ppl_token(spark, sf_dir):
     return G.token_weighted_ppl(scored).select("n_pos", F.round("ppl", 6).alias("ppl"))
 
 
+@register("masked_ppl", oracle=f"""
+WITH m AS ({BIGRAM_SQL}), c AS (SELECT DISTINCT a, ctx_n FROM m),
+pos AS (SELECT window_id, ids[i] AS a, ids[i + 1] AS b
+        FROM (SELECT window_id, ids FROM ({WINDOWS_SQL}) WHERE split = 'val') w, range(1, len(ids)) r(i)
+        WHERE ids[i] <> {MASKED})
+SELECT window_id, count(*) AS n_pos, round(avg(nll), 6) AS nll, round(exp(avg(nll)), 6) AS ppl
+FROM (SELECT window_id, -ln(coalesce(m.p, {K} / (coalesce(c.ctx_n, 0) + {K} * {V}))) AS nll
+      FROM pos LEFT JOIN m ON pos.a = m.a AND pos.b = m.b LEFT JOIN c ON pos.a = c.a)
+GROUP BY window_id
+""")
+def q_masked_ppl(spark, sf_dir):
+    """Perplexity of every validation window whose positions after a space
+    are masked: their input is negative, so their label is NULL and not scored."""
+    win = P.windows(byte_offsets(spark, sf_dir).where(F.col("split") == "val"), WINDOW)
+    masked = win.withColumn("ids", F.transform("ids", lambda t: F.when(t == MASKED, -1).otherwise(t)))
+    xy = P.xy(masked).withColumn("y", F.zip_with("x", F.slice("ids", 2, F.size("ids") - 1), lambda a, b: F.when(
+        a >= 0, F.when(b < 0, MASKED).otherwise(b))))  # a masked input is still a label
+    scored = G.perplexity(G.score_xy(xy, train_bigram(spark, sf_dir), V, K))
+    return scored.select("window_id", "n_pos", F.round("nll", 6).alias("nll"), F.round("ppl", 6).alias("ppl"))
+
+
 @register("bigram_ppl_batch", oracle=f"""
 WITH m AS ({BIGRAM_SQL}), c AS (SELECT DISTINCT a, ctx_n FROM m),
 w AS (SELECT window_id, ids FROM ({WINDOWS_SQL}) WHERE split = 'val'),

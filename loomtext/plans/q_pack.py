@@ -17,7 +17,8 @@ from .q_corpus import DOC_LINES_SQL, doc_lines
 
 SHARD_TOKENS = 50_000
 WINDOW = 256
-BATCH, ACCUM, STEPS, WARMUP, LR = 8, 4, 50, 10, 3.0e-4
+# 400 steps of 32 windows: more than one epoch at sf0.01, so the loader wraps around.
+BATCH, ACCUM, STEPS, WARMUP, LR = 8, 4, 400, 10, 3.0e-4
 
 SPLIT_LINES_SQL = f"""
   SELECT CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, doc_id, line_no, line,
@@ -35,6 +36,12 @@ def split_lines(spark, sf_dir):
     return Q.assign_split(doc_lines(spark, sf_dir), "doc_id", method="modulo", val_every=10)
 
 
+def line_lengths(spark, sf_dir):
+    """(split, n) of every non-empty line."""
+    return split_lines(spark, sf_dir).select("split", F.octet_length("line").cast("long").alias("n")) \
+        .where("n > 0")
+
+
 def byte_offsets(spark, sf_dir):
     lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
     # byte ids are computed inside the range blocks (the sampler reads raw lines)
@@ -107,10 +114,9 @@ SELECT split, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_tokens
 FROM ({SPLIT_LINES_SQL}) GROUP BY split
 """)
 def q_token_totals(spark, sf_dir):
-    """D3: lines and tokens per split (byte tokens)."""
-    off = byte_offsets(spark, sf_dir)
-    return off.groupBy("split").agg(F.count(F.lit(1)).alias("n_lines"),
-                                    F.sum("n").cast("long").alias("n_tokens"))
+    """D3: lines and tokens per split (byte tokens): lengths only, no order needed."""
+    return line_lengths(spark, sf_dir).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("n").cast("long").alias("n_tokens"))
 
 
 WINDOWS_SQL = f"""
@@ -155,10 +161,10 @@ SELECT CAST(d // {BATCH * ACCUM} AS BIGINT) AS step, CAST((d // {BATCH}) % {ACCU
 FROM d, n JOIN w ON w.window_id = d.d % n.nw
 """)
 def q_batch_plan(spark, sf_dir):
-    """50 steps × 4 micro-steps × 8 windows over the train windows."""
-    win = P.windows(byte_offsets(spark, sf_dir), WINDOW).where(F.col("split") == "train")
-    idx = P.dense_window_index(win, ["window_id"])
-    plan = P.batch_plan(idx, BATCH, ACCUM, STEPS, WARMUP, LR)
+    """400 steps × 4 micro-steps × 8 windows over the train windows; the
+    loader starts over when they are used up."""
+    total = line_lengths(spark, sf_dir).where(F.col("split") == "train").agg(F.sum("n")).first()[0] or 0
+    plan = P.batch_plan(None, BATCH, ACCUM, STEPS, WARMUP, LR, n_windows=P.window_count(total, WINDOW), spark=spark)
     return plan.withColumn("lr", F.round("lr", 12))
 
 
@@ -208,6 +214,48 @@ def q_bpe_pack_shards(spark, sf_dir):
         F.count(F.lit(1)).alias("n_lines"), F.min("pos").alias("first_pos"))
 
 
+def _word_pack_oracle() -> str:
+    from .q_tokenizer import WORD_MERGES, word_encode_oracle_sql
+    return f"""
+WITH RECURSIVE e AS ({word_encode_oracle_sql(WORD_MERGES, 24)}),
+o AS (
+  SELECT *, sum(n) OVER (PARTITION BY split ORDER BY doc_id, line_no ROWS UNBOUNDED PRECEDING) AS c
+  FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, doc_id, line_no,
+               len(ids) AS n FROM e WHERE len(ids) > 0)),
+b(split, bound) AS (
+  SELECT split, min(c) FROM o WHERE c >= 20000 GROUP BY split
+  UNION ALL
+  SELECT b.split, (SELECT min(o.c) FROM o WHERE o.split = b.split AND o.c >= b.bound + 20000)
+  FROM b WHERE b.bound IS NOT NULL),
+sh AS (SELECT o.*, CAST((SELECT count(*) FROM b WHERE b.split = o.split AND b.bound < o.c)
+                        AS INTEGER) AS shard_id FROM o)
+SELECT split, count(DISTINCT shard_id) AS n_shards, CAST(sum(n) AS BIGINT) AS n_tokens,
+       count(*) AS n_lines
+FROM sh WHERE split = 'val' GROUP BY split
+"""
+
+
+@register("word_pack_shards", oracle=_word_pack_oracle())
+def q_word_pack_shards(spark, sf_dir):
+    """I8/A4/A5/D3: the byte-level word tokenizer's ids in exact shards of 20,000
+    tokens, written by split; the validation split scanned back (pruned by its
+    directory): shards, tokens and lines."""
+    import os
+
+    from ..operators import codec as X
+    from ..session import scratch_path
+    from .q_tokenizer import word_model
+    model = word_model(spark, sf_dir)
+    lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
+    off = P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: X.encode(
+        df, model, "line", "ids").drop("line"))
+    path = os.path.join(scratch_path(spark, "word-shards"), "shards")
+    P.write_shards(P.shards_exact(off, 20_000), path, ["doc_id", "line_no"])
+    return P.read_shards(spark, path, split="val").groupBy("split").agg(
+        F.countDistinct("shard_id").alias("n_shards"), F.sum(F.size("ids")).cast("long").alias("n_tokens"),
+        F.count(F.lit(1)).alias("n_lines"))
+
+
 @register("windows_per_shard", oracle=f"""
 WITH RECURSIVE o AS ({OFFSETS_SQL}),
 b(split, bound) AS (

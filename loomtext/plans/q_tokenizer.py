@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFAULT_SPECIALS, WORD_PATTERN
+from ..functions.text import DEFAULT_SPECIALS, WORD_PATTERN, WORD_SPECIALS
 from ..operators import bpe as B
 from ..operators import codec as X
 from ..operators import quality as Q
@@ -20,13 +20,21 @@ WORD_MERGES = 64
 _MODELS: dict = {}
 
 
+def _identity(spark, sf_dir) -> tuple:
+    """The application and the files of documents, as they are now."""
+    meta = read_table(spark, sf_dir, "documents", balance=False).select(
+        F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h"))
+    files = meta.distinct().agg(F.sum(F.col("h").cast("decimal(38,0)"))).first()[0]
+    return (spark.sparkContext.applicationId, sf_dir, files)
+
+
 def line_model(spark, sf_dir, n_merges: int = N_MERGES):
-    """Train (once per session and input) the line tokenizer over documents.
+    """Train (once per application and state of the input) the line tokenizer.
 
     The model is a small driver-side object (bounded by the vocabulary size);
     keeping it avoids re-running the merge loop for every query that encodes.
     """
-    key = ("line", sf_dir, n_merges)
+    key = ("line", _identity(spark, sf_dir), n_merges)
     if key not in _MODELS:
         _MODELS[key] = B.train_line_bpe(doc_lines(spark, sf_dir), ["doc_id", "line_no"],
                                         vocab_size=256 + len(DEFAULT_SPECIALS) + n_merges,
@@ -35,11 +43,11 @@ def line_model(spark, sf_dir, n_merges: int = N_MERGES):
 
 
 def word_model(spark, sf_dir, n_merges: int = WORD_MERGES):
-    key = ("word", sf_dir, n_merges)
+    key = ("word", _identity(spark, sf_dir), n_merges)
     if key not in _MODELS:
         _MODELS[key] = B.train_word_bpe(doc_lines(spark, sf_dir), ["doc_id", "line_no"],
-                                        vocab_size=256 + len(DEFAULT_SPECIALS) + n_merges,
-                                        min_freq=2)
+                                        vocab_size=256 + len(WORD_SPECIALS) + n_merges,
+                                        min_freq=2, specials=WORD_SPECIALS)
     return _MODELS[key]
 
 
@@ -274,7 +282,7 @@ def word_encode_oracle_sql(n_merges: int, passes: int) -> str:
     parts.append(f"""ids AS (
   SELECT t.doc_id, t.line_no, t.wi, t.i,
          CASE WHEN length(t.tok) = 2 THEN CAST(('0x' || t.tok) AS INTEGER)
-              ELSE CAST({256 + len(DEFAULT_SPECIALS)} + m.rank AS INTEGER) END AS id
+              ELSE CAST({256 + len(WORD_SPECIALS)} + m.rank AS INTEGER) END AS id
   FROM t{passes} t LEFT JOIN m ON m.a || m.b = t.tok)""")
     return "WITH " + ",\n".join(parts) + \
         "\nSELECT doc_id, line_no, list(id ORDER BY wi, i) AS ids FROM ids GROUP BY doc_id, line_no"
@@ -385,16 +393,94 @@ def q_word_artifacts_reloaded(spark, sf_dir):
     model = word_model(spark, sf_dir)
     d = scratch_path(spark, "word_artifacts")
     store.save_word_artifacts(spark, model, d)
-    back = store.load_word_artifacts(spark, os.path.join(d, "vocab.json"),
-                                     os.path.join(d, "merges.txt"), specials=model.specials)
+    back = store.load_word_artifacts(spark, os.path.join(d, "vocab.json"), os.path.join(d, "merges.txt"))
     return spark.createDataFrame([(r, a, b) for r, (a, b, _) in enumerate(back.merges)],
                                  "rank int, a string, b string")
 
 
+_WORD_SPECIAL_VALUES = ", ".join(f"('{s}', {256 + i}, 'special')" for i, s in enumerate(WORD_SPECIALS))
+
+
+@register("word_vocab_reloaded", oracle=f"""
+WITH m AS ({word_bpe_oracle_sql(WORD_MERGES)})
+SELECT upper(lpad(to_hex(r.range), 2, '0')) AS token, CAST(r.range AS INTEGER) AS id,
+       'byte' AS kind FROM range(256) r
+UNION ALL SELECT * FROM (VALUES {_WORD_SPECIAL_VALUES}) v(token, id, kind)
+UNION ALL SELECT a || b, CAST({256 + len(WORD_SPECIALS)} + rank AS INTEGER), 'merge' FROM m
+""")
+def q_word_vocab_reloaded(spark, sf_dir):
+    """The word vocabulary with its 7 specials, reloaded from vocab.json and
+    merges.txt without being told the specials."""
+    import os
+
+    from ..session import scratch_path
+    from ..sources import tokenizer_store as store
+    d = scratch_path(spark, "word_vocab")
+    store.save_word_artifacts(spark, word_model(spark, sf_dir), d)
+    return store.load_word_artifacts(spark, os.path.join(d, "vocab.json"),
+                                     os.path.join(d, "merges.txt")).vocab_df(spark)
+
+
+_LOOKUP_SQL = f"""
+  SELECT DISTINCT substr(h, 2 * i + 1, 4) AS token
+  FROM (SELECT h, unnest(range(0, length(h) // 2 - 1)) AS i
+        FROM (SELECT hex(encode(line)) AS h FROM ({DOC_LINES_SQL}) WHERE length(line) > 0))
+  UNION SELECT lang FROM documents UNION SELECT '<eos>'
+"""
+
+
+@register("token_to_id", oracle=f"""
+WITH m AS ({BPE_SQL}),
+v AS (SELECT a || b AS token, CAST({256 + len(DEFAULT_SPECIALS)} + rank AS INTEGER) AS id FROM m
+      UNION ALL SELECT token, id FROM (VALUES {_SPECIAL_VALUES}) s(token, id, kind))
+SELECT t.token, CASE WHEN v.id IS NOT NULL THEN [v.id]
+       WHEN regexp_full_match(t.token, '([0-9A-F]{{2}})+') THEN
+            list_transform(regexp_extract_all(t.token, '..'), lambda h: CAST('0x' || h AS INTEGER))
+       ELSE [257] END AS id
+FROM ({_LOOKUP_SQL}) t LEFT JOIN v ON v.token = t.token WHERE t.token IS NOT NULL
+""")
+def q_token_to_id(spark, sf_dir):
+    """Surfaces of all adjacent byte pairs (merges or byte fallback), of the
+    languages (unknown) and of a special, looked up in the line vocabulary."""
+    from ..operators import counts as Km
+    pairs = Km.byte_pair_counts(doc_lines(spark, sf_dir)).select(F.concat("a", "b").alias("token"))
+    langs = read_table(spark, sf_dir, "documents", ["lang"]).select(F.col("lang").alias("token"))
+    eos = spark.createDataFrame([("<eos>",)], "token string")
+    tokens = pairs.unionByName(langs).unionByName(eos).where("token is not null").distinct()
+    return X.token_to_id(tokens, line_model(spark, sf_dir)).select("token", "id")
+
+
+@register("id_to_token", oracle=f"""
+WITH m AS ({BPE_SQL}),
+e AS ({encode_oracle_sql(ENCODE_PASSES)}),
+v AS (SELECT upper(lpad(to_hex(r.range), 2, '0')) AS token, CAST(r.range AS INTEGER) AS id,
+             'byte' AS kind FROM range(256) r
+      UNION ALL SELECT * FROM (VALUES {_SPECIAL_VALUES}) s(token, id, kind)
+      UNION ALL SELECT a || b, CAST({256 + len(DEFAULT_SPECIALS)} + rank AS INTEGER), 'merge' FROM m)
+SELECT v.id, v.token, v.kind, count(*) AS n
+FROM (SELECT unnest(ids) AS id FROM e) x JOIN v USING (id) GROUP BY ALL
+""")
+def q_id_to_token(spark, sf_dir):
+    """The surface of every id that the encoded corpus (with BOS/EOS) uses."""
+    model = line_model(spark, sf_dir)
+    enc = X.encode(doc_lines(spark, sf_dir), model, "line", "ids", add_bos=True, add_eos=True)
+    used = enc.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return X.id_to_token(used, model).select("id", "token", "kind", "n")
+
+
+@register("sql_word_encode", oracle=word_encode_oracle_sql(WORD_MERGES, 24))
+def q_sql_word_encode(spark, sf_dir):
+    """2.K/I4: word-mode encoding called from SQL."""
+    from .. import sql as lsql
+    lsql.register(spark, word_model(spark, sf_dir), prefix="word_bpe")
+    doc_lines(spark, sf_dir).createOrReplaceTempView("loomtext_word_lines")
+    return spark.sql("SELECT doc_id, line_no, word_bpe_encode(line) AS ids FROM loomtext_word_lines")
+
+
 @register("bpe_merges_lower", oracle=bpe_oracle_sql(8, lowercase=True))
 def q_bpe_merges_lower(spark, sf_dir):
     """Line BPE on lower-cased lines (8 merges); ``lowercase`` is kept in meta."""
-    key = ("line-lower", sf_dir, 8)
+    key = ("line-lower", _identity(spark, sf_dir), 8)
     if key not in _MODELS:
         _MODELS[key] = B.train_line_bpe(doc_lines(spark, sf_dir), ["doc_id", "line_no"],
                                         vocab_size=256 + len(DEFAULT_SPECIALS) + 8, min_freq=2,

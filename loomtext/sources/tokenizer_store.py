@@ -94,23 +94,17 @@ def load_word_artifacts(spark: SparkSession, vocab_path: str, merges_path: str,
         F.explode(F.from_json("value", "map<string,int>")).alias("token", "id")).collect()
     ml = read_text_lines(spark, merges_path).orderBy("file_ord", "file", "block", "row") \
         .select("line").collect()
+    pairs = [r["line"].split(" ") for r in ml if r["line"] and not r["line"].startswith("#version")]
+    merges = [(_from_alphabet(a, inv), _from_alphabet(b, inv), 0) for a, b in pairs]
+    # What is neither one byte nor the result of a merge is a special.
+    made = {a + b for a, b in pairs} - set(specials or [])
     vocab = []
-    specials = list(specials or [])
-    for r in vj:
+    for r in sorted(vj, key=lambda r: r["id"]):
         tok = r["token"]
-        if all(ch in inv for ch in tok) and tok not in specials:
-            vocab.append((_from_alphabet(tok, inv), int(r["id"]), "byte" if len(tok) == 1 else "merge"))
-        else:
-            vocab.append((tok, int(r["id"]), "special"))
-            if tok not in specials:
-                specials.append(tok)
-    vocab.sort(key=lambda x: x[1])
-    merges = []
-    for r in ml:
-        line = r["line"]
-        if not line or line.startswith("#version"):
-            continue
-        a, b = line.split(" ")
-        merges.append((_from_alphabet(a, inv), _from_alphabet(b, inv), 0))
+        kind = "merge" if tok in made else "byte" if len(tok) == 1 and tok in inv else "special"
+        vocab.append((tok if kind == "special" else _from_alphabet(tok, inv), int(r["id"]), kind))
+    if [i for _, i, _ in vocab] != list(range(len(vocab))):
+        raise ValueError("vocabulary ids are not dense 0..V-1")
+    specials = [t for t, _, k in vocab if k == "special"]
     return BpeModel(merges=merges, vocab=vocab, specials=specials, mode="word",
                     vocab_size=len(vocab))
