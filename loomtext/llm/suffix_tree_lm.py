@@ -209,7 +209,7 @@ def smooth(tree: Tree, pairs: list[dict[int, int]]) -> None:
             bits += rest * math.log2(max(rest, 1e-12) / rest_below) if rest > 0 else 0
             node["keep"] = bool(node["p"]) and rest > 0 and bits >= DIVERGENCE
             node["weight"] = rest / rest_below
-    # A retained context keeps its suffixes: a suffix that failed the test passes through.
+    # A suffix that failed the test is no state: scoring passes through to the next shorter one.
     for level, here in zip(tree.levels, names, strict=True):
         n = len(level["names"])
         level["keep"], level["weight"] = np.zeros(n, bool), np.zeros(n)
@@ -235,9 +235,8 @@ def train(rows: DataFrame) -> tuple[Tree, DataFrame]:
     docs = learn.count()
     n, v = total + docs, distinct + (docs > 0)
     # At most 1 / SYMBOL_SHARE rows, since the counts add up to n at most.
-    some = words.where(F.col("n") >= least_count(SYMBOL_SHARE, n)).collect()
-    tree = Tree(np.array([r.code for r in some], np.int64).view(np.uint64),
-                np.array([r.n for r in some], np.int64), n, v, docs)
+    some = words.where(F.col("n") >= least_count(SYMBOL_SHARE, n)).toPandas()
+    tree = Tree(some["code"].to_numpy(np.int64).view(np.uint64), some["n"].to_numpy(np.int64), n, v, docs)
     pairs: list[dict[int, int]] = []
     while tree.levels and len(tree.levels[-1]["names"]):
         depth = len(tree.levels)
