@@ -12,27 +12,40 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from string import punctuation
 
 import numpy as np
 
 #: Pieces kept per Python worker (some 250 bytes each), and the longest of them.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+CACHE_PIECES, CACHE_CHARS = 500_000, 48
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
+def _byte_names() -> list[str]:
+    """The character by which a byte-level BPE names each byte: itself where it
+    prints, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class _Pieces(dict):
     """piece -> ids as bytes; the piece follows ``lead`` ('' or a space)."""
 
-    def __init__(self, ids_of, lead: str):
+    def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
-        self.ids_of, self.lead = ids_of, lead
+        self.encoder, self.lead = encoder, lead
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece[:-1]
-        if piece[-1] in ".," and word.isalpha():  # letters and one mark: two pre-tokens
-            ids = self[word] + self.ids_of(piece[-1])
+        word = piece.rstrip(punctuation)
+        if word.isalpha() and max(word) < "\u0250":  # Latin letters: one pre-token
+            if word == piece:
+                ids = self.encoder.word(self.lead + piece)
+            else:  # marks that follow letters make one more
+                ids = self[word] + self.encoder.marks[piece[len(word):]]
         else:
-            ids = self.ids_of(self.lead + piece)
+            ids = self.encoder.whole(self.lead + piece)
         if len(self) < CACHE_PIECES and len(piece) <= CACHE_CHARS:
             self[piece] = ids
         return ids
@@ -53,23 +66,30 @@ class Encoder:
         self.by_piece = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                          and pre.get("use_regex", True) and spec.get("normalizer") is None)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.head, self.tail = _Pieces(self._ids, ""), _Pieces(self._ids, " ")
-        self.line_break = self._ids("\n")
+        self.model, self.names = self.lib.model, dict(enumerate(_byte_names()))
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.line_break = self.whole("\n")
+        self.head, self.tail, self.marks = _Pieces(self, ""), _Pieces(self, " "), _Pieces(self, "")
+
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-token, without the library's search for pre-tokens and offsets."""
+        named = word.encode().decode("latin-1").translate(self.names)
+        return array(self.code, [t.id for t in self.model.tokenize(named)]).tobytes()
 
-    def _ids(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.by_piece or _OTHER_SPACE.search(text) or any(t in text for t in self.added):
-            return self._ids(text)
+            return self.whole(text)
         out = []
         tail = self.tail.__getitem__
         for line in text.split("\n"):
             pieces = line.split(" ")
             if "" in pieces:  # two spaces or breaks in a row, or one at an end
-                return self._ids(text)
+                return self.whole(text)
             out.append(self.head[pieces[0]])
             if len(pieces) > 1:
                 out[-1] += b"".join(map(tail, pieces[1:]))
