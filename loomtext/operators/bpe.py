@@ -36,11 +36,6 @@ log = logging.getLogger(__name__)
 
 # How many top pairs one round looks at to detect ties without a second job.
 TIE_PROBE = 64
-# "auto" mode: delta counting once a full recount would scan more tokens than this.
-DELTA_MIN_TOKENS = 200_000_000
-# A merge occurring more often than this share of the weighted rows is recounted in
-# full (most rows change); rarer merges update the counts by their delta.
-FULL_RECOUNT_SHARE = 0.4
 
 
 @dataclass
@@ -235,8 +230,7 @@ def _batch_picks(top, first, ends: dict, starts: dict, used_surfaces, room: int,
 def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
               specials: Sequence[str] | None = None, mode: str = "line",
               lowercase: bool = False, byte_fallback: bool = True,
-              tie_break: str = "first_seen", incremental: bool | str = "auto",
-              batch: bool = True, checkpoint_every: int = 20) -> BpeModel:
+              tie_break: str = "first_seen", batch: bool = True, checkpoint_every: int = 20) -> BpeModel:
     """Learn merges until the vocabulary is full or a stop rule fires.
 
     Stop rules (in order): no pairs left; best count < ``min_freq``; the merged
@@ -246,9 +240,8 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
     ``word_sequences``.
 
     ``batch`` applies several merges per round when that provably equals one
-    merge per round.  ``incremental``: maintain pair counts by delta (True),
-    recount every round (False), or decide by corpus volume ("auto": delta
-    counting once a full recount would scan more than ``DELTA_MIN_TOKENS``).
+    merge per round.  Pair counts are maintained by delta at every size: the
+    rows that a round's merges change are counted before and after.
     """
     specials = list(DEFAULT_SPECIALS if specials is None else specials)
     vocab = base_vocab(specials)
@@ -257,17 +250,12 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
     stop = "vocab_full"
 
     seqs = cut_lineage(sequences.select("q", "w", "first"))
-    tot = seqs.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.length("q") / 4).alias("t")).first()
-    total_w, total_tokens = int(tot["w"] or 0), float(tot["t"] or 0)
-    if incremental == "auto":
-        incremental = total_tokens > DELTA_MIN_TOKENS
-    counts = cut_lineage(pair_counts(seqs).where(F.col("n") != 0)) if incremental else None
+    counts = cut_lineage(pair_counts(seqs).where(F.col("n") != 0))
     rounds = 0
     held = None    # cached state of the current sequences (unpersisted once replaced)
     stale = []     # caches that may be dropped after the next materialization
     while len(vocab) < vocab_size:
-        cur = counts if incremental else pair_counts(seqs).persist(StorageLevel.MEMORY_AND_DISK)
-        top, ends, starts = _probe(cur, batch)
+        top, ends, starts = _probe(counts, batch)
         for df in stale:
             df.unpersist()
         stale = []
@@ -287,11 +275,9 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
         elif len(tied) < len(top) or not probe_full:
             a, b = _first_seen(seqs, tied)
         else:  # more ties than the probe saw: resolve over all of them, still exact
-            a, b = _first_seen(seqs, cur.where(F.col("n") == best_n))
+            a, b = _first_seen(seqs, counts.where(F.col("n") == best_n))
         if a + b in surfaces:
             stop = "exists"
-            if not incremental:
-                cur.unpersist()
             break
         picks = [(a, b, best_n)]
         # Batching needs the probe order to be the true order among equal counts:
@@ -299,8 +285,6 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
         if batch and (tie_break == "smallest" or len(tied) == 1):
             picks = _batch_picks(top, (a, b, best_n), ends, starts, surfaces,
                                  vocab_size - len(vocab), min_freq, probe_full)
-        if not incremental:
-            stale.append(cur)
         for pa, pb, pn in picks:
             merges.append((pa, pb, pn))
             surfaces.add(pa + pb)
@@ -316,11 +300,8 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
             c = F.col("q").contains(pat)
             hit = c if hit is None else (hit | c)
             q = F.replace(q, F.lit(pat), F.lit(f"<{pa + pb}>"))
-        occ = sum(pn for _, _, pn in picks)
-        full = (not incremental) or occ > FULL_RECOUNT_SHARE * total_w
-        stepped = seqs.select(
-            F.when(hit, q).otherwise(F.col("q")).alias("q"), "w", "first",
-            (F.lit(None).cast("string") if full else F.when(hit, F.col("q"))).alias("prev"))
+        stepped = seqs.select(F.when(hit, q).otherwise(F.col("q")).alias("q"), "w", "first",
+                              F.when(hit, F.col("q")).alias("prev"))
         if rounds % checkpoint_every == 0:
             stepped = cut_lineage(stepped)
         else:
@@ -329,25 +310,16 @@ def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
         if held is not None:
             stale.append(held)
         seqs, held = new_seqs, stepped
-        if incremental:
-            if full:
-                merged = pair_counts(new_seqs)
-            else:
-                changed = stepped.where(F.col("prev").isNotNull())
-                delta = _pairs(changed.select(F.col("prev").alias("q"), "w"), -1) \
-                    .unionByName(_pairs(changed.select("q", "w"), 1))
-                merged = counts.unionByName(delta.select("a", "b", F.col("w").alias("n"))) \
-                    .groupBy("a", "b").agg(F.sum("n").alias("n"))
-            stale.append(counts)
-            if full:
-                # Materialized by the next round's top-pair job (no extra action).
-                counts = merged.where(F.col("n") != 0).persist(StorageLevel.MEMORY_AND_DISK)
-            else:
-                # A delta refers to the previous counts and twice to the sequences;
-                # nesting those plans round after round grows them without bound,
-                # so the (small) counts table is checkpointed every delta round.
-                counts = cut_lineage(merged.where(F.col("n") != 0))
-    for df in stale + [d for d in (held, counts) if d is not None]:
+        changed = stepped.where(F.col("prev").isNotNull())
+        delta = _pairs(changed.select(F.col("prev").alias("q"), "w"), -1) \
+            .unionByName(_pairs(changed.select("q", "w"), 1))
+        merged = counts.unionByName(delta.select("a", "b", F.col("w").alias("n"))) \
+            .groupBy("a", "b").agg(F.sum("n").alias("n"))
+        # A delta refers to the previous counts and twice to the sequences; nesting
+        # those plans round after round grows them without bound, so the (small)
+        # counts table is checkpointed every round.
+        counts = cut_lineage(merged.where(F.col("n") != 0))
+    for df in stale + [d for d in (held,) if d is not None]:
         df.unpersist()
     return BpeModel(merges=merges, vocab=vocab, specials=specials, mode=mode,
                     lowercase=lowercase, byte_fallback=byte_fallback, vocab_size=vocab_size,

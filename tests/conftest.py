@@ -12,7 +12,7 @@ SF0001 = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from loomtext.session import build_session
-    s = build_session(master="local[*]", shuffle_partitions=8, app_name="loomtext-tests")
+    s = build_session(master=os.environ.get("TEST_MASTER", "local[*]"), shuffle_partitions=8, app_name="loomtext-tests")
     yield s
     s.stop()
 
