@@ -3,7 +3,8 @@
 Base spans follow fixed rules (assign, access, hex) and always stand.  Two
 first-order models over characters are trained: one of random strings, from the
 values of base spans, one of ordinary identifiers, from the corpus' longer runs of
-letters and joiners without a digit or plus sign.  Those rules label the samples;
+letters and joiners without a digit or plus sign, and from runs of digits alone
+(numbers are no secrets).  Those rules label the samples;
 the counts cover all documents and are small matrices, summed by Spark.  A long
 run outside base spans whose log-likelihood ratio per character is at least
 ``RATIO`` is added as ``random``.
@@ -45,6 +46,7 @@ N = len(ALPHABET)
 _CODE = np.full(256, -1, np.int64)
 _CODE[list(ALPHABET.encode())] = np.arange(N)
 _ODD = np.isin(np.arange(256), list(b"0123456789+"))
+_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -88,8 +90,8 @@ def _count(batches):
             if not len(raw):
                 continue
             starts, ends = _runs(raw, offsets, LEARN_CHARS)
-            odd = np.concatenate([[0], np.cumsum(_ODD[raw])])
-            plain = odd[starts] == odd[ends]
+            odd, digits = (np.concatenate([[0], np.cumsum(m[raw])]) for m in (_ODD, _DIGIT))
+            plain = (odd[starts] == odd[ends]) | (digits[ends] - digits[starts] == ends - starts)
             starts, ends = starts[plain], ends[plain]
             code = _CODE[raw]
             mark = np.zeros(len(raw) + 1, np.int64)

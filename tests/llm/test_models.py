@@ -230,9 +230,11 @@ def test_markov_adds_random_strings(spark):
     token = lambda n: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
     rows = [(i, f"{prose} secret={token(24)} {prose}") for i in range(150)]
     rows += [(1000 + i, f"{prose} {token(30)} {prose}") for i in range(50)]
+    rows += [(2000 + i, f"{prose} {rnd.randrange(10 ** 17, 10 ** 18)} {prose}") for i in range(50)]
     got = {r.doc_id: r for r in markov_secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[1000 + i].n_random == 1 for i in range(50)) >= 48
     assert all(got[i].n_random == 0 for i in range(150))
+    assert all(got[2000 + i].n_random == 0 for i in range(50))  # numbers
 
 
 def test_runs_do_not_cross_texts():
