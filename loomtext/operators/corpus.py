@@ -91,11 +91,15 @@ def byte_budget(corpus: DataFrame, budget_bytes: int, order_cols: Sequence[str]
     """Keep texts, in order, while the running UTF-8 byte total ≤ budget.
 
     Each kept text costs its octet length plus ``newline_bytes`` (the line
-    terminator of the text sink).  The running total is a two-level prefix
-    sum over range partitions (no single-partition window).
+    terminator of the text sink).  Only (order, size) is ranged and summed, by a
+    two-level prefix sum; the least order key over the budget then cuts the
+    corpus by a filter, so no text moves.  Order keys must be unique.
     """
-    sized = corpus.withColumn("_bytes", (F.octet_length(text_col) + F.lit(newline_bytes))
-                              .cast("long"))
-    with_off = exclusive_prefix_sum(sized, "_bytes", order_cols, out_col="_before")
-    kept = with_off.where(F.col("_before") + F.col("_bytes") <= F.lit(int(budget_bytes)))
-    return kept.drop("_bytes", "_before", "_blk")
+    order = list(order_cols)
+    sized = corpus.select(*order, (F.octet_length(text_col) + F.lit(newline_bytes)).cast("long").alias("_bytes"))
+    with_off = exclusive_prefix_sum(sized, "_bytes", order, out_col="_before")
+    over = with_off.where(F.col("_before") + F.col("_bytes") > F.lit(int(budget_bytes))) \
+        .orderBy(*order).select(*order).first()
+    if over is None:
+        return corpus
+    return corpus.where(F.struct(*order) < F.struct(*[F.lit(over[c]).cast(corpus.schema[c].dataType) for c in order]))

@@ -24,9 +24,9 @@ from ..session import cut_lineage, ship_package
 
 
 def default_blocks(df: DataFrame) -> int:
-    """As many blocks as the input has partitions (file splits, so they grow with
-    the data), and no fewer than the session's shuffle partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    """As many blocks as the plan reads files, so they grow with the data, and no
+    fewer than the session's shuffle partitions.  Nothing runs for it."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(df.inputFiles()))
 
 
 def range_blocks(df: DataFrame, order_cols: Sequence[str], blocks: int | None = None) -> DataFrame:

@@ -50,14 +50,18 @@ def id_range_report(encoded: DataFrame, vocab: DataFrame, ids_col: str = "ids",
     """Ids must fit uint32 storage and lie in the vocabulary.
 
     Reports max id, count of ids outside [0, 2^32) and count of ids missing
-    from ``vocab`` (left join against the broadcast vocabulary, bounded by the
-    vocabulary size).
+    from ``vocab``, whose ids are dense from 0 (checked).  Counted inside each
+    row's array: no token becomes a row and nothing is joined.
     """
-    ex = encoded.select(*group_cols, F.explode(ids_col).alias("id"))
-    known = F.broadcast(vocab.select("id").distinct().withColumn("_in", F.lit(1)))
-    ex = ex.join(known, "id", "left")
-    return ex.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n_ids"), F.max("id").alias("max_id"),
-        F.sum(F.when((F.col("id") < 0) | (F.col("id") >= F.lit(2 ** 32)), 1).otherwise(0))
-        .cast("long").alias("n_out_of_range"),
-        F.sum(F.when(F.col("_in").isNull(), 1).otherwise(0)).cast("long").alias("n_unknown"))
+    size, top = vocab.agg(F.countDistinct("id"), F.max("id")).first()
+    if size and top != size - 1:
+        raise ValueError("vocabulary ids are not dense 0..V-1")
+    ids = F.transform(ids_col, lambda i: i.cast("long"))
+
+    def outside(bound: int):
+        return F.size(F.filter("_ids", lambda i: (i < 0) | (i >= F.lit(bound)))).cast("long")
+
+    rows = encoded.select(*group_cols, ids.alias("_ids"), F.array_max(ids_col).alias("_max"))
+    return rows.groupBy(*group_cols).agg(
+        F.sum(F.size("_ids").cast("long")).alias("n_ids"), F.max("_max").alias("max_id"),
+        F.sum(outside(2 ** 32)).alias("n_out_of_range"), F.sum(outside(size)).alias("n_unknown"))

@@ -45,16 +45,17 @@ def mean_vector(df: DataFrame, group_col: str, vec_col: str = "embedding",
 
 def embed_tokens(token_counts: DataFrame, embeddings: DataFrame, group_col: str,
                  id_col: str = "id", vec_id: str = "vec_id", vec_col: str = "embedding",
-                 broadcast_limit: int = 100_000) -> DataFrame:
+                 broadcast_bytes: int = 64 << 20) -> DataFrame:
     """C5 lookup: mean embedding of each group's tokens.
 
     ``token_counts`` is pre-aggregated (group, id, cnt), so a hot group costs
     at most one row per distinct id.  The embedding table is broadcast only
-    when its row count is within ``broadcast_limit``; otherwise a shuffle join.
+    when its rows times its longest vector are within ``broadcast_bytes``;
+    otherwise a shuffle join.
     """
-    n = embeddings.count()
+    n, dim = embeddings.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
     emb = embeddings.select(F.col(vec_id).alias(id_col), vec_col)
-    emb = F.broadcast(emb) if n <= broadcast_limit else emb
+    emb = F.broadcast(emb) if 8 * n * ((dim or 0) + 2) <= broadcast_bytes else emb
     j = token_counts.join(emb, id_col)
     return mean_vector(j, group_col, vec_col, weight_col="cnt")
 
