@@ -2,13 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next stage's ``docs``.  All but the last
-return the columns of ``documents``.  Rows that share a doc_id stay or go
-together in the near-duplicate and decontamination stages.
+return the columns of ``documents``.  A stage drops rows by a row id of its own, so
+rows that share a doc_id, or have none, stay or go each by its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.chunk_dedup import drop_exact_copies
@@ -19,14 +19,9 @@ from loomtext.llm.quality_mil import keep_good
 from loomtext.llm.setsketch import near_duplicates
 
 
-def _name(c: str) -> Column:
-    """A key that also joins null ids."""
-    return F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit(""))
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    names = gone.select(_name("doc_id").alias("_name")).distinct()
-    return docs.withColumn("_name", _name("doc_id")).join(names, "_name", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """With a row id, frozen by writing."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), f"rows-{name}")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +35,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of a group linked by similarity 0.8 over five words, one document stays."""
-    return _without(docs, near_duplicates(docs, width=5).where("not kept"))
+    """Operator 10: of a group linked by similarity 0.8 over five words, the row with the
+    least doc_id stays (null ids last; of equal ids the first row)."""
+    rows = _numbered(docs, "near")
+    groups = near_duplicates(rows, key="_row", width=5).select("_row", "component_id")
+    stays = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id") \
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that hold a benchmark window go."""
-    return _without(docs, contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _numbered(docs, "benchmark")
+    found = contamination(rows, read_table(spark, sf_dir, "benchmark"), key="_row").where("contaminated")
+    return rows.join(found.select("_row"), "_row", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

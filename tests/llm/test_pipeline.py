@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 import __spark_entry__ as entry
 
-from conftest import texts_of  # noqa: I001
+from conftest import PROSE, texts_of  # noqa: I001
 from test_native import ITEMS, brute_contamination, low
 from test_packing_and_near import brute_near
 
@@ -42,6 +42,24 @@ def test_benchmark_stage(spark, edges, sf, tmp_path):
     assert texts_of(kept) == [(i, t) for i, t in texts_of(edges) if i not in bad]
 
 
+def test_rows_with_shared_or_null_ids(spark, tmp_path):
+    """Each row stays or goes by its own text, whatever other rows have its id."""
+    clean = ["alpha beta gamma delta", "one two three four five six"]
+    group = [PROSE, PROSE + " x", PROSE + " y"]
+    for ids in ([None] * 5, [7] * 5, [None, 7, None, None, 7]):
+        df = spark.createDataFrame(list(zip(ids, clean + group, strict=True)), "doc_id long, text string").repartition(3)
+        near = texts_of(stage("near_dedup")(spark, df, ""))
+        assert {t for _, t in near} >= set(clean)
+        assert sum(t in group for _, t in near) == 1
+        if 7 in ids:
+            assert all(i == 7 for i, t in near if t in group)
+        spark.createDataFrame([(1, PROSE)], "item_id long, text string") \
+            .write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        kept = stage("decontamination")(spark, df, str(tmp_path))
+        assert kept.columns == ["doc_id", "text"]
+        assert sorted(t for _, t in texts_of(kept)) == clean
+
+
 def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows[0].asDict())
