@@ -1,20 +1,27 @@
 """Operator 1: scoring by a probabilistic suffix tree over words.
 
 The tree's contexts have up to ``MAX_DEPTH`` words.  A context is a candidate
-when its share of the training tokens is at least ``CONTEXT_SHARE``, and is
-retained when its next-word distribution diverges from that of its suffix by
-at least ``DIVERGENCE`` bits.  Next words whose share together with the context
-is at least ``PAIR_SHARE`` keep a discounted probability; the rest of the mass
-goes to the suffix' distribution, renormalised, down to the add-one unigram
-model.  A token is scored in the longest retained suffix of its history.
-
-The shares bound the model whatever the corpus: at most 1/share symbols,
-contexts a level and kept pairs.  Counting is one pass a level, summed in the
-tasks and then by Spark.  Words too rare for the bounded table are counted and
-looked up by a join, per document and distinct word; frequent words, the hot
-keys, never join.
-
-Words are compared by a 64-bit hash.  Defined cases: null and empty texts
+when it is seen ``least_count`` times in the training documents (twice, at any
+size), and is retained when its next-word distribution diverges from that of its
+suffix by at least ``DIVERGENCE`` bits.  Next words seen as often after the context
+keep a discounted probability; the rest of the mass goes to the suffix'
+distribution, renormalised, down to the add-one unigram model.  A token is scored
+in the longest retained suffix of its history.
+
+A pair of context and next word is a gram of one word more, so grams of 1 to
+``MAX_DEPTH`` + 1 words hold the model; they stay in Spark tables.  Every part of a
+repeated gram is repeated, so a token's score depends on the longest repeated gram
+that ends with it alone: its probability, less the back-off weights of its context,
+plus those of the gram itself as context of the next token.  Each gram stores how
+this value differs from its suffix', and a document's score is the sum over all its
+grams.  Grams of at least ``HOT_SHARE`` (bounded: 1/share a length) are sent to the
+tasks; the others are joined, one row per document and distinct gram.  A bit filter
+of fixed size leaves out grams that no table has; when full it only saves less.
+
+Words too rare for the bounded table are counted and looked up by a join, per
+document and distinct word; frequent words, the hot keys, never join.
+
+Words and grams are compared by a 64-bit hash.  Defined cases: null and empty texts
 have the end token alone; a null key is training data; repeated rows are
 separate; without training data N = V = 0 and every token has probability one
 (log10 0); an empty table gives an empty result.
@@ -25,21 +32,24 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 from .text_hash import buffers, word_hashes
 
-MAX_DEPTH, SYMBOL_SHARE, PAIR_SHARE, CONTEXT_SHARE = 3, 1e-6, 1e-5, 1e-4
+MAX_DEPTH, SYMBOL_SHARE, HOT_SHARE = 3, 1e-6, 1e-6
+#: Shares of the training tokens that raise the least counts; none by default.
+PAIR_SHARE, CONTEXT_SHARE = 0.0, 0.0
 DIVERGENCE, DISCOUNT = 0.005, 0.5
 FOLDS, HELD_OUT = 7, 2
-END, START, FIRST = 0, 1, 2
+START, END = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 #: Texts hashed at a time; counts of a task kept before they are merged.
 STEP, MERGE = 256, 1 << 21
-_WIDTH = 1 << 20  # symbols fit below it
+FILTER_BITS = 27
 
 
 def fold(key: str) -> Column:
@@ -90,144 +100,177 @@ def _count_words(batches):
 
 
 class Tree:
-    """Symbols and contexts; picklable, of bounded size."""
+    """The frequent words and the totals; picklable, of bounded size."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int, docs: int):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.n, self.v, self.docs = n, v, docs
-        top = self.counts >= least_count(PAIR_SHARE, n)
-        self.symbol = np.where(top, np.cumsum(top) - 1 + FIRST, -1)
-        size = FIRST + int(top.sum())
-        self.symbol_count = np.zeros(size, np.int64)
-        self.symbol_count[END], self.symbol_count[START] = docs, docs
-        self.symbol_count[FIRST:] = self.counts[top]
-        #: By level: context sequences (oldest word first), edges and counts.
-        self.levels: list[dict] = []
-        if n:
-            enough = np.flatnonzero(self.symbol_count >= least_count(CONTEXT_SHARE, n))
-            self.add_level({(int(s),): int(self.symbol_count[s]) for s in enough if s != END})
-
-    def add_level(self, contexts: dict[tuple, int]) -> None:
-        """Index contexts; an edge leads from a context's suffix by its oldest word."""
-        below = self.levels[-1]["index"] if self.levels else {(): 0}
-        names = [c for c in sorted(contexts) if c[1:] in below]
-        edge = np.array([below[c[1:]] * _WIDTH + c[0] for c in names], np.int64)
-        order = np.argsort(edge)
-        names = [names[i] for i in order]
-        self.levels.append({"index": {c: i for i, c in enumerate(names)}, "names": names, "edge": edge[order],
-                            "total": np.array([contexts[c] for c in names], np.int64)})
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.n + self.v + 1))
 
-    def tokens(self, column: pa.Array):
-        """Per text [START, words, END]: symbols, word places in ``words`` (-1: rare), hashes, firsts."""
-        h, bounds = word_hashes(*buffers(column))
-        at = np.searchsorted(self.words, h)
-        at[at == len(self.words)] = 0
-        known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
-        at = np.where(known, at, -1)
-        n = np.diff(bounds) + 2
-        first = np.concatenate([[0], np.cumsum(n)])
-        word = np.full(first[-1], -2)
-        inside = np.ones(first[-1], bool)
-        inside[first[:-1]], inside[first[1:] - 1] = False, False
-        word[inside] = at
-        symbol = np.full(first[-1], -1)
-        symbol[inside] = np.where(at >= 0, self.symbol[at], -1) if len(self.words) else -1
-        symbol[first[:-1]], symbol[first[1:] - 1] = START, END
-        return symbol, word, h, bounds, first
-
-    def contexts(self, symbol: np.ndarray, first: np.ndarray, depth: int) -> list[np.ndarray]:
-        """Index of each token's context at levels 1 to ``depth`` (-1: none)."""
-        place = np.arange(len(symbol)) - np.repeat(first[:-1], np.diff(first))
-        at = np.zeros(len(symbol), np.int64)
-        out = []
-        for k in range(1, depth + 1):
-            edges = self.levels[k - 1]["edge"]
-            back = np.full(len(symbol), -1)
-            back[k:] = symbol[:-k]
-            ok = np.flatnonzero((at >= 0) & (back >= 0) & (place >= k))
-            code = at[ok] * _WIDTH + back[ok]
-            at = np.full(len(symbol), -1)
-            if len(edges):
-                i = np.searchsorted(edges, code)
-                i[i == len(edges)] = 0
-                at[ok] = np.where(edges[i] == code, i, -1)
-            out.append(at)
-        return out
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Places in ``words`` (-1: rare)."""
+        at, known = _find(self.words, h)
+        return np.where(known, at, -1)
+
+
+def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted table, and whether each code is there."""
+    if not len(table):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.searchsorted(table, codes)
+    at[at == len(table)] = 0
+    return at, table[at] == codes
 
 
 def least_count(share: float, n: int) -> int:
     return max(2, math.ceil(share * n))
 
 
-def _count_pairs(tree: Tree, depth: int):
+def _bit_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << 11, np.uint64)
+    bits[pdf["at"].to_numpy(np.int64) & 2047] = pdf["set"].to_numpy(np.int64).view(np.uint64)
+    return pd.DataFrame({"block": [key[0]], "bits": [bits.tobytes()]})
+
+
+class Filter:
+    """Two bits for each code of a table; ``may`` is never false for a code of it."""
+
+    def __init__(self, codes: DataFrame):
+        mask = F.lit((1 << FILTER_BITS) - 1).cast("long")
+        bit = codes.select(F.explode(F.array(
+            F.col("code").bitwiseAND(mask), F.shiftrightunsigned("code", 32).bitwiseAND(mask))).alias("bit"))
+        words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr(
+            "shiftleft(1L, cast(bit & 63L as int))")).alias("set"))
+        # 2^FILTER_BITS bits reach the driver at most, in blocks of 16 KB.
+        self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        for r in words.groupBy(F.shiftright("at", 11).alias("block")) \
+                .applyInPandas(_bit_block, "block long, bits binary").toLocalIterator():
+            self.bits[r.block << 11:(r.block + 1) << 11] = np.frombuffer(r.bits, np.uint64)
+
+    def may(self, codes: np.ndarray) -> np.ndarray:
+        mask, out = np.uint64((1 << FILTER_BITS) - 1), np.ones(len(codes), bool)
+        for bit in (codes & mask, (codes >> np.uint64(32)) & mask):
+            out &= (self.bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def _join_codes(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Code of the gram whose words but the last are ``ctx`` and but the first ``low``."""
+    h = ctx * np.uint64(0x9E3779B97F4A7C15) + low
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _tokens(column: pa.Array):
+    """Per text [START, words, END]: codes, places in the text, and first tokens; word hashes and bounds."""
+    h, bounds = word_hashes(*buffers(column))
+    first = np.concatenate([[0], np.cumsum(np.diff(bounds) + 2)])
+    code = np.empty(first[-1], np.uint64)
+    inside = np.ones(first[-1], bool)
+    inside[first[:-1]], inside[first[1:] - 1] = False, False
+    code[inside], code[first[:-1]], code[first[1:] - 1] = h, START, END
+    place = np.arange(len(code)) - np.repeat(first[:-1], np.diff(first))
+    return code, place, first, h, bounds
+
+
+def _longer(code: np.ndarray) -> np.ndarray:
+    """Codes of the grams of one word more that end at each token; the first is void."""
+    out = code.copy()
+    out[1:] = _join_codes(code[:-1], code[1:])
+    return out
+
+
+def _count_grams(some: Filter, length: int):
+    """(ctx, low, n) of the grams of ``length`` words whose parts ``some`` may hold."""
+    def summed(held):
+        code, low, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, n = np.unique(code, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ctx[at].view(np.int64)), pa.array(low[at].view(np.int64)),
+                                           pa.array(n)], names=["ctx", "low", "n"])
+
     def run(batches):
-        c = _Counter()
+        held, size = [], 0
         for b in _slices(batches):
-            symbol, _, _, _, first = tree.tokens(b.column("text"))
-            ctx = tree.contexts(symbol, first, depth)[-1]
-            ok = (ctx >= 0) & (symbol >= 0)
-            c.add(ctx[ok] * _WIDTH + symbol[ok])
-        yield c.batch()
+            code, place, *_ = _tokens(b.column("text"))
+            for _ in range(length - 2):
+                code = _longer(code)
+            may = some.may(code)
+            at = np.flatnonzero(place >= length - 1)
+            at = at[may[at] & may[at - 1]]
+            held.append((_join_codes(code[at - 1], code[at]), code[at], code[at - 1]))
+            size += len(at)
+            if size > MERGE:
+                yield summed(held)
+                held, size = [], 0
+        if size:
+            yield summed(held)
     return run
 
 
-def smooth(tree: Tree, pairs: list[dict[int, int]]) -> None:
-    """Retain contexts by divergence and set probabilities, backoff weights and codes."""
-    root = (tree.symbol_count + 1) / (tree.n + tree.v + 1)
-    names: list[dict[tuple, dict]] = []
-    for level, found in zip(tree.levels, pairs, strict=True):
-        nexts: dict[int, list] = {}
-        for code, n in found.items():
-            nexts.setdefault(code // _WIDTH, []).append((code % _WIDTH, n))
-        here = {}
-        for i, name in enumerate(level["names"]):
-            p = {s: (n - DISCOUNT) / level["total"][i] for s, n in nexts.get(i, ())}
-            here[name] = {"p": p, "keep": False, "weight": 1.0}
-        names.append(here)
-
-    def probability(name: tuple, s: int) -> float:
-        """In the longest retained suffix of ``name``."""
-        weight = 1.0
-        while name:
-            node = names[len(name) - 1].get(name)
-            if node is not None and node["keep"]:
-                if s in node["p"]:
-                    return weight * node["p"][s]
-                weight *= node["weight"]
-            name = name[1:]
-        return weight * root[s]
-
-    for here in names:
-        for name, node in here.items():
-            below = {s: probability(name[1:], s) for s in node["p"]}
-            rest, rest_below = 1 - sum(node["p"].values()), max(1 - sum(below.values()), 1e-12)
-            bits = sum(p * math.log2(p / below[s]) for s, p in node["p"].items())
-            bits += rest * math.log2(max(rest, 1e-12) / rest_below) if rest > 0 else 0
-            node["keep"] = bool(node["p"]) and rest > 0 and bits >= DIVERGENCE
-            node["weight"] = rest / rest_below
-    # A suffix that failed the test is no state: scoring passes through to the next shorter one.
-    for level, here in zip(tree.levels, names, strict=True):
-        n = len(level["names"])
-        level["keep"], level["weight"] = np.zeros(n, bool), np.zeros(n)
-        codes, logs = [], []
-        for i, name in enumerate(level["names"]):
-            node = here[name]
-            level["keep"][i] = node["keep"]
-            level["weight"][i] = math.log10(node["weight"]) if node["keep"] else 0.0
-            if node["keep"]:
-                codes += [i * _WIDTH + s for s in node["p"]]
-                logs += [math.log10(p) for p in node["p"].values()]
-        order = np.argsort(np.array(codes, np.int64))
-        level["code"], level["log"] = np.array(codes, np.int64)[order], np.array(logs)[order]
-        del level["names"], level["index"]
-
-
-def train(rows: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (code, n) of all training words."""
+def _name_grams(batches):
+    for b in batches:
+        ctx, low = (b.column(c).to_numpy().view(np.uint64) for c in ("ctx", "low"))
+        yield pa.RecordBatch.from_arrays([pa.array(_join_codes(ctx, low).view(np.int64)), *b.columns],
+                                         names=["code", "ctx", "low", "n"])
+
+
+def _as(df: DataFrame, **names: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(name) for name, c in names.items()))
+
+
+def _delta(df: DataFrame, value: Column) -> DataFrame:
+    return df.select("code", "n", (value - F.col("low_value")).alias("delta")).where("delta <> 0")
+
+
+def grams(learn: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
+    """(code, n, delta): what each repeated gram adds to a document's score."""
+    least, least_context = least_count(PAIR_SHARE, tree.n), least_count(CONTEXT_SHARE, tree.n)
+    ends = learn.sparkSession.createDataFrame([(int(x.view(np.int64)), tree.docs) for x in (START, END)],
+                                              "code long, n long")
+    # By gram: log of its probability, and less its context's weights (a); weights and value of its suffix.
+    root = F.log10((F.col("n") + 1) / F.lit(float(tree.n + tree.v + 1)))
+    level = materialize(words.where(F.col("n") >= least).unionByName(ends).select(
+        "code", "n", root.alias("logp"), root.alias("a"), F.lit(0.0).alias("low_weights"), root.alias("low_value")),
+        "grams-1")
+    out = None
+    for length in range(2, MAX_DEPTH + 2):
+        found = learn.mapInArrow(_count_grams(Filter(level), length), "ctx long, low long, n long") \
+            .groupBy("ctx", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        found = materialize(found.mapInArrow(_name_grams, "code long, ctx long, low long, n long"), "counted")
+        cut, p_below = F.col("n") - DISCOUNT, F.pow(F.lit(10.0), F.col("below"))
+        nodes = found.join(_as(level, low="code", below="logp"), "low").groupBy("ctx").agg(
+            F.sum(cut).alias("kept"), F.sum(p_below).alias("below"),
+            F.sum(cut * F.log2(cut / p_below)).alias("bits")).withColumnRenamed("ctx", "code")
+        share, rest = F.col("kept") / F.col("n"), 1 - F.col("kept") / F.col("n")
+        over = F.greatest(rest, F.lit(1e-12)) / F.greatest(1 - F.col("below"), F.lit(1e-12))
+        bits = F.col("bits") / F.col("n") - share * F.log2("n") + rest * F.log2(over)
+        states = nodes.join(level.select("code", "n"), "code") \
+            .where((F.col("n") >= least_context) & (rest > 0) & (bits >= DIVERGENCE)) \
+            .select("code", F.log10(over).alias("weight"))
+        weights = F.coalesce("weight", F.lit(0.0)) + F.col("low_weights")
+        done = materialize(level.join(states, "code", "left").select(
+            "code", "n", "logp", F.col("weight").isNotNull().alias("state"), weights.alias("weights"),
+            (F.col("a") + weights).alias("value"), "low_value"), f"done-{length - 1}")
+        part = materialize(_delta(done, F.col("value")), f"delta-{length - 1}")
+        out = part if out is None else out.unionByName(part)
+        discard(level)
+        logp = F.when(F.col("state"), F.log10(cut / F.col("total"))).otherwise(F.col("below"))
+        level = materialize(
+            found.join(_as(done, ctx="code", total="n", state="state", ctx_weights="weights"), "ctx")
+            .join(_as(done, low="code", below="logp", low_weights="weights", low_value="value"), "low")
+            .select("code", "n", logp.alias("logp"), (logp - F.col("ctx_weights")).alias("a"),
+                    "low_weights", "low_value"), f"grams-{length}")
+        discard(found)
+        discard(done)
+    return out.unionByName(_delta(level, F.col("a") + F.col("low_weights")))
+
+
+def train(rows: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
+    """The frequent words, the table (code, n) of all training words, and the grams."""
     learn = rows.where("not held_out").select("text")
     counted = "code long, n long"
     words = materialize(learn.mapInArrow(_count_words, counted).groupBy("code").agg(F.sum("n").alias("n")), "words")
@@ -237,76 +280,74 @@ def train(rows: DataFrame) -> tuple[Tree, DataFrame]:
     # At most 1 / SYMBOL_SHARE rows, since the counts add up to n at most.
     some = words.where(F.col("n") >= least_count(SYMBOL_SHARE, n)).toPandas()
     tree = Tree(some["code"].to_numpy(np.int64).view(np.uint64), some["n"].to_numpy(np.int64), n, v, docs)
-    pairs: list[dict[int, int]] = []
-    while tree.levels and len(tree.levels[-1]["names"]):
-        depth = len(tree.levels)
-        found = learn.mapInArrow(_count_pairs(tree, depth), counted).groupBy("code") \
-            .agg(F.sum("n").alias("n")).where(F.col("n") >= least_count(PAIR_SHARE, n)).collect()
-        pairs.append({r.code: r.n for r in found})  # at most 1 / PAIR_SHARE
-        if depth == MAX_DEPTH:
-            break
-        names = tree.levels[-1]["names"]
-        tree.add_level({names[c // _WIDTH] + (c % _WIDTH,): k for c, k in pairs[-1].items()
-                        if k >= least_count(CONTEXT_SHARE, n) and c % _WIDTH != END})
-    del tree.levels[len(pairs):]
-    smooth(tree, pairs)
-    return tree, words
-
-
-def _score(tree: Tree):
+    return tree, words, grams(learn, tree, words)
+
+
+def _score(tree: Tree, hot: np.ndarray, deltas: np.ndarray, some: Filter):
     def run(batches):
         for b in _slices(batches):
-            symbol, word, h, bounds, first = tree.tokens(b.column("text"))
+            code, place, first, h, bounds = _tokens(b.column("text"))
             doc = np.repeat(np.arange(b.num_rows), np.diff(first))
-            token = np.ones(len(symbol), bool)
-            token[first[:-1]] = False  # the start is no token
-            end = symbol == END
+            word = tree.places(h)
             frequent = word >= 0
-            base = np.zeros(len(symbol))
-            if len(tree.words):
-                base[frequent] = tree.base(tree.counts)[word[frequent]]
-            base[end] = tree.base(np.float64(tree.docs))
-            score = np.zeros(len(symbol))
-            open_ = token.copy()
-            levels = tree.contexts(symbol, first, len(tree.levels))
-            for level, ctx in zip(tree.levels[::-1], levels[::-1], strict=True):
-                at = np.flatnonzero(open_ & (ctx >= 0))
-                at = at[level["keep"][ctx[at]]]
-                hit = np.zeros(len(at), bool)
-                if len(level["code"]):
-                    code = np.where(symbol[at] >= 0, ctx[at] * _WIDTH + symbol[at], -1)
-                    i = np.searchsorted(level["code"], code)
-                    i[i == len(level["code"])] = 0
-                    hit = level["code"][i] == code
-                    score[at[hit]] += level["log"][i[hit]]
-                score[at[~hit]] += level["weight"][ctx[at[~hit]]]
-                open_[at[hit]] = False
-            score[open_] += base[open_]
-            rare = word[word > -2] < 0
-            codes, counts = [], []
-            for i in range(b.num_rows):
-                u, n = np.unique(h[bounds[i]: bounds[i + 1]][rare[bounds[i]: bounds[i + 1]]], return_counts=True)
-                codes.append(u.view(np.int64))
-                counts.append(n)
-            known = np.bincount(doc[frequent | (end & (tree.docs > 0))], minlength=b.num_rows)
+            base = np.zeros(len(code))
+            inside = np.ones(len(code), bool)
+            inside[first[:-1]], inside[first[1:] - 1] = False, False
+            base[inside] = np.where(frequent, tree.base(tree.counts)[word], 0) if len(tree.words) else 0
+            base[first[1:] - 1] = tree.base(np.float64(tree.docs))
+            score = base.copy()
+            cold, cold_doc = [], []
+            for length in range(1, MAX_DEPTH + 2):
+                code = _longer(code) if length > 1 else code
+                at = np.flatnonzero((place >= length - 1) & some.may(code))
+                i, known = _find(hot, code[at])
+                score[at[known]] += deltas[i[known]]
+                cold.append(code[at[~known]])
+                cold_doc.append(doc[at[~known]])
+            grams_, times = _by_document(np.concatenate(cold), np.concatenate(cold_doc), b.num_rows)
+            word_doc = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+            codes, counts = _by_document(h[~frequent], word_doc[~frequent], b.num_rows)
+            known = np.bincount(word_doc[frequent], minlength=b.num_rows) + (tree.docs > 0)
             yield pa.RecordBatch.from_arrays([
                 b.column("key"), b.column("held_out"), pa.array(np.diff(first) - 1), pa.array(known),
                 pa.array(np.bincount(doc, weights=base, minlength=b.num_rows)),
-                pa.array(np.bincount(doc, weights=score, minlength=b.num_rows)),
-                pa.array(codes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["key", "held_out", "n_tokens", "n_known", "base", "score", "codes", "counts"])
+                pa.array(np.bincount(doc, weights=score, minlength=b.num_rows)), codes, counts, grams_, times],
+                names=["key", "held_out", "n_tokens", "n_known", "base", "score", "codes", "counts", "grams", "times"])
     return run
 
 
+def _by_document(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Lists of each document's distinct codes and their counts."""
+    order = np.lexsort((codes, doc))
+    codes, doc = codes[order], doc[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    offsets = pa.array(np.searchsorted(doc[at], np.arange(n + 1)), pa.int32())
+    counts = np.diff(np.append(at, len(codes)))
+    return (pa.ListArray.from_arrays(offsets, pa.array(codes[at].view(np.int64))),
+            pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())))
+
+
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"),
                        (fold(key) == HELD_OUT).alias("held_out"))
-    tree, words = train(rows)
+    tree, words, table = train(rows)
+    least_hot = least_count(HOT_SHARE, tree.n)
+    hot = table.where(F.col("n") >= least_hot).select("code", "delta").toPandas()  # 1 / HOT_SHARE a length
+    order = np.argsort(names := hot["code"].to_numpy(np.int64).view(np.uint64))
     scored = materialize(rows.mapInArrow(
-        _score(tree), "key long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-        "codes array<bigint>, counts array<bigint>").withColumn("_rid", F.monotonically_increasing_id()), "scored")
+        _score(tree, names[order], hot["delta"].to_numpy(np.float64)[order], Filter(table)),
+        "key long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+        "codes array<bigint>, counts array<bigint>, grams array<bigint>, times array<bigint>")
+        .withColumn("_rid", F.monotonically_increasing_id()), "scored")
+    # Other grams: one row for each document and distinct gram.
+    cold = scored.select("_rid", F.explode(F.arrays_zip("grams", "times")).alias("z")) \
+        .select("_rid", F.col("z.grams").alias("code"), F.col("z.times").alias("k"))
+    added = cold.join(table.where(F.col("n") < least_hot).select("code", "delta"), "code") \
+        .groupBy("_rid").agg(F.sum(F.col("k") * F.col("delta")).alias("added"))
     # Rare words: one row for each document and distinct word, looked up by a join.
     rare = scored.select("_rid", F.explode(F.arrays_zip("codes", "counts")).alias("z")) \
         .select("_rid", F.col("z.codes").alias("code"), F.col("z.counts").alias("k"))
@@ -315,8 +356,9 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         F.sum(F.col("k") * F.log10((seen + 1) / F.lit(float(tree.n + tree.v + 1)))).alias("more"),
         F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("more_known"))
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("codes", "counts").join(looked, "_rid", "left").select(
+    return scored.drop("codes", "counts", "grams", "times").join(looked, "_rid", "left") \
+        .join(added, "_rid", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(tree.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("added", F.lit(0.0))).alias("score"))

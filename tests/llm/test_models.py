@@ -115,6 +115,27 @@ def test_lm_scores_match_definition(spark, monkeypatch):
         assert sum(prob(ctx, w) for w in words | {"unseen"}) <= 1.0 + 1e-9
 
 
+@pytest.mark.parametrize("hot_share", [1e-6, 0.05])
+def test_lm_keeps_repeated_pairs_at_any_size(spark, monkeypatch, hot_share):
+    """A pair seen a few times among very many tokens is in the model, broadcast or joined."""
+    monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", hot_share)
+    many = " ".join(f"f{i % 50}" for i in range(10000))
+    rows = [(i, many) for i in range(100)] + [(100 + i, "rare pair of words") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held, *_ = lm_base(rows)
+    assert held[100:].count(False) * 1e6 < 10 * sum(len(lm_tokens(t)) for _, t in rows)
+    got = {r.doc_id: r for r in suffix_tree_lm.scores(df).collect()}
+    assert got[100].score > got[100].base_score + 10
+    small = [r for r in rows if r[0] >= 94]
+    prob = brute_tree([(i, t[:2000]) for i, t in small], lm_base(small)[0])
+    cut = {r.doc_id: r for r in suffix_tree_lm.scores(spark.createDataFrame(
+        [(i, t[:2000]) for i, t in small], "doc_id long, text string")).collect()}
+    for i, t in small:
+        s = ["<start>", *lm_tokens(t[:2000])]
+        want = sum(math.log10(prob(tuple(s[max(0, j - 3):j]), s[j])) for j in range(1, len(s)))
+        assert cut[i].score == pytest.approx(want, abs=1e-6)
+
+
 def test_lm_held_out_gain(docs):
     r = suffix_tree_lm.scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
