@@ -1,5 +1,6 @@
 """Token files, packing and near-duplicates against brute force."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -93,6 +94,20 @@ def test_hilbert_neighbours(dims, bits):
     assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_estimate_keeps_unlucky_pairs():
+    """Sets of similarity 0.8 are dropped uncounted far less often than they share no band."""
+    agree = np.arange(setsketch.REGISTERS + 1)
+    a = np.zeros((len(agree), setsketch.REGISTERS), np.uint16)
+    b = a.copy()
+    for k in agree:
+        more = (setsketch.REGISTERS - k) // 2
+        a[k, :more], b[k, more:setsketch.REGISTERS - k] = 1, 1
+    same = np.full(len(agree), 1000)
+    dropped = agree[setsketch.estimate(a, b, same, same) < 0.8 - setsketch.SLACK]
+    n = setsketch.REGISTERS
+    assert sum(math.comb(n, int(k)) * 0.8 ** int(k) * 0.2 ** (n - int(k)) for k in dropped) < 5e-9
+
+
 def words(t):
     return [w for w in (t or "").translate(LOWER).replace("\n", " ").replace("\t", " ").replace("\r", " ")
             .replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
