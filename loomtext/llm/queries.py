@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import formatted_digests
 from .chunk_dedup import exact_groups
 from .common import LOWER, UPPER, read_table
 from .decontam import contamination
@@ -170,3 +171,27 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents over two-word shingles, similarity 0.8."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
+
+
+_ESC = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+_OP11 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok'
+  FROM range(2) r(i))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length({_ESC.format('role')}) + 1
+           + length({_ESC.format('text')}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@register("op11_chat_format", _OP11)
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted from typed parts, and read back from the output."""
+    return formatted_digests(read_table(spark, sf_dir, "conversations"))
