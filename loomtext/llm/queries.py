@@ -13,6 +13,7 @@ from .decontam import contamination
 from .hilbert_pack import pack
 from .markov_secrets import secrets
 from .pfor import round_trip
+from .prefix_trie import trie_nodes
 from .quality_mil import quality
 from .rendezvous import shard_documents
 from .setsketch import near_duplicates
@@ -195,3 +196,45 @@ FROM t GROUP BY conv_id
 def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted from typed parts, and read back from the output."""
     return formatted_digests(read_table(spark, sf_dir, "conversations"))
+
+
+_OP12 = f"""
+WITH RECURSIVE crc_table(n, c, step) AS (
+  SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, step + 1
+  FROM crc_table WHERE step < 8),
+tab AS (SELECT list(c ORDER BY n) AS table_ FROM crc_table WHERE step = 8),
+own AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS s
+  FROM conversations GROUP BY conv_id),
+head AS (SELECT conv_id, s, {_CRC.replace("text, ''", "CAST(conv_id AS VARCHAR), ''")} % 6 AS h FROM own, tab),
+seq AS (
+  SELECT o.conv_id, list_concat(coalesce(b.s[1 : o.h], []), o.s[o.h + 1 :]) AS s
+  FROM head o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+pre AS (
+  SELECT conv_id, d, s[1 : d] AS p, len(s) AS l, CASE WHEN d > 0 THEN length(s[d].text) ELSE 0 END AS w
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)),
+node AS (
+  SELECT d, p, min(conv_id) AS o, count(*) AS n, max(w) AS w,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = l), '') AS ends
+  FROM pre GROUP BY d, p),
+spot AS (SELECT pre.conv_id, pre.d, node.o FROM pre JOIN node USING (d, p)),
+linked AS (
+  SELECT node.*, spot.o AS parent FROM node LEFT JOIN spot ON spot.conv_id = node.o AND spot.d = node.d - 1),
+kids AS (SELECT parent AS o, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY 1, 2),
+full_ AS (SELECT linked.*, coalesce(n_children, 0) AS k FROM linked LEFT JOIN kids USING (o, d)),
+sub AS (
+  SELECT spot.o, spot.d, count(*) FILTER (v.k = 0) AS n_leaves, sum((v.n - 1) * v.w) AS saved
+  FROM full_ v JOIN spot ON spot.conv_id = v.o AND spot.d <= v.d GROUP BY 1, 2)
+SELECT o AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, k AS n_children, n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM full_ JOIN sub USING (o, d)
+"""
+
+
+@register("op12_prefix_trie", _OP12)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations, one row per node."""
+    return trie_nodes(read_table(spark, sf_dir, "conversations"))
