@@ -12,6 +12,7 @@ from .common import LOWER, UPPER, read_table
 from .decontam import contamination
 from .hilbert_pack import pack
 from .markov_secrets import secrets
+from .merkle_manifest import manifest
 from .pfor import round_trip
 from .prefix_trie import trie_nodes
 from .quality_mil import quality
@@ -238,3 +239,74 @@ FROM full_ JOIN sub USING (o, d)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all rebuilt conversations, one row per node."""
     return trie_nodes(read_table(spark, sf_dir, "conversations"))
+
+
+def _field(c: str) -> str:
+    v = f"CAST({c} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(p: str, levels: int) -> str:
+    """Levels ``{p}0`` (g, i, h) to ``{p}{levels}``, and at each what stands left and right."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{p}c{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {p}{k}),
+{p}l{k} AS (
+  SELECT a.g, a.i, any_value(a.c) AS c,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM {p}c{k} a JOIN {p}c{k} b ON a.g IS NOT DISTINCT FROM b.g AND a.i // 16 = b.i // 16 GROUP BY a.g, a.i),
+{p}{k + 1} AS (
+  SELECT g, i // 16 AS i, CASE WHEN max(c) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM {p}c{k} GROUP BY g, i // 16)""")
+    return ",\n".join(out)
+
+
+def _climb_sql(p: str, start: str, end: str, levels: int) -> str:
+    """Proof text q and folded node f of every row of ``start`` (g, i, q, f, ...), level by level."""
+    out, last = [], start
+    for k in range(levels):
+        name = end if k == levels - 1 else f"{p}w{k}"
+        out.append(f"""{name} AS (
+  SELECT w.* REPLACE (w.i // 16 AS i, CASE WHEN x.c = 1 THEN w.q ELSE w.q || x.l || x.r END AS q,
+                      CASE WHEN x.c = 1 THEN w.f ELSE sha256(x.l || w.f || x.r) END AS f)
+  FROM {last} w JOIN {p}l{k} x ON w.g IS NOT DISTINCT FROM x.g AND w.i = x.i)""")
+        last = name
+    return ",\n".join(out)
+
+
+_CRC_ID = _CRC.replace("text, ''", "CAST(doc_id AS VARCHAR), ''")
+_OP13 = f"""
+WITH RECURSIVE crc_table(n, c, step) AS (
+  SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, step + 1
+  FROM crc_table WHERE step < 8),
+tab AS (SELECT list(c ORDER BY n) AS table_ FROM crc_table WHERE step = 8),
+rows_ AS (
+  SELECT doc_id, source AS g, {_leaf("text")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC_ID} % 5 = 0 THEN {_leaf(_low("text"))} END AS tampered
+  FROM documents, tab),
+d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM rows_),
+n0 AS (SELECT g, i, leaf AS h FROM d),
+{_tree_sql("n", 6)},
+s0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h, g AS name FROM n6),
+{_tree_sql("s", 4)},
+dw AS (SELECT g, i, '' AS q, coalesce(tampered, leaf) AS f, doc_id, leaf FROM d),
+{_climb_sql("n", "dw", "at_subroot", 6)},
+sw AS (SELECT 0 AS g, s0.i, q, f, doc_id, leaf, s0.h AS subroot
+       FROM at_subroot JOIN s0 ON at_subroot.g IS NOT DISTINCT FROM s0.name),
+{_climb_sql("s", "sw", "at_root", 4)}
+SELECT doc_id, leaf, subroot, s4.h AS root, sha256(q) AS proof_sha256, f AS folded_root, f = s4.h AS verified
+FROM at_root, s4
+"""
+
+
+@register("op13_merkle_manifest", _OP13)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, with proofs checked against tampered texts."""
+    return manifest(read_table(spark, sf_dir, "documents"))
