@@ -1,41 +1,25 @@
-"""Byte-pair-encoding training.
+"""Byte-pair-encoding models and their training.
 
 Sequences are aggregated first: identical lines (line mode) or identical
-pre-tokenized words (word mode) become one row ``(q, w, first)`` with a weight
+pre-tokenized words (word mode) become one row ``(text, w, first)`` with a weight
 ``w`` and the first order key where they occur.  Weighted counts equal the
 per-occurrence counts, and ``min(order key)`` keeps the first-seen tie-break.
 ``groupBy`` on the text runs with map-side partial aggregation, so a line that
-fills a third of the corpus collapses before the shuffle.
-
-The sequence state is one string per row, ``<48><65><6C>``; applying a merge
-is the built-in ``replace('<a><b>', '<ab>')`` — greedy, left to right,
-non-overlapping, exactly the rewrite rule of the training loop.
-
-Each round (one merge) runs on the executors; only the top few candidate
-pairs (a bounded LIMIT) and one chosen pair return to the driver.  Pair counts
-are maintained incrementally: only rows that contain the chosen pair are
-re-counted (old pairs subtracted, new pairs added), so a round costs a scan
-with ``contains`` plus work proportional to the affected rows.
+fills a third of the corpus collapses before the shuffle.  The merge loop is in
+``bpe_train``.
 """
 
 from __future__ import annotations
 
-import logging
 from dataclasses import dataclass, field
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
-
-from ..functions.text import (DEFAULT_SPECIALS, WORD_PATTERN, byte_tokens, delimited,
-                              normalize, undelimit)
-from ..session import cut_lineage
+from pyspark.sql import types as T
 
-log = logging.getLogger(__name__)
-
-# How many top pairs one round looks at to detect ties without a second job.
-TIE_PROBE = 64
+from ..functions.text import DEFAULT_SPECIALS, WORD_PATTERN, normalize
+from .bpe_train import HOT, learn_merges
 
 
 @dataclass
@@ -105,222 +89,63 @@ def base_vocab(specials: Sequence[str]) -> list[tuple[str, int, str]]:
     return rows
 
 
+def order_key(cols: Sequence[str], df: DataFrame):
+    """Order columns as one value, nulls first.  An integer, alone or with a 32-bit one
+    after it, becomes a decimal, whose minimum is a hash aggregate (a struct's is a sort)."""
+    types = [df.schema[c].dataType for c in cols]
+    if len(cols) > 2 or not all(isinstance(t, T.IntegralType) for t in types) \
+            or isinstance(types[-1], T.LongType) and len(cols) == 2:
+        return F.struct(*[F.col(c) for c in cols])
+
+    def number(c, null):
+        return F.coalesce(F.col(c).cast("decimal(20,0)"), F.lit(str(null)).cast("decimal(20,0)"))
+
+    value = number(cols[0], -(1 << 63) - 1)
+    if len(cols) == 2:
+        value = value * F.lit(1 << 33).cast("decimal(11,0)") + number(cols[1], -(1 << 31) - 1)
+    return value.cast("decimal(38,0)")
+
+
 def line_sequences(lines: DataFrame, order_cols: Sequence[str], line_col: str = "line",
                    lowercase: bool = False) -> DataFrame:
-    """Distinct non-empty lines as byte sequences: (q, w, first)."""
-    norm = lines.select(normalize(line_col, lowercase).alias("_t"),
-                        F.struct(*[F.col(c) for c in order_cols]).alias("_k"))
-    agg = norm.groupBy("_t").agg(F.count(F.lit(1)).alias("w"), F.min("_k").alias("first"))
-    return (agg.select(delimited(byte_tokens("_t")).alias("q"), "w", "first")
-            .where(F.length("q") > 0))
+    """Distinct non-empty lines: (text, w, first)."""
+    norm = lines.select(normalize(line_col, lowercase).alias("text"),
+                        order_key(order_cols, lines).alias("_k")).where(F.length("text") > 0)
+    return norm.groupBy("text").agg(F.count(F.lit(1)).alias("w"), F.min("_k").alias("first"))
 
 
 def word_sequences(lines: DataFrame, order_cols: Sequence[str], line_col: str = "line",
                    lowercase: bool = False, pattern: str = WORD_PATTERN) -> DataFrame:
-    """Distinct pre-tokenized words as byte sequences: (q, w, first)."""
+    """Distinct pre-tokenized words: (text, w, first)."""
     words = lines.select(
         F.struct(*[F.col(c) for c in order_cols]).alias("_k"),
         F.posexplode(F.regexp_extract_all(normalize(line_col, lowercase), F.lit(pattern), 0))
-        .alias("_wpos", "_t"))
-    agg = words.groupBy("_t").agg(
-        F.count(F.lit(1)).alias("w"),
-        F.min(F.struct(F.col("_k"), F.col("_wpos"))).alias("first"))
-    return (agg.select(delimited(byte_tokens("_t")).alias("q"), "w", "first")
-            .where(F.length("q") > 0))
-
-
-def _pairs(seqs: DataFrame, sign: int = 1) -> DataFrame:
-    """Weighted adjacent-pair occurrences of the current sequences (a, b, n)."""
-    toks = undelimit("q")
-    ex = seqs.select((F.col("w") * sign).alias("w"), toks.alias("t"))
-    ex = ex.select("w", F.explode(F.arrays_zip(
-        F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
-        F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))))).alias("p"))
-    return ex.select(F.col("p.0").alias("a"), F.col("p.1").alias("b"), "w")
-
-
-def pair_counts(seqs: DataFrame) -> DataFrame:
-    return _pairs(seqs).groupBy("a", "b").agg(F.sum("w").alias("n"))
-
-
-def _first_seen(seqs: DataFrame, tied: DataFrame | list[tuple[str, str]]) -> tuple[str, str]:
-    """Among tied pairs, the one whose first occurrence is earliest (T4)."""
-    toks = undelimit("q")
-    if isinstance(tied, list):
-        cond = None
-        for a, b in tied:
-            c = F.col("q").contains(f"<{a}><{b}>")
-            cond = c if cond is None else (cond | c)
-        cand = seqs.where(cond)
-        keys = [f"{a}\u0001{b}" for a, b in tied]
-    else:
-        cand = seqs
-        keys = None
-    ex = cand.select("first", toks.alias("t"))
-    ex = ex.select("first", F.posexplode(F.arrays_zip(
-        F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
-        F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))))).alias("pos", "p"))
-    ex = ex.select(F.col("p.0").alias("a"), F.col("p.1").alias("b"), "first", "pos")
-    if keys is not None:
-        ex = ex.where(F.concat_ws("\u0001", "a", "b").isin(keys))
-    else:
-        ex = ex.join(tied.select("a", "b"), ["a", "b"], "left_semi")
-    best = (ex.groupBy("a", "b").agg(F.min(F.struct("first", "pos")).alias("o"))
-            .orderBy("o").limit(1).collect())
-    return best[0]["a"], best[0]["b"]
-
-
-def _probe(counts: DataFrame, with_maxima: bool):
-    """One job: the top pairs (n desc, a, b) and, for batching, the largest
-    count of a pair ending / starting with each symbol (one row per symbol,
-    so at most 2 × vocabulary size rows)."""
-    top = counts.orderBy(F.desc("n"), "a", "b").limit(TIE_PROBE) \
-        .select(F.lit("t").alias("k"), "a", "b", "n")
-    if with_maxima:
-        ends = counts.groupBy("b").agg(F.max("n").alias("n")) \
-            .select(F.lit("e").alias("k"), F.lit(None).cast("string").alias("a"), "b", "n")
-        starts = counts.groupBy("a").agg(F.max("n").alias("n")) \
-            .select(F.lit("s").alias("k"), "a", F.lit(None).cast("string").alias("b"), "n")
-        top = top.unionByName(ends).unionByName(starts)
-    rows = top.collect()
-    tops = sorted((r for r in rows if r["k"] == "t"), key=lambda r: (-int(r["n"]), r["a"], r["b"]))
-    return (tops, {r["b"]: int(r["n"]) for r in rows if r["k"] == "e"},
-            {r["a"]: int(r["n"]) for r in rows if r["k"] == "s"})
-
-
-def _batch_picks(top, first, ends: dict, starts: dict, used_surfaces, room: int,
-                 min_freq: int, tie_probe_full: bool) -> list[tuple[str, str, int]]:
-    """Extend the first pick with later probe candidates while the result is
-    provably what one-merge-per-round would choose next (SURVEY §7.3):
-
-    * symbols disjoint from every earlier pick, and not a self pair;
-    * count strictly above the largest count any pair created by earlier picks
-      can reach: for pick (a, b) that is max(min(n_ab, max_x n(x, a)),
-      min(n_ab, max_y n(b, y)));
-    * count not tied with the next candidate (tie order would need first-seen);
-    * the usual stop rules (min_freq, vocabulary room, surface already present).
-    The first candidate that fails ends the batch; none is ever skipped.
-    """
-    a0, b0, n0 = first
-    cand = [(r["a"], r["b"], int(r["n"])) for r in top if (r["a"], r["b"]) != (a0, b0)]
-    if room <= 1 or not cand:
-        return [first]
-
-    def bound(a, b, n):
-        return max(min(n, ends.get(a, 0)), min(n, starts.get(b, 0)))
-
-    picks, used = [first], {a0, b0}
-    limit = bound(a0, b0, n0)
-    new_surfaces = {a0 + b0}
-    for i, (a, b, n) in enumerate(cand):
-        if len(picks) >= room or n < min_freq or n <= limit or a == b:
-            break
-        nxt_tied = (cand[i + 1][2] == n) if i + 1 < len(cand) else tie_probe_full
-        if nxt_tied or a in used or b in used:
-            break
-        if a + b in used_surfaces or a + b in new_surfaces:
-            break
-        picks.append((a, b, n))
-        used |= {a, b}
-        new_surfaces.add(a + b)
-        limit = max(limit, bound(a, b, n))
-    return picks
+        .alias("_wpos", "text")).where(F.length("text") > 0)
+    return words.groupBy("text").agg(F.count(F.lit(1)).alias("w"),
+                                     F.min(F.struct("_k", "_wpos")).alias("first"))
 
 
 def train_bpe(sequences: DataFrame, vocab_size: int = 32000, min_freq: int = 2,
               specials: Sequence[str] | None = None, mode: str = "line",
               lowercase: bool = False, byte_fallback: bool = True,
-              tie_break: str = "first_seen", batch: bool = True, checkpoint_every: int = 20) -> BpeModel:
+              tie_break: str = "first_seen", hot: int = HOT, log: str | None = None,
+              max_rounds: int | None = None) -> BpeModel:
     """Learn merges until the vocabulary is full or a stop rule fires.
 
     Stop rules (in order): no pairs left; best count < ``min_freq``; the merged
     surface is already a token.  ``tie_break``: ``first_seen`` (earliest
     occurrence in corpus order) or ``smallest`` (lexicographically smallest
     (a, b) surfaces).  ``sequences`` is the output of ``line_sequences`` /
-    ``word_sequences``.
-
-    ``batch`` applies several merges per round when that provably equals one
-    merge per round.  Pair counts are maintained by delta at every size: the
-    rows that a round's merges change are counted before and after.
+    ``word_sequences``.  ``log`` is a folder that keeps the merges of every round, from
+    which a later call goes on; ``max_rounds`` ends early.
     """
     specials = list(DEFAULT_SPECIALS if specials is None else specials)
     vocab = base_vocab(specials)
-    surfaces = {t for t, _, k in vocab if k != "special"}
-    merges: list[tuple[str, str, int]] = []
-    stop = "vocab_full"
-
-    seqs = cut_lineage(sequences.select("q", "w", "first"))
-    counts = cut_lineage(pair_counts(seqs).where(F.col("n") != 0))
-    rounds = 0
-    held = None    # cached state of the current sequences (unpersisted once replaced)
-    stale = []     # caches that may be dropped after the next materialization
-    while len(vocab) < vocab_size:
-        top, ends, starts = _probe(counts, batch)
-        for df in stale:
-            df.unpersist()
-        stale = []
-        if not top:
-            stop = "no_pairs"
-            break
-        best_n = int(top[0]["n"])
-        if best_n < min_freq:
-            stop = "min_freq"
-            break
-        tied = [(r["a"], r["b"]) for r in top if int(r["n"]) == best_n]
-        probe_full = len(top) == TIE_PROBE
-        if len(tied) == 1:
-            a, b = tied[0]
-        elif tie_break == "smallest":
-            a, b = tied[0]  # the probe is ordered by (n desc, a, b): this is the smallest
-        elif len(tied) < len(top) or not probe_full:
-            a, b = _first_seen(seqs, tied)
-        else:  # more ties than the probe saw: resolve over all of them, still exact
-            a, b = _first_seen(seqs, counts.where(F.col("n") == best_n))
-        if a + b in surfaces:
-            stop = "exists"
-            break
-        picks = [(a, b, best_n)]
-        # Batching needs the probe order to be the true order among equal counts:
-        # only with the "smallest" rule, or when the first pick had no tie.
-        if batch and (tie_break == "smallest" or len(tied) == 1):
-            picks = _batch_picks(top, (a, b, best_n), ends, starts, surfaces,
-                                 vocab_size - len(vocab), min_freq, probe_full)
-        for pa, pb, pn in picks:
-            merges.append((pa, pb, pn))
-            surfaces.add(pa + pb)
-            vocab.append((pa + pb, len(vocab), "merge"))
-            log.info("merge %d: %s + %s (%d)", len(merges) - 1, pa, pb, pn)
-        rounds += 1
-
-        # Apply the round's merges (disjoint symbols: order does not matter).
-        hit = None
-        q = F.col("q")
-        for pa, pb, _ in picks:
-            pat = f"<{pa}><{pb}>"
-            c = F.col("q").contains(pat)
-            hit = c if hit is None else (hit | c)
-            q = F.replace(q, F.lit(pat), F.lit(f"<{pa + pb}>"))
-        stepped = seqs.select(F.when(hit, q).otherwise(F.col("q")).alias("q"), "w", "first",
-                              F.when(hit, F.col("q")).alias("prev"))
-        if rounds % checkpoint_every == 0:
-            stepped = cut_lineage(stepped)
-        else:
-            stepped = stepped.persist(StorageLevel.MEMORY_AND_DISK)
-        new_seqs = stepped.select("q", "w", "first")
-        if held is not None:
-            stale.append(held)
-        seqs, held = new_seqs, stepped
-        changed = stepped.where(F.col("prev").isNotNull())
-        delta = _pairs(changed.select(F.col("prev").alias("q"), "w"), -1) \
-            .unionByName(_pairs(changed.select("q", "w"), 1))
-        merged = counts.unionByName(delta.select("a", "b", F.col("w").alias("n"))) \
-            .groupBy("a", "b").agg(F.sum("n").alias("n"))
-        # A delta refers to the previous counts and twice to the sequences; nesting
-        # those plans round after round grows them without bound, so the (small)
-        # counts table is checkpointed every round.
-        counts = cut_lineage(merged.where(F.col("n") != 0))
-    for df in stale + [d for d in (held,) if d is not None]:
-        df.unpersist()
+    if tie_break == "smallest":
+        sequences = sequences.select("text", "w")
+    merges, stop = learn_merges(sequences, len(vocab), max(0, vocab_size - len(vocab)), min_freq,
+                                tie_break, hot, log, max_rounds)
+    vocab += [(a + b, len(vocab) + i, "merge") for i, (a, b, _) in enumerate(merges)]
     return BpeModel(merges=merges, vocab=vocab, specials=specials, mode=mode,
                     lowercase=lowercase, byte_fallback=byte_fallback, vocab_size=vocab_size,
                     min_freq=min_freq, stop_reason=stop)

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from ..functions.text import WORD_PATTERN, normalize
 from ..session import ship_package
 from .bpe import BpeModel
+from .kernels import gather, merge_by_rank, merge_set_fixpoint, pair_table, utf8_ids
 
 
 def _ship_active() -> None:
@@ -37,88 +38,6 @@ def _ship_active() -> None:
         ship_package(s)
 
 
-# ---------------------------------------------------------------------------
-# numpy kernels
-# ---------------------------------------------------------------------------
-def _segment_ids(offsets: np.ndarray) -> np.ndarray:
-    lengths = np.diff(offsets)
-    return np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-
-
-def _pair_table(triples, width: int):
-    keys = np.array([a * width + b for a, b, _ in triples], dtype=np.int64)
-    vals = np.array([c for _, _, c in triples], dtype=np.int64)
-    ranks = np.arange(len(triples), dtype=np.int64)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], vals[order], ranks[order]
-
-
-def _lookup(keys_sorted, probe):
-    if len(keys_sorted) == 0:
-        return np.zeros(len(probe), bool), np.zeros(len(probe), np.int64)
-    idx = np.searchsorted(keys_sorted, probe)
-    idx_c = np.minimum(idx, len(keys_sorted) - 1)
-    return keys_sorted[idx_c] == probe, idx_c
-
-
-def _apply_positions(ids, offsets, merge_at, new_ids):
-    """Replace ids[p] by new_ids for p in merge_at and drop ids[p+1]."""
-    ids = ids.copy()
-    ids[merge_at] = new_ids
-    keep = np.ones(len(ids), bool)
-    keep[merge_at + 1] = False
-    seg = _segment_ids(offsets)
-    removed = np.bincount(seg[merge_at], minlength=len(offsets) - 1)
-    new_offsets = offsets - np.concatenate([[0], np.cumsum(removed)])
-    return ids[keep], new_offsets
-
-
-def merge_set_fixpoint(ids, offsets, table, width):
-    """T2 line-mode rule, vectorized across all segments of a batch."""
-    keys_sorted, vals, _ = table
-    while len(ids) > 1:
-        seg = _segment_ids(offsets)
-        same = seg[:-1] == seg[1:]
-        found, idx = _lookup(keys_sorted, ids[:-1] * width + ids[1:])
-        m = found & same
-        if not m.any():
-            break
-        pos = np.flatnonzero(m)
-        # run starts: m[p] and not m[p-1]
-        prev = np.concatenate([[False], m[:-1]])
-        starts = m & ~prev
-        run_start = np.maximum.accumulate(np.where(starts, np.arange(len(m)), 0))
-        pick = pos[((pos - run_start[pos]) % 2) == 0]
-        ids, offsets = _apply_positions(ids, offsets, pick, vals[idx[pick]])
-    return ids, offsets
-
-
-def merge_by_rank(ids, offsets, table, width):
-    """Rank-ordered BPE per segment (word mode), vectorized across segments."""
-    keys_sorted, vals, ranks = table
-    big = np.iinfo(np.int64).max
-    while len(ids) > 1:
-        seg = _segment_ids(offsets)
-        same = seg[:-1] == seg[1:]
-        found, idx = _lookup(keys_sorted, ids[:-1] * width + ids[1:])
-        m = found & same
-        if not m.any():
-            break
-        r = np.where(m, ranks[idx], big)
-        pseg = seg[:-1]
-        best = np.full(len(offsets) - 1, big, np.int64)
-        np.minimum.at(best, pseg, r)
-        cand = m & (r == best[pseg])
-        # greedy non-overlap among equal pairs: runs of candidates, every other
-        prev = np.concatenate([[False], cand[:-1]])
-        starts = cand & ~prev
-        run_start = np.maximum.accumulate(np.where(starts, np.arange(len(cand)), 0))
-        pos = np.flatnonzero(cand)
-        pick = pos[((pos - run_start[pos]) % 2) == 0]
-        ids, offsets = _apply_positions(ids, offsets, pick, vals[idx[pick]])
-    return ids, offsets
-
-
 def _to_arrow_lists(ids, offsets, prefix=None, suffix=None) -> pa.Array:
     if prefix is not None or suffix is not None:
         lengths = np.diff(offsets)
@@ -142,16 +61,6 @@ def _to_arrow_lists(ids, offsets, prefix=None, suffix=None) -> pa.Array:
 # ---------------------------------------------------------------------------
 # Arrow plumbing
 # ---------------------------------------------------------------------------
-def utf8_ids(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Arrow string array → (byte values int64, offsets int64[len+1]); NULL = ''."""
-    arr = arr.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset:arr.offset + len(arr) + 1]
-    buf = arr.buffers()[2]
-    data = np.frombuffer(buf, dtype=np.uint8) if buf is not None else np.zeros(0, np.uint8)
-    data = data[offsets[0]:offsets[-1]]
-    return data.astype(np.int64), (offsets - offsets[0]).astype(np.int64)
-
-
 def list_ids(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Arrow list<int> array → (flat int64, offsets int64[len+1]); NULL = []."""
     arr = arr.cast(pa.large_list(pa.int64()))
@@ -170,7 +79,7 @@ class Codec:
         ids = model.token_ids()
         self.mode = model.mode
         self.width = max(i for _, i, _ in model.vocab) + 1
-        self.table = _pair_table(model.merge_triples(), self.width)
+        self.table = pair_table(model.merge_triples(), self.width)
         self.byte_ids = np.array([ids[f"{b:02X}"] for b in range(256)], np.int64)
         self.bos = model.special_id("<bos>") if add_bos else None
         self.eos = model.special_id("<eos>") if add_eos else None
@@ -200,14 +109,7 @@ class Codec:
         data, offsets = utf8_ids(enc.dictionary)
         ids, offsets = merge_by_rank(self.byte_ids[data], offsets, self.table, self.width)
         codes = np.asarray(enc.indices.fill_null(0), np.int64)
-        lens = np.diff(offsets)[codes]
-        # gather each word occurrence's ids in order
-        occ_start = offsets[:-1][codes]
-        rep = np.repeat(np.arange(len(codes)), lens)
-        within = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(
-            np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
-        out = ids[occ_start[rep] + within] if len(rep) else np.zeros(0, np.int64)
-        word_tok_off = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+        out, word_tok_off = gather(ids, offsets, codes)  # each occurrence's ids in order
         row_off = word_tok_off[woffs]
         return _to_arrow_lists(out, row_off, self.bos, self.eos)
 

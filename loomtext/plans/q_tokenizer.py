@@ -51,6 +51,23 @@ def word_model(spark, sf_dir, n_merges: int = WORD_MERGES):
     return _MODELS[key]
 
 
+#: The size that the reference trains to.
+VOCAB, MIN_FREQ = 32_000, 2
+#: A least count that ends training before the vocabulary is full.
+RARE = 64
+
+
+def full_model(spark, sf_dir, mode: str, min_freq: int = MIN_FREQ):
+    """The tokenizer of 32,000 tokens, trained once per application and state of the input."""
+    key = (mode, _identity(spark, sf_dir), VOCAB, min_freq)
+    if key not in _MODELS:
+        train, specials = {"line": (B.train_line_bpe, DEFAULT_SPECIALS),
+                           "word": (B.train_word_bpe, WORD_SPECIALS)}[mode]
+        _MODELS[key] = train(doc_lines(spark, sf_dir), ["doc_id", "line_no"], vocab_size=VOCAB,
+                             min_freq=min_freq, specials=specials)
+    return _MODELS[key]
+
+
 def bpe_oracle_sql(n_merges: int, lowercase: bool = False) -> str:
     """Unrolled DuckDB CTE: one pair count + top-1 + replace per merge."""
     text = "lower(line)" if lowercase else "line"
@@ -486,3 +503,62 @@ def q_bpe_merges_lower(spark, sf_dir):
                                         vocab_size=256 + len(DEFAULT_SPECIALS) + 8, min_freq=2,
                                         lowercase=True)
     return _MODELS[key].merges_df(spark)
+
+
+@register("bpe_merges_full")
+def q_bpe_merges_full(spark, sf_dir):
+    """Line-BPE merges up to a vocabulary of 32,000 (or until no pair occurs twice)."""
+    m = full_model(spark, sf_dir, "line")
+    return m.merges_df(spark).withColumn("stop_reason", F.lit(m.stop_reason))
+
+
+@register("word_bpe_merges_full")
+def q_word_bpe_merges_full(spark, sf_dir):
+    """Word-BPE merges up to a vocabulary of 32,000, 7 specials, least count 2."""
+    m = full_model(spark, sf_dir, "word")
+    return m.merges_df(spark).withColumn("stop_reason", F.lit(m.stop_reason))
+
+
+@register("bpe_merges_min_freq")
+def q_bpe_merges_min_freq(spark, sf_dir):
+    """Line-BPE merges until no pair occurs 64 times."""
+    m = full_model(spark, sf_dir, "line", RARE)
+    return m.merges_df(spark).withColumn("stop_reason", F.lit(m.stop_reason))
+
+
+@register("word_bpe_merges_min_freq")
+def q_word_bpe_merges_min_freq(spark, sf_dir):
+    """Word-BPE merges until no pair occurs 64 times."""
+    m = full_model(spark, sf_dir, "word", RARE)
+    return m.merges_df(spark).withColumn("stop_reason", F.lit(m.stop_reason))
+
+
+@register("bpe_encode_full")
+def q_bpe_encode_full(spark, sf_dir):
+    """Every line encoded by the line tokenizer of 32,000 tokens, with BOS and EOS."""
+    enc = X.encode(doc_lines(spark, sf_dir), full_model(spark, sf_dir, "line"), "line", "ids",
+                   add_bos=True, add_eos=True)
+    return enc.where("length(line) > 0").select("doc_id", "line_no", "ids")
+
+
+@register("word_bpe_encode_full")
+def q_word_bpe_encode_full(spark, sf_dir):
+    """I4: every line encoded by the word tokenizer of 32,000 tokens."""
+    enc = X.encode(doc_lines(spark, sf_dir), full_model(spark, sf_dir, "word"), "line", "ids")
+    return enc.where("length(line) > 0").select("doc_id", "line_no", "ids")
+
+
+@register("bpe_roundtrip_full", oracle=f"""
+SELECT doc_id, count(*) AS n_lines, CAST(sum(octet_length(encode(line))) AS BIGINT) AS n_bytes,
+       sum(length(line))::BIGINT AS n_chars
+FROM ({DOC_LINES_SQL}) WHERE length(line) > 0 GROUP BY doc_id
+""")
+def q_bpe_roundtrip_full(spark, sf_dir):
+    """L1: lines, bytes and characters of what the tokenizer of 32,000 decodes; only lines
+    that come back as they went in are counted."""
+    model = full_model(spark, sf_dir, "line")
+    lines = doc_lines(spark, sf_dir).where("length(line) > 0")
+    back = X.decode(X.encode(lines, model, "line", "ids"), model, "ids", "back")
+    return back.where("line = back").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("back")).cast("long").alias("n_bytes"),
+        F.sum(F.char_length("back")).cast("long").alias("n_chars"))

@@ -24,22 +24,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: Sequence[str] | None = None, balance: bool = True) -> DataFrame:
     """A1: scan one named table (parquet) with column pruning.
 
-    A table that scans as one split (at most ``spark.sql.files.maxPartitionBytes``)
-    would run the whole first stage in one task.  With ``balance`` such a table
-    is dealt round-robin; a table of more splits is never shuffled, whatever
-    the number of slots.
+    A small table (at most ``spark.sql.files.maxPartitionBytes``) may lie in one row
+    group, whatever the number of splits, and one task would run its whole first stage.
+    With ``balance`` such a table is dealt round-robin; a larger one is never shuffled.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    small = balance and _scan_bytes(df) <= _split_bytes(spark)
     if columns:
         df = df.select(*columns)
-    if balance:
-        try:
-            one_split = df.rdd.getNumPartitions() <= 1
-        except Exception:  # no RDD view (remote session): leave the scan as is
-            one_split = False
-        if one_split:
-            df = df.repartition(parallelism(spark))
-    return df
+    return df.repartition(parallelism(spark)) if small else df
+
+
+def _scan_bytes(df: DataFrame) -> float:
+    """Bytes of the scanned files, from the plan (unknown on a remote session: infinite)."""
+    try:
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    except AttributeError:
+        return float("inf")
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
 def read_text_lines(spark: SparkSession, paths: Sequence[str] | str,

@@ -155,14 +155,14 @@ def test_batched_training_equals_brute_on_random_corpora(spark, seed):
     lines = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)],
                                   "doc_id long, line_no int, line string")
     want, why = brute.train(texts, 30, min_freq=2)
-    for kw in ({"batch": True}, {"batch": False}):
+    for kw in ({"hot": 16}, {"hot": 1}):
         m = bpe.train_line_bpe(lines, vocab_size=260 + 30, min_freq=2, **kw)
         assert m.merges == want, kw
         assert m.stop_reason == why or (why == "vocab_full" and len(m.merges) == 30)
 
 
 def test_batched_training_more_merges_on_corpus(spark, lines, local_lines):
-    m = bpe.train_line_bpe(lines, vocab_size=260 + 40, min_freq=2, batch=True)
+    m = bpe.train_line_bpe(lines, vocab_size=260 + 40, min_freq=2, hot=64)
     want, _ = brute.train(local_lines, 40)
     assert m.merges == want
 

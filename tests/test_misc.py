@@ -109,3 +109,17 @@ def test_streaming_bpe_encode_equals_batch(spark, sf):
     got = ingest.run_to_table(spark, enc.select("doc_id", "line_no", "ids"), "bpe_stream")
     want = codec.encode(lines, m, "line", "ids").select("doc_id", "line_no", "ids")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_small_tables_are_dealt_and_large_ones_never(spark, tmp_path):
+    from loomtext.sources.tables import read_table
+    spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    rows = [len(p) for p in read_table(spark, str(tmp_path), "t").rdd.glom().collect()]
+    assert len(rows) > 1 and min(rows) > 0
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024b")
+    try:
+        plan = read_table(spark, str(tmp_path), "t")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "Repartition" not in plan
