@@ -22,12 +22,14 @@ it: 2 log_FAN(blocks) small jobs, the same path at every size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.permute import permuted
 from ..functions.schedule import cosine_warmup
 from ..session import cut_lineage, ship_package
 from .positions import exclusive_prefix_sum
@@ -327,29 +329,39 @@ def window_count(n_tokens: int, length: int, stride: int | None = None) -> int:
     return max(0, (int(n_tokens) - int(length)) // int(stride or length) + 1) if n_tokens >= length else 0
 
 
+def steps_of(n_windows: int, batch_size: int, grad_accum: int, epochs: float) -> int:
+    """Optimizer steps that draw every window ``epochs`` times."""
+    return math.ceil(epochs * n_windows / (batch_size * grad_accum))
+
+
 def batch_plan(indexed: DataFrame | None, batch_size: int, grad_accum: int, max_steps: int,
                warmup: int, base_lr: float, start_step: int = 0, n_windows: int | None = None,
-               spark=None) -> DataFrame:
+               spark=None, seed: int | None = None) -> DataFrame:
     """Draws d = 0.. of an endless loader over W windows.
 
     draw d → step = start + d // (B·A), micro = (d // B) % A, slot = d % B,
     window = index d mod W; each row carries the step's learning rate.  Windows
     in their own order are numbered densely already: then ``n_windows`` (a count
-    of tokens) replaces ``indexed`` (idx, window_id) and no window is built.
+    of tokens) replaces ``indexed`` (idx, window_id) and no window is built.  With
+    ``seed`` every epoch d // W draws all windows once, in an order of its own
+    (a permutation computed per row: nothing is sorted or joined).
     """
     spark = spark or indexed.sparkSession
     W = indexed.count() if n_windows is None else int(n_windows)  # one scalar
     if W == 0:
         return spark.createDataFrame([], "step long, micro int, slot int, window_id long, lr double")
     B, A = int(batch_size), int(grad_accum)
-    n_draws = max(0, int(max_steps) - int(start_step)) * B * A
-    draws = spark.range(n_draws).select(
-        (F.lit(start_step) + F.floor(F.col("id") / (B * A))).cast("long").alias("step"),
-        (F.floor(F.col("id") / B) % A).cast("int").alias("micro"),
-        (F.col("id") % B).cast("int").alias("slot"),
-        F.pmod(F.col("id"), F.lit(W)).alias("idx"))
+    first, last = int(start_step) * B * A, max(int(start_step), int(max_steps)) * B * A
+    d = F.col("id")
+    # a restart at a later step goes on in the same epoch; without a seed it starts over
+    at = d if seed is not None else d - first
+    index = F.pmod(at, F.lit(W))
+    draws = spark.range(first, last).select(
+        F.floor(d / (B * A)).cast("long").alias("step"),
+        (F.floor(d / B) % A).cast("int").alias("micro"),
+        (d % B).cast("int").alias("slot"),
+        (index if seed is None else permuted(index, W, seed, F.floor(d / W))).alias("idx"))
     plan = draws.withColumnRenamed("idx", "window_id") if indexed is None \
         else draws.join(indexed.select("idx", "window_id"), "idx")
     return plan.select("step", "micro", "slot", "window_id",
                        cosine_warmup(F.col("step"), warmup, max_steps, base_lr).alias("lr"))
-

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.permute import rounds_sql
 from ..functions.text import byte_ids
 from ..operators import pack as P
 from ..operators import quality as Q
@@ -17,8 +18,9 @@ from .q_corpus import DOC_LINES_SQL, doc_lines
 
 SHARD_TOKENS = 50_000
 WINDOW = 256
-# 400 steps of 32 windows: more than one epoch at sf0.01, so the loader wraps around.
-BATCH, ACCUM, STEPS, WARMUP, LR = 8, 4, 400, 10, 3.0e-4
+#: The loader wraps around: one and a half epochs.
+BATCH, ACCUM, EPOCHS, WARMUP, LR = 8, 4, 1.5, 10, 3.0e-4
+SEED = 42
 
 SPLIT_LINES_SQL = f"""
   SELECT CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, doc_id, line_no, line,
@@ -148,23 +150,48 @@ def q_next_token_xy(spark, sf_dir):
     return P.xy(P.windows(byte_offsets(spark, sf_dir), WINDOW)).select("split", "window_id", "x", "y")
 
 
+_LR_SQL = f"""round(CASE WHEN step < {WARMUP} THEN {LR} * step / {WARMUP}
+            ELSE {LR} * 0.5 * (1 + cos(pi() * (step - {WARMUP}) / greatest(1, steps - {WARMUP}))) END, 12)"""
+_DRAWS_SQL = f"""
+w AS (SELECT window_id FROM ({WINDOWS_SQL}) WHERE split = 'train'),
+n AS (SELECT count(*) AS nw, CAST(ceil({EPOCHS} * count(*) / {BATCH * ACCUM}) AS BIGINT) AS steps FROM w),
+d AS (SELECT unnest(range(steps * {BATCH * ACCUM})) AS d, nw, steps FROM n)"""
+
+
 @register("batch_plan", oracle=f"""
-WITH w AS (SELECT window_id FROM ({WINDOWS_SQL}) WHERE split = 'train'),
-n AS (SELECT count(*) AS nw FROM w),
-d AS (SELECT range AS d FROM range({STEPS * BATCH * ACCUM}))
-SELECT CAST(d // {BATCH * ACCUM} AS BIGINT) AS step, CAST((d // {BATCH}) % {ACCUM} AS INTEGER) AS micro,
-       CAST(d % {BATCH} AS INTEGER) AS slot, w.window_id,
-       round(CASE WHEN d // {BATCH * ACCUM} < {WARMUP}
-            THEN {LR} * (d // {BATCH * ACCUM}) / {WARMUP}
-            ELSE {LR} * 0.5 * (1 + cos(pi() * ((d // {BATCH * ACCUM}) - {WARMUP}) / ({STEPS} - {WARMUP})))
-       END, 12) AS lr
-FROM d, n JOIN w ON w.window_id = d.d % n.nw
+WITH {_DRAWS_SQL}
+SELECT d // {BATCH * ACCUM} AS step, CAST((d // {BATCH}) % {ACCUM} AS INTEGER) AS micro,
+       CAST(d % {BATCH} AS INTEGER) AS slot, w.window_id, {_LR_SQL} AS lr
+FROM (SELECT *, d // {BATCH * ACCUM} AS step FROM d) d JOIN w ON w.window_id = d.d % d.nw
 """)
 def q_batch_plan(spark, sf_dir):
-    """400 steps × 4 micro-steps × 8 windows over the train windows; the
-    loader starts over when they are used up."""
+    """One and a half epochs of 4 micro-steps x 8 windows over the train
+    windows in their order; the loader starts over when they are used up."""
+    return _plan(spark, sf_dir, None)
+
+
+@register("batch_plan_shuffled", oracle=f"""
+WITH RECURSIVE {_DRAWS_SQL},
+side AS (SELECT *, CAST(ceil(sqrt(nw)) AS BIGINT) AS a, CAST(ceil(nw / ceil(sqrt(nw))) AS BIGINT) AS b FROM n),
+walk AS (
+  {rounds_sql("(d % nw)", "a", "b", SEED, "d // nw",
+              "(SELECT d.d, d.nw, d.steps, side.a, side.b FROM d, side)", "d, nw, steps, a, b")}
+  UNION ALL
+  {rounds_sql("x_", "a", "b", SEED, "d // nw", "walk WHERE x_ >= nw", "d, nw, steps, a, b")})
+SELECT step, CAST((d // {BATCH}) % {ACCUM} AS INTEGER) AS micro, CAST(d % {BATCH} AS INTEGER) AS slot,
+       x_ AS window_id, {_LR_SQL} AS lr
+FROM (SELECT *, d // {BATCH * ACCUM} AS step FROM walk WHERE x_ < nw)
+""")
+def q_batch_plan_shuffled(spark, sf_dir):
+    """The same, each epoch in a seeded order of its own."""
+    return _plan(spark, sf_dir, SEED)
+
+
+def _plan(spark, sf_dir, seed):
     total = line_lengths(spark, sf_dir).where(F.col("split") == "train").agg(F.sum("n")).first()[0] or 0
-    plan = P.batch_plan(None, BATCH, ACCUM, STEPS, WARMUP, LR, n_windows=P.window_count(total, WINDOW), spark=spark)
+    count = P.window_count(total, WINDOW)
+    plan = P.batch_plan(None, BATCH, ACCUM, P.steps_of(count, BATCH, ACCUM, EPOCHS), WARMUP, LR,
+                        n_windows=count, spark=spark, seed=seed)
     return plan.withColumn("lr", F.round("lr", 12))
 
 
