@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import byte_ids
 from ..operators import ngram as G
 from ..operators import pack as P
+from ..operators import vocab_dist as D
 from ..session import cut_lineage
 from ..sources.tables import read_table
 from .catalog import register
@@ -297,3 +298,77 @@ def q_sample_continue(spark, sf_dir):
     with ties, seeded draws)."""
     lg = G.next_token_logits(train_bigram(spark, sf_dir))
     return G.continue_sampled(prompts(spark, sf_dir), lg, NEW_TOKENS, temp=TEMP, k=TOPK, seed=CONTINUE_SEED)
+
+
+# ---------------------------------------------------------------------------
+# the whole vocabulary: unseen tokens have their smoothed mass
+# ---------------------------------------------------------------------------
+WHOLE_SQL = f"""
+  SELECT c.a AS ctx, v.t AS token, c.ctx_n, (coalesce(m.n, 0) + {K}) / (c.ctx_n + {K} * {V}) AS p, m.n IS NOT NULL AS known
+  FROM (SELECT DISTINCT a, ctx_n FROM ({BIGRAM_SQL})) c
+  JOIN (SELECT CAST(range AS INTEGER) AS t FROM range({V})) v ON true
+  LEFT JOIN ({BIGRAM_SQL}) m ON m.a = c.a AND m.b = v.t
+"""
+WHOLE_SOFTMAX_SQL = f"""
+  SELECT ctx, token, known, z / sum(z) OVER (PARTITION BY ctx) AS prob
+  FROM (SELECT *, exp(ln(p) / {TEMP} - max(ln(p) / {TEMP}) OVER (PARTITION BY ctx)) AS z FROM ({WHOLE_SQL}))
+"""
+
+
+def whole_dist(spark, sf_dir):
+    return D.whole_softmax(train_bigram(spark, sf_dir), V, K, TEMP)
+
+
+@register("next_token_softmax_all", oracle=f"""
+SELECT ctx, token, round(prob, 9) AS prob FROM ({WHOLE_SOFTMAX_SQL})
+""")
+def q_softmax_all(spark, sf_dir):
+    """H8/H9: the softmax of each context over all 256 tokens, seen or not."""
+    return D.tokens(whole_dist(spark, sf_dir)).select("ctx", "token", F.round("prob", 9).alias("prob"))
+
+
+@register("next_token_topp_all", oracle=f"""
+SELECT ctx, token, round(prob, 9) AS prob FROM (
+  SELECT *, coalesce(sum(prob) OVER (PARTITION BY ctx ORDER BY round(prob, 14) DESC, token
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM ({WHOLE_SOFTMAX_SQL}))
+WHERE before < {TOPP} - 1e-12
+""")
+def q_topp_all(spark, sf_dir):
+    """nucleus 0.9 over all 256 tokens."""
+    return D.tokens(D.top_p(whole_dist(spark, sf_dir), TOPP)).select("ctx", "token", F.round("prob", 9).alias("prob"))
+
+
+@register("next_token_topk_all", oracle=f"""
+SELECT ctx, token, round(prob, 9) AS prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(prob, 14) DESC, token) AS r
+  FROM ({WHOLE_SOFTMAX_SQL})) WHERE r <= 40
+""")
+def q_topk_all(spark, sf_dir):
+    """exactly 40 tokens per context; contexts with fewer seen ones go on with unseen."""
+    return D.tokens(D.top_k_exact(whole_dist(spark, sf_dir), 40)) \
+        .select("ctx", "token", F.round("prob", 9).alias("prob"))
+
+
+@register("next_token_sample_all", oracle=f"""
+WITH s AS ({WHOLE_SOFTMAX_SQL}),
+r AS (SELECT ctx, count(*) AS rest, max(prob) AS rest_p, list(token ORDER BY token) AS unseen
+      FROM s WHERE NOT known GROUP BY ctx),
+race AS (
+  SELECT ctx, token, -ln({_u(DRAW_SEED, 'ctx', 'token')}) / prob AS t FROM s WHERE known
+  UNION ALL
+  SELECT ctx, unseen[CAST(floor({_u(DRAW_SEED, 'ctx', "'which'")} * rest) AS BIGINT) + 1],
+         -ln({_u(DRAW_SEED, 'ctx', "'rest'")}) / (rest * rest_p) FROM r)
+SELECT ctx, arg_min(token, t) AS token FROM race GROUP BY ctx
+""")
+def q_sample_all(spark, sf_dir):
+    """one seeded draw per context over all 256 tokens."""
+    return D.draw(whole_dist(spark, sf_dir), DRAW_SEED)
+
+
+@register("sample_continue_all")
+def q_sample_continue_all(spark, sf_dir):
+    """Every benchmark item continued by 16 draws over the whole vocabulary (T = 0.8,
+    nucleus 0.9)."""
+    return D.continue_sampled(prompts(spark, sf_dir), D.top_p(whole_dist(spark, sf_dir), TOPP), V, NEW_TOKENS,
+                              seed=CONTINUE_SEED)
