@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_ids
+from ..operators import vector_search as VS
 from ..operators import vectors as Vx
 from ..sources.tables import read_table
 from .catalog import register
@@ -78,3 +79,20 @@ def q_doc_embedding(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     out = Vx.embed_tokens(counts, emb, "doc_id")
     return out.select("doc_id", _round_vec("mean").alias("mean"))
+
+
+@register("vector_search", oracle=f"""
+SELECT query, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT q.vec_id AS query, e.vec_id, s.score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY s.score DESC, e.vec_id) AS rank
+  FROM embeddings q JOIN embeddings e ON len(q.embedding) = len(e.embedding),
+       LATERAL (SELECT round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score) s
+  WHERE q.vec_id % 100 = 0) WHERE rank <= {TOPK}
+""")
+def q_vector_search(spark, sf_dir):
+    """The 10 vectors with the largest dot product for every vec_id divisible by 100,
+    against all rows."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    out = VS.search(emb, emb.where("vec_id % 100 = 0"), TOPK)
+    return out.select("query", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"),
+                      F.col("rank").cast("int").alias("rank"))
