@@ -168,6 +168,12 @@ def encode(df: DataFrame, model: BpeModel, text_col: str = "line", out_col: str
     return out.drop("_enc_in")
 
 
+def byte_ids_of(df: DataFrame, text_col: str = "line", out_col: str = "ids") -> DataFrame:
+    """H1 as ids: add the UTF-8 bytes of a text, straight from the Arrow buffers."""
+    return _map_column(df, text_col, out_col, T.ArrayType(T.IntegerType()),
+                       lambda texts: _to_arrow_lists(*utf8_ids(texts)))
+
+
 def decode(df: DataFrame, model: BpeModel, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """Ids → text.  Bytes are concatenated in order (the reversible contract,
     T3); specials are skipped (B6); malformed UTF-8 becomes U+FFFD (H6)."""

@@ -38,11 +38,12 @@ from .positions import exclusive_prefix_sum
 # ---------------------------------------------------------------------------
 # offsets
 # ---------------------------------------------------------------------------
-def token_offsets(encoded: DataFrame, order_cols: Sequence[str], ids_col: str = "ids",
+def token_offsets(encoded: DataFrame, order_cols: Sequence[str], ids_col: str | None = "ids",
                   split_col: str = "split", blocks: int | None = None,
                   encode=None) -> DataFrame:
     """Add ``n`` (tokens), ``start`` (tokens before the line inside its split)
-    and ``_blk``.  Zero-token lines are dropped first (B5).
+    and ``_blk``.  Zero-token lines are dropped first (B5).  With ``ids_col=None`` the
+    rows bring ``n`` themselves, where only lengths are needed.
 
     With ``encode`` (a row-local step producing ``ids_col``), ``encoded`` holds
     the raw lines and the step runs after the range shuffle, so the range
@@ -51,7 +52,8 @@ def token_offsets(encoded: DataFrame, order_cols: Sequence[str], ids_col: str =
     def sized(df: DataFrame) -> DataFrame:
         if encode is not None:
             df = encode(df)
-        return df.withColumn("n", F.size(ids_col).cast("long")).where(F.col("n") > 0)
+        n = F.size(ids_col) if ids_col else F.col("n")
+        return df.withColumn("n", n.cast("long")).where(F.col("n") > 0)
 
     keyed = [split_col, *order_cols]
     # the running total restarts for every split (split leads the order key)
@@ -232,29 +234,51 @@ def shard_totals(sharded: DataFrame, split_col: str = "split") -> DataFrame:
         .withColumn("name", shard_name(split_col, "shard_id"))
 
 
+#: Shards whose files share a folder.
+SHARD_GROUP = 64
+
+
 def write_shards(sharded: DataFrame, path: str, order_cols: Sequence[str],
                  split_col: str = "split", one_dir_per_shard: bool = False) -> None:
     """A4: token-shard sink.
 
-    Default layout partitions directories by split only; files hold contiguous
-    shard ranges sorted by (shard_id, order), so parquet statistics prune a
-    shard lookup without one directory per shard (millions at scale).
+    Folders hold one split and ``SHARD_GROUP`` neighbouring shards; files in them hold
+    contiguous shard ranges sorted by (shard_id, order).  So a reader of listed shards
+    opens only their folders, without one folder per shard (millions at scale).
     ``one_dir_per_shard`` mirrors the one-file-per-shard layout.
     """
     cols = [split_col, "shard_id", *order_cols, "pos", "ids"]
-    data = sharded.select(*cols)
+    data = sharded.select(*cols, F.floor(F.col("shard_id") / SHARD_GROUP).cast("int").alias("shard_group"))
     if one_dir_per_shard:
-        data.repartition(split_col, "shard_id").write.mode("overwrite") \
+        data.drop("shard_group").repartition(split_col, "shard_id").write.mode("overwrite") \
             .partitionBy(split_col, "shard_id").parquet(path)
     else:
         data.repartitionByRange(split_col, "shard_id").sortWithinPartitions(
-            "shard_id", *order_cols).write.mode("overwrite").partitionBy(split_col).parquet(path)
+            split_col, "shard_id", *order_cols).write.mode("overwrite").partitionBy(split_col, "shard_group") \
+            .parquet(path)
 
 
-def read_shards(spark, path: str, split: str | None = None, split_col: str = "split") -> DataFrame:
-    """A5: shard scan; the split filter prunes partitions."""
+def read_shards(spark, path: str, split: str | None = None, split_col: str = "split",
+                shards: Sequence[int] | range | None = None) -> DataFrame:
+    """A5: shard scan.  A split, and a list or range of shard ids, prune the files opened.
+
+    A range becomes bounds, a list a membership test, on the folders' shard group and on
+    the shard itself (row-group statistics skip the rest).  Unknown ids give no rows.
+    """
     df = spark.read.parquet(path)
-    return df.where(F.col(split_col) == split) if split is not None else df
+    if split is not None:
+        df = df.where(F.col(split_col) == split)
+    grouped = "shard_group" in df.columns
+    if isinstance(shards, range) and shards.step == 1:
+        df = df.where(F.col("shard_id").between(shards.start, shards.stop - 1))
+        if grouped:
+            df = df.where(F.col("shard_group").between(shards.start // SHARD_GROUP, (shards.stop - 1) // SHARD_GROUP))
+    elif shards is not None:
+        listed = sorted({int(s) for s in shards})
+        df = df.where(F.col("shard_id").isin(listed))
+        if grouped:
+            df = df.where(F.col("shard_group").isin(sorted({s // SHARD_GROUP for s in listed})))
+    return df.drop("shard_group")
 
 
 # ---------------------------------------------------------------------------

@@ -9,6 +9,7 @@ holds more than a bounded number of rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,16 @@ BUCKET_ROWS = 50_000
 
 
 def rms_norm(df: DataFrame, vec_col: str = "embedding", eps: float = 1e-5,
-             out_col: str = "normed") -> DataFrame:
-    """X / sqrt(mean(x²) + eps), per row, in double precision."""
+             out_col: str = "normed", gain: Sequence[float] | None = None) -> DataFrame:
+    """X / sqrt(mean(x²) + eps), per row, in double precision; with ``gain`` each
+    dimension times its gain (one per dimension, else the row's result is null)."""
     v = F.transform(vec_col, lambda x: x.cast("double"))
     ms = F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y) / F.size(vec_col)
-    return df.withColumn(out_col, F.transform(v, lambda x: x / F.sqrt(ms + F.lit(eps))))
+    out = F.transform(v, lambda x: x / F.sqrt(ms + F.lit(eps)))
+    if gain is not None:
+        weights = F.array(*[F.lit(float(g)) for g in gain])
+        out = F.when(F.size(vec_col) == len(gain), F.zip_with(out, weights, lambda x, g: x * g))
+    return df.withColumn(out_col, out)
 
 
 def mean_vector(df: DataFrame, group_col: str, vec_col: str = "embedding",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import counts as K
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .catalog import register
 
@@ -122,7 +123,7 @@ WHERE upto <= 1000000
 """)
 def q_byte_budget(spark, sf_dir):
     """L5 on the cleaned corpus: first 1,000,000 bytes (text + newline) in order."""
-    cleaned = C.clean_corpus(flat_corpus(spark, sf_dir))
+    cleaned = cut_lineage(C.clean_corpus(flat_corpus(spark, sf_dir)))  # read twice: sized, then cut
     return C.byte_budget(cleaned, 1_000_000).select("src_ord", "doc_id", "part", "text")
 
 
@@ -155,3 +156,19 @@ def q_corpus_text_roundtrip(spark, sf_dir):
     back = read_text_lines(spark, paths)
     return back.agg(F.count(F.lit(1)).alias("n_lines"),
                     F.sum(F.octet_length("line")).cast("long").alias("n_bytes"))
+
+
+@register("write_counters", oracle=f"""
+SELECT source, count(*) AS n_rows, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes
+FROM ({FLAT_CORPUS_SQL}) GROUP BY source
+""")
+def q_write_counters(spark, sf_dir):
+    """Both sources written as text; rows and bytes observed by the writing job."""
+    import os
+
+    from ..session import scratch_path
+    from ..sources.tables import write_text_counted
+    counts = write_text_counted(flat_corpus(spark, sf_dir), os.path.join(scratch_path(spark, "text"), "t"),
+                                ["documents", "conversations"])
+    rows = [(s, int(n), int(b)) for s, (n, b) in counts.items() if n]
+    return spark.createDataFrame(rows, "source string, n_rows long, n_bytes long")

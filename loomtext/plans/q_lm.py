@@ -130,7 +130,7 @@ GROUP BY window_id
 def q_masked_ppl(spark, sf_dir):
     """Perplexity of every validation window whose positions after a space
     are masked: their input is negative, so their label is NULL and not scored."""
-    win = P.windows(byte_offsets(spark, sf_dir).where(F.col("split") == "val"), WINDOW)
+    win = P.windows(byte_offsets(spark, sf_dir, "val"), WINDOW)
     masked = win.withColumn("ids", F.transform("ids", lambda t: F.when(t == MASKED, -1).otherwise(t)))
     xy = P.xy(masked).withColumn("y", F.zip_with("x", F.slice("ids", 2, F.size("ids") - 1), lambda a, b: F.when(
         a >= 0, F.when(b < 0, MASKED).otherwise(b))))  # a masked input is still a label
@@ -153,7 +153,7 @@ FROM l
 def q_bigram_ppl_batch(spark, sf_dir):
     """exp(mean of per-batch mean losses) over the first 100 batches of
     8 validation windows (256 tokens, shifted once)."""
-    win = P.windows(byte_offsets(spark, sf_dir), WINDOW).where(F.col("split") == "val")
+    win = P.windows(byte_offsets(spark, sf_dir, "val"), WINDOW)
     scored = G.score_bigram(win, train_bigram(spark, sf_dir), V, K, keys=["window_id"])
     out = G.batch_weighted_ppl(scored, PPL_BATCH, PPL_MAX_BATCHES)
     return out.select("n_batches", F.round("mean_loss", 6).alias("mean_loss"),

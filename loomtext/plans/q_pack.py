@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.permute import rounds_sql
 from ..functions.text import byte_ids
+from ..operators import codec as X
 from ..operators import pack as P
 from ..operators import quality as Q
 from .catalog import register
@@ -44,11 +45,20 @@ def line_lengths(spark, sf_dir):
         .where("n > 0")
 
 
-def byte_offsets(spark, sf_dir):
+def byte_offsets(spark, sf_dir, split=None):
+    """Lines with byte ids and their place; of one split only, if given, from the start."""
     lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
+    if split is not None:
+        lines = lines.where(F.col("split") == split)
     # byte ids are computed inside the range blocks (the sampler reads raw lines)
-    return P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: df.select(
-        "split", "doc_id", "line_no", byte_ids("line").alias("ids")))
+    return P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: X.byte_ids_of(
+        df, "line").select("split", "doc_id", "line_no", "ids"))
+
+
+def length_offsets(spark, sf_dir):
+    """Lines' lengths and places: no ids are built where only totals are read."""
+    lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", F.octet_length("line").alias("n"))
+    return P.token_offsets(lines, ["doc_id", "line_no"], ids_col=None)
 
 
 @register("split_assign", oracle="""
@@ -96,7 +106,7 @@ FROM sh GROUP BY split, shard_id
 @register("shards_exact", oracle=SHARDS_EXACT_SQL)
 def q_shards_exact(spark, sf_dir):
     """Exact buffered sharding (S = 50,000 tokens) of both splits."""
-    sh = P.shards_exact(byte_offsets(spark, sf_dir), SHARD_TOKENS)
+    sh = P.shards_exact(length_offsets(spark, sf_dir), SHARD_TOKENS)
     return P.shard_totals(sh)
 
 
@@ -108,7 +118,7 @@ FROM ({OFFSETS_SQL}) GROUP BY 1, 2
 """)
 def q_shards_fast(spark, sf_dir):
     """E5 fast mode: shard = floor(tokens before the line / S)."""
-    return P.shard_totals(P.shards_fast(byte_offsets(spark, sf_dir), SHARD_TOKENS))
+    return P.shard_totals(P.shards_fast(length_offsets(spark, sf_dir), SHARD_TOKENS))
 
 
 @register("token_totals", oracle=f"""
@@ -313,3 +323,26 @@ def q_windows_per_shard(spark, sf_dir):
     """E3 per_shard + shard positions: 256-token windows restarting at every exact shard."""
     sh = P.shard_positions(P.shards_exact(byte_offsets(spark, sf_dir), SHARD_TOKENS))
     return P.windows(sh, WINDOW, per_shard=True).select("split", "shard_id", "window_id", "ids")
+
+
+@register("shards_listed", oracle=f"""
+SELECT split, shard_id, n_tokens, n_lines FROM ({_bpe_pack_oracle()})
+WHERE split = 'train' AND (shard_id IN (0, 2, 70) OR shard_id BETWEEN 4 AND 9)
+""")
+def q_shards_listed(spark, sf_dir):
+    """A5: scan of listed train shards (0, 2, 70 and the range 4 to 9) of the written
+    table; only their folders are opened."""
+    import os
+
+    from ..session import scratch_path
+    from .q_tokenizer import line_model
+    model = line_model(spark, sf_dir)
+    lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
+    off = P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: X.encode(
+        df, model, "line", "ids").drop("line"))
+    path = os.path.join(scratch_path(spark, "shards"), "shards")
+    P.write_shards(P.shard_positions(P.shards_exact(off, 20_000)), path, ["doc_id", "line_no"])
+    listed = P.read_shards(spark, path, "train", shards=[0, 2, 70]) \
+        .unionByName(P.read_shards(spark, path, "train", shards=range(4, 10)))
+    return listed.groupBy("split", "shard_id").agg(
+        F.sum(F.size("ids")).cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("n_lines"))

@@ -96,3 +96,21 @@ def q_vector_search(spark, sf_dir):
     out = VS.search(emb, emb.where("vec_id % 100 = 0"), TOPK)
     return out.select("query", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"),
                       F.col("rank").cast("int").alias("rank"))
+
+
+#: Gains of the registered norm: 1, 1.01, 1.02, ... for the dimensions in order.
+GAIN_STEP = 0.01
+
+
+@register("rms_norm_gain", oracle=f"""
+SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: round((1 + {GAIN_STEP} * (i - 1))
+         * embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))
+         / len(embedding) + 1e-5), 6)) AS normed
+FROM embeddings
+""")
+def q_rms_norm_gain(spark, sf_dir):
+    """RMS-normalized embedding rows times a gain per dimension."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    dim = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
+    gain = [1 + GAIN_STEP * i for i in range(dim)]
+    return Vx.rms_norm(emb, gain=gain).select("vec_id", _round_vec("normed").alias("normed"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_invalid_utf8
@@ -78,3 +78,24 @@ def read_text_lines(spark: SparkSession, paths: Sequence[str] | str,
 def write_text(df: DataFrame, path: str, col: str = "text", mode: str = "overwrite") -> None:
     """A3: text sink, one value per line."""
     df.select(F.col(col).cast("string").alias("value")).write.mode(mode).text(path)
+
+
+def write_text_counted(df: DataFrame, path: str, sources: Sequence[str], col: str = "text",
+                       source_col: str = "source", mode: str = "overwrite") -> dict[str, tuple[int, int]]:
+    """A3 + D4: the text sink, and (rows, UTF-8 bytes) written of each named source.
+
+    The counters are observed by the writing job itself; the rows are not read again.
+    Rows of no named source are written and counted under the key ``None``.
+    """
+    size = F.octet_length(F.col(col).cast("string")).cast("long")
+    named = F.col(source_col).isin(list(sources))
+    which = [(f"s{i}", F.col(source_col) == s) for i, s in enumerate(sources)] + \
+        [("rest", ~F.coalesce(named, F.lit(False)))]
+    metrics = []
+    for name, cond in which:
+        metrics += [F.count(F.when(cond, 1)).alias(f"{name}_rows"),
+                    F.coalesce(F.sum(F.when(cond, size)), F.lit(0)).alias(f"{name}_bytes")]
+    seen = Observation()
+    write_text(df.observe(seen, *metrics), path, col, mode)
+    got = seen.get
+    return {s: (got[f"{n}_rows"], got[f"{n}_bytes"]) for s, (n, _) in zip([*sources, None], which)}

@@ -123,3 +123,43 @@ def test_small_tables_are_dealt_and_large_ones_never(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert "Repartition" not in plan
+
+
+def test_listed_shards_open_only_their_files(spark, tmp_path, monkeypatch):
+    from loomtext.operators import pack
+    monkeypatch.setattr(pack, "SHARD_GROUP", 4)
+    df = spark.range(400).selectExpr("'train' AS split", "cast(id / 10 as int) AS shard_id", "id AS doc_id",
+                                     "0L AS pos", "array(cast(id as int)) AS ids")
+    path = str(tmp_path / "s")
+    pack.write_shards(df.unionByName(df.withColumn("split", F.lit("val"))), path, ["doc_id"])
+    def files(df):
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().apply(0)
+        return rows, scan.metrics().apply("numFiles").value()
+
+    every = files(pack.read_shards(spark, path))[1]
+    for listed, groups in (([0, 3], 1), ([5, 39, 999], 2), (range(6, 10), 2), ([77], 0)):
+        rows, opened = files(pack.read_shards(spark, path, "train", shards=listed))
+        assert {r.shard_id for r in rows} == {s for s in listed if s < 40}
+        assert len(rows) == 10 * len({s for s in listed if s < 40})
+        assert opened <= 2 * groups < every  # a group's rows lie in one or two files
+    assert pack.read_shards(spark, path, "train", shards=[]).count() == 0
+
+
+def test_written_rows_are_counted_by_the_write(spark, tmp_path):
+    from loomtext.sources.tables import write_text_counted
+    rows = [("a", "x"), ("a", "é"), ("b", None), (None, "zz"), ("c", "")]
+    df = spark.createDataFrame(rows, "source string, text string").repartition(3)
+    got = write_text_counted(df, str(tmp_path / "t"), ["a", "b", "none"])
+    assert got == {"a": (2, 3), "b": (1, 0), "none": (0, 0), None: (2, 2)}
+    empty = write_text_counted(df.where("false"), str(tmp_path / "e"), ["a"])
+    assert empty == {"a": (0, 0), None: (0, 0)}
+
+
+def test_rms_norm_with_gain(spark):
+    from loomtext.operators.vectors import rms_norm
+    df = spark.createDataFrame([([3.0, 4.0],), ([1.0],), (None,)], "embedding array<float>")
+    got = [r.normed for r in rms_norm(df, eps=0.0, gain=[2.0, 0.5]).collect()]
+    assert got[1] is None and got[2] is None
+    assert [round(x, 6) for x in got[0]] == [round(2 * 3 / 12.5 ** .5, 6), round(0.5 * 4 / 12.5 ** .5, 6)]
