@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, text_or_empty
+from .common import as_given, aside, set_aside, lower_ascii, materialize, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 CUT = (rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?[bdfhkmpw-z0-9][\s\p{{Punct}}]"
@@ -102,10 +102,11 @@ def drop_exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text",
     def name(c: str) -> Column:
         return F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit(""))
 
-    kept = _grouped(df.select(key, text), key, text, [key], chunk_hash).where("kept") \
-        .select(name(key).alias("_jk"), "_sha")
-    tagged = df.withColumn("_jk", name(key)) \
-        .withColumn("_sha", F.sha2(lower_ascii(text_or_empty(text)), 256))
+    rows, k, t = set_aside(df), aside(df, key), aside(df, text)
+    kept = _grouped(rows.select(k, t), k, t, [k], chunk_hash).where("kept") \
+        .select(name(k).alias("_jk"), "_sha")
+    tagged = rows.withColumn("_jk", name(k)) \
+        .withColumn("_sha", F.sha2(lower_ascii(text_or_empty(t)), 256))
     one = Window.partitionBy("_jk", "_sha").orderBy("_jk", "_sha")
-    return tagged.join(kept, ["_jk", "_sha"], "left_semi") \
-        .withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*df.columns)
+    return as_given(tagged.join(kept, ["_jk", "_sha"], "left_semi")
+                    .withColumn("_n", F.row_number().over(one)).where("_n = 1"), df)

@@ -37,6 +37,22 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(df: DataFrame) -> DataFrame:
+    """The same rows with columns named by place (``_in0``, ``_in1``, ...), so that no
+    column an operator adds can meet one of the input's, whatever that is called."""
+    return df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
+
+
+def aside(df: DataFrame, name: str) -> str:
+    """What ``set_aside`` calls a column."""
+    return f"_in{df.columns.index(name)}"
+
+
+def as_given(out: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``df`` again, by their own names."""
+    return out.select([f"_in{i}" for i in range(len(df.columns))]).toDF(*df.columns)
+
+
 def text_or_empty(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c.cast("string"), F.lit(""))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import text_or_empty
+from .common import as_given, aside, set_aside, text_or_empty
 from .text_hash import buffers, words_at
 
 PASSAGE_WORDS, HIDDEN, GATES = 40, 16, 8
@@ -205,4 +205,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
               threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
     model = train(docs, labels, key, text)
-    return with_score(docs, model, text).where(F.col("_score") >= threshold).select(*docs.columns)
+    rows = with_score(set_aside(docs), model, aside(docs, text))
+    return as_given(rows.where(F.col("_score") >= threshold), docs)

@@ -67,3 +67,21 @@ def test_run(spark, sf):
     for r in rows:
         ends[r.sequence_id] = max(ends.get(r.sequence_id, 0), r.offset + r.length)
     assert all(ends[s] == 2048 for s in range(len(ends) - 1))
+
+
+def test_columns_of_any_name_come_back(spark, sf, tmp_path):
+    """Names that the stages use inside keep the input's values."""
+    names = ["_sha", "_jk", "_n", "_text", "_score", "_row", "_rid", "_norm", "r", "i", "component_id", "kept", "_in0"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(
+        [PROSE, PROSE.upper(), PROSE + " x", "other words stand here alone", None, ITEMS[0][1]])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    labels = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([(i, i % 2, 0) for i in range(6)], labels).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([x for x in ITEMS if x[0] is not None], "item_id long, text string") \
+        .write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = {tuple(r) for r in rows}
+    for name in ("quality", "exact_dedup", "near_dedup", "decontamination"):
+        out = stage(name)(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        got = {tuple(r) for r in out.collect()}
+        assert got and got <= given, name
