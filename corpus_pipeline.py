@@ -19,9 +19,12 @@ from loomtext.llm.quality_mil import keep_good
 from loomtext.llm.setsketch import near_duplicates
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """With a row id, frozen by writing."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), f"rows-{name}")
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """With a row id, frozen by writing, and the id's name, which the input lacks."""
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), f"rows-{name}"), row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +40,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of a group linked by similarity 0.8 over five words, the row with the
     least doc_id stays (null ids last; of equal ids the first row)."""
-    rows = _numbered(docs, "near")
-    groups = near_duplicates(rows, key="_row", width=5).select("_row", "component_id")
-    stays = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id") \
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)
+    rows, row = _numbered(docs, "near")
+    groups = near_duplicates(rows.select(row, "text"), key=row, width=5).select(F.col(row).alias("r"), "component_id")
+    ids = rows.select(F.col(row).alias("r"), F.col("doc_id").alias("i"))
+    stays = groups.join(ids, "r").groupBy("component_id") \
+        .agg(F.min(F.struct(F.col("i").isNull(), "i", "r"))["r"].alias(row))
+    return rows.join(stays.select(row), row, "left_semi").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that hold a benchmark window go."""
-    rows = _numbered(docs, "benchmark")
-    found = contamination(rows, read_table(spark, sf_dir, "benchmark"), key="_row").where("contaminated")
-    return rows.join(found.select("_row"), "_row", "left_anti").select(*docs.columns)
+    rows, row = _numbered(docs, "benchmark")
+    found = contamination(rows.select(row, "text"), read_table(spark, sf_dir, "benchmark"), key=row) \
+        .where("contaminated")
+    return rows.join(found.select(row), row, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
