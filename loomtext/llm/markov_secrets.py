@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import text_or_empty
+from .spans import apart, union
 from .text_hash import buffers
 
 KINDS = ("assign", "access", "hex")
@@ -139,10 +140,9 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray | None:
 def random_runs(text: str, base: list[tuple[str, int, int, int]], ratio: np.ndarray) -> list[tuple[str, int, int]]:
     """Long runs apart from base spans that look random."""
     out = []
-    for m in _RUN.finditer(text):
-        s, e = m.span()
-        c = _CODE[np.frombuffer(m.group().encode(), np.uint8)]
-        if ratio[c[:-1], c[1:]].mean() >= RATIO and not any(a < e and s < b for _, a, b, _ in base):
+    for s, e in apart((m.span() for m in _RUN.finditer(text)), union((a, b) for _, a, b, _ in base)):
+        c = _CODE[np.frombuffer(text[s:e].encode(), np.uint8)]
+        if ratio[c[:-1], c[1:]].mean() >= RATIO:
             out.append(("random", s, e))
     return out
 

@@ -5,7 +5,9 @@ them, candidate spans get votes (yes, no, abstain) from labelers of three sorts:
 patterns, word lists, and context.  Expectation-maximisation over the counts
 of vote patterns in the whole corpus estimates each labeler's reliability
 without labels; its posteriors train a logistic span classifier on the span's
-shape and surroundings, which decides which candidates are added as ``weak``.
+shape and surroundings.  A candidate is added as ``weak`` when the odds of the
+classifier and those of its own votes under the estimated reliabilities, joined as
+independent given the class, make it personal with at least ``THRESHOLD``.
 
 Votes and shapes take few values, so the corpus is summarised by a histogram of
 bounded size (votes x shapes); no span or text reaches the driver.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import text_or_empty
+from .spans import gaps, union
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD, ROUNDS = 0.9, 60
@@ -38,8 +41,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_CANDIDATE = re.compile(r"[0-9(](?:[ ().-]?[0-9]){6,}|"
-                        r"[A-Za-z0-9._-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+")
+_NUMBER = re.compile(r"[0-9(](?:[ ().-]?[0-9]){6,}")
+_AT = re.compile(r"[\[(]at[\])]")
+_SPELT = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+")
+_NAME = _LOCAL - frozenset("%+")
 
 #: Words before a span that suggest personal data, or speak against it.
 TRIGGERS = frozenset("""call cell contact email e-mail fax mail mobile phone tel telephone whatsapp card visa
@@ -103,15 +108,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _spelt(text: str, start: int, end: int):
+    """Addresses with a spelt-out at in text[start:end]: one try for each at."""
+    done = start
+    for at in _AT.finditer(text, start, end):
+        last = at.start() - (text[at.start() - 1: at.start()] == " ")
+        first = last
+        while first > done and text[first - 1] in _NAME:
+            first -= 1
+        m = _SPELT.match(text, at.end(), end) if done <= first < last else None
+        if m:
+            done = m.end()
+            yield first, done
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, bool]]:
-    """(start, end, is base): the base spans, and look-alikes apart from them."""
-    out = [(s, e, True) for _, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
-    for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
-        if not any(a < e and s < b for a, b in taken):
-            out.append((s, e, False))
-    return out
+    """(start, end, is base): the base spans, and look-alikes in what they leave of the text.
+
+    Spelt-out addresses come first, numbers are sought in the rest, so none runs on
+    into a neighbouring span.
+    """
+    taken = union((s, e) for _, s, e in base)
+    spelt = [x for gap in gaps(taken, len(text)) for x in _spelt(text, *gap)]
+    numbers = [m.span() for gap in gaps(union(taken + spelt), len(text)) for m in _NUMBER.finditer(text, *gap)]
+    return [(s, e, True) for _, s, e in base] + [(s, e, False) for s, e in sorted(spelt + numbers)]
 
 
 def _labelers():
@@ -191,6 +211,16 @@ def reliabilities(v: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[n
     return post, theta
 
 
+def _logit(p):
+    return np.log(p) - np.log1p(-p)
+
+
+def vote_odds(model: dict, v: np.ndarray) -> np.ndarray:
+    """Log odds of personal data that rows of votes add to those of the class."""
+    at = np.arange(v.shape[1])
+    return (np.log(model["chances"][1][at, v + 1]) - np.log(model["chances"][0][at, v + 1])).sum(axis=1)
+
+
 def _design(shapes: np.ndarray) -> np.ndarray:
     """One column for each value of each shape feature, and one of ones."""
     cols = [np.ones(len(shapes))]
@@ -236,9 +266,8 @@ def _find(model: dict | None, threshold: float):
                     more = [(s, e) for s, e, known in candidates(text, base) if not known] if text else []
                     if more and model:
                         x = _design(np.array([shape(text, s, e) for s, e in more]))
-                        p = 1 / (1 + np.exp(-np.clip(x @ model["weights"], -30, 30)))
-                        yes = np.array([sum(votes(text, s, e)) > 0 for s, e in more])
-                        more = [("weak", *se) for se, ok in zip(more, (p >= threshold) & yes, strict=True) if ok]
+                        odds = x @ model["weights"] + vote_odds(model, np.array([votes(text, s, e) for s, e in more]))
+                        more = [("weak", *se) for se, ok in zip(more, odds >= _logit(threshold), strict=True) if ok]
                     else:
                         more = []
                     told = [f"{k}:{s}:{e}" for k, s, e in base]

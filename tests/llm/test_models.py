@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import LOWER, texts_of  # noqa: I001
-from loomtext.llm import markov_secrets, quality_mil, suffix_tree_lm, weak_pii
+from loomtext.llm import markov_secrets, quality_mil, spans, suffix_tree_lm, weak_pii
 
 # ---- op1 -----------------------------------------------------------------
 
@@ -192,6 +193,61 @@ def test_pii_weak_spans(spark):
     assert sum(got[2000 + i].n_weak for i in range(60)) == 0
 
 
+def test_pii_candidates_stop_at_neighbours():
+    """Base spans and spelt-out addresses end a candidate instead of swallowing it."""
+    def found(t):
+        return [t[s:e] for s, e, known in weak_pii.candidates(t, weak_pii.base_spans(t)) if not known]
+    assert found("at 10.0.0.1 555 123 4567 or 10.0.0.2 030 1234567") == ["555 123 4567", "030 1234567"]
+    assert found("ann.b (at) mail [dot] org 5551234567") == ["ann.b (at) mail [dot] org", "5551234567"]
+    assert found("(at)(at) x(at)y a(at)b.c d@e.fg 12345678") == ["a(at)b.c", "12345678"]
+    assert found("") == found("(at)") == found(" (at)x.y") == []
+    rnd = random.Random(4)
+    parts = ["a", "b.", " ", "(at)", "[dot]", "@x.y", "10.0.0.1", "5551234567", "+1 555 123 4567", "(", "-", "é", "12345 "]
+    for _ in range(3000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        base = weak_pii.base_spans(t)
+        more = [(s, e) for s, e, known in weak_pii.candidates(t, base) if not known]
+        assert more == sorted(more) and all(a[1] <= b[0] for a, b in zip(more, more[1:], strict=False))
+        assert not any(a < e and s < b for s, e in more for _, a, b in base), t
+
+
+def test_pii_votes_weighed_by_reliability(spark):
+    """One vote each way is decided by what the corpus says of both labelers, not lost."""
+    rows = [(i, f"write to bob{i}@mail.example.com or call +1 (555) 010-{i:04d} now") for i in range(200)]
+    rows += [(1000 + i, f"phone (555) 123-{i:04d} today") for i in range(80)]
+    rows += [(2000 + i, f"Telefon nr (555) 123-{i:04d} heute") for i in range(20)]
+    rows += [(3000 + i, f"see section version 2021-03-{10 + i % 15} of it") for i in range(80)]
+    got = {r.doc_id: r.n_weak for r in weak_pii.personal_data(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[1000 + i] for i in range(80)) == 80 and sum(got[2000 + i] for i in range(20)) == 20
+    assert sum(got[3000 + i] for i in range(80)) == 0
+
+
+def test_span_search_is_linear():
+    """A text of 1 MB with tens of thousands of spans of each sort takes seconds, not hours."""
+    t0 = time.time()
+    t = "10.0.0.1 555 123 4567 a(at)b.cd " * 20000 + "a" * 400000 + "(at)" * 20000
+    more = [x for x in weak_pii.candidates(t, weak_pii.base_spans(t)) if not x[2]]
+    assert len(more) == 40000
+    t = ("deadbeef" * 4 + " " + "Zx9" * 8 + " ") * 20000
+    ratio = np.ones((markov_secrets.N, markov_secrets.N))
+    base = markov_secrets.base_spans(t)
+    assert len(base) == 20000 and len(markov_secrets.random_runs(t, base, ratio)) == 20000
+    assert time.time() - t0 < 20
+
+
+def test_spans_against_definition():
+    rnd = random.Random(8)
+    for _ in range(2000):
+        some = [(s, s + rnd.randint(1, 6)) for s in (rnd.randrange(40) for _ in range(rnd.randint(0, 8)))]
+        u = spans.union(some)
+        inside = {i for s, e in some for i in range(s, e)}
+        assert {i for s, e in u for i in range(s, e)} == inside and len(inside) == sum(e - s for s, e in u)
+        assert [i for s, e in spans.gaps(u, 50) for i in range(s, e)] == [i for i in range(50) if i not in inside]
+        runs = [(s, s + 3) for s in range(rnd.randrange(4), 44, 4)]
+        assert list(spans.apart(runs, u)) == [(s, e) for s, e in runs if not inside & set(range(s, e))]
+
+
 def test_em_finds_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
