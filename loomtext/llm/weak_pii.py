@@ -3,9 +3,9 @@
 Base spans follow fixed rules (email, ip, card, phone) and always stand.  Beyond
 them, candidate spans get votes (yes, no, abstain) from labelers of three sorts:
 patterns, word lists, and context.  Expectation-maximisation over the counts
-of vote patterns in the whole corpus estimates each labeler's reliability
-without labels; its posteriors train a logistic span classifier on the span's
-shape and surroundings.  A candidate is added as ``weak`` when the odds of the
+of vote patterns in the whole corpus estimates each labeler's reliability; base
+spans are known to be personal data, nothing else is.  The posteriors train a
+logistic span classifier on the span's shape and surroundings.  A candidate is added as ``weak`` when the odds of the
 classifier and those of its own votes under the estimated reliabilities, joined as
 independent given the class, make it personal with at least ``THRESHOLD``.
 
@@ -41,7 +41,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NUMBER = re.compile(r"[0-9(](?:[ ().-]?[0-9]){6,}")
+_NUMBER = re.compile(r"[0-9(](?:(?:\) |[ ().-])?[0-9]){6,}")
 _AT = re.compile(r"[\[(]at[\])]")
 _SPELT = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]+)+")
 _NAME = _LOCAL - frozenset("%+")
@@ -191,23 +191,26 @@ def _histogram(batches):
                                       pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
 
-def reliabilities(v: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns (rows of -1, 0, 1) with counts.
+def reliabilities(v: np.ndarray, n: np.ndarray, known: np.ndarray | None = None,
+                  rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """EM over vote patterns (rows of -1, 0, 1) with counts; ``known`` ones are of the class.
 
     Every labeler has its own chances of each vote under both classes.  Starts
     from the majority of votes; returns (posterior of each pattern, chances
     [class, labeler, vote + 1]).
     """
-    post = 1 / (1 + np.exp(-1.5 * v.sum(axis=1)))
+    known = np.zeros(len(v), bool) if known is None else known
+    post = np.where(known, 1.0, 1 / (1 + np.exp(-1.5 * v.sum(axis=1))))
     one_hot = np.stack([(v == k) for k in (-1, 0, 1)], axis=2).astype(float)
     theta = np.zeros((2, v.shape[1], 3))
     for _ in range(rounds):
         for c, p in ((0, 1 - post), (1, post)):
             theta[c] = (one_hot * (p * n)[:, None, None]).sum(axis=0) + 0.5
             theta[c] /= theta[c].sum(axis=1, keepdims=True)
-        prior = np.clip((post * n).sum() / n.sum(), 0.01, 0.99)
+        open_ = np.where(known, 0, n)  # the share is that among the spans in question
+        prior = np.clip((post * open_).sum() / max(open_.sum(), 1), 0.01, 0.99)
         log = [np.log(x) + (one_hot * np.log(theta[c])).sum(axis=(1, 2)) for c, x in ((0, 1 - prior), (1, prior))]
-        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        post = np.where(known, 1.0, 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50))))
     return post, theta
 
 
@@ -251,8 +254,7 @@ def train(docs: DataFrame, text: str = "text") -> dict | None:
     m = np.array([[int(x) for x in r.pattern.split(",")] for r in rows])
     n = np.array([r.n for r in rows], float)
     v, shapes = m[:, 1: 1 + len(LABELERS)], m[:, 1 + len(LABELERS):]
-    post, theta = reliabilities(v, n)
-    post = np.where(m[:, 0] == 1, 1.0, post)  # base spans stand
+    post, theta = reliabilities(v, n, m[:, 0] == 1)  # base spans stand
     return {"weights": fit_spans(shapes, post, n), "chances": theta}
 
 

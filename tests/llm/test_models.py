@@ -200,6 +200,7 @@ def test_pii_candidates_stop_at_neighbours():
     assert found("at 10.0.0.1 555 123 4567 or 10.0.0.2 030 1234567") == ["555 123 4567", "030 1234567"]
     assert found("ann.b (at) mail [dot] org 5551234567") == ["ann.b (at) mail [dot] org", "5551234567"]
     assert found("(at)(at) x(at)y a(at)b.c d@e.fg 12345678") == ["a(at)b.c", "12345678"]
+    assert found("x (555) 123-4567 y") == ["(555) 123-4567"]
     assert found("") == found("(at)") == found(" (at)x.y") == []
     rnd = random.Random(4)
     parts = ["a", "b.", " ", "(at)", "[dot]", "@x.y", "10.0.0.1", "5551234567", "+1 555 123 4567", "(", "-", "é", "12345 "]
@@ -217,10 +218,15 @@ def test_pii_votes_weighed_by_reliability(spark):
     rows += [(1000 + i, f"phone (555) 123-{i:04d} today") for i in range(80)]
     rows += [(2000 + i, f"Telefon nr (555) 123-{i:04d} heute") for i in range(20)]
     rows += [(3000 + i, f"see section version 2021-03-{10 + i % 15} of it") for i in range(80)]
+    rows += [(4000 + i, f"Telefon nr +1 (555) 010-{i:04d} heute") for i in range(100)]  # so "nr" speaks against little
+    rows += [(5000 + i, f"to 4{i:03d}000000000000 of") for i in range(40)]  # an issuer's digits, a wrong checksum
+    rows += [(6000 + i, f"to 7{i:03d}000000000000 of") for i in range(200)]
+    rows = [(i, t) for i, t in rows if i < 5000 or not weak_pii.luhn(re.sub("[^0-9]", "", t))]
     got = {r.doc_id: r.n_weak for r in weak_pii.personal_data(
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[1000 + i] for i in range(80)) == 80 and sum(got[2000 + i] for i in range(20)) == 20
     assert sum(got[3000 + i] for i in range(80)) == 0
+    assert sum(n for i, n in got.items() if i >= 5000) == 0
 
 
 def test_span_search_is_linear():
