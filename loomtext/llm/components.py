@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, F.col("a") == F.col("u"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b") \
             .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "stars")
+        done, edges = edges, materialize(small, "stars")
+        discard(done)
         now = _state(edges)
         if now == state:
             break

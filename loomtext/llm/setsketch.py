@@ -8,7 +8,8 @@ maxima, and two sets agree in a register with about their similarity.
 Equal sets are one class.  Classes that agree in a band of registers share a
 bucket.  Every bucket has a hub, its member in the most and largest buckets;
 members are compared with the hub, and a member that does not link to it is
-compared with all others of the bucket, in blocks of bounded size.  A
+compared with all others of the bucket, in blocks bounded by members and by
+shingles.  A
 comparison first estimates the similarity from both sketches by likelihood (set
 sizes are known) and drops clear strangers, then counts the full sets.  No pairs
 of a group are listed, links between different texts are kept, and components
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 from .components import components
 from .text_hash import buffers, shingle_sets, word_hashes
 
@@ -43,8 +44,10 @@ BANDS, ROWS, BASE, RATE, TOP = 32, 4, 1.001, 20.0, (1 << 16) - 1
 REGISTERS = BANDS * ROWS
 #: Estimates lower than the threshold by this are not counted exactly.
 SLACK = 0.24
-#: Texts hashed at a time; members of a bucket compared at a time.
-STEP, LEFT, RIGHT = 128, 256, 1024
+#: Texts hashed at a time; members of a bucket compared at a time, and their shingles (16 MB a side).
+STEP, LEFT, RIGHT, SHINGLES = 128, 256, 1024, 1 << 21
+#: Components of a larger share of the linked classes are broadcast (at most 1 / share rows).
+HOT_SHARE = 1e-4
 
 _SEEDS = np.random.default_rng(10).integers(1, 1 << 63, (REGISTERS, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -201,8 +204,9 @@ def _block(percent: int):
     return run
 
 
-def near_links(docs: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (key, n, digest), classes (cid, digest, n, least), verified links (a, b) of classes)."""
+def near_links(docs: DataFrame, key: str, text: str, width: int, percent: int):
+    """(rows (key, n, digest), classes (cid, digest, n, least), verified links (a, b) of classes,
+    tables that only the links read)."""
     spark = docs.sparkSession
     ship_package(spark)
     d = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
@@ -217,6 +221,7 @@ def near_links(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     rank = members.groupBy("cid").agg(F.sum("size").alias("rank"))
     hubs = members.join(rank, "cid").groupBy("band", "bucket").agg(F.max_by("cid", "rank").alias("hub"))
     in_bucket = materialize(members.join(hubs, ["band", "bucket"]), "buckets")
+    discard(members)
 
     sketch = classes.select("cid", "n", "regs")
     hub_sketch = sketch.select(*(F.col(c).alias("hub" if c == "cid" else f"hub_{c}") for c in sketch.columns))
@@ -240,11 +245,15 @@ def near_links(docs: DataFrame, key: str, text: str, width: int, percent: int) -
                         .mapInArrow(_confirm(percent), "cid long, hub long"), "hub-links")
     linked = open_buckets.join(links.withColumn("linked", F.lit(True)), ["cid", "hub"], "left").select(
         "band", "bucket", "size", "cid", (F.col("linked").isNull() & (F.col("cid") != F.col("hub"))).alias("stray"))
-    strays = linked.groupBy("band", "bucket").agg(F.sum(F.col("stray").cast("long")).alias("strays")) \
+    linked = linked.join(classes.select("cid", "n"), "cid")
+    stray = F.col("stray").cast("long")
+    strays = linked.groupBy("band", "bucket").agg(
+        F.sum(stray).alias("strays"), F.sum(stray * F.col("n")).alias("left_n"), F.sum("n").alias("right_n")) \
         .where("strays > 0")
     # A stray meets every block of members, a member every block of strays.
-    rest = linked.join(strays, ["band", "bucket"]).withColumn("lefts", F.ceil(F.col("strays") / LEFT)) \
-        .withColumn("rights", F.ceil(F.col("size") / RIGHT))
+    rest = linked.drop("n").join(strays, ["band", "bucket"]) \
+        .withColumn("lefts", F.ceil(F.greatest(F.col("strays") / LEFT, F.col("left_n") / SHINGLES))) \
+        .withColumn("rights", F.ceil(F.greatest(F.col("size") / RIGHT, F.col("right_n") / SHINGLES)))
     at = F.xxhash64("cid")
     sides = rest.where("stray").select(
         "band", "bucket", "cid", "stray", F.lit(0).alias("side"), F.pmod(at, F.col("lefts")).alias("i"),
@@ -254,18 +263,28 @@ def near_links(docs: DataFrame, key: str, text: str, width: int, percent: int) -
     more = sides.join(sketch, "cid").join(sets, "cid").groupBy("band", "bucket", "i", "j") \
         .applyInPandas(_block(percent), "a long, b long")
     all_links = links.select(F.col("cid").alias("a"), F.col("hub").alias("b")).unionByName(more)
-    return rows.select("key", "n", "digest"), classes.select("cid", "digest", "n", "least"), all_links
+    return (rows.select("key", "n", "digest"), classes.select("cid", "digest", "n", "least"), all_links,
+            [in_bucket, close, sets, links])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """Per document: key, n_shingles, component_id, kept."""
-    rows, classes, links = near_links(docs, key, text, width, percent)
+    rows, classes, links, used = near_links(docs, key, text, width, percent)
     roots = components(links)
-    named = materialize(classes.join(roots, F.col("cid") == F.col("node"), "left")
-                        .select("digest", "n", "least", F.coalesce("root", "cid").alias("root")), "rooted")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = materialize(named.join(least, "root").where("n > 0").select("digest", "component_id"), "components")
+    for table in used:
+        discard(table)
+    named = materialize(classes.where("n > 0").join(roots, F.col("cid") == F.col("node"), "left")
+                        .select("digest", "least", "root"), "rooted")
+    alone, linked = named.where("root is null"), named.where("root is not null")
+    groups = materialize(linked.groupBy("root").agg(
+        F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "groups")
+    large = F.col("size") > HOT_SHARE * (groups.agg(F.sum("size")).first()[0] or 0)
+    hot = F.broadcast(groups.where(large).drop("size"))
+    told = linked.join(hot, "root").unionByName(
+        linked.join(hot, "root", "left_anti").join(groups.where(~large).drop("size"), "root"))
+    by_class = materialize(alone.select("digest", F.col("least").alias("component_id"))
+                           .unionByName(told.select("digest", "component_id")), "components")
     empty = F.col("n") == 0
     out = rows.where(~empty).join(by_class, "digest").select("key", "n", "component_id") \
         .unionByName(rows.where(empty).select("key", "n", F.col("key").alias("component_id")))
