@@ -12,8 +12,8 @@ compared with all others of the bucket, in blocks bounded by members and by
 shingles.  A
 comparison first estimates the similarity from both sketches by likelihood (set
 sizes are known) and drops clear strangers, then counts the full sets.  No pairs
-of a group are listed, links between different texts are kept, and components
-come from the verified links.
+of a group are listed: a block returns a spanning forest of its verified links, and
+components come from these.
 
 A band is missed by two sets of similarity 0.8 with probability 1 - 0.8^4, all
 32 of them with 5e-8; the estimate drops sets of equal size when 71 registers or
@@ -174,19 +174,26 @@ def _confirm(percent: int):
 
 
 def _block(percent: int):
-    """Links between the left rows (not linked to the hub) and the right rows of one block."""
+    """Links between the left rows (not linked to the hub) and the right rows of one block.
+
+    A spanning forest of them: rows that verified links of the block connect already
+    are not compared again, so a block has fewer links than rows.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         links = []
         if len(left) and len(right):
             regs, n = _registers(right["regs"]), right["n"].to_numpy()
             ids, stray = right["cid"].to_numpy(), right["stray"].to_numpy()
+            nodes = np.unique(np.concatenate([ids, left["cid"].to_numpy()]))
+            group, place = np.arange(len(nodes)), np.searchsorted(nodes, ids)
             flat = np.concatenate([np.frombuffer(s, np.uint64) for s in right["set"]])
             names, local = np.unique(flat, return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             for cid, size, reg, own in zip(left["cid"], left["n"], _registers(left["regs"]), left["set"], strict=True):
                 # Two members without a link to the hub meet twice; one turn counts.
-                near = (ids != cid) & (~stray | (ids > cid)) \
+                mine = group[np.searchsorted(nodes, cid)]
+                near = (group[place] != mine) & (~stray | (ids > cid)) \
                     & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
                 near = np.flatnonzero(near)
                 near = near[estimate(np.broadcast_to(reg, (len(near), REGISTERS)), regs[near],
@@ -199,7 +206,9 @@ def _block(percent: int):
                     held[at[np.isin(names[at], own)]] = True
                     both = np.add.reduceat(held[local].astype(np.int64), starts)[near]
                     near = near[100 * both >= percent * (size + n[near] - both)]
-                    links += [(cid, x) for x in ids[near]]
+                    theirs, first = np.unique(group[place[near]], return_index=True)
+                    links += [(cid, x) for x in ids[near[first]]]
+                    group[np.isin(group, theirs)] = mine
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
     return run
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,10 +153,12 @@ def test_near_duplicates(edges, docs, no_docs, width):
     assert setsketch.near_duplicates(no_docs).count() == 0
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("shingles", [1 << 21, 500])
+def test_large_group_of_near_copies(spark, monkeypatch, shingles):
     """Copies of copies: many members do not link to the hub; blocks are small."""
     monkeypatch.setattr(setsketch, "LEFT", 8)
     monkeypatch.setattr(setsketch, "RIGHT", 16)
+    monkeypatch.setattr(setsketch, "SHINGLES", shingles)
     rnd = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -171,6 +174,23 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
 
 
+def test_block_links_are_a_spanning_forest():
+    """A block of a thousand like rows returns fewer links than rows; groups stay apart."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([rng.integers(0, 1 << 62, 6, dtype=np.uint64), base]))
+            for base in (rng.integers(0, 1 << 62, 300, dtype=np.uint64) for _ in range(3)) for _ in range(100)]
+    regs = setsketch.sketches(np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets]))
+    rows = [(i, side, True, len(x), r.tobytes(), x.tobytes())
+            for side in (0, 1) for i, (x, r) in enumerate(zip(sets, regs, strict=True))]
+    got = setsketch._block(80)(pd.DataFrame(rows, columns=["cid", "side", "stray", "n", "regs", "set"]))
+    assert len(got) == 3 * 99 and (got["a"] // 100 == got["b"] // 100).all()
+    reached = {0, 100, 200}
+    for _ in range(300):
+        reached |= {b for a, b in zip(got["a"], got["b"], strict=True) if a in reached}
+        reached |= {a for a, b in zip(got["a"], got["b"], strict=True) if b in reached}
+    assert reached == set(range(300))
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.6, 0.8, 0.95):
