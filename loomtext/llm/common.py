@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs now.  It does so once the driver
+    has collected the plans that own them, which may be hours after the last reader."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def set_aside(df: DataFrame) -> DataFrame:
     """The same rows with columns named by place (``_in0``, ``_in1``, ...), so that no
     column an operator adds can meet one of the input's, whatever that is called."""

@@ -15,8 +15,9 @@ that ends with it alone: its probability, less the back-off weights of its conte
 plus those of the gram itself as context of the next token.  Each gram stores how
 this value differs from its suffix', and a document's score is the sum over all its
 grams.  Grams of at least ``HOT_SHARE`` (bounded: 1/share a length) are sent to the
-tasks; the others are joined, one row per document and distinct gram.  A bit filter
-of fixed size leaves out grams that no table has; when full it only saves less.
+tasks; the others are joined a length at a time, one row per document and distinct
+gram.  A bit filter of bounded size leaves out grams that no table has; when full it
+only saves less.  Shuffle files are released once the table they led to is written.
 
 Words too rare for the bounded table are counted and looked up by a join, per
 document and distinct word; frequent words, the hot keys, never join.
@@ -32,13 +33,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import discard, materialize, text_or_empty
+from .common import discard, materialize, release, text_or_empty
 from .text_hash import buffers, word_hashes
 
 MAX_DEPTH, SYMBOL_SHARE, HOT_SHARE = 3, 1e-6, 1e-6
@@ -49,7 +49,9 @@ FOLDS, HELD_OUT = 7, 2
 START, END = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 #: Texts hashed at a time; counts of a task kept before they are merged.
 STEP, MERGE = 256, 1 << 21
-FILTER_BITS = 27
+FILTER_BITS, BLOCK_BITS, BLOCK_BYTES = 27, 17, 1 << 14
+#: Grams of one length counted in one group at a time; they are dealt by their code's leading bits.
+GROUP_BITS = 19
 
 
 def fold(key: str) -> Column:
@@ -116,6 +118,11 @@ class Tree:
         return np.where(known, at, -1)
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+
+
 def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in a sorted table, and whether each code is there."""
     if not len(table):
@@ -129,29 +136,69 @@ def least_count(share: float, n: int) -> int:
     return max(2, math.ceil(share * n))
 
 
-def _bit_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    bits = np.zeros(1 << 11, np.uint64)
-    bits[pdf["at"].to_numpy(np.int64) & 2047] = pdf["set"].to_numpy(np.int64).view(np.uint64)
-    return pd.DataFrame({"block": [key[0]], "bits": [bits.tobytes()]})
+def _mark(width: int):
+    """(block, places or, where these take more room, bits) of the two bits of each code."""
+    mask = np.uint64((1 << width) - 1)
+
+    def marked(held):
+        codes = np.concatenate(held)
+        bits = np.unique(np.concatenate([codes & mask, (codes >> np.uint64(32)) & mask])).astype(np.int64)
+        block, place = bits >> BLOCK_BITS, (bits & ((1 << BLOCK_BITS) - 1)).astype(np.uint32)
+        at = np.append(_starts(block), len(block))
+        parts = [place[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(block[at[:-1]]), pa.array([x.tobytes() if x.nbytes < BLOCK_BYTES else _bits(x).tobytes()
+                                                for x in parts], pa.binary())], names=["block", "bits"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b.column("code").to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size > MERGE:
+                yield marked(held)
+                held, size = [], 0
+        if size:
+            yield marked(held)
+    return run
+
+
+def _bits(places: np.ndarray) -> np.ndarray:
+    on = np.zeros(1 << BLOCK_BITS, bool)
+    on[places] = True
+    return np.packbits(on, bitorder="little")
+
+
+def _or_blocks(batches):
+    """One row a block: at most 2^FILTER_BITS bits in a task."""
+    found = {}
+    for b in batches:
+        for block, bits in zip(b.column("block").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            new = np.frombuffer(bits, np.uint8) if len(bits) == BLOCK_BYTES else _bits(np.frombuffer(bits, np.uint32))
+            found[block] = found[block] | new if block in found else new
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()),
+                                      pa.array([x.tobytes() for x in found.values()], pa.binary())],
+                                     names=["block", "bits"])
 
 
 class Filter:
-    """Two bits for each code of a table; ``may`` is never false for a code of it."""
+    """Two bits for each code of a table; ``may`` is never false for a code of it.
+
+    Sixteen bits a code, 2^FILTER_BITS at most: so much reaches the driver and each task.
+    """
 
     def __init__(self, codes: DataFrame):
-        mask = F.lit((1 << FILTER_BITS) - 1).cast("long")
-        bit = codes.select(F.explode(F.array(
-            F.col("code").bitwiseAND(mask), F.shiftrightunsigned("code", 32).bitwiseAND(mask))).alias("bit"))
-        words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr(
-            "shiftleft(1L, cast(bit & 63L as int))")).alias("set"))
-        # 2^FILTER_BITS bits reach the driver at most, in blocks of 16 KB.
-        self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        for r in words.groupBy(F.shiftright("at", 11).alias("block")) \
-                .applyInPandas(_bit_block, "block long, bits binary").toLocalIterator():
-            self.bits[r.block << 11:(r.block + 1) << 11] = np.frombuffer(r.bits, np.uint64)
+        self.width = min(FILTER_BITS, max(BLOCK_BITS, (16 * codes.count()).bit_length()))
+        schema = "block long, bits binary"
+        blocks = codes.select("code").mapInArrow(_mark(self.width), schema).repartition("block") \
+            .mapInArrow(_or_blocks, schema)
+        bits = np.zeros(1 << (self.width - 3), np.uint8)
+        for r in blocks.collect():
+            bits[r.block * BLOCK_BYTES:(r.block + 1) * BLOCK_BYTES] = np.frombuffer(r.bits, np.uint8)
+        self.bits = bits.view(np.uint64)
 
     def may(self, codes: np.ndarray) -> np.ndarray:
-        mask, out = np.uint64((1 << FILTER_BITS) - 1), np.ones(len(codes), bool)
+        mask, out = np.uint64((1 << self.width) - 1), np.ones(len(codes), bool)
         for bit in (codes & mask, (codes >> np.uint64(32)) & mask):
             out &= (self.bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
         return out
@@ -184,13 +231,24 @@ def _longer(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_grams(some: Filter, length: int):
-    """(ctx, low, n) of the grams of ``length`` words whose parts ``some`` may hold."""
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of each run of values."""
+    ends = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [
+        None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _count_grams(some: Filter, length: int, groups: int):
+    """Counts of the grams of ``length`` words whose parts ``some`` may hold, in arrays by
+    the leading ``groups`` bits of their codes."""
     def summed(held):
         code, low, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, at, n = np.unique(code, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(ctx[at].view(np.int64)), pa.array(low[at].view(np.int64)),
-                                           pa.array(n)], names=["ctx", "low", "n"])
+        code, at, n = np.unique(code, return_index=True, return_counts=True)
+        group = (code >> np.uint64(64 - groups)).astype(np.int64)
+        starts = _starts(group)
+        return pa.RecordBatch.from_arrays([
+            pa.array(group[starts]), _binary(ctx[at], starts), _binary(low[at], starts),
+            _binary(n.astype(np.uint32), starts)], names=["part", "ctx", "low", "n"])
 
     def run(batches):
         held, size = [], 0
@@ -211,11 +269,19 @@ def _count_grams(some: Filter, length: int):
     return run
 
 
-def _name_grams(batches):
-    for b in batches:
-        ctx, low = (b.column(c).to_numpy().view(np.uint64) for c in ("ctx", "low"))
-        yield pa.RecordBatch.from_arrays([pa.array(_join_codes(ctx, low).view(np.int64)), *b.columns],
-                                         names=["code", "ctx", "low", "n"])
+def _add_grams(least: int):
+    """(code, ctx, low, n) of the grams of one group that are seen ``least`` times."""
+    def run(table: pa.Table) -> pa.Table:
+        ctx, low, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (
+            ("ctx", np.uint64), ("low", np.uint64), ("n", np.uint32)))
+        code, at, back = np.unique(_join_codes(ctx, low), return_index=True, return_inverse=True)
+        total = np.zeros(len(code), np.int64)
+        np.add.at(total, back, n)
+        keep = total >= least
+        at = at[keep]
+        return pa.table({"code": code[keep].view(np.int64), "ctx": ctx[at].view(np.int64),
+                         "low": low[at].view(np.int64), "n": total[keep]})
+    return run
 
 
 def _as(df: DataFrame, **names: str) -> DataFrame:
@@ -226,21 +292,29 @@ def _delta(df: DataFrame, value: Column) -> DataFrame:
     return df.select("code", "n", (value - F.col("low_value")).alias("delta")).where("delta <> 0")
 
 
-def grams(learn: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
-    """(code, n, delta): what each repeated gram adds to a document's score."""
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder; shuffle files of what it was made from may go."""
+    out = materialize(df, name)
+    release(df.sparkSession)
+    return out
+
+
+def grams(learn: DataFrame, tree: Tree, words: DataFrame) -> list[DataFrame]:
+    """By length, (code, n, delta): what each repeated gram adds to a document's score."""
+    groups = max(1, int(tree.n).bit_length() - GROUP_BITS)
     least, least_context = least_count(PAIR_SHARE, tree.n), least_count(CONTEXT_SHARE, tree.n)
     ends = learn.sparkSession.createDataFrame([(int(x.view(np.int64)), tree.docs) for x in (START, END)],
                                               "code long, n long")
     # By gram: log of its probability, and less its context's weights (a); weights and value of its suffix.
     root = F.log10((F.col("n") + 1) / F.lit(float(tree.n + tree.v + 1)))
-    level = materialize(words.where(F.col("n") >= least).unionByName(ends).select(
+    level = _stored(words.where(F.col("n") >= least).unionByName(ends).select(
         "code", "n", root.alias("logp"), root.alias("a"), F.lit(0.0).alias("low_weights"), root.alias("low_value")),
         "grams-1")
-    out = None
+    out = []
     for length in range(2, MAX_DEPTH + 2):
-        found = learn.mapInArrow(_count_grams(Filter(level), length), "ctx long, low long, n long") \
-            .groupBy("ctx", "low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        found = materialize(found.mapInArrow(_name_grams, "code long, ctx long, low long, n long"), "counted")
+        found = _stored(learn.mapInArrow(
+            _count_grams(Filter(level), length, groups), "part long, ctx binary, low binary, n binary")
+            .groupBy("part").applyInArrow(_add_grams(least), "code long, ctx long, low long, n long"), "counted")
         cut, p_below = F.col("n") - DISCOUNT, F.pow(F.lit(10.0), F.col("below"))
         nodes = found.join(_as(level, low="code", below="logp"), "low").groupBy("ctx").agg(
             F.sum(cut).alias("kept"), F.sum(p_below).alias("below"),
@@ -252,28 +326,29 @@ def grams(learn: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
             .where((F.col("n") >= least_context) & (rest > 0) & (bits >= DIVERGENCE)) \
             .select("code", F.log10(over).alias("weight"))
         weights = F.coalesce("weight", F.lit(0.0)) + F.col("low_weights")
-        done = materialize(level.join(states, "code", "left").select(
+        done = _stored(level.join(states, "code", "left").select(
             "code", "n", "logp", F.col("weight").isNotNull().alias("state"), weights.alias("weights"),
             (F.col("a") + weights).alias("value"), "low_value"), f"done-{length - 1}")
-        part = materialize(_delta(done, F.col("value")), f"delta-{length - 1}")
-        out = part if out is None else out.unionByName(part)
+        out.append(materialize(_delta(done, F.col("value")), f"delta-{length - 1}"))
         discard(level)
         logp = F.when(F.col("state"), F.log10(cut / F.col("total"))).otherwise(F.col("below"))
-        level = materialize(
+        level = _stored(
             found.join(_as(done, ctx="code", total="n", state="state", ctx_weights="weights"), "ctx")
             .join(_as(done, low="code", below="logp", low_weights="weights", low_value="value"), "low")
             .select("code", "n", logp.alias("logp"), (logp - F.col("ctx_weights")).alias("a"),
                     "low_weights", "low_value"), f"grams-{length}")
         discard(found)
         discard(done)
-    return out.unionByName(_delta(level, F.col("a") + F.col("low_weights")))
+    out.append(materialize(_delta(level, F.col("a") + F.col("low_weights")), f"delta-{MAX_DEPTH + 1}"))
+    discard(level)
+    return out
 
 
-def train(rows: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
+def train(rows: DataFrame) -> tuple[Tree, DataFrame, list[DataFrame]]:
     """The frequent words, the table (code, n) of all training words, and the grams."""
     learn = rows.where("not held_out").select("text")
     counted = "code long, n long"
-    words = materialize(learn.mapInArrow(_count_words, counted).groupBy("code").agg(F.sum("n").alias("n")), "words")
+    words = _stored(learn.mapInArrow(_count_words, counted).groupBy("code").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     docs = learn.count()
     n, v = total + docs, distinct + (docs > 0)
@@ -283,6 +358,10 @@ def train(rows: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     return tree, words, grams(learn, tree, words)
 
 
+#: Lists of a document's distinct grams of each length, and how often it holds them.
+COLD = [f"{name}_{length}" for length in range(1, MAX_DEPTH + 2) for name in ("grams", "times")]
+
+
 def _score(tree: Tree, hot: np.ndarray, deltas: np.ndarray, some: Filter):
     def run(batches):
         for b in _slices(batches):
@@ -296,23 +375,21 @@ def _score(tree: Tree, hot: np.ndarray, deltas: np.ndarray, some: Filter):
             base[inside] = np.where(frequent, tree.base(tree.counts)[word], 0) if len(tree.words) else 0
             base[first[1:] - 1] = tree.base(np.float64(tree.docs))
             score = base.copy()
-            cold, cold_doc = [], []
+            cold = []
             for length in range(1, MAX_DEPTH + 2):
                 code = _longer(code) if length > 1 else code
                 at = np.flatnonzero((place >= length - 1) & some.may(code))
                 i, known = _find(hot, code[at])
                 score[at[known]] += deltas[i[known]]
-                cold.append(code[at[~known]])
-                cold_doc.append(doc[at[~known]])
-            grams_, times = _by_document(np.concatenate(cold), np.concatenate(cold_doc), b.num_rows)
+                cold += _by_document(code[at[~known]], doc[at[~known]], b.num_rows)
             word_doc = np.repeat(np.arange(b.num_rows), np.diff(bounds))
             codes, counts = _by_document(h[~frequent], word_doc[~frequent], b.num_rows)
             known = np.bincount(word_doc[frequent], minlength=b.num_rows) + (tree.docs > 0)
             yield pa.RecordBatch.from_arrays([
                 b.column("key"), b.column("held_out"), pa.array(np.diff(first) - 1), pa.array(known),
                 pa.array(np.bincount(doc, weights=base, minlength=b.num_rows)),
-                pa.array(np.bincount(doc, weights=score, minlength=b.num_rows)), codes, counts, grams_, times],
-                names=["key", "held_out", "n_tokens", "n_known", "base", "score", "codes", "counts", "grams", "times"])
+                pa.array(np.bincount(doc, weights=score, minlength=b.num_rows)), codes, counts, *cold],
+                names=["key", "held_out", "n_tokens", "n_known", "base", "score", "codes", "counts", *COLD])
     return run
 
 
@@ -334,29 +411,37 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"),
                        (fold(key) == HELD_OUT).alias("held_out"))
-    tree, words, table = train(rows)
+    tree, words, tables = train(rows)
+    table = tables[0]
+    for other in tables[1:]:
+        table = table.unionByName(other)
     least_hot = least_count(HOT_SHARE, tree.n)
     hot = table.where(F.col("n") >= least_hot).select("code", "delta").toPandas()  # 1 / HOT_SHARE a length
     order = np.argsort(names := hot["code"].to_numpy(np.int64).view(np.uint64))
     scored = materialize(rows.mapInArrow(
         _score(tree, names[order], hot["delta"].to_numpy(np.float64)[order], Filter(table)),
         "key long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-        "codes array<bigint>, counts array<bigint>, grams array<bigint>, times array<bigint>")
+        "codes array<bigint>, counts array<bigint>, " + ", ".join(f"{c} array<bigint>" for c in COLD))
         .withColumn("_rid", F.monotonically_increasing_id()), "scored")
-    # Other grams: one row for each document and distinct gram.
-    cold = scored.select("_rid", F.explode(F.arrays_zip("grams", "times")).alias("z")) \
-        .select("_rid", F.col("z.grams").alias("code"), F.col("z.times").alias("k"))
-    added = cold.join(table.where(F.col("n") < least_hot).select("code", "delta"), "code") \
-        .groupBy("_rid").agg(F.sum(F.col("k") * F.col("delta")).alias("added"))
+    # Other grams: one row for each document and distinct gram, a length at a time.
+    added = None
+    for length, deltas in enumerate(tables, 1):
+        cold = scored.select("_rid", F.col(f"grams_{length}").alias("code"), F.col(f"times_{length}").alias("k")) \
+            .select("_rid", F.inline(F.arrays_zip("code", "k")))
+        part = _stored(cold.join(deltas.where(F.col("n") < least_hot).select("code", "delta"), "code")
+                       .groupBy("_rid").agg(F.sum(F.col("k") * F.col("delta")).alias("added")), f"added-{length}")
+        discard(deltas)
+        added = part if added is None else added.unionByName(part)
+    added = added.groupBy("_rid").agg(F.sum("added").alias("added"))
     # Rare words: one row for each document and distinct word, looked up by a join.
-    rare = scored.select("_rid", F.explode(F.arrays_zip("codes", "counts")).alias("z")) \
-        .select("_rid", F.col("z.codes").alias("code"), F.col("z.counts").alias("k"))
+    rare = scored.select("_rid", F.col("codes").alias("code"), F.col("counts").alias("k")) \
+        .select("_rid", F.inline(F.arrays_zip("code", "k")))
     seen = F.coalesce("n", F.lit(0))
     looked = rare.join(words, "code", "left").groupBy("_rid").agg(
         F.sum(F.col("k") * F.log10((seen + 1) / F.lit(float(tree.n + tree.v + 1)))).alias("more"),
         F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("more_known"))
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("codes", "counts", "grams", "times").join(looked, "_rid", "left") \
+    return scored.drop("codes", "counts", *COLD).join(looked, "_rid", "left") \
         .join(added, "_rid", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
