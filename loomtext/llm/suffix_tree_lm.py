@@ -31,6 +31,7 @@ separate; without training data N = V = 0 and every token has probability one
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ STEP, MERGE = 256, 1 << 21
 FILTER_BITS, BLOCK_BITS, BLOCK_BYTES = 27, 17, 1 << 14
 #: Grams of one length counted in one group at a time; they are dealt by their code's leading bits.
 GROUP_BITS = 19
+#: Joins of whole gram tables run in so many slices of the key, one's shuffle files at a time.
+SLICES = 2
 
 
 def fold(key: str) -> Column:
@@ -184,16 +187,18 @@ def _or_blocks(batches):
 class Filter:
     """Two bits for each code of a table; ``may`` is never false for a code of it.
 
-    Sixteen bits a code, 2^FILTER_BITS at most: so much reaches the driver and each task.
+    Eight bits a code or more, 2^FILTER_BITS in all at most: so much reaches the driver and each task.
     """
 
     def __init__(self, codes: DataFrame):
-        self.width = min(FILTER_BITS, max(BLOCK_BITS, (16 * codes.count()).bit_length()))
+        self.width = min(FILTER_BITS, max(BLOCK_BITS, (8 * codes.count()).bit_length()))
         schema = "block long, bits binary"
         blocks = codes.select("code").mapInArrow(_mark(self.width), schema).repartition("block") \
             .mapInArrow(_or_blocks, schema)
         bits = np.zeros(1 << (self.width - 3), np.uint8)
-        for r in blocks.collect():
+        rows = blocks.collect()
+        release(codes.sparkSession)
+        for r in rows:
             bits[r.block * BLOCK_BYTES:(r.block + 1) * BLOCK_BYTES] = np.frombuffer(r.bits, np.uint8)
         self.bits = bits.view(np.uint64)
 
@@ -288,6 +293,11 @@ def _as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(F.col(c).alias(name) for name, c in names.items()))
 
 
+def _by_hash(df: DataFrame) -> DataFrame:
+    """The side of a join that has each code once, evenly dealt: hashed, so that neither side is sorted."""
+    return df.hint("shuffle_hash")
+
+
 def _delta(df: DataFrame, value: Column) -> DataFrame:
     return df.select("code", "n", (value - F.col("low_value")).alias("delta")).where("delta <> 0")
 
@@ -299,6 +309,15 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _joined(left: DataFrame, right: DataFrame, by: str, columns: list, name: str) -> DataFrame:
+    """A stored inner join with a table that has each value of ``by`` once."""
+    parts = []
+    for i in range(SLICES):
+        mine = F.pmod(F.col(by), F.lit(SLICES)) == i
+        parts.append(_stored(left.where(mine).join(_by_hash(right.where(mine)), by).select(*columns), name))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def grams(learn: DataFrame, tree: Tree, words: DataFrame) -> list[DataFrame]:
     """By length, (code, n, delta): what each repeated gram adds to a document's score."""
     groups = max(1, int(tree.n).bit_length() - GROUP_BITS)
@@ -316,28 +335,31 @@ def grams(learn: DataFrame, tree: Tree, words: DataFrame) -> list[DataFrame]:
             _count_grams(Filter(level), length, groups), "part long, ctx binary, low binary, n binary")
             .groupBy("part").applyInArrow(_add_grams(least), "code long, ctx long, low long, n long"), "counted")
         cut, p_below = F.col("n") - DISCOUNT, F.pow(F.lit(10.0), F.col("below"))
-        nodes = found.join(_as(level, low="code", below="logp"), "low").groupBy("ctx").agg(
+        nodes = _stored(found.join(_by_hash(_as(level, low="code", below="logp")), "low").groupBy("ctx").agg(
             F.sum(cut).alias("kept"), F.sum(p_below).alias("below"),
-            F.sum(cut * F.log2(cut / p_below)).alias("bits")).withColumnRenamed("ctx", "code")
+            F.sum(cut * F.log2(cut / p_below)).alias("bits")).withColumnRenamed("ctx", "code"), f"nodes-{length - 1}")
         share, rest = F.col("kept") / F.col("n"), 1 - F.col("kept") / F.col("n")
         over = F.greatest(rest, F.lit(1e-12)) / F.greatest(1 - F.col("below"), F.lit(1e-12))
         bits = F.col("bits") / F.col("n") - share * F.log2("n") + rest * F.log2(over)
-        states = nodes.join(level.select("code", "n"), "code") \
-            .where((F.col("n") >= least_context) & (rest > 0) & (bits >= DIVERGENCE)) \
-            .select("code", F.log10(over).alias("weight"))
+        # Null without repeated next words and for contexts that are not retained.
+        weight = F.when((F.col("n") >= least_context) & (rest > 0) & (bits >= DIVERGENCE), F.log10(over))
         weights = F.coalesce("weight", F.lit(0.0)) + F.col("low_weights")
-        done = _stored(level.join(states, "code", "left").select(
+        done = _stored(level.join(_by_hash(nodes), "code", "left").withColumn("weight", weight).select(
             "code", "n", "logp", F.col("weight").isNotNull().alias("state"), weights.alias("weights"),
             (F.col("a") + weights).alias("value"), "low_value"), f"done-{length - 1}")
         out.append(materialize(_delta(done, F.col("value")), f"delta-{length - 1}"))
         discard(level)
-        logp = F.when(F.col("state"), F.log10(cut / F.col("total"))).otherwise(F.col("below"))
-        level = _stored(
-            found.join(_as(done, ctx="code", total="n", state="state", ctx_weights="weights"), "ctx")
-            .join(_as(done, low="code", below="logp", low_weights="weights", low_value="value"), "low")
-            .select("code", "n", logp.alias("logp"), (logp - F.col("ctx_weights")).alias("a"),
-                    "low_weights", "low_value"), f"grams-{length}")
+        discard(nodes)
+        # By context, then by suffix.
+        half = _joined(found, _as(done, ctx="code", total="n", state="state", ctx_weights="weights"), "ctx", [
+            "code", "low", "n", F.when(F.col("state"), F.log10(cut / F.col("total"))).alias("own"), "ctx_weights"],
+            f"half-{length}")
         discard(found)
+        logp = F.coalesce("own", "below")
+        level = _joined(half, _as(done, low="code", below="logp", low_weights="weights", low_value="value"), "low", [
+            "code", "n", logp.alias("logp"), (logp - F.col("ctx_weights")).alias("a"), "low_weights", "low_value"],
+            f"grams-{length}")
+        discard(half)
         discard(done)
     out.append(materialize(_delta(level, F.col("a") + F.col("low_weights")), f"delta-{MAX_DEPTH + 1}"))
     discard(level)
@@ -412,9 +434,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"),
                        (fold(key) == HELD_OUT).alias("held_out"))
     tree, words, tables = train(rows)
-    table = tables[0]
-    for other in tables[1:]:
-        table = table.unionByName(other)
+    table = reduce(DataFrame.unionByName, tables)
     least_hot = least_count(HOT_SHARE, tree.n)
     hot = table.where(F.col("n") >= least_hot).select("code", "delta").toPandas()  # 1 / HOT_SHARE a length
     order = np.argsort(names := hot["code"].to_numpy(np.int64).view(np.uint64))
@@ -424,22 +444,22 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         "codes array<bigint>, counts array<bigint>, " + ", ".join(f"{c} array<bigint>" for c in COLD))
         .withColumn("_rid", F.monotonically_increasing_id()), "scored")
     # Other grams: one row for each document and distinct gram, a length at a time.
-    added = None
+    added = []
     for length, deltas in enumerate(tables, 1):
         cold = scored.select("_rid", F.col(f"grams_{length}").alias("code"), F.col(f"times_{length}").alias("k")) \
             .select("_rid", F.inline(F.arrays_zip("code", "k")))
-        part = _stored(cold.join(deltas.where(F.col("n") < least_hot).select("code", "delta"), "code")
-                       .groupBy("_rid").agg(F.sum(F.col("k") * F.col("delta")).alias("added")), f"added-{length}")
+        added.append(_stored(cold.join(_by_hash(deltas.where(F.col("n") < least_hot).select("code", "delta")), "code")
+                       .groupBy("_rid").agg(F.sum(F.col("k") * F.col("delta")).alias("added")), f"added-{length}"))
         discard(deltas)
-        added = part if added is None else added.unionByName(part)
-    added = added.groupBy("_rid").agg(F.sum("added").alias("added"))
+    added = reduce(DataFrame.unionByName, added).groupBy("_rid").agg(F.sum("added").alias("added"))
     # Rare words: one row for each document and distinct word, looked up by a join.
     rare = scored.select("_rid", F.col("codes").alias("code"), F.col("counts").alias("k")) \
         .select("_rid", F.inline(F.arrays_zip("code", "k")))
     seen = F.coalesce("n", F.lit(0))
-    looked = rare.join(words, "code", "left").groupBy("_rid").agg(
+    looked = _stored(rare.join(_by_hash(words), "code", "left").groupBy("_rid").agg(
         F.sum(F.col("k") * F.log10((seen + 1) / F.lit(float(tree.n + tree.v + 1)))).alias("more"),
-        F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("more_known"))
+        F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("more_known")), "looked")
+    discard(words)
     more = F.coalesce("more", F.lit(0.0))
     return scored.drop("codes", "counts", *COLD).join(looked, "_rid", "left") \
         .join(added, "_rid", "left").select(
