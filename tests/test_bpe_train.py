@@ -172,3 +172,67 @@ def test_a_long_word_does_not_make_short_ones_be_read_again():
     finally:
         kernels.lookup = real
     assert seen[0] == 61_999 and seen[-1] < 3000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), max_size=8), st.integers(0, 2 ** 32))
+def test_merging_run_by_run_equals_merging_in_rank_order(seqs, seed):
+    pick = random.Random(seed)
+    triples = []
+    while len(triples) < 6:
+        a, b = (pick.randrange(4 + len(triples)) for _ in range(2))
+        if (a, b) not in [t[:2] for t in triples]:
+            triples.append((a, b, 4 + len(triples)))
+    flat = np.array([x for s in seqs for x in s], np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)
+    ids, ends, changed, fresh = kernels.merge_runs(
+        flat, offsets, kernels.pair_table(triples, 10), kernels.join_keys(triples, 10), 10)
+    merged = [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    assert merged == [_by_rank(s, triples) for s in seqs]
+    assert (flat[~changed] == ids[~fresh]).all() and len(changed) == len(flat) and len(fresh) == len(ids)
+
+
+def test_merges_apart_from_each_other_take_one_pass():
+    """Sixty merges in one line: a pass for each of them before."""
+    triples = [(2 * i, 2 * i + 1, 200 + i) for i in range(60)]
+    line = np.array([t for a, b, _ in triples for t in (a, b, 199)], np.int64)
+    seen = []
+    real = kernels.lookup
+
+    def counting(keys, probe):
+        seen.append(len(probe))
+        return real(keys, probe)
+
+    kernels.lookup = counting
+    try:
+        ids, ends, _, _ = kernels.merge_runs(line, np.array([0, len(line)]), kernels.pair_table(triples, 300),
+                                             kernels.join_keys(triples, 300), 300)
+    finally:
+        kernels.lookup = real
+    assert ids.tolist() == [t for _, _, c in triples for t in (c, 199)] and ends.tolist() == [0, 120]
+    assert len(seen) <= 3
+
+
+def test_sequences_are_stored_packed_and_the_delta_tells_the_new_counts(spark):
+    lines = CORPORA["repeats"] + CORPORA["runs"]
+    state = bpe_train.Pending(bpe_train._ordered(bpe.line_sequences(line_table(spark, lines), ["doc_id", "line_no"])),
+                              [], 300, "<u1")
+    assert dict(state.table.dtypes)["ids"] == "binary"  # an array of numbers before
+    triples = [(97, 98, 260), (97, 97, 261), (260, 260, 262), (32, 97, 263), (261, 261, 264)]
+
+    def table(counts):
+        out = {}
+        for r in counts.collect():
+            out[r["a"], r["b"]] = out.get((r["a"], r["b"]), 0) + r["n"]
+        return {p: n for p, n in out.items() if n}
+
+    moved = table(state.counts().unionByName(state.delta(triples)))
+    state.triples = triples
+    assert moved == table(state.counts()) == table(state.rewritten().counts())
+
+
+def test_many_probes_are_found_as_few_are():
+    keys = np.unique(np.random.RandomState(1).randint(0, 5000, 700)) * 1_000_003
+    probe = np.random.RandomState(2).randint(0, 5000, 3 * kernels.MANY) * 1_000_003
+    found, at = kernels.lookup(keys, probe)
+    assert (found == np.isin(probe, keys)).all() and (keys[at[found]] == probe[found]).all()
