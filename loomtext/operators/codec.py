@@ -131,6 +131,17 @@ class Codec:
              pa.py_buffer(data.astype(np.uint8).tobytes())])
 
 
+#: Bytes of a batch that are worked on at a time: numpy needs many times that.
+SLICE = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch):
+    """The rows of a batch, in parts of about SLICE bytes."""
+    rows = max(1, len(batch) * SLICE // max(1, batch.get_total_buffer_size()))
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+
+
 def _map_column(df: DataFrame, src: str, out_col: str, out_type, fn) -> DataFrame:
     """mapInArrow adding ``out_col`` = fn(batch column ``src``)."""
     ship_package(df.sparkSession)
@@ -139,10 +150,11 @@ def _map_column(df: DataFrame, src: str, out_col: str, out_type, fn) -> DataFram
     names = [f.name for f in fields]
 
     def run(batches):
-        for b in batches:
-            cols = [b.column(n) for n in names]
-            out = fn(b.column(src))
-            yield pa.RecordBatch.from_arrays(cols + [out], names=names + [out_col])
+        for batch in batches:
+            for b in _slices(batch):
+                cols = [b.column(n) for n in names]
+                out = fn(b.column(src))
+                yield pa.RecordBatch.from_arrays(cols + [out], names=names + [out_col])
 
     return df.select(*names).mapInArrow(run, schema)
 

@@ -163,3 +163,23 @@ def test_rms_norm_with_gain(spark):
     got = [r.normed for r in rms_norm(df, eps=0.0, gain=[2.0, 0.5]).collect()]
     assert got[1] is None and got[2] is None
     assert [round(x, 6) for x in got[0]] == [round(2 * 3 / 12.5 ** .5, 6), round(0.5 * 4 / 12.5 ** .5, 6)]
+
+
+def test_codec_works_on_parts_of_a_batch(spark, monkeypatch):
+    """A batch of many long lines went through numpy whole."""
+    import pyarrow as pa
+
+    from loomtext.operators import bpe, codec
+    rows = ["the cat " * (i % 900) for i in range(3000)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["line"])
+    parts = list(codec._slices(batch))
+    assert pa.Table.from_batches(parts).column("line").to_pylist() == rows
+    assert len(parts) >= batch.get_total_buffer_size() // codec.SLICE
+    assert list(codec._slices(batch.slice(0, 0))) == []
+    merges = [("74", "68", 9), ("7468", "65", 8), ("20", "63", 7)]
+    vocab = bpe.base_vocab([]) + [(a + b, 256 + i, "merge") for i, (a, b, _) in enumerate(merges)]
+    model = bpe.BpeModel(merges=merges, vocab=vocab, specials=[])
+    whole = codec.Codec(model).encode_array(batch.column("line")).to_pylist()
+    table = spark.createDataFrame(list(enumerate(rows)), "i int, line string").coalesce(1)
+    got = codec.encode(table, model).orderBy("i").collect()
+    assert [r["ids"] for r in got] == whole
