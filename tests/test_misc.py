@@ -183,3 +183,10 @@ def test_codec_works_on_parts_of_a_batch(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(rows)), "i int, line string").coalesce(1)
     got = codec.encode(table, model).orderBy("i").collect()
     assert [r["ids"] for r in got] == whole
+
+
+def test_id_to_token_encodes_the_corpus_once(spark, sf):
+    """The check for unknown ids and the result each encoded the corpus."""
+    from loomtext.plans import q_tokenizer
+    plan = q_tokenizer.q_id_to_token(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "InPandas" not in plan
