@@ -62,6 +62,28 @@ def test_few_fetched_runs_shrink_the_hot_set(spark, monkeypatch):
     assert m.merges == brute.train(lines, 30)[0]
 
 
+def test_a_smaller_hot_set_reads_no_sequences_again(spark, monkeypatch):
+    reads, rounds = [], []
+    runs, merger = bpe_train.Pending.runs, bpe_train.RunMerger
+    monkeypatch.setattr(bpe_train, "RUNS", 6)
+    monkeypatch.setattr(bpe_train.Pending, "runs", lambda *a: reads.append(0) or runs(*a))
+    monkeypatch.setattr(bpe_train, "RunMerger", lambda *a: rounds.append(0) or merger(*a))
+    lines = corpus_of(4, 40, "aabcd", 30, repeats=5)
+    m = bpe.train_line_bpe(line_table(spark, lines), vocab_size=264, hot=16)
+    assert m.merges == brute.train(lines, 4)[0]
+    assert len(reads) == len(rounds)
+
+
+@pytest.mark.parametrize("name", ["repeats", "runs"])
+def test_runs_of_fewer_pairs_are_cut_out_of_those_of_more(spark, name):
+    seqs = bpe.line_sequences(line_table(spark, CORPORA[name] + [""]), ["doc_id", "line_no"])
+    state = bpe_train.Pending(bpe_train._ordered(seqs), [], 300, "<u1")
+    top = [(r["a"], r["b"]) for r in state.counts().orderBy("n", "a", "b").collect()[-6:]]
+    few = bpe_train.fewer_runs(state.runs(top), top[-2:], 300)
+    assert sorted(few.collect()) == sorted(state.runs(top[-2:]).collect())
+    assert few.count() > 1
+
+
 def words_brute(lines, n, min_freq=2):
     """Word rule with ties to the smallest surfaces, one merge at a time."""
     import regex
