@@ -258,3 +258,27 @@ def test_many_probes_are_found_as_few_are():
     probe = np.random.RandomState(2).randint(0, 5000, 3 * kernels.MANY) * 1_000_003
     found, at = kernels.lookup(keys, probe)
     assert (found == np.isin(probe, keys)).all() and (keys[at[found]] == probe[found]).all()
+
+
+def test_pairs_of_few_tokens_are_found_as_by_search():
+    pick = np.random.default_rng(3)
+    ids = pick.integers(0, 276, kernels.MANY + 7)
+    offsets = np.sort(np.concatenate([[0, len(ids)], pick.integers(0, len(ids), 40)]))
+    keys = np.unique(pick.integers(0, 276 * 276, 90))
+    seg = kernels.segment_ids(offsets)
+    found, at = kernels.adjacent(ids, seg, keys, 276)
+    pair = ids[:-1] * 276 + ids[1:]
+    want = np.isin(pair, keys) & (seg[:-1] == seg[1:])
+    assert (found == want).all() and want.any() and (keys[at[found]] == pair[found]).all()
+    for none in (kernels.adjacent(ids, seg, keys[:0], 276)[0], kernels.adjacent(ids[:0], seg[:0], keys, 276)[0]):
+        assert not none.any()
+
+
+def test_the_run_merger_keeps_numbers_packed_and_places_beyond_64_bits():
+    far = (1 << 70) + 5
+    runs = [(bytes(2) + np.array(t, np.int32).tobytes(), w, at) for t, w, at in (
+        ([3, 4, 3, 4], 2, far), ([1, 2, 1, 2], 1, 7), ([1, 2], 2, 1 << 65))]
+    work = bpe_train.RunMerger(runs, {(1, 2), (3, 4)}, lambda pair, place: place)
+    assert work.pick() == (4, (1, 2))  # the first of those that tie
+    assert (work.rank_of((1, 2)), work.rank_of((3, 4))) == (7, far)
+    assert all(x.itemsize == 8 for x in (work.token, work.after, work.before, work.weight))
