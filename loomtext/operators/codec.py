@@ -18,6 +18,8 @@ left to right) occurrences of its lowest-rank adjacent pair.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -142,10 +144,11 @@ def _slices(batch: pa.RecordBatch):
         yield batch.slice(at, rows)
 
 
-def _map_column(df: DataFrame, src: str, out_col: str, out_type, fn) -> DataFrame:
-    """mapInArrow adding ``out_col`` = fn(batch column ``src``)."""
+def _map_column(df: DataFrame, src: str, out_col: str, out_type, fn, leave: Sequence[str] = ()) -> DataFrame:
+    """mapInArrow adding ``out_col`` = fn(batch column ``src``), without the columns ``leave``."""
     ship_package(df.sparkSession)
-    fields = [f for f in df.schema.fields if f.name != out_col]
+    sent = [f.name for f in df.schema.fields if f.name != out_col and (f.name == src or f.name not in leave)]
+    fields = [f for f in df.schema.fields if f.name in sent and f.name not in leave]
     schema = T.StructType(fields + [T.StructField(out_col, out_type, True)])
     names = [f.name for f in fields]
 
@@ -156,28 +159,29 @@ def _map_column(df: DataFrame, src: str, out_col: str, out_type, fn) -> DataFram
                 out = fn(b.column(src))
                 yield pa.RecordBatch.from_arrays(cols + [out], names=names + [out_col])
 
-    return df.select(*names).mapInArrow(run, schema)
+    return df.select(*sent).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, model: BpeModel, text_col: str = "line", out_col: str = "ids",
            add_bos: bool = False, add_eos: bool = False,
-           pattern: str = WORD_PATTERN) -> DataFrame:
+           pattern: str = WORD_PATTERN, keep_text: bool = True) -> DataFrame:
     """Add ``out_col`` = token ids of ``text_col``.
 
+    Without ``keep_text`` the text goes to the encoder and does not come back.
+
     Line mode: the whole text is one sequence (T2 set-fixpoint rule).
     Word mode: regex pre-tokenization (built-in, JVM side), then rank-ordered
     merges per word; distinct words of a batch are encoded once.
     """
     codec = Codec(model, add_bos, add_eos)
     ids_t = T.ArrayType(T.IntegerType())
+    leave = ["_enc_in"] if keep_text else ["_enc_in", text_col]
     if model.mode == "line":
         src = df.withColumn("_enc_in", normalize(text_col, model.lowercase))
-        out = _map_column(src, "_enc_in", out_col, ids_t, codec.encode_array)
-    else:
-        src = df.withColumn("_enc_in", F.regexp_extract_all(
-            normalize(text_col, model.lowercase), F.lit(pattern), 0))
-        out = _map_column(src, "_enc_in", out_col, ids_t, codec.encode_words)
-    return out.drop("_enc_in")
+        return _map_column(src, "_enc_in", out_col, ids_t, codec.encode_array, leave)
+    src = df.withColumn("_enc_in", F.regexp_extract_all(
+        normalize(text_col, model.lowercase), F.lit(pattern), 0))
+    return _map_column(src, "_enc_in", out_col, ids_t, codec.encode_words, leave)
 
 
 def byte_ids_of(df: DataFrame, text_col: str = "line", out_col: str = "ids") -> DataFrame:

@@ -241,7 +241,7 @@ def q_bpe_pack_shards(spark, sf_dir):
     lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
     # encoding runs inside the range blocks (after the shuffle), not before the sampler
     off = P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: X.encode(
-        df, model, "line", "ids").drop("line"))
+        df, model, "line", "ids", keep_text=False))
     sh = P.shard_positions(P.shards_exact(off, 20_000))
     path = os.path.join(scratch_path(spark, "shards"), "shards")
     P.write_shards(sh.withColumn("n", F.size("ids")), path, ["doc_id", "line_no"])
@@ -285,7 +285,7 @@ def q_word_pack_shards(spark, sf_dir):
     model = word_model(spark, sf_dir)
     lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
     off = P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: X.encode(
-        df, model, "line", "ids").drop("line"))
+        df, model, "line", "ids", keep_text=False))
     path = os.path.join(scratch_path(spark, "word-shards"), "shards")
     P.write_shards(P.shards_exact(off, 20_000), path, ["doc_id", "line_no"])
     return P.read_shards(spark, path, split="val").groupBy("split").agg(
@@ -339,7 +339,7 @@ def q_shards_listed(spark, sf_dir):
     model = line_model(spark, sf_dir)
     lines = split_lines(spark, sf_dir).select("split", "doc_id", "line_no", "line")
     off = P.token_offsets(lines, ["doc_id", "line_no"], encode=lambda df: X.encode(
-        df, model, "line", "ids").drop("line"))
+        df, model, "line", "ids", keep_text=False))
     path = os.path.join(scratch_path(spark, "shards"), "shards")
     P.write_shards(P.shard_positions(P.shards_exact(off, 20_000)), path, ["doc_id", "line_no"])
     listed = P.read_shards(spark, path, "train", shards=[0, 2, 70]) \
