@@ -25,3 +25,14 @@ def test_files_that_arrive_hold_several_row_groups(spark, tmp_path, monkeypatch)
     groups = [pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in files]
     assert len(files) == 2 and min(groups) >= 4
     assert spark.read.parquet(path).count() == 800
+
+
+def test_the_encoder_hands_back_no_text_that_nobody_reads(spark):
+    from loomtext.operators import bpe, codec
+    lines = spark.createDataFrame([(1, 0, "the the"), (2, 0, None), (3, 1, "hé")], "doc_id long, line_no int, line string")
+    model = bpe.train_line_bpe(lines.where("line is not null"), vocab_size=264)
+    for m in (model, bpe.train_word_bpe(lines.where("line is not null"), vocab_size=264)):
+        kept = codec.encode(lines, m, "line", "ids")
+        bare = codec.encode(lines, m, "line", "ids", keep_text=False)
+        assert kept.columns == ["doc_id", "line_no", "line", "ids"] and bare.columns == ["doc_id", "line_no", "ids"]
+        assert sorted(map(str, kept.drop("line").collect())) == sorted(map(str, bare.collect()))
