@@ -8,21 +8,21 @@ keep a discounted probability; the rest of the mass goes to the suffix'
 distribution, renormalised, down to the add-one unigram model.  A token is scored
 in the longest retained suffix of its history.
 
-A pair of context and next word is a gram of one word more, so grams of 1 to
-``MAX_DEPTH`` + 1 words hold the model; they stay in Spark tables.  Every part of a
-repeated gram is repeated, so a token's score depends on the longest repeated gram
-that ends with it alone: its probability, less the back-off weights of its context,
-plus those of the gram itself as context of the next token.  Each gram stores how
-this value differs from its suffix', and a document's score is the sum over all its
-grams.  Grams of at least ``HOT_SHARE`` (bounded: 1/share a length) are sent to the
-tasks; the others are joined a length at a time, one row per document and distinct
-gram.  A bit filter of bounded size leaves out grams that no table has; when full it
-only saves less.  Shuffle files are released once the table they led to is written.
-
-Words too rare for the bounded table are counted and looked up by a join, per
-document and distinct word; frequent words, the hot keys, never join.
-
-Words and grams are compared by a 64-bit hash.  Defined cases: null and empty texts
+A context and all its suffixes end with the same word, so tokens are dealt by the
+word before them: each token travels once, with the three words before it and its
+document, and the part that gets it has all that its contexts' counts, weights and
+scores need.  A part learns from its training tokens, scores all of its tokens, and
+hands back one number for each document.
+
+Contexts of more than ``GROUP`` tokens are hot: their tokens are dealt on, by the context
+that is a word longer (by place in the end), to parts of their own.  Hot contexts are
+counted beforehand, a length at a time, and what they say of their next words is sent
+to each of their parts; that is at most a part's distinct words for a part of ``GROUP`` tokens.
+
+Frequent words' counts are sent to the tasks (bounded: 1/``SYMBOL_SHARE``); those of
+other words are joined, one row for each part and distinct word.
+
+Words and contexts are compared by a 64-bit hash.  Defined cases: null and empty texts
 have the end token alone; a null key is training data; repeated rows are
 separate; without training data N = V = 0 and every token has probability one
 (log10 0); an empty table gives an empty result.
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,85 +41,59 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import discard, materialize, release, text_or_empty
-from .text_hash import buffers, word_hashes
+from .text_hash import buffers, mix, word_hashes
 
-MAX_DEPTH, SYMBOL_SHARE, HOT_SHARE = 3, 1e-6, 1e-6
+MAX_DEPTH, SYMBOL_SHARE = 3, 1e-6
+#: A context is hot with more tokens than GROUP, and than this share of them (bounds the hot ones).
+GROUP, HOT_SHARE = 1 << 20, 1e-6
 #: Shares of the training tokens that raise the least counts; none by default.
 PAIR_SHARE, CONTEXT_SHARE = 0.0, 0.0
 DIVERGENCE, DISCOUNT = 0.005, 0.5
 FOLDS, HELD_OUT = 7, 2
-START, END = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
-#: Texts hashed at a time; counts of a task kept before they are merged.
-STEP, MERGE = 256, 1 << 21
-FILTER_BITS, BLOCK_BITS, BLOCK_BYTES = 27, 17, 1 << 14
-#: Grams of one length counted in one group at a time; they are dealt by their code's leading bits.
-GROUP_BITS = 19
-#: Joins of whole gram tables run in so many slices of the key, one's shuffle files at a time.
-SLICES = 2
+START, END, VOID = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B), np.uint64(0x3C6EF372FE94F82B)
+#: Texts hashed at a time; tokens that a task deals at a time; bits of a word's number that two of them are sorted by.
+STEP, MERGE, WORD_BITS = 128, 3 << 18, 21
+#: Tokens of a part, on average, and how many of them are scored at a time.
+PART, AT_ONCE = 1 << 21, 1 << 19
 
 
 def fold(key: str) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % FOLDS
 
 
-class _Counter:
-    """Counts of integer codes, merged now and then."""
-
-    def __init__(self):
-        self.codes, self.counts, self.held = [], [], 0
-
-    def add(self, codes: np.ndarray) -> None:
-        if len(codes):
-            u, n = np.unique(codes, return_counts=True)
-            self.codes.append(u)
-            self.counts.append(n)
-            self.held += len(u)
-            if self.held > MERGE:
-                self.merge()
-                self.held = len(self.codes[0]) // 2
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.codes:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        u, back = np.unique(np.concatenate(self.codes), return_inverse=True)
-        n = np.zeros(len(u), np.int64)
-        np.add.at(n, back, np.concatenate(self.counts))
-        self.codes, self.counts = [u], [n]
-        return u, n
-
-    def batch(self) -> pa.RecordBatch:
-        u, n = self.merge()
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["code", "n"])
-
-
 def _slices(batches):
     for batch in batches:
         for i in range(0, batch.num_rows, STEP):
             yield batch.slice(i, STEP)
 
 
-def _count_words(batches):
-    c = _Counter()
-    for b in _slices(batches):
-        c.add(word_hashes(*buffers(b.column("text")))[0])
-    yield c.batch()
-
-
 class Tree:
-    """The frequent words and the totals; picklable, of bounded size."""
+    """The frequent words and the totals; picklable, of bounded size.
+
+    Words have numbers: the three marks, then the frequent words, most frequent first;
+    from ``size`` on, other words by their place in a table that the caller has.
+    """
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int, docs: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
         self.n, self.v, self.docs = n, v, docs
+        self.least, self.least_context = least_count(PAIR_SHARE, n), least_count(CONTEXT_SHARE, n)
+        order = np.lexsort((words, -counts))
+        self.counts = np.concatenate([[0, docs, 0], counts[order]])
+        codes = np.concatenate([np.array([START, END, VOID]), words[order]])
+        self.number = np.argsort(codes).astype(np.int32)
+        self.codes = codes[self.number]  # sorted
+        self.size = len(codes)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.n + self.v + 1))
 
-    def places(self, h: np.ndarray) -> np.ndarray:
-        """Places in ``words`` (-1: rare)."""
-        at, known = _find(self.words, h)
-        return np.where(known, at, -1)
+    def numbered(self, codes: np.ndarray, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct words, the rare ones' by their place among ``others``, and these: by
+        default, the rare ones here.  Words of neither have -1."""
+        at, known = _find(self.codes, codes)
+        others = codes[~known] if others is None else others
+        place, other = _find(others, codes)
+        return np.where(known, self.number[at], np.where(other, self.size + place, -1)).astype(np.int32), others
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -135,78 +110,19 @@ def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == codes
 
 
-def least_count(share: float, n: int) -> int:
-    return max(2, math.ceil(share * n))
-
-
-def _mark(width: int):
-    """(block, places or, where these take more room, bits) of the two bits of each code."""
-    mask = np.uint64((1 << width) - 1)
+def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and which of them each key is."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], number
 
-    def marked(held):
-        codes = np.concatenate(held)
-        bits = np.unique(np.concatenate([codes & mask, (codes >> np.uint64(32)) & mask])).astype(np.int64)
-        block, place = bits >> BLOCK_BITS, (bits & ((1 << BLOCK_BITS) - 1)).astype(np.uint32)
-        at = np.append(_starts(block), len(block))
-        parts = [place[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([
-            pa.array(block[at[:-1]]), pa.array([x.tobytes() if x.nbytes < BLOCK_BYTES else _bits(x).tobytes()
-                                                for x in parts], pa.binary())], names=["block", "bits"])
 
-    def run(batches):
-        held, size = [], 0
-        for b in batches:
-            held.append(b.column("code").to_numpy().view(np.uint64))
-            size += len(held[-1])
-            if size > MERGE:
-                yield marked(held)
-                held, size = [], 0
-        if size:
-            yield marked(held)
-    return run
-
-
-def _bits(places: np.ndarray) -> np.ndarray:
-    on = np.zeros(1 << BLOCK_BITS, bool)
-    on[places] = True
-    return np.packbits(on, bitorder="little")
-
-
-def _or_blocks(batches):
-    """One row a block: at most 2^FILTER_BITS bits in a task."""
-    found = {}
-    for b in batches:
-        for block, bits in zip(b.column("block").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            new = np.frombuffer(bits, np.uint8) if len(bits) == BLOCK_BYTES else _bits(np.frombuffer(bits, np.uint32))
-            found[block] = found[block] | new if block in found else new
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()),
-                                      pa.array([x.tobytes() for x in found.values()], pa.binary())],
-                                     names=["block", "bits"])
-
-
-class Filter:
-    """Two bits for each code of a table; ``may`` is never false for a code of it.
-
-    Eight bits a code or more, 2^FILTER_BITS in all at most: so much reaches the driver and each task.
-    """
-
-    def __init__(self, codes: DataFrame):
-        self.width = min(FILTER_BITS, max(BLOCK_BITS, (8 * codes.count()).bit_length()))
-        schema = "block long, bits binary"
-        blocks = codes.select("code").mapInArrow(_mark(self.width), schema).repartition("block") \
-            .mapInArrow(_or_blocks, schema)
-        bits = np.zeros(1 << (self.width - 3), np.uint8)
-        rows = blocks.collect()
-        release(codes.sparkSession)
-        for r in rows:
-            bits[r.block * BLOCK_BYTES:(r.block + 1) * BLOCK_BYTES] = np.frombuffer(r.bits, np.uint8)
-        self.bits = bits.view(np.uint64)
-
-    def may(self, codes: np.ndarray) -> np.ndarray:
-        mask, out = np.uint64((1 << self.width) - 1), np.ones(len(codes), bool)
-        for bit in (codes & mask, (codes >> np.uint64(32)) & mask):
-            out &= (self.bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-        return out
+def least_count(share: float, n: int) -> int:
+    return max(2, math.ceil(share * n))
 
 
 def _join_codes(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -218,15 +134,15 @@ def _join_codes(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _tokens(column: pa.Array):
-    """Per text [START, words, END]: codes, places in the text, and first tokens; word hashes and bounds."""
+    """Per text [START, words, END]: codes, places in the text, and first tokens."""
     h, bounds = word_hashes(*buffers(column))
     first = np.concatenate([[0], np.cumsum(np.diff(bounds) + 2)])
     code = np.empty(first[-1], np.uint64)
     inside = np.ones(first[-1], bool)
     inside[first[:-1]], inside[first[1:] - 1] = False, False
     code[inside], code[first[:-1]], code[first[1:] - 1] = h, START, END
-    place = np.arange(len(code)) - np.repeat(first[:-1], np.diff(first))
-    return code, place, first, h, bounds
+    place = (np.arange(len(code)) - np.repeat(first[:-1], np.diff(first))).astype(np.int32)
+    return code, place, first
 
 
 def _longer(code: np.ndarray) -> np.ndarray:
@@ -236,234 +152,479 @@ def _longer(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """The bytes of each run of values."""
-    ends = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [
-        None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+class Chunk(NamedTuple):
+    """Some texts: their keys, and word, place and text of each token."""
 
+    first: int  # row id of the first; the others follow
+    keys: pa.Array
+    held: np.ndarray
+    sizes: np.ndarray
+    code: np.ndarray
+    place: np.ndarray
 
-def _count_grams(some: Filter, length: int, groups: int):
-    """Counts of the grams of ``length`` words whose parts ``some`` may hold, in arrays by
-    the leading ``groups`` bits of their codes."""
-    def summed(held):
-        code, low, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-        code, at, n = np.unique(code, return_index=True, return_counts=True)
-        group = (code >> np.uint64(64 - groups)).astype(np.int64)
-        starts = _starts(group)
-        return pa.RecordBatch.from_arrays([
-            pa.array(group[starts]), _binary(ctx[at], starts), _binary(low[at], starts),
-            _binary(n.astype(np.uint32), starts)], names=["part", "ctx", "low", "n"])
+    @property
+    def docs(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
+
+def _chunks(batches):
+    """Texts of about MERGE tokens at a time."""
+    held, size, following = [], 0, None
+
+    def joined():
+        rids, keys, held_out, code, place, sizes = zip(*held, strict=True)
+        held.clear()
+        return Chunk(rids[0], pa.chunked_array(keys).combine_chunks(), np.concatenate(held_out), np.concatenate(sizes),
+                     np.concatenate(code), np.concatenate(place))
+
+    for b in _slices(batches):
+        rid = b.column("rid")[0].as_py()
+        if held and rid != following:
+            yield joined()
+            size = 0
+        following = rid + b.num_rows
+        code, place, first = _tokens(b.column("text"))
+        held.append((rid, b.column("key"), b.column("held_out").to_numpy(zero_copy_only=False), code, place, np.diff(first)))
+        size += len(code)
+        del code, place, first
+        if size > MERGE:
+            yield joined()
+            size = 0
+    if held:
+        yield joined()
+
+
+def _sums(codes: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct codes: where one is, times in training documents, and times in all."""
+    order = np.argsort(codes)
+    at = _starts(codes[order])
+    n = np.add.reduceat(learn[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    return order[at], n, np.diff(np.append(at, len(codes)))
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+def _count_words(batches):
+    for c in _chunks(batches):
+        words = np.flatnonzero((c.place > 0) & (c.code != END))
+        code = c.code[words]
+        at, n, every = _sums(code, ~c.held[c.docs[words]])
+        yield pa.RecordBatch.from_arrays([_long(x) for x in (code[at], n, every)], names=["code", "n", "every"])
+
+
+def _count_hot(hot: np.ndarray, length: int):
+    """Counts of the grams of a hot context of ``length`` words and the next word."""
     def run(batches):
-        held, size = [], 0
-        for b in _slices(batches):
-            code, place, *_ = _tokens(b.column("text"))
-            for _ in range(length - 2):
-                code = _longer(code)
-            may = some.may(code)
-            at = np.flatnonzero(place >= length - 1)
-            at = at[may[at] & may[at - 1]]
-            held.append((_join_codes(code[at - 1], code[at]), code[at], code[at - 1]))
-            size += len(at)
-            if size > MERGE:
-                yield summed(held)
-                held, size = [], 0
-        if size:
-            yield summed(held)
+        for c in _chunks(batches):
+            low = c.code
+            for _ in range(length - 1):
+                low = _longer(low)
+            at = np.flatnonzero(c.place >= length)
+            at = at[_find(hot, low[at - 1])[1]]
+            ctx, low = low[at - 1], low[at]
+            code = _join_codes(ctx, low)
+            one, n, every = _sums(code, ~c.held[c.docs[at]])
+            yield pa.RecordBatch.from_arrays(
+                [_long(x) for x in (code[one], ctx[one], low[one], c.code[at[one]], n, every)],
+                names=["code", "ctx", "low", "word", "n", "every"])
     return run
 
 
-def _add_grams(least: int):
-    """(code, ctx, low, n) of the grams of one group that are seen ``least`` times."""
-    def run(table: pa.Table) -> pa.Table:
-        ctx, low, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (
-            ("ctx", np.uint64), ("low", np.uint64), ("n", np.uint32)))
-        code, at, back = np.unique(_join_codes(ctx, low), return_index=True, return_inverse=True)
-        total = np.zeros(len(code), np.int64)
-        np.add.at(total, back, n)
-        keep = total >= least
-        at = at[keep]
-        return pa.table({"code": code[keep].view(np.int64), "ctx": ctx[at].view(np.int64),
-                         "low": low[at].view(np.int64), "n": total[keep]})
-    return run
+class Hot(NamedTuple):
+    """The hot contexts of one length; of bounded number."""
 
+    codes: np.ndarray  # sorted
+    low: np.ndarray  # codes of their suffixes, hot too
+    n: np.ndarray
+    shares: np.ndarray  # how many parts each has
+    first: np.ndarray  # and which is its first
+    weight: np.ndarray
+    retained: np.ndarray
 
-def _as(df: DataFrame, **names: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(name) for name, c in names.items()))
 
+def _hot(rows: list, first: int, group: int) -> Hot:
+    code, low, n, every = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+    order = np.argsort(code.view(np.uint64))
+    shares = -(-every[order] // group)
+    return Hot(code.view(np.uint64)[order], low.view(np.uint64)[order], n[order], shares,
+               first + np.cumsum(shares) - shares, np.zeros(len(order)), np.zeros(len(order), bool))
 
-def _by_hash(df: DataFrame) -> DataFrame:
-    """The side of a join that has each code once, evenly dealt: hashed, so that neither side is sorted."""
-    return df.hint("shuffle_hash")
 
+def _judged(n, kept, below, bits, least_context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts are retained, and the weights (log10) of what lies below them.
 
-def _delta(df: DataFrame, value: Column) -> DataFrame:
-    return df.select("code", "n", (value - F.col("low_value")).alias("delta")).where("delta <> 0")
+    ``kept``: discounted counts, ``below``: the suffix' probabilities, ``bits``: counts
+    times log2 of counts over these probabilities; sums over the repeated next words.
+    """
+    n = np.maximum(n, 1)
+    share = kept / n
+    rest = 1 - share
+    over = np.maximum(rest, 1e-12) / np.maximum(1 - below, 1e-12)
+    bits = bits / n - share * np.log2(n) + rest * np.log2(over)
+    retained = (kept > 0) & (rest > 0) & (n >= least_context) & (bits >= DIVERGENCE)
+    return retained, np.where(retained, np.log10(over), 0.0)
+
+
+def _parts(c: Chunk, at: np.ndarray, word_part: np.ndarray, levels: list[Hot]) -> np.ndarray:
+    """The part of each of some tokens (never a text's first)."""
+    part = word_part
+    some, code = np.arange(len(at)), c.code
+    for length, hot in enumerate(levels, 1):
+        i, known = _find(hot.codes, code[at[some] - 1])
+        known &= c.place[at[some]] >= length
+        some, i = some[known], i[known]
+        if not len(some):
+            break
+        code = _longer(code)
+        # By place where the text has no longer context, and for the last length.
+        more = (c.place[at[some]] > length) & (length < MAX_DEPTH)
+        by = np.where(more, code[at[some] - 1], mix(at[some].astype(np.uint64)))
+        part[some] = hot.first[i] + (by % hot.shares[i].astype(np.uint64)).astype(np.int64)
+    return part
+
+
+def _dealt(tree: Tree, c: Chunk, parts: int, levels: list[Hot]):
+    """The rare words; places of all tokens but the first, their words and the three before each
+    (earliest first) by number, and their parts."""
+    words, place = _dense(c.code)
+    numbers, rare = tree.numbered(words)
+    number, part = numbers[place], (mix(words) % np.uint64(parts)).astype(np.int64)
+    at = np.flatnonzero(c.place > 0)
+    part = part[place[at - 1]]
+    del words, place
+    void = tree.numbered(np.array([VOID]))[0][0]
+    w = [np.where(c.place[at] >= back, number[at - back], void) for back in (3, 2, 1, 0)]
+    return rare, at, w, _parts(c, at, part, levels)
+
+
+def _rare(tree: Tree, parts: int, levels: list[Hot]):
+    """(part, word) of each part's words whose counts are not sent to the tasks."""
+    def run(batches):
+        for c in _chunks(batches):
+            words, _, w, part = _dealt(tree, c, parts, levels)
+            rare = np.flatnonzero(w[3] >= tree.size)
+            both, n = np.unique(part[rare] * len(words) + (w[3][rare] - tree.size)), max(len(words), 1)
+            yield pa.RecordBatch.from_arrays([_long(both // n), _long(words[both % n])], names=["part", "word"])
+    return run
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder; shuffle files of what it was made from may go."""
-    out = materialize(df, name)
-    release(df.sparkSession)
-    return out
+DEALT = "part long, first long, words binary, tokens binary, more binary, docs binary, learn binary, " \
+    "keys array<bigint>, held array<boolean>, sizes array<bigint>, known array<bigint>, base array<double>"
 
 
-def _joined(left: DataFrame, right: DataFrame, by: str, columns: list, name: str) -> DataFrame:
-    """A stored inner join with a table that has each value of ``by`` once."""
-    parts = []
-    for i in range(SLICES):
-        mine = F.pmod(F.col(by), F.lit(SLICES)) == i
-        parts.append(_stored(left.where(mine).join(_by_hash(right.where(mine)), by).select(*columns), name))
-    return reduce(DataFrame.unionByName, parts)
+def _deal(tree: Tree, parts: int, levels: list[Hot]):
+    """A row for each part with all its tokens of some texts, and a row of the texts' keys, sizes and
+    what their frequent words add."""
+    def run(batches):
+        for c in _chunks(batches):
+            rare, at, w, part = _dealt(tree, c, parts, levels)
+            docs = c.docs[at]
+            counts = np.append(tree.counts, np.full(len(rare), -1))
+            known = np.bincount(docs, weights=(counts > 0)[w[3]], minlength=len(c.sizes)).astype(np.int64)
+            base = np.bincount(docs, weights=np.where(counts < 0, 0, tree.base(np.maximum(counts, 0)))[w[3]],
+                               minlength=len(c.sizes))
+            rows = [{"part": -1 - c.first, "first": c.first, "keys": c.keys.to_pylist(), "held": c.held.tolist(),
+                     "sizes": (c.sizes - 1).tolist(), "known": known.tolist(), "base": base.tolist()}]
+            if max(len(counts), part.max()) < 1 << WORD_BITS - 1:  # runs of equal words take little room
+                order = np.argsort(part << 2 * WORD_BITS | w[2].astype(np.int64) << WORD_BITS | w[1])
+            else:
+                order = np.lexsort((w[1], w[2], part))
+            part, docs = part[order], docs[order]
+            for i in range(4):
+                w[i] = w[i][order]
+            del order, at
+            bounds = np.append(_starts(part), len(part))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                mine = np.stack([x[a:b] for x in w])
+                others = mine >= tree.size
+                used, place = _dense(mine[others] - tree.size)
+                mine[others] = tree.size + place
+                rows.append({"part": int(part[a]), "first": c.first, "words": rare[used].tobytes(),
+                             **dict(zip(("tokens", "more"), _halves(mine.ravel()), strict=True)),
+                             "docs": b"".join(_halves(docs[a:b])), "learn": np.packbits(~c.held[docs[a:b]]).tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=DEALT_ARROW)
+    return run
 
 
-def grams(learn: DataFrame, tree: Tree, words: DataFrame) -> list[DataFrame]:
-    """By length, (code, n, delta): what each repeated gram adds to a document's score."""
-    groups = max(1, int(tree.n).bit_length() - GROUP_BITS)
-    least, least_context = least_count(PAIR_SHARE, tree.n), least_count(CONTEXT_SHARE, tree.n)
-    ends = learn.sparkSession.createDataFrame([(int(x.view(np.int64)), tree.docs) for x in (START, END)],
-                                              "code long, n long")
-    # By gram: log of its probability, and less its context's weights (a); weights and value of its suffix.
-    root = F.log10((F.col("n") + 1) / F.lit(float(tree.n + tree.v + 1)))
-    level = _stored(words.where(F.col("n") >= least).unionByName(ends).select(
-        "code", "n", root.alias("logp"), root.alias("a"), F.lit(0.0).alias("low_weights"), root.alias("low_value")),
-        "grams-1")
-    out = []
-    for length in range(2, MAX_DEPTH + 2):
-        found = _stored(learn.mapInArrow(
-            _count_grams(Filter(level), length, groups), "part long, ctx binary, low binary, n binary")
-            .groupBy("part").applyInArrow(_add_grams(least), "code long, ctx long, low long, n long"), "counted")
-        cut, p_below = F.col("n") - DISCOUNT, F.pow(F.lit(10.0), F.col("below"))
-        nodes = _stored(found.join(_by_hash(_as(level, low="code", below="logp")), "low").groupBy("ctx").agg(
-            F.sum(cut).alias("kept"), F.sum(p_below).alias("below"),
-            F.sum(cut * F.log2(cut / p_below)).alias("bits")).withColumnRenamed("ctx", "code"), f"nodes-{length - 1}")
-        share, rest = F.col("kept") / F.col("n"), 1 - F.col("kept") / F.col("n")
-        over = F.greatest(rest, F.lit(1e-12)) / F.greatest(1 - F.col("below"), F.lit(1e-12))
-        bits = F.col("bits") / F.col("n") - share * F.log2("n") + rest * F.log2(over)
-        # Null without repeated next words and for contexts that are not retained.
-        weight = F.when((F.col("n") >= least_context) & (rest > 0) & (bits >= DIVERGENCE), F.log10(over))
-        weights = F.coalesce("weight", F.lit(0.0)) + F.col("low_weights")
-        done = _stored(level.join(_by_hash(nodes), "code", "left").withColumn("weight", weight).select(
-            "code", "n", "logp", F.col("weight").isNotNull().alias("state"), weights.alias("weights"),
-            (F.col("a") + weights).alias("value"), "low_value"), f"done-{length - 1}")
-        out.append(materialize(_delta(done, F.col("value")), f"delta-{length - 1}"))
-        discard(level)
-        discard(nodes)
-        # By context, then by suffix.
-        half = _joined(found, _as(done, ctx="code", total="n", state="state", ctx_weights="weights"), "ctx", [
-            "code", "low", "n", F.when(F.col("state"), F.log10(cut / F.col("total"))).alias("own"), "ctx_weights"],
-            f"half-{length}")
-        discard(found)
-        logp = F.coalesce("own", "below")
-        level = _joined(half, _as(done, low="code", below="logp", low_weights="weights", low_value="value"), "low", [
-            "code", "n", logp.alias("logp"), (logp - F.col("ctx_weights")).alias("a"), "low_weights", "low_value"],
-            f"grams-{length}")
-        discard(half)
-        discard(done)
-    out.append(materialize(_delta(level, F.col("a") + F.col("low_weights")), f"delta-{MAX_DEPTH + 1}"))
-    discard(level)
-    return out
+def _halves(x: np.ndarray) -> tuple[bytes, bytes]:
+    """The low 16 bits of each number, and the rest of it, mostly zero: none, 8 or 16 bits."""
+    high = x >> 16
+    kind = np.uint16 if high.max() > 255 else np.uint8
+    return x.astype(np.uint16).tobytes(), high.astype(kind).tobytes() if high.any() else b""
 
 
-def train(rows: DataFrame) -> tuple[Tree, DataFrame, list[DataFrame]]:
-    """The frequent words, the table (code, n) of all training words, and the grams."""
-    learn = rows.where("not held_out").select("text")
-    counted = "code long, n long"
-    words = _stored(learn.mapInArrow(_count_words, counted).groupBy("code").agg(F.sum("n").alias("n")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    docs = learn.count()
-    n, v = total + docs, distinct + (docs > 0)
-    # At most 1 / SYMBOL_SHARE rows, since the counts add up to n at most.
-    some = words.where(F.col("n") >= least_count(SYMBOL_SHARE, n)).toPandas()
-    tree = Tree(some["code"].to_numpy(np.int64).view(np.uint64), some["n"].to_numpy(np.int64), n, v, docs)
-    return tree, words, grams(learn, tree, words)
+def _whole(low: bytes, high: bytes) -> np.ndarray:
+    x = np.frombuffer(low, np.uint16).astype(np.int32)
+    if high:
+        x |= np.frombuffer(high, np.uint8 if len(high) == len(x) else np.uint16).astype(np.int32) << 16
+    return x
 
 
-#: Lists of a document's distinct grams of each length, and how often it holds them.
-COLD = [f"{name}_{length}" for length in range(1, MAX_DEPTH + 2) for name in ("grams", "times")]
+DEALT_ARROW = pa.schema([
+    ("part", pa.int64()), ("first", pa.int64()), *((c, pa.binary()) for c in ("words", "tokens", "more", "docs", "learn")),
+    ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+    *((c, pa.list_(pa.int64())) for c in ("sizes", "known")), ("base", pa.list_(pa.float64()))])
+#: What a part adds to the documents of a row: which, and how much; rare words' base and known words.
+ADDED = "first long, docs binary, score binary, rare_docs binary, rare_base binary, rare_known binary, " \
+    "keys array<bigint>, held array<boolean>, sizes array<bigint>, known array<bigint>, base array<double>"
+ADDED_ARROW = pa.schema([
+    ("first", pa.int64()), *((c, pa.binary()) for c in ("docs", "score", "rare_docs", "rare_base", "rare_known")),
+    *list(DEALT_ARROW)[-5:]])
 
 
-def _score(tree: Tree, hot: np.ndarray, deltas: np.ndarray, some: Filter):
-    def run(batches):
-        for b in _slices(batches):
-            code, place, first, h, bounds = _tokens(b.column("text"))
-            doc = np.repeat(np.arange(b.num_rows), np.diff(first))
-            word = tree.places(h)
-            frequent = word >= 0
-            base = np.zeros(len(code))
-            inside = np.ones(len(code), bool)
-            inside[first[:-1]], inside[first[1:] - 1] = False, False
-            base[inside] = np.where(frequent, tree.base(tree.counts)[word], 0) if len(tree.words) else 0
-            base[first[1:] - 1] = tree.base(np.float64(tree.docs))
-            score = base.copy()
-            cold = []
-            for length in range(1, MAX_DEPTH + 2):
-                code = _longer(code) if length > 1 else code
-                at = np.flatnonzero((place >= length - 1) & some.may(code))
-                i, known = _find(hot, code[at])
-                score[at[known]] += deltas[i[known]]
-                cold += _by_document(code[at[~known]], doc[at[~known]], b.num_rows)
-            word_doc = np.repeat(np.arange(b.num_rows), np.diff(bounds))
-            codes, counts = _by_document(h[~frequent], word_doc[~frequent], b.num_rows)
-            known = np.bincount(word_doc[frequent], minlength=b.num_rows) + (tree.docs > 0)
-            yield pa.RecordBatch.from_arrays([
-                b.column("key"), b.column("held_out"), pa.array(np.diff(first) - 1), pa.array(known),
-                pa.array(np.bincount(doc, weights=base, minlength=b.num_rows)),
-                pa.array(np.bincount(doc, weights=score, minlength=b.num_rows)), codes, counts, *cold],
-                names=["key", "held_out", "n_tokens", "n_known", "base", "score", "codes", "counts", *COLD])
+def _score(w: list[np.ndarray], void: int, size: int, learn: np.ndarray, root: np.ndarray,
+           known: list[tuple[np.ndarray, np.ndarray, float]], tree: Tree) -> np.ndarray:
+    """log10 probabilities of a part's tokens.
+
+    ``w``: by word, numbers below ``size`` of the three words before each token and its own;
+    ``root``: by number, the unigram model; ``known``: by length, what a hot context that all
+    tokens share says: by number, which words it repeats and their value, and its weight.
+    """
+    score = root[w[3]]
+    # Of the tokens whose context may have a longer one: its number, and whether its gram with the token is repeated.
+    some, ctx, repeated = np.arange(len(score), dtype=np.int32), np.zeros(len(score), np.int64), np.ones(len(score), bool)
+    for length in range(1, MAX_DEPTH + 1):
+        if length <= len(known):
+            found, value, weight = known[length - 1]
+            repeated = found[w[3]]
+            score = np.where(repeated, value[w[3]], score + weight)
+            continue
+        word = w[3 - length][some]
+        there = word != void
+        some, repeated = some[there], repeated[there]
+        _, ctx = _dense(ctx[there] * size + word[there])
+        n = np.bincount(ctx, weights=learn[some])
+        often = n[ctx] >= tree.least_context
+        some, repeated, ctx = some[often], repeated[often], ctx[often]
+        if not len(some):
+            break
+        grams = np.flatnonzero(repeated)
+        keys = ctx[grams] * size + w[3][some[grams]]
+        order = np.argsort(keys)
+        keys, tokens = keys[order], some[grams[order]]
+        at = _starts(keys)
+        if not len(at):
+            break
+        times = np.diff(np.append(at, len(keys)))
+        count = np.add.reduceat(learn[tokens].astype(np.int64), at)
+        keep = count >= tree.least
+        mine, count, below = keys[at][keep] // size, count[keep], score[tokens[at]][keep]
+        cut = count - DISCOUNT
+        retained, weight = _judged(n, *(np.bincount(mine, weights=x, minlength=len(n)) for x in (
+            cut, 10.0 ** below, cut * (np.log2(cut) - below / math.log10(2)))), tree.least_context)
+        score[some] += weight[ctx]
+        value = np.zeros(len(at))
+        value[keep] = np.where(retained[mine], np.log10(cut / n[mine]), below)
+        longest = np.repeat(keep, times)
+        score[tokens[longest]] = np.repeat(value, times)[longest]
+        repeated[:] = False
+        repeated[grams[order[longest]]] = True
+    return score
+
+
+def _add(tree: Tree, levels: list[Hot]):
+    """What one part adds to its documents, a row for each row that was dealt to it."""
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        if part < 0:
+            return pa.Table.from_pylist(left.select([f.name for f in ADDED_ARROW if f.name in left.column_names
+                                                     and f.name != "docs"]).to_pylist(), schema=ADDED_ARROW)
+        rows = left.select(["first", "words", "tokens", "more", "docs", "learn"]).to_pylist()
+        if not rows:
+            return ADDED_ARROW.empty_table()
+        words, place = _dense(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]))
+        w, learn, docs, before, held = [], [], [], 0, 0
+        for r in rows:
+            mine = _whole(r.pop("tokens"), r.pop("more"))
+            others = mine >= tree.size
+            mine[others] = tree.size + place[before + mine[others] - tree.size]
+            before += len(r.pop("words")) // 8
+            w.append(mine.reshape(4, -1))
+            learn.append(np.unpackbits(np.frombuffer(r.pop("learn"), np.uint8), count=w[-1].shape[1]).astype(bool))
+            size = 2 * w[-1].shape[1]
+            docs.append(_whole(r["docs"][:size], r.pop("docs")[size:]) + np.int32(held))
+            r["end"] = held = int(docs[-1].max()) + 1
+        w, learn, docs = list(np.concatenate(w, axis=1)), np.concatenate(learn), np.concatenate(docs)
+        size = tree.size + len(words)
+        # Counts of words and, by length, what hot contexts say, by the words' numbers.
+        kind, value = right["kind"].to_numpy(), right["value"].to_numpy()
+        number, _ = tree.numbered(right["word"].to_numpy().view(np.uint64), words)
+        counts = np.concatenate([tree.counts, np.zeros(len(words))])
+        counts[number[kind == 0]] = value[kind == 0]
+        root, known = tree.base(counts), []
+        for length, weight in enumerate(_weights(part, levels), 1):
+            mine = (kind == length) & (number >= 0)
+            found, say = np.zeros(size, bool), np.zeros(size)
+            found[number[mine]], say[number[mine]] = True, value[mine]
+            known.append((found, say, weight))
+        void = int(tree.numbered(np.array([VOID]))[0][0])
+        # Some at a time: tokens of one context together, by its first word that is not shared by all.
+        steps = -(-len(docs) // AT_ONCE)
+        step = (w[2 - len(known)] if len(known) < MAX_DEPTH else docs) % steps
+        score = np.empty(len(docs))
+        for i in range(steps):
+            mine = np.flatnonzero(step == i)
+            score[mine] = _score([x[mine] for x in w], void, size, learn[mine], root, known, tree)
+        rare = w[3] >= tree.size
+        score -= np.where(rare, 0, root[w[3]])
+        added = np.bincount(docs, weights=score, minlength=held)
+        touched = np.bincount(docs, minlength=held) > 0
+        some, rare_docs = root[w[3][rare]], docs[rare]
+        rare_base = np.bincount(rare_docs, weights=some, minlength=held)
+        rare_known = np.bincount(rare_docs, weights=counts[w[3][rare]] > 0, minlength=held).astype(np.uint32)
+        rare_touched = np.bincount(rare_docs, minlength=held) > 0
+        out, at = [], 0
+        for r in rows:
+            a, b = at, r["end"]
+            at = b
+            t, q = touched[a:b], rare_touched[a:b]
+            out.append({"first": r["first"], "docs": np.packbits(t).tobytes(), "score": added[a:b][t].tobytes(),
+                        "rare_docs": np.packbits(q).tobytes(), "rare_base": rare_base[a:b][q].tobytes(),
+                        "rare_known": rare_known[a:b][q].tobytes()})
+        return pa.Table.from_pylist(out, schema=ADDED_ARROW)
     return run
 
 
-def _by_document(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
-    """Lists of each document's distinct codes and their counts."""
-    order = np.lexsort((codes, doc))
-    codes, doc = codes[order], doc[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    offsets = pa.array(np.searchsorted(doc[at], np.arange(n + 1)), pa.int32())
-    counts = np.diff(np.append(at, len(codes)))
-    return (pa.ListArray.from_arrays(offsets, pa.array(codes[at].view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())))
+def _weights(part: int, levels: list[Hot]) -> list[float]:
+    """By length, the weights of the hot contexts that all tokens of a part share."""
+    for length in range(len(levels), 0, -1):
+        hot = levels[length - 1]
+        at = np.flatnonzero((hot.first <= part) & (part < hot.first + hot.shares))
+        if len(at):
+            i, out = at[0], []
+            for level in range(length, 0, -1):
+                out.append(float(levels[level - 1].weight[i]))
+                if level > 1:
+                    i = _find(levels[level - 2].codes, levels[level - 1].low[i:i + 1])[0][0]
+            return out[::-1]
+    return []
+
+
+def _sum_up(table: pa.Table) -> pa.Table:
+    """Rows of the texts of one chunk, from what all parts add to them."""
+    rows = table.to_pylist()
+    head = next(r for r in rows if r["keys"] is not None)
+    base, known = np.array(head["base"], np.float64), np.array(head["known"], np.int64)
+    more = np.zeros(len(base))
+    for r in rows:
+        if r["keys"] is None:
+            for bits, values, kind, to in (("docs", "score", np.float64, more), ("rare_docs", "rare_base", np.float64, base),
+                                           ("rare_docs", "rare_known", np.uint32, known)):
+                on = np.flatnonzero(np.unpackbits(np.frombuffer(r[bits], np.uint8)))
+                to[on] += np.frombuffer(r[values], kind)
+    return pa.table({"key": pa.array(head["keys"], pa.int64()), "held_out": pa.array(head["held"], pa.bool_()),
+                     "n_tokens": pa.array(head["sizes"], pa.int64()), "n_known": known, "base": base,
+                     "score": np.array(head["base"], np.float64) + more})
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder; shuffle files of what it was made from may go."""
+    out = materialize(df, name)
+    release(df.sparkSession)
+    return out
+
+
+def hot_contexts(rows: DataFrame, tree: Tree, words: DataFrame, starts: int, parts: int) -> tuple[list[Hot], list[DataFrame]]:
+    """By length, the hot contexts, and (code, ctx, word, value): what they say of the words they repeat."""
+    spark, group = rows.sparkSession, max(GROUP, math.ceil(HOT_SHARE * tree.n))
+    found = [(r.code, 0, r.n, r.every) for r in words.where(F.col("every") > group).select("code", "n", "every").collect()]
+    if starts > group:
+        found.append((int(START.view(np.int64)), 0, tree.docs, starts))
+    root = F.log10((F.col("n") + 1) / F.lit(float(tree.n + tree.v + 1)))
+    ends = spark.createDataFrame([(int(END.view(np.int64)), tree.docs)], "code long, n long")
+    lower = words.select("code", "n").unionByName(ends).select(F.col("code").alias("low"), root.alias("below"))
+    levels, said, first = [], [], parts
+    for length in range(1, MAX_DEPTH + 1):
+        if not found:
+            break
+        hot = _hot(found, first, group)
+        first += int(hot.shares.sum())
+        counted = _stored(rows.mapInArrow(_count_hot(hot.codes, length), "code long, ctx long, low long, word long, n long, every long")
+                          .groupBy("code").agg(*(F.first(c).alias(c) for c in ("ctx", "low", "word")),
+                                               F.sum("n").alias("n"), F.sum("every").alias("every"))
+                          .where((F.col("n") >= tree.least) | (F.col("every") > group)), f"hot-{length}")
+        cut, p_below = F.col("n") - DISCOUNT, F.pow(F.lit(10.0), F.col("below"))
+        repeated = _stored(counted.where(F.col("n") >= tree.least).join(lower, "low"), f"hot-below-{length}")
+        sums = repeated.groupBy("ctx").agg(F.sum(cut).alias("kept"), F.sum(p_below).alias("below"),
+                                           F.sum(cut * F.log2(cut / p_below)).alias("bits")).collect()
+        at = _find(hot.codes, np.array([r.ctx for r in sums], np.int64).view(np.uint64))[0]
+        of = {c: np.zeros(len(hot.codes)) for c in ("kept", "below", "bits")}
+        for c, x in of.items():
+            x[at] = [r[c] for r in sums]
+        retained, weight = _judged(hot.n, of["kept"], of["below"], of["bits"], tree.least_context)
+        levels.append(hot._replace(retained=retained, weight=weight))
+        own = spark.createDataFrame(list(zip(hot.codes.view(np.int64).tolist(), hot.n.tolist(), retained.tolist(), strict=True)),
+                                    "ctx long, total long, retained boolean")
+        table = _stored(repeated.join(F.broadcast(own), "ctx").select(
+            "code", "ctx", "word", F.when(F.col("retained"), F.log10(cut / F.col("total"))).otherwise(F.col("below"))
+            .alias("value")), f"hot-said-{length}")
+        said.append(table)
+        lower = table.select(F.col("code").alias("low"), F.col("value").alias("below"))
+        found = [(r.code, r.low, r.n, r.every) for r in counted.where(
+            (F.col("every") > group) & (F.col("word") != int(END.view(np.int64)))).collect()]
+        discard(counted)
+        discard(repeated)
+    return levels, said
+
+
+def _lookups(rows: DataFrame, tree: Tree, words: DataFrame, parts: int, levels: list[Hot], said: list[DataFrame]) -> DataFrame:
+    """(part, kind, word, value): rare words' counts (0), and by length what hot contexts say, for the parts that need them."""
+    out = [rows.mapInArrow(_rare(tree, parts, levels), "part long, word long").distinct()
+           .join(words.select(F.col("code").alias("word"), "n"), "word")
+           .select("part", F.lit(0).alias("kind"), "word", F.col("n").cast("double").alias("value"))]
+    needs = [[] for _ in levels]
+    for length, hot in enumerate(levels, 1):
+        for i in range(len(hot.codes)):
+            own, at = range(int(hot.first[i]), int(hot.first[i] + hot.shares[i])), i
+            for level in range(length, 0, -1):
+                of = levels[level - 1]
+                needs[level - 1] += [(int(of.codes[at].view(np.int64)), part) for part in own]
+                if level > 1:
+                    at = _find(levels[level - 2].codes, of.low[at:at + 1])[0][0]
+    for length, (need, table) in enumerate(zip(needs, said, strict=True), 1):
+        at = rows.sparkSession.createDataFrame(need, "ctx long, part long")
+        out.append(table.join(F.broadcast(at), "ctx").select("part", F.lit(length).alias("kind"), "word", "value"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def train(rows: DataFrame) -> tuple[Tree, DataFrame, int, list[Hot], list[DataFrame]]:
+    """The frequent words, the table (code, n, every) of all words, how many parts there are besides
+    those of hot contexts, and these."""
+    words = _stored(rows.mapInArrow(_count_words, "code long, n long, every long").groupBy("code").agg(
+        F.sum("n").alias("n"), F.sum("every").alias("every")), "words")
+    total, every, distinct = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "every")),
+                                       F.count(F.when(F.col("n") > 0, 1))).first()
+    docs, starts = rows.agg(F.count(F.when(~F.col("held_out"), 1)), F.count(F.lit(1))).first()
+    n, v = total + docs, distinct + (docs > 0)
+    # At most 1 / SYMBOL_SHARE of the most frequent words; down to this share there are no more, since the counts add up to n.
+    least = least_count(SYMBOL_SHARE, n)
+    times = words.groupBy(F.least("n", F.lit(least)).alias("n")).count().orderBy(F.desc("n")).collect()
+    room = 1 / SYMBOL_SHARE
+    for r in times:
+        room -= r["count"]
+        if room < 0 or r["n"] == 0:
+            break
+        least = r["n"]
+    some = words.where(F.col("n") >= least).select("code", "n").toArrow()
+    tree = Tree(some["code"].to_numpy().view(np.uint64), some["n"].to_numpy(), n, v, docs)
+    parts = max(1, -(-(every + starts) // PART))
+    return tree, words, parts, *hot_contexts(rows, tree, words, starts, parts)
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"),
-                       (fold(key) == HELD_OUT).alias("held_out"))
-    tree, words, tables = train(rows)
-    table = reduce(DataFrame.unionByName, tables)
-    least_hot = least_count(HOT_SHARE, tree.n)
-    hot = table.where(F.col("n") >= least_hot).select("code", "delta").toPandas()  # 1 / HOT_SHARE a length
-    order = np.argsort(names := hot["code"].to_numpy(np.int64).view(np.uint64))
-    scored = materialize(rows.mapInArrow(
-        _score(tree, names[order], hot["delta"].to_numpy(np.float64)[order], Filter(table)),
-        "key long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-        "codes array<bigint>, counts array<bigint>, " + ", ".join(f"{c} array<bigint>" for c in COLD))
-        .withColumn("_rid", F.monotonically_increasing_id()), "scored")
-    # Other grams: one row for each document and distinct gram, a length at a time.
-    added = []
-    for length, deltas in enumerate(tables, 1):
-        cold = scored.select("_rid", F.col(f"grams_{length}").alias("code"), F.col(f"times_{length}").alias("k")) \
-            .select("_rid", F.inline(F.arrays_zip("code", "k")))
-        added.append(_stored(cold.join(_by_hash(deltas.where(F.col("n") < least_hot).select("code", "delta")), "code")
-                       .groupBy("_rid").agg(F.sum(F.col("k") * F.col("delta")).alias("added")), f"added-{length}"))
-        discard(deltas)
-    added = reduce(DataFrame.unionByName, added).groupBy("_rid").agg(F.sum("added").alias("added"))
-    # Rare words: one row for each document and distinct word, looked up by a join.
-    rare = scored.select("_rid", F.col("codes").alias("code"), F.col("counts").alias("k")) \
-        .select("_rid", F.inline(F.arrays_zip("code", "k")))
-    seen = F.coalesce("n", F.lit(0))
-    looked = _stored(rare.join(_by_hash(words), "code", "left").groupBy("_rid").agg(
-        F.sum(F.col("k") * F.log10((seen + 1) / F.lit(float(tree.n + tree.v + 1)))).alias("more"),
-        F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("more_known")), "looked")
-    discard(words)
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("codes", "counts", *COLD).join(looked, "_rid", "left") \
-        .join(added, "_rid", "left").select(
-        F.col("key").alias(key), "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(int(tree.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more + F.coalesce("added", F.lit(0.0))).alias("score"))
+                       (fold(key) == HELD_OUT).alias("held_out"), F.monotonically_increasing_id().alias("rid"))
+    tree, words, parts, levels, said = train(rows)
+    lookups = _stored(_lookups(rows, tree, words, parts, levels, said), "lookups")
+    for table in (words, *said):
+        discard(table)
+    added = rows.mapInArrow(_deal(tree, parts, levels), DEALT).groupBy("part").cogroup(lookups.groupBy("part")) \
+        .applyInArrow(_add(tree, levels), ADDED)
+    return added.groupBy("first").applyInArrow(
+        _sum_up, "key long, held_out boolean, n_tokens long, n_known long, base double, score double").select(
+        F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(int(tree.n)).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score")

@@ -137,6 +137,48 @@ def test_lm_keeps_repeated_pairs_at_any_size(spark, monkeypatch, hot_share):
         assert cut[i].score == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("group, part, merge, bits", [(40, 300, 200, 21), (8, 100, 50, 4), (1 << 20, 60, 1 << 21, 21)])
+def test_lm_parts_and_hot_contexts(spark, monkeypatch, group, part, merge, bits):
+    """Scores do not depend on how tokens are dealt; hot contexts of one to three words, rare words, repeated rows."""
+    for name, value in (("GROUP", group), ("PART", part), ("MERGE", merge), ("WORD_BITS", bits), ("STEP", 7), ("AT_ONCE", 64), ("SYMBOL_SHARE", 0.02)):
+        monkeypatch.setattr(suffix_tree_lm, name, value)
+    rnd = random.Random(11)
+    rows = []
+    for i in range(90):
+        text = []
+        for _ in range(rnd.randint(0, 12)):
+            text += rnd.choice([["a", "b", "c", "d"], ["a", "b", "c", f"e{rnd.randrange(9)}"], ["a", "b"], ["a"], [f"r{rnd.randrange(60)}"]])
+        rows.append((i % 80, " ".join(text)))
+    rows += [(None, "a b c d a b"), (None, None), (1000, "never seen words a b c")]
+    held, *_ = lm_base(rows)
+    prob = brute_tree(rows, held)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    inner = suffix_tree_lm.train
+    monkeypatch.setattr(suffix_tree_lm, "train", lambda r: seen.append(inner(r)) or seen[-1])
+    got = Counter((r.doc_id, round(r.score, 6)) for r in suffix_tree_lm.scores(df).collect())
+    want = Counter()
+    for i, t in rows:
+        s = ["<start>", *lm_tokens(t)]
+        want[i, round(sum(math.log10(prob(tuple(s[max(0, j - 3):j]), s[j])) for j in range(1, len(s))), 6)] += 1
+    assert got == want
+    assert len(seen[0][3]) == (3 if group < 1000 else 0)
+
+
+def test_lm_sends_each_token_once(spark):
+    """What tasks hand on grows with the tokens, not with the lengths of the grams."""
+    rnd = random.Random(5)
+    text = [" ".join(f"w{min(int(rnd.expovariate(0.001)), 20000)}" for _ in range(500)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").select(
+        F.col("doc_id").alias("key"), "text", F.lit(False).alias("held_out"), F.col("doc_id").alias("rid")).coalesce(1)
+    tree, _, parts, levels, _ = suffix_tree_lm.train(rows)
+    sent = rows.mapInArrow(suffix_tree_lm._deal(tree, parts, levels), suffix_tree_lm.DEALT).where("part >= 0").agg(
+        F.sum(F.octet_length("tokens")), F.sum(F.octet_length("more") + F.octet_length("docs")),
+        F.sum(F.octet_length("learn")), F.sum(F.octet_length("words"))).first()
+    tokens = 400 * 501
+    assert sent[0] == tokens * 8 and sent[1] <= tokens * 6 and sent[2] < tokens / 7 and sent[3] == 0
+
+
 def test_lm_held_out_gain(docs):
     r = suffix_tree_lm.scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
