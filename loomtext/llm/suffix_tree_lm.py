@@ -52,9 +52,9 @@ DIVERGENCE, DISCOUNT = 0.005, 0.5
 FOLDS, HELD_OUT = 7, 2
 START, END, VOID = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B), np.uint64(0x3C6EF372FE94F82B)
 #: Texts hashed at a time; tokens that a task deals at a time; bits of a word's number that two of them are sorted by.
-STEP, MERGE, WORD_BITS = 128, 3 << 18, 21
+STEP, MERGE, WORD_BITS = 128, 1 << 19, 21
 #: Tokens of a part, on average, and how many of them are scored at a time.
-PART, AT_ONCE = 1 << 21, 1 << 19
+PART, AT_ONCE = 3 << 19, 1 << 18
 
 
 def fold(key: str) -> Column:
@@ -355,9 +355,9 @@ def _halves(x: np.ndarray) -> tuple[bytes, bytes]:
     return x.astype(np.uint16).tobytes(), high.astype(kind).tobytes() if high.any() else b""
 
 
-def _whole(low: bytes, high: bytes) -> np.ndarray:
+def _whole(low: pa.Buffer, high: pa.Buffer) -> np.ndarray:
     x = np.frombuffer(low, np.uint16).astype(np.int32)
-    if high:
+    if len(high):
         x |= np.frombuffer(high, np.uint8 if len(high) == len(x) else np.uint16).astype(np.int32) << 16
     return x
 
@@ -431,22 +431,21 @@ def _add(tree: Tree, levels: list[Hot]):
         if part < 0:
             return pa.Table.from_pylist(left.select([f.name for f in ADDED_ARROW if f.name in left.column_names
                                                      and f.name != "docs"]).to_pylist(), schema=ADDED_ARROW)
-        rows = left.select(["first", "words", "tokens", "more", "docs", "learn"]).to_pylist()
-        if not rows:
+        if not left.num_rows:
             return ADDED_ARROW.empty_table()
-        words, place = _dense(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]))
-        w, learn, docs, before, held = [], [], [], 0, 0
-        for r in rows:
-            mine = _whole(r.pop("tokens"), r.pop("more"))
+        rows = {c: [x.as_buffer() for x in left[c]] for c in ("words", "tokens", "more", "docs", "learn")}  # not copied
+        words, place = _dense(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]]))
+        bounds, before, docs = np.cumsum([0, *(x.size // 8 for x in rows["tokens"])]), 0, []
+        w, learn = np.empty((4, bounds[-1]), np.int32), np.empty(bounds[-1], bool)
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            mine = _whole(rows["tokens"][i], rows["more"][i])
             others = mine >= tree.size
             mine[others] = tree.size + place[before + mine[others] - tree.size]
-            before += len(r.pop("words")) // 8
-            w.append(mine.reshape(4, -1))
-            learn.append(np.unpackbits(np.frombuffer(r.pop("learn"), np.uint8), count=w[-1].shape[1]).astype(bool))
-            size = 2 * w[-1].shape[1]
-            docs.append(_whole(r["docs"][:size], r.pop("docs")[size:]) + np.int32(held))
-            r["end"] = held = int(docs[-1].max()) + 1
-        w, learn, docs = list(np.concatenate(w, axis=1)), np.concatenate(learn), np.concatenate(docs)
+            before += rows["words"][i].size // 8
+            w[:, a:b] = mine.reshape(4, -1)
+            learn[a:b] = np.unpackbits(np.frombuffer(rows["learn"][i], np.uint8), count=b - a)
+            docs.append(_whole(rows["docs"][i].slice(0, 2 * (b - a)), rows["docs"][i].slice(2 * (b - a))))
+        del place, rows
         size = tree.size + len(words)
         # Counts of words and, by length, what hot contexts say, by the words' numbers.
         kind, value = right["kind"].to_numpy(), right["value"].to_numpy()
@@ -461,32 +460,32 @@ def _add(tree: Tree, levels: list[Hot]):
             known.append((found, say, weight))
         void = int(tree.numbered(np.array([VOID]))[0][0])
         # Some at a time: tokens of one context together, by its first word that is not shared by all.
-        steps = -(-len(docs) // AT_ONCE)
-        step = (w[2 - len(known)] if len(known) < MAX_DEPTH else docs) % steps
-        score = np.empty(len(docs))
+        steps = -(-len(learn) // AT_ONCE)
+        step = (w[2 - len(known)] if len(known) < MAX_DEPTH else np.arange(len(learn))) % steps
+        score = np.empty(len(learn))
         for i in range(steps):
             mine = np.flatnonzero(step == i)
             score[mine] = _score([x[mine] for x in w], void, size, learn[mine], root, known, tree)
         rare = w[3] >= tree.size
-        score -= np.where(rare, 0, root[w[3]])
-        added = np.bincount(docs, weights=score, minlength=held)
-        touched = np.bincount(docs, minlength=held) > 0
-        some, rare_docs = root[w[3][rare]], docs[rare]
-        rare_base = np.bincount(rare_docs, weights=some, minlength=held)
-        rare_known = np.bincount(rare_docs, weights=counts[w[3][rare]] > 0, minlength=held).astype(np.uint32)
-        rare_touched = np.bincount(rare_docs, minlength=held) > 0
-        out, at = [], 0
-        for r in rows:
-            a, b = at, r["end"]
-            at = b
-            t, q = touched[a:b], rare_touched[a:b]
-            out.append({"first": r["first"], "docs": np.packbits(t).tobytes(), "score": added[a:b][t].tobytes(),
-                        "rare_docs": np.packbits(q).tobytes(), "rare_base": rare_base[a:b][q].tobytes(),
-                        "rare_known": rare_known[a:b][q].tobytes()})
+        out = []
+        for first, local, a, b in zip(left["first"].to_pylist(), docs, bounds[:-1], bounds[1:], strict=True):
+            word, other = w[3][a:b], rare[a:b]
+            all_docs, (added,) = _by_document(local, score[a:b] - np.where(other, 0, root[word]))
+            rare_docs, (base, known) = _by_document(local[other], root[word[other]], counts[word[other]] > 0)
+            out.append({"first": first, "docs": all_docs, "score": added, "rare_docs": rare_docs,
+                        "rare_base": base, "rare_known": known})
         return pa.Table.from_pylist(out, schema=ADDED_ARROW)
     return run
 
 
+def _by_document(docs: np.ndarray, *values: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """A bit for each document up to the last one, and the sums of those that are set."""
+    found, which = _dense(docs)
+    on = np.zeros(found[-1] + 1 if len(found) else 0, bool)
+    on[found] = True
+    return np.packbits(on).tobytes(), [np.bincount(which, weights=x, minlength=len(found)).tobytes() for x in values]
+
+
 def _weights(part: int, levels: list[Hot]) -> list[float]:
     """By length, the weights of the hot contexts that all tokens of a part share."""
     for length in range(len(levels), 0, -1):
@@ -506,16 +505,15 @@ def _sum_up(table: pa.Table) -> pa.Table:
     """Rows of the texts of one chunk, from what all parts add to them."""
     rows = table.to_pylist()
     head = next(r for r in rows if r["keys"] is not None)
-    base, known = np.array(head["base"], np.float64), np.array(head["known"], np.int64)
+    base, known = np.array(head["base"], np.float64), np.array(head["known"], np.float64)
     more = np.zeros(len(base))
     for r in rows:
         if r["keys"] is None:
-            for bits, values, kind, to in (("docs", "score", np.float64, more), ("rare_docs", "rare_base", np.float64, base),
-                                           ("rare_docs", "rare_known", np.uint32, known)):
+            for bits, values, to in (("docs", "score", more), ("rare_docs", "rare_base", base), ("rare_docs", "rare_known", known)):
                 on = np.flatnonzero(np.unpackbits(np.frombuffer(r[bits], np.uint8)))
-                to[on] += np.frombuffer(r[values], kind)
+                to[on] += np.frombuffer(r[values])
     return pa.table({"key": pa.array(head["keys"], pa.int64()), "held_out": pa.array(head["held"], pa.bool_()),
-                     "n_tokens": pa.array(head["sizes"], pa.int64()), "n_known": known, "base": base,
+                     "n_tokens": pa.array(head["sizes"], pa.int64()), "n_known": known.astype(np.int64), "base": base,
                      "score": np.array(head["base"], np.float64) + more})
 
 
@@ -541,10 +539,10 @@ def hot_contexts(rows: DataFrame, tree: Tree, words: DataFrame, starts: int, par
             break
         hot = _hot(found, first, group)
         first += int(hot.shares.sum())
-        counted = _stored(rows.mapInArrow(_count_hot(hot.codes, length), "code long, ctx long, low long, word long, n long, every long")
-                          .groupBy("code").agg(*(F.first(c).alias(c) for c in ("ctx", "low", "word")),
-                                               F.sum("n").alias("n"), F.sum("every").alias("every"))
-                          .where((F.col("n") >= tree.least) | (F.col("every") > group)), f"hot-{length}")
+        counted = _stored(rows.mapInArrow(_count_hot(hot.codes, length), ", ".join(
+            f"{c} long" for c in ("code", "ctx", "low", "word", "n", "every"))).groupBy("code").agg(
+            *(F.first(c).alias(c) for c in ("ctx", "low", "word")), *(F.sum(c).alias(c) for c in ("n", "every")))
+            .where((F.col("n") >= tree.least) | (F.col("every") > group)), f"hot-{length}")
         cut, p_below = F.col("n") - DISCOUNT, F.pow(F.lit(10.0), F.col("below"))
         repeated = _stored(counted.where(F.col("n") >= tree.least).join(lower, "low"), f"hot-below-{length}")
         sums = repeated.groupBy("ctx").agg(F.sum(cut).alias("kept"), F.sum(p_below).alias("below"),
