@@ -310,7 +310,7 @@ def _rare(tree: Tree, parts: int, levels: list[Hot]):
     return run
 
 
-DEALT = "part long, first long, words binary, tokens binary, more binary, docs binary, learn binary, " \
+DEALT = "part long, first long, n long, words binary, tokens binary, docs binary, learn binary, " \
     "keys array<bigint>, held array<boolean>, sizes array<bigint>, known array<bigint>, base array<double>"
 
 
@@ -341,29 +341,24 @@ def _deal(tree: Tree, parts: int, levels: list[Hot]):
                 others = mine >= tree.size
                 used, place = _dense(mine[others] - tree.size)
                 mine[others] = tree.size + place
-                rows.append({"part": int(part[a]), "first": c.first, "words": rare[used].tobytes(),
-                             **dict(zip(("tokens", "more"), _halves(mine.ravel()), strict=True)),
-                             "docs": b"".join(_halves(docs[a:b])), "learn": np.packbits(~c.held[docs[a:b]]).tobytes()})
+                rows.append({"part": int(part[a]), "first": c.first, "n": int(b - a), "words": rare[used].tobytes(),
+                             "tokens": _packed(mine.ravel()), "docs": _packed(docs[a:b]), "learn": np.packbits(~c.held[docs[a:b]]).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=DEALT_ARROW)
     return run
 
 
-def _halves(x: np.ndarray) -> tuple[bytes, bytes]:
-    """The low 16 bits of each number, and the rest of it, mostly zero: none, 8 or 16 bits."""
-    high = x >> 16
-    kind = np.uint16 if high.max() > 255 else np.uint8
-    return x.astype(np.uint16).tobytes(), high.astype(kind).tobytes() if high.any() else b""
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits by byte, least first; most of the others are zero."""
+    return pa.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
 
 
-def _whole(low: pa.Buffer, high: pa.Buffer) -> np.ndarray:
-    x = np.frombuffer(low, np.uint16).astype(np.int32)
-    if len(high):
-        x |= np.frombuffer(high, np.uint8 if len(high) == len(x) else np.uint16).astype(np.int32) << 16
-    return x
+def _unpacked(packed: pa.Buffer, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 DEALT_ARROW = pa.schema([
-    ("part", pa.int64()), ("first", pa.int64()), *((c, pa.binary()) for c in ("words", "tokens", "more", "docs", "learn")),
+    *((c, pa.int64()) for c in ("part", "first", "n")), *((c, pa.binary()) for c in ("words", "tokens", "docs", "learn")),
     ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
     *((c, pa.list_(pa.int64())) for c in ("sizes", "known")), ("base", pa.list_(pa.float64()))])
 #: What a part adds to the documents of a row: which, and how much; rare words' base and known words.
@@ -433,18 +428,18 @@ def _add(tree: Tree, levels: list[Hot]):
                                                      and f.name != "docs"]).to_pylist(), schema=ADDED_ARROW)
         if not left.num_rows:
             return ADDED_ARROW.empty_table()
-        rows = {c: [x.as_buffer() for x in left[c]] for c in ("words", "tokens", "more", "docs", "learn")}  # not copied
+        rows = {c: [x.as_buffer() for x in left[c]] for c in ("words", "tokens", "docs", "learn")}  # not copied
         words, place = _dense(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]]))
-        bounds, before, docs = np.cumsum([0, *(x.size // 8 for x in rows["tokens"])]), 0, []
+        bounds, before, docs = np.cumsum([0, *left["n"].to_pylist()]), 0, []
         w, learn = np.empty((4, bounds[-1]), np.int32), np.empty(bounds[-1], bool)
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            mine = _whole(rows["tokens"][i], rows["more"][i])
+            mine = _unpacked(rows["tokens"][i], int(4 * (b - a)))
             others = mine >= tree.size
             mine[others] = tree.size + place[before + mine[others] - tree.size]
             before += rows["words"][i].size // 8
             w[:, a:b] = mine.reshape(4, -1)
             learn[a:b] = np.unpackbits(np.frombuffer(rows["learn"][i], np.uint8), count=b - a)
-            docs.append(_whole(rows["docs"][i].slice(0, 2 * (b - a)), rows["docs"][i].slice(2 * (b - a))))
+            docs.append(_unpacked(rows["docs"][i], int(b - a)))
         del place, rows
         size = tree.size + len(words)
         # Counts of words and, by length, what hot contexts say, by the words' numbers.
