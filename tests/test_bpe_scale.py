@@ -52,6 +52,17 @@ def test_one_pass_gives_the_merged_sequences_and_the_counts(spark):
     assert {(r["a"], r["b"]): r["n"] for r in written.counts().collect()} == want and not written.triples
 
 
+def test_a_later_scan_of_a_line_looks_only_at_new_tokens(monkeypatch):
+    """Merges that go on at one place of a long line: the whole line was scanned for each before."""
+    triples = [(1, 2, 10), (10, 3, 11), (11, 4, 12), (12, 5, 13), (13, 6, 14)]
+    line = np.array([9] * 5000 + [1, 2, 3, 4, 5, 6] + [9] * 5000)
+    seen, real = [], kernels.lookup
+    monkeypatch.setattr(kernels, "lookup", lambda keys, probe: seen.append(len(probe)) or real(keys, probe))
+    ids, ends = kernels.merge_set_fixpoint(line, np.array([0, len(line)]), kernels.pair_table(triples, 20), 20)
+    assert ids.tolist() == [9] * 5000 + [14] + [9] * 5000 and ends.tolist() == [0, 10_001]
+    assert seen[0] == len(line) - 1 and sum(seen[1:]) <= 20
+
+
 def test_masks_and_groups_equal_search(monkeypatch):
     pick = np.random.default_rng(2)
     for cells in (kernels.CELLS, 1):
