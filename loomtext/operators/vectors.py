@@ -14,10 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Largest query set embedded as a literal per pass (queries × dims values).
 MAX_LITERAL_VALUES = 1_000_000
 # Rows per salted bucket in the first top-k phase.
 BUCKET_ROWS = 50_000
+# Dimensions up to which a group's sums are the columns of one row.
+WIDE = 512
 
 
 def rms_norm(df: DataFrame, vec_col: str = "embedding", eps: float = 1e-5,
@@ -34,13 +38,25 @@ def rms_norm(df: DataFrame, vec_col: str = "embedding", eps: float = 1e-5,
 
 
 def mean_vector(df: DataFrame, group_col: str, vec_col: str = "embedding",
-                weight_col: str | None = None, out_col: str = "mean") -> DataFrame:
+                weight_col: str | None = None, out_col: str = "mean",
+                sizes: tuple[int, int] | None = None) -> DataFrame:
     """(weighted) mean vector per group.
 
     Dimensions are exploded and averaged with partial aggregation, then each
     group's ≤ dim averages are gathered back in order (bounded by the dims).
+    With ``sizes``, the least and largest size of a vector that is not empty, up to
+    ``WIDE``, nothing is exploded: a group's sums are one row.
     """
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    if sizes is not None and sizes[1] <= WIDE:
+        rows = df.where(F.size(vec_col) > 0).select(group_col, w.alias("_w"), F.col(vec_col).alias("_v"))
+        some = range(sizes[0], sizes[1])  # dimensions that not every vector has
+        sums = rows.groupBy(group_col).agg(
+            F.max(F.size("_v")).alias("_n"), F.sum("_w").alias("_t"),
+            *[F.sum(F.get("_v", F.lit(i)).cast("double") * F.col("_w")).alias(f"_s{i}") for i in range(sizes[1])],
+            *[F.sum(F.when(F.size("_v") > i, F.col("_w"))).alias(f"_t{i}") for i in some])
+        parts = [F.col(f"_s{i}") / F.col(f"_t{i}" if i in some else "_t") for i in range(sizes[1])]
+        return sums.select(group_col, F.slice(F.array(*parts), F.lit(1), F.col("_n")).alias(out_col))
     ex = df.select(group_col, w.alias("_w"), F.posexplode(vec_col).alias("_i", "_x"))
     per = ex.groupBy(group_col, "_i").agg(
         (F.sum(F.col("_x").cast("double") * F.col("_w")) / F.sum("_w")).alias("_m"))
@@ -55,15 +71,26 @@ def embed_tokens(token_counts: DataFrame, embeddings: DataFrame, group_col: str,
     """C5 lookup: mean embedding of each group's tokens.
 
     ``token_counts`` is pre-aggregated (group, id, cnt), so a hot group costs
-    at most one row per distinct id.  The embedding table is broadcast only
-    when its rows times its longest vector are within ``broadcast_bytes``;
-    otherwise a shuffle join.
+    at most one row per distinct id.  The embedding table, or else its rows that any
+    token asks for, is broadcast only when its rows times its longest vector are within
+    ``broadcast_bytes``; otherwise a shuffle join.  Before a broadcast join the counts are
+    dealt by group, so that a group's vectors are added up where they are looked up.
     """
-    n, dim = embeddings.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
+    has = F.when(F.size(vec_col) > 0, F.size(vec_col))
+    n, least, dim = embeddings.agg(F.count(F.lit(1)), F.min(has), F.max(has)).first()
     emb = embeddings.select(F.col(vec_id).alias(id_col), vec_col)
-    emb = F.broadcast(emb) if 8 * n * ((dim or 0) + 2) <= broadcast_bytes else emb
-    j = token_counts.join(emb, id_col)
-    return mean_vector(j, group_col, vec_col, weight_col="cnt")
+
+    def small(n):
+        return 8 * n * ((dim or 0) + 2) <= broadcast_bytes
+
+    if not small(n):
+        emb = cut_lineage(emb.join(token_counts.select(id_col).distinct(), id_col, "left_semi"))
+        n = emb.count()
+    if small(n):
+        j = token_counts.repartition(group_col).join(F.broadcast(emb), id_col)
+    else:
+        j = token_counts.join(emb, id_col)
+    return mean_vector(j, group_col, vec_col, weight_col="cnt", sizes=(least, dim) if dim else None)
 
 
 def _dot(a, b):
