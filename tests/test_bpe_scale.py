@@ -20,8 +20,8 @@ def table(spark, lines):
 
 
 def test_rounds_read_the_distinct_runs_not_all_sequences(spark, monkeypatch):
-    rows, runs, rounds, merger = [], bpe_train.Pending.runs, [], bpe_train.RunMerger
-    monkeypatch.setattr(bpe_train.Pending, "runs", lambda self, *a: rows.append(self.table.count()) or runs(self, *a))
+    rows, runs, rounds, merger = [], bpe_train.Pending._runs, [], bpe_train.RunMerger
+    monkeypatch.setattr(bpe_train.Pending, "_runs", lambda self, *a: rows.append(self.table.count()) or runs(self, *a))
     monkeypatch.setattr(bpe_train, "RunMerger", lambda *a: rounds.append(0) or merger(*a))
     monkeypatch.setattr(bpe_train, "MAX_HOT", 1)
     pick = random.Random(3)
